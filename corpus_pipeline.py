@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import language_id, quality
+from lexweave.llm import language_id, ngram_join, quality
 from lexweave.llm.common import materialize
 
 #: A document stays if some language is at least this likely.
@@ -24,12 +24,22 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: texts that score below the threshold go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    known = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    model = quality.fit(quality.document_statistics(known), labels)
+    model = quality.fit(quality.document_statistics(docs), labels)
     return quality.score_documents(docs, model, score_col="_lw_score").filter(F.col("_lw_score") >= QUALITY_SCORE).select(docs.columns)
 
 
-STAGES = [("language_id", keep_language), ("quality", keep_quality)]
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of near copies, the document with the smallest id stays.
+
+    A document with a null id, or without words, is its own group and stays;
+    of rows with the same id all stay or go.
+    """
+    groups = ngram_join.jaccard_groups(docs.select("doc_id", "text"))
+    gone = groups.filter("group_id <> key").select(F.col("key").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+STAGES = [("language_id", keep_language), ("quality", keep_quality), ("ngram_join", keep_one_of_each)]
 
 #: No SQL: learned models and byte-pair merges; tests compare the stages with brute force.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality
+from . import language_id, ngram_join, quality, sql
 from .common import materialize, remainder
 
 
@@ -23,6 +23,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, model).select(F.col("key").alias("doc_id"), (remainder("key", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of equal 5-gram sets, its links at a similarity of 0.8 or more, and its group."""
+    return ngram_join.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's language; learnt from the rows whose crc32 remainder by 3 is not 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -31,8 +36,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality, op3_ngram_join, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_ngram_join": sql.OP3}
