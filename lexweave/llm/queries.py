@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, ngram_join, quality, sql
+from . import decontaminate, language_id, ngram_join, quality, sql
 from .common import materialize, remainder
 
 
@@ -28,6 +28,14 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words in every document, by the positional index."""
+    index = decontaminate.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = decontaminate.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    found = found.select(F.col("key").alias("doc_id"), "n_words", decontaminate.hit_words().alias("n_hit"), decontaminate.hit_items().alias("items"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's language; learnt from the rows whose crc32 remainder by 3 is not 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -36,8 +44,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_ngram_join, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality, op3_ngram_join, op8_decontaminate, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": sql.OP3}
+    return {"op3_ngram_join": sql.OP3, "op8_decontaminate": sql.OP8}

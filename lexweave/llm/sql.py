@@ -16,3 +16,19 @@ SELECT d.doc_id, least(d.doc_id, (SELECT min(b) FROM link WHERE a = d.doc_id AND
        (SELECT count(*) FROM link WHERE a = d.doc_id) AS n_links, (SELECT min(b) FROM reach r WHERE r.a = d.doc_id) AS group_id
 FROM documents d
 """
+
+OP8 = f"""
+WITH d AS (SELECT doc_id, coalesce({WORDS.format(text="text")}, []) AS w FROM documents),
+i AS (SELECT DISTINCT item_id, {WORDS.format(text="text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[k:k+least(10, len(w))-1], ' ') AS g
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS k FROM i WHERE len(w) > 0)),
+t AS (SELECT doc_id, n, k, array_to_string(w[k:k+n-1], ' ') AS g
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM p))),
+h AS (SELECT doc_id, item_id, k, p.n FROM t JOIN p ON t.n = p.n AND t.g = p.g),
+x AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS q FROM h) GROUP BY doc_id),
+y AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)
+"""
