@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import language_id, ngram_join, quality
+from lexweave.llm import byte_bpe, decontaminate, language_id, ngram_join, quality
 from lexweave.llm.common import materialize
 
 #: A document stays if some language is at least this likely.
@@ -39,7 +40,30 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("language_id", keep_language), ("quality", keep_quality), ("ngram_join", keep_one_of_each)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: texts that hold a window of ten words of a benchmark item go.
+
+    Whether one does depends on its text alone, so texts are told apart by a
+    digest and rows with null or repeated ids are treated like all others.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    index = decontaminate.build_index(docs.select("text", digest.alias("digest")), key="digest")
+    found = decontaminate.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+    gone = found.filter(F.size("runs") > 0).select("key").distinct()
+    return docs.join(gone, digest == F.col("key"), "left_anti").select(docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: the ids of each text that stayed, and whether they decode to its bytes."""
+    v = byte_bpe.Vocabulary.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    source = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+    encoded = byte_bpe.encode(source, v)
+    counted = encoded.select("doc_id", "lang", "source", "text_sha256", F.size("ids").cast("bigint").alias("n_tokens"), byte_bpe.ids_digest().alias("ids_sha256"), F.col("ids").alias("input_ids"), "ids")
+    decoded = byte_bpe.decode(counted, v)
+    return decoded.select("doc_id", "lang", "source", "n_tokens", "input_ids", "ids_sha256", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+
+
+STAGES = [("language_id", keep_language), ("quality", keep_quality), ("ngram_join", keep_one_of_each), ("decontaminate", drop_contaminated), ("byte_bpe", tokenize)]
 
 #: No SQL: learned models and byte-pair merges; tests compare the stages with brute force.
 ORACLE_SQL = None

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, ngram_join, quality, sql
+from . import byte_bpe, decontaminate, language_id, ngram_join, quality, sql
 from .common import materialize, remainder
 
 
@@ -36,6 +37,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's ids by the rank file, and what they decode to."""
+    v = byte_bpe.Vocabulary.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), v)
+    counted = encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), byte_bpe.ids_digest().alias("ids_sha256"), "ids")
+    return byte_bpe.decode(counted, v).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's language; learnt from the rows whose crc32 remainder by 3 is not 1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -44,7 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_ngram_join, op8_decontaminate, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality, op3_ngram_join, op8_decontaminate, op9_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
