@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -203,5 +204,27 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def binary_list(blobs: list[bytes]) -> pa.Array:
-    return pa.array(blobs, pa.binary())
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of equal keys and the groups' bounds; the rows come sorted by the keys."""
+    held: list[pa.Table] = []
+    for batch in chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        if batch is not None:
+            held.append(pa.Table.from_batches([batch]))
+        if not held:
+            continue
+        table = pa.concat_tables(held).combine_chunks()
+        change = np.ones(table.num_rows, bool)
+        change[1:] = False
+        for k in keys:
+            codes = np.asarray(table.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1))
+            change[1:] |= codes[1:] != codes[:-1]
+        bounds = np.append(np.flatnonzero(change), table.num_rows)
+        if batch is None:
+            yield table, bounds
+        else:  # the last group may go on in the next batch
+            held = [table.slice(bounds[-2])]
+            if len(bounds) > 2:
+                yield table.slice(0, bounds[-2]).combine_chunks(), bounds[:-1]
+

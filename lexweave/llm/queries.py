@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, ngram_join, quality, sql
+from . import byte_bpe, decontaminate, language_id, lattice_dedup, ngram_join, quality, sql
 from .common import materialize, remainder
 
 
@@ -24,6 +24,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, model).select(F.col("key").alias("doc_id"), (remainder("key", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of equal-label vectors at a cosine of 0.98 or more, and their components."""
+    found = lattice_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return found.select(F.col("key").alias("vec_id"), "n_links", "component_id", (F.col("key") == F.col("component_id")).alias("kept"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of equal 5-gram sets, its links at a similarity of 0.8 or more, and its group."""
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
@@ -53,8 +59,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op3_ngram_join, op8_decontaminate, op9_byte_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_ngram_join, op8_decontaminate, op9_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": sql.OP3, "op8_decontaminate": sql.OP8}
+    return {"op2_embedding_dedup": sql.OP2, "op3_ngram_join": sql.OP3, "op8_decontaminate": sql.OP8}
