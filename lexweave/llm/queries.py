@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, lattice_dedup, ngram_join, quality, sql
+from . import byte_bpe, decontaminate, language_id, lattice_dedup, ngram_join, quality, sql, warc
 from .common import materialize, remainder
 
 
@@ -35,6 +35,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("key", "doc_id")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as it stands in the merged index of the archives written."""
+    merged = warc.capture_histories(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return merged.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in every document, by the positional index."""
     index = decontaminate.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -59,8 +65,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_ngram_join, op8_decontaminate, op9_byte_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_ngram_join, op4_warc, op8_decontaminate, op9_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": sql.OP2, "op3_ngram_join": sql.OP3, "op8_decontaminate": sql.OP8}
+    return {"op2_embedding_dedup": sql.OP2, "op3_ngram_join": sql.OP3, "op4_warc": sql.OP4, "op8_decontaminate": sql.OP8}
