@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, lattice_dedup, ngram_join, quality, sql, warc
-from .common import materialize, remainder
+from . import byte_bpe, decontaminate, language_id, lattice_dedup, lm, ngram_join, quality, sql, token_counts, warc
+from .common import materialize, remainder, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,37 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's log10 probability; learnt from the rows whose crc32 remainder by 7 is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lm.score_documents(docs, remainder("doc_id", 7) != 2)
+    return found.select(F.col("key").alias("doc_id"), (remainder("key", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by source, language and tokenizer version after the life of a corpus.
+
+    All documents come in with counts (for one version guessed from their
+    length and revised later), then exact copies are deleted; a commit is repeated on the way.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    counts = F.map_from_arrays(F.array(*map(F.lit, token_counts.TOKENIZERS)), F.array(*[token_counts.count_tokens("text", v) for v in token_counts.TOKENIZERS]))
+    counted = materialize(docs.select("doc_id", "source", "lang", F.coalesce(F.expr("n_chars div 6"), F.lit(0)).alias("guess"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"), counts.alias("counts")), "op6-counts")
+    firsts = counted.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    copies = counted.join(firsts, "digest").filter("doc_id <> first")
+    each = F.explode("counts").alias("version", "exact")
+    guessed = F.when(F.col("version") == "space-1", F.col("guess")).otherwise(F.col("exact"))
+    ledger = token_counts.Ledger(spark, scratch_path(spark, "op6-ledger"))
+    base = counted.select("source", "lang", "guess", each)
+    ledger.commit("1-load", base.select(F.lit("insert").alias("kind"), "source", "lang", "version", guessed.alias("tokens"), F.lit(None).cast("bigint").alias("old_tokens")))
+    revised = base.filter("version = 'space-1'").select(F.lit("revise").alias("kind"), "source", "lang", "version", F.col("exact").alias("tokens"), F.col("guess").alias("old_tokens"))
+    ledger.commit("2-revise", revised)
+    ledger.compact()
+    ledger.commit("2-revise", revised)  # a repeat changes nothing
+    ledger.commit("3-copies", copies.select("source", "lang", each).select(F.lit("delete").alias("kind"), "source", "lang", "version", F.col("exact").alias("tokens"), F.lit(None).cast("bigint").alias("old_tokens")))
+    return ledger.totals()
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in every document, by the positional index."""
     index = decontaminate.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -65,8 +96,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_ngram_join, op4_warc, op8_decontaminate, op9_byte_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_ngram_join, op4_warc, op5_lm_scoring, op6_token_counts, op8_decontaminate, op9_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": sql.OP2, "op3_ngram_join": sql.OP3, "op4_warc": sql.OP4, "op8_decontaminate": sql.OP8}
+    return {"op2_embedding_dedup": sql.OP2, "op3_ngram_join": sql.OP3, "op4_warc": sql.OP4, "op6_token_counts": sql.OP6, "op8_decontaminate": sql.OP8}

@@ -51,3 +51,12 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
+
+OP6 = r"""
+WITH d AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents),
+t AS (SELECT source, lang, unnest(['letters-1', 'space-1', 'word-1']) AS version,
+             unnest([len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^\x09-\x0D\x20\p{L}\p{N}]+')), len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')),
+                     len(regexp_extract_all(text, '[0-9A-Za-z\x{80}-\x{10FFFF}]+'))]) AS tokens
+      FROM d WHERE k = 1 OR text IS NULL)
+SELECT source, lang, version, count(*) AS documents, CAST(sum(coalesce(tokens, 0)) AS BIGINT) AS tokens FROM t GROUP BY ALL
+"""
