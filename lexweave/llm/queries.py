@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, lattice_dedup, lm, ngram_join, quality, sql, token_counts, warc
+from . import byte_bpe, decontaminate, language_id, lattice_dedup, lm, ngram_join, quality, sql, token_counts, token_files, warc
 from .common import materialize, remainder, scratch_path
 
 
@@ -72,6 +72,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as they come back from the token files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.write_and_read(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("key", "doc_id")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in every document, by the positional index."""
     index = decontaminate.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -96,7 +102,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_ngram_join, op4_warc, op5_lm_scoring, op6_token_counts, op8_decontaminate, op9_byte_bpe, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_ngram_join, op4_warc, op5_lm_scoring, op6_token_counts, op7_token_files, op8_decontaminate, op9_byte_bpe, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
