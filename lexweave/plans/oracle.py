@@ -182,7 +182,7 @@ p AS (SELECT query_id AS source_id, CASE WHEN query_id % 5 < 3 THEN 'synonym' WH
 r AS (SELECT * FROM j JOIN p USING (source_id)), rr AS (SELECT *, action = 'synonym' AS mg, action = 'new_canonical' AS nw, coalesce(judgment IN ('synonym', 'new_canonical'), false) AS rs, coalesce(judgment = 'synonym' AND answer = target, false) AS ok FROM r)
 """
 )
-QUOTA = [("low_usage", 20, "true", "cached_count"), ("long_name", 20, "true", "-length(name)"), ("character", 20, "type = 'Character'", "0"), ("rare_mark", 10, "contains(name, '~')", "0")]
+QUOTA = [("low_usage", 20, "true", "cached_count"), ("long_name", 20, "true", "-length(name)"), ("character", 20, "type = 'Character'", "''"), ("rare_mark", 10, "contains(name, '~')", "''")]
 
 
 def _quota() -> str:

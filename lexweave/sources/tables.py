@@ -8,6 +8,8 @@ import os
 import tempfile
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,9 +72,6 @@ def read_pages(spark: SparkSession, path: str, items: str) -> DataFrame:
 # ---------------------------------------------------------------- vectors --
 def decode_base64_vectors(responses: DataFrame, column: str = "embedding", dimensions: int = 1536) -> DataFrame:
     """Little-endian float32 vectors from base64; a vector of another length, not finite or zero is an error."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def decode(s: pd.Series) -> pd.Series:
         import base64
@@ -108,9 +107,6 @@ def plan_batches(texts: DataFrame, order: str, text: str, most: int = 512, most_
     Greedy by nature, so one ordered pass: rows are cut into ranges that are
     planned apart (batches end at their borders), so no task sees all rows.
     """
-    import numpy as np
-    import pandas as pd
-
     sized = texts.withColumn("_b", F.octet_length(text)).repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
     schema = T.StructType([*texts.schema.fields, T.StructField("batch", T.StringType())])
 
