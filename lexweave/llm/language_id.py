@@ -160,7 +160,7 @@ def windows(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
 
 def training_sample(docs: DataFrame, text: str, lang: str, key: str, texts_per_language: int) -> DataFrame:
     """About ``texts_per_language`` whole texts of each language, chosen by a hash of the key and the text."""
-    labelled = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t IS NOT NULL AND l IS NOT NULL AND t <> ''")
+    labelled = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t IS NOT NULL AND l IS NOT NULL AND t <> ''")
     counts = labelled.groupBy("l").count().collect()  # one row per language
     share = F.lit(0.0)
     for row in counts:
