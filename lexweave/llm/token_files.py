@@ -74,14 +74,18 @@ class Grammar:
             alphabet, seq = np.flatnonzero(present).astype(ids.dtype), (np.cumsum(present) - 1)[ids]
         else:
             alphabet, seq = np.unique(ids, return_inverse=True)
-        seq, rules, size = seq.astype(np.int64), [], len(alphabet)
+        seq, rules, size = seq.astype(np.uint32), [], len(alphabet)
         while len(seq) > 1:
             n = len(seq)
-            pair = seq[:-1] << 32 | seq[1:]
-            step = np.uint64((0x9E3779B97F4A7C15 + 2 * len(rules) * 0x5851F42D4C957F2D) % (1 << 64))  # pairs in one bucket part in the next round
-            place = lambda p: (p.view(np.uint64) * step >> np.uint64(44)).view(np.int64)  # noqa: B023, E731
+            if size <= 1 << 16:
+                kind, half, step = np.uint32, 16, np.uint32(0x9E3779B1 + 2 * 0x2C1B3C6D * len(rules) & 0xFFFFFFFF)
+            else:
+                kind, half, step = np.uint64, 32, np.uint64((0x9E3779B97F4A7C15 + 2 * 0x5851F42D4C957F2D * len(rules)) % (1 << 64))
+            pair = seq[:-1].astype(kind, copy=False) << kind(half) | seq[1:]
+            place = lambda p: (p * step) >> kind(2 * half - 20)  # noqa: B023, E731  pairs in one bucket part in the next round
             bucket = place(pair)
-            ordered = np.sort(pair[np.bincount(bucket, minlength=1 << 20)[bucket] >= least])
+            often = np.bincount(bucket.astype(np.int64), minlength=1 << 20) >= least
+            ordered = np.sort(pair[often[bucket]])
             if not len(ordered):
                 break
             begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -90,28 +94,30 @@ class Grammar:
             if not len(begin):
                 break
             kinds = ordered[begin][np.argsort(count, kind="stable")]  # the more frequent, the higher its rank
-            table = np.zeros(1 << 20, np.int64)
+            table = np.zeros(1 << 20, np.int32)
             table[place(kinds)] = np.arange(1, len(kinds) + 1)
             weight = table[bucket]
-            weight[np.concatenate([[0], kinds])[weight] != pair] = 0
+            weight[np.concatenate([kinds[:1], kinds])[weight] != pair] = 0
             # a place wins over its neighbours; in runs of one pair every second place does
-            before, after = np.concatenate([[0], weight[:-1]]), np.concatenate([weight[1:], [0]])
-            win = np.flatnonzero((weight > 0) & (weight >= before) & (weight >= after))
-            tied = np.flatnonzero((np.diff(win) == 1) & (weight[win[1:]] == weight[win[:-1]])) + 1 if len(win) else win
-            if len(tied):
-                follows = np.zeros(len(win), bool)
-                follows[tied] = True
+            best = weight > 0
+            best[1:] &= weight[1:] >= weight[:-1]
+            best[:-1] &= weight[:-1] >= weight[1:]
+            win = np.flatnonzero(best)
+            follows = np.zeros(len(win), bool)
+            follows[1:] = np.diff(win) == 1
+            if follows.any():
                 start = np.maximum.accumulate(np.where(follows, 0, np.arange(len(win))))
                 win = win[(np.arange(len(win)) - start) % 2 == 0]
-            number = np.bincount(weight[win], minlength=len(kinds) + 1)
-            good = number >= least
+            own = weight[win]
+            good = np.bincount(own, minlength=len(kinds) + 1) >= least
             good[0] = False
-            win = win[good[weight[win]]]
+            use = good[own]
+            win, own = win[use], own[use]
             if not len(win):
                 break
-            new = kinds[good[1:]]
-            rules.append(np.stack([new >> 32, new & 0xFFFFFFFF], 1))
-            seq[win] = size + (np.cumsum(good) - 1)[weight[win]]
+            new = kinds[good[1:]].astype(np.int64)
+            rules.append(np.stack([new >> half, new & (1 << half) - 1], 1))
+            seq[win] = size + (np.cumsum(good) - 1)[own]
             keep = np.ones(n, bool)
             keep[win + 1] = False
             seq, size = seq[keep], size + len(new)
