@@ -21,11 +21,16 @@ def not_itself() -> Column:
     return ~(F.col("is_alias") & (F.col("rep_id") == F.col("query_id")))
 
 
-def exact_match(queries: DataFrame, reps: DataFrame, key: Callable[[str], Column]) -> DataFrame:
+def not_same_name() -> Column:
+    """The pilot's mask: an alias with the query's very name is no representation for it."""
+    return ~(F.col("is_alias") & (F.col("rep_name") == F.col("query_name")))
+
+
+def exact_match(queries: DataFrame, reps: DataFrame, key: Callable[[str], Column], mask: Column | None = None) -> DataFrame:
     """(query_id, status, targets): unique, ambiguous or no_match by equal normalised names, the query's own alias left out."""
     q = queries.withColumn("key", key("query_name"))
-    r = reps.withColumn("key", key("rep_name")).select("key", "rep_id", "canonical_id", "is_alias")
-    hits = q.select("query_id", "key").join(r, "key").filter(not_itself()).groupBy("query_id").agg(F.array_sort(F.collect_set("canonical_id")).alias("targets"))
+    r = reps.withColumn("key", key("rep_name")).select("key", "rep_id", "rep_name", "canonical_id", "is_alias")
+    hits = q.select("query_id", "query_name", "key").join(r, "key").filter(not_itself() if mask is None else mask).groupBy("query_id").agg(F.array_sort(F.collect_set("canonical_id")).alias("targets"))
     n = F.coalesce(F.size("targets"), F.lit(0))
     return q.select("query_id").join(hits, "query_id", "left").select("query_id", F.when(n <= 0, "no_match").when(n == 1, "unique").otherwise("ambiguous").alias("status"), F.coalesce("targets", F.array().cast("array<bigint>")).alias("targets"))
 
@@ -62,9 +67,9 @@ def max_pool(scores: DataFrame) -> DataFrame:
     return scores.groupBy("query_id", "canonical_id").agg(F.max("score").alias("score"))
 
 
-def top_k(pooled: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, canonical_id, score, rank): ties by ascending id."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("canonical_id"))
+def top_k(pooled: DataFrame, k: int = 10, tie: str = "canonical_id") -> DataFrame:
+    """(query_id, canonical_id, score, rank): ties by ascending id, or by another column (the pilot's names)."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(tie))
     return pooled.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 

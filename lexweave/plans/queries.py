@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..functions.hashing import group_split, hash_order
-from ..operators import audit, decisions, matching, metrics, pages, profiles, retrieval, review, sampling
+from ..operators import audit, decisions, matching, metrics, pages, profiles, retrieval, review, sampling, snapshot
 from ..sources import tables as src
-from .views import SEED, Host, table
+from .views import CAP, SAMPLE, SEED, Host, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -118,6 +118,18 @@ def quota_challenge(h: Host) -> DataFrame:
     return sampling.quota_selection(own, "id", SEED, rules).select("id", "selection_reason")
 
 
+@query
+def snapshot_violations(h: Host) -> DataFrame:
+    """Broken rules of the snapshot, and whether the evaluation sample can be drawn again."""
+    cat = h.freeform.withColumn("split", group_split(SEED, "id"))
+    al = h.aliases.withColumn("split", group_split(SEED, "canonical_id"))
+    ex = h.queries.select("query_id", "query_name", "canonical_id", F.lit("synonym").alias("kind"))
+    ids = sampling.identity_sample(h.freeform, "id", SEED, 50).select(F.col("id").alias("query_id"), F.col("name").alias("query_name"), F.col("id").alias("canonical_id"), F.lit("canonical_name").alias("kind"))
+    found = snapshot.violations(cat, al, ex.unionByName(ids)).agg(F.count("*").alias("broken_rules"))
+    again = snapshot.same_sample(h.aliases, h.queries.select(F.col("query_id").alias("id")), "id", "canonical_id", SEED, SAMPLE, CAP)
+    return found.withColumn("sample_again", F.lit(again))
+
+
 # --------------------------------------------------------------- matching --
 @query
 def normalize_modes(h: Host) -> DataFrame:
@@ -140,6 +152,13 @@ def exact_match_aliases_masked(h: Host) -> DataFrame:
     return _exact(h, h.names_and_aliases)
 
 
+@query
+def exact_match_pilot(h: Host) -> DataFrame:
+    """The pilot's mask by name, on case-folded names."""
+    m = matching.exact_match(h.queries, h.names_and_aliases, lambda c: tx.normalize(c, "casefold"), matching.not_same_name())
+    return m.select("query_id", "status", F.array_join(F.transform("targets", lambda t: t.cast("string")), ",").alias("targets"))
+
+
 @query
 def exact_match_tally(h: Host) -> DataFrame:
     m = matching.exact_match(h.queries, h.names_and_aliases, lambda c: tx.normalize(c, "whitespace")).join(h.queries, "query_id")

@@ -59,3 +59,15 @@ def test_quota_fallback(spark):
     out = sampling.quota_selection(rows, "id", "s", [("low", 5, F.lit(True), F.col("x")), ("none", 5, F.lit(False), F.lit(0))]).collect()
     assert sorted(r["id"] for r in out if r["selection_reason"] == "low") == [0, 1, 2, 3, 4]
     assert len([r for r in out if r["selection_reason"] == "none_fallback"]) == 5 and len({r["id"] for r in out}) == 10
+
+
+def test_snapshot_rules(spark):
+    from lexweave.operators import snapshot
+
+    cat = spark.createDataFrame([(1, "A", "Freeform", "test"), (2, "B", "Freeform", "development")], "id long, name string, type string, split string")
+    al = spark.createDataFrame([(10, "a", 1, "A", "test"), (11, "b", 2, "B", "test"), (12, "c", 3, "C", "test"), (2, "x", 1, "A", "test")], "id long, name string, canonical_id long, canonical_name string, split string")
+    ex = spark.createDataFrame([(10, "a", 1, "synonym"), (10, "other", 1, "synonym"), (99, "z", 1, "synonym"), (1, "A", 1, "canonical_name")], "query_id long, query_name string, canonical_id long, kind string")
+    got = {r["rule"]: r["rows"] for r in snapshot.violations(cat, al, ex).collect()}
+    assert got == {"alias is canonical": 1, "alias without target": 1, "alias disagrees with its target": 1, "example without alias": 1, "example disagrees with its alias": 1}
+    assert snapshot.violations(cat, al.filter("id = 10"), ex.filter("query_name IN ('a', 'A')")).count() == 0
+    assert not snapshot.disjoint(cat, al, "id") and snapshot.disjoint(cat, al.filter("id > 9"), "id")
