@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,10 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: Words whose ids a worker remembers, and their longest length in characters.
 REMEMBERED, REMEMBERED_CHARS = 300_000, 64
 #: Neighbour pairs that a worker remembers.
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_PAIRS = 300_000
+#: Ids that are decoded at once; a longer document is decoded by itself.
+DECODE_IDS = 1 << 19
 
 _ODD_SPACE = re.compile(r" (?:[\s\x1c-\x1f]|\Z)")
 
@@ -92,19 +97,23 @@ class Encoder:
         self.find = regex.compile(vocabulary.pattern).findall
         self.automaton = ahocorasick.Automaton()
         for token, i in vocabulary.ids.items():
-            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+            if len(token) > 1:
+                self.automaton.add_word(token.decode("latin-1"), (i, len(token) - 1))
         self.automaton.make_automaton()
-        self.length = {i: len(t) for t, i in vocabulary.ids.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        n = max(vocabulary.bytes_of, default=-1) + 1
+        self.length = [len(vocabulary.bytes_of.get(i, b"")) for i in range(n)]
+        self.shorter = [vocabulary.shorter.get(i) for i in range(n)]
+        self.bytes_ = [vocabulary.ids.get(bytes([b])) for b in range(256)]
+        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}  # little-endian ids
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges leave ``a`` and ``b`` as neighbours."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
             if len(self.pairs) >= REMEMBERED_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._compatible(a, b)
+            known = self.pairs[a << 32 | b] = self._compatible(a, b)
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
@@ -128,52 +137,78 @@ class Encoder:
         if whole is not None:
             return [whole]
         n = len(word)
-        longest: list[int | None] = [None] * (n + 1)
-        for end, (i, size) in self.automaton.iter(word.decode("latin-1")):
-            longest[end - size + 1] = i  # ends ascend, so the last is the longest
-        length, shorter, compatible = self.length, self.v.shorter, self.compatible
+        longest: list[int | None] = [self.bytes_[b] for b in word]
+        longest.append(None)
+        if n > 1 and self.automaton.kind:
+            for end, (i, before) in self.automaton.iter(word.decode("latin-1")):
+                longest[end - before] = i  # ends ascend, so the last is the longest
+        length, shorter, pairs = self.length, self.shorter, self.pairs
         out: list[int] = []
         open_ = bytearray(b"\x01" * (n + 1))  # borders not found to be dead ends
-        at, token = 0, longest[0]
+        at, token, last = 0, longest[0], -1
         while at < n:
-            while token is not None and not (open_[at + length[token]] and (not out or compatible(out[-1], token))):
+            while token is not None:
+                if open_[at + length[token]]:
+                    if last < 0:
+                        break
+                    fits = pairs.get(last << 32 | token)
+                    if fits or (fits is None and self.compatible(last, token)):
+                        break
                 token = shorter[token]
             if token is not None:
                 out.append(token)
                 at += length[token]
-                token = longest[at]
+                last, token = token, longest[at]
             elif out:
                 open_[at] = 0
-                last = out.pop()
+                out.pop()
                 at -= length[last]
                 token = shorter[last]
+                last = out[-1] if out else -1
             else:
                 raise ValueError("a byte has no token")
         return out
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = tuple(chain.from_iterable(self.encode_bytes(m.encode()) for m in self.find(word)))
+    def _word(self, word: str) -> bytes:
+        found = [word] if word.isascii() and word[word[:1] == " " :].isalpha() else self.find(word)  # such a word is one match
+        ids = array("i", chain.from_iterable([self.encode_bytes(m.encode()) for m in found])).tobytes()
         if len(word) <= REMEMBERED_CHARS:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
             self.words[word] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text."""
         if _ODD_SPACE.search(text):
             pieces = self.find(text)
         else:
             first, *rest = text.split(" ")
             pieces = [first, *[" " + p for p in rest]]
-        known, word = self.words.get, self._word
-        out: list[int] = []
-        for p in pieces:
-            ids = known(p)
-            out.extend(word(p) if ids is None else ids)
-        return out
+        known, word = self.words, self._word
+        try:
+            raw = b"".join(map(known.__getitem__, pieces))
+        except KeyError:
+            raw = b"".join([known[p] if p in known else word(p) for p in pieces])
+        if len(known) > REMEMBERED:
+            self.words = {p: known[p] for p in pieces if p in known}
+        return np.frombuffer(raw, "<i4")
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.v.bytes_of.__getitem__, ids))
+
+class Decoder:
+    """Tokens' bytes in one array; all that decoding needs."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        tokens = [vocabulary.bytes_of.get(i, b"") for i in range(max(vocabulary.bytes_of, default=-1) + 1)]
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids, where each document's begin, and the end); ``bounds``: the documents' first ids and the end."""
+        ids = np.asarray(ids, np.int64)
+        bounds = np.array([0, len(ids)]) if bounds is None else bounds
+        size = self.sizes[ids]
+        done = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.repeat(self.starts[ids] - done[:-1], size) + np.arange(done[-1])], done[bounds]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -202,7 +237,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
         for batch in batches:
             flat, ends = [np.zeros(0, np.int32)], np.zeros(batch.num_rows + 1, np.int64)
             for i, t in enumerate(batch.column(text)):
-                own = np.array(enc.encode(t.as_py() or ""), np.int32)
+                own = enc.encode(t.as_py() or "")
                 flat.append(own)
                 ends[i + 1] = ends[i] + len(own)
             found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
@@ -214,13 +249,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes of its ids in place of the ids."""
     kept, schema = _replaced(encoded, decoded, T.BinaryType(), (ids,))
-    sent = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = encoded.sparkSession.sparkContext.broadcast(Decoder(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(sent.value)
+        dec = sent.value
         for batch in batches:
-            found = [enc.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in batch.column(ids)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(found, pa.binary())], [*kept, decoded])
+            column = batch.column(ids)
+            bounds = column.offsets.to_numpy().astype(np.int64)
+            bounds, values = bounds - bounds[0], column.flatten().to_numpy(zero_copy_only=False)
+            for lo, hi in slices(bounds, DECODE_IDS):
+                own = bounds[lo : hi + 1] - bounds[lo]
+                data, at = dec.decode(values[bounds[lo] : bounds[hi]], own)
+                found = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in kept] + [found], [*kept, decoded])
 
     return encoded.mapInArrow(run, schema)
 

@@ -58,12 +58,12 @@ def test_word_hashes_are_of_the_words(texts):
 def test_bpe_equals_the_library(text):
     v = test_bpe_equals_the_library.v
     assert v.encode(text).tolist() == test_bpe_equals_the_library.ref.encode_ordinary(text)
-    assert v.decode(v.encode(text))[0].tobytes() == text.encode()
+    assert test_bpe_equals_the_library.dec.decode(v.encode(text))[0].tobytes() == text.encode()
 
 
 @pytest.fixture(autouse=True, scope="module")
 def _bpe(vocabulary, reference_bpe):
-    test_bpe_equals_the_library.v, test_bpe_equals_the_library.ref = byte_bpe.Encoder(vocabulary), reference_bpe
+    test_bpe_equals_the_library.v, test_bpe_equals_the_library.ref, test_bpe_equals_the_library.dec = byte_bpe.Encoder(vocabulary), reference_bpe, byte_bpe.Decoder(vocabulary)
 
 
 def test_bpe_equals_merging_by_definition(vocabulary):
