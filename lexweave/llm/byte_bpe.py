@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, text_bytes
 
 #: Words whose ids a worker remembers, and their longest length in characters.
 REMEMBERED, REMEMBERED_CHARS = 300_000, 64
@@ -235,13 +235,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(sent.value)
         for batch in batches:
-            flat, ends = [np.zeros(0, np.int32)], np.zeros(batch.num_rows + 1, np.int64)
-            for i, t in enumerate(batch.column(text)):
-                own = enc.encode(t.as_py() or "")
-                flat.append(own)
-                ends[i + 1] = ends[i] + len(own)
-            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [found], [*kept, ids])
+            column = batch.column(text)
+            _, offsets, _ = text_bytes(column)
+            for a, b in slices(offsets):  # small parts go out at once
+                own = [enc.encode(t.as_py() or "") for t in column.slice(a, b - a)]
+                ends = np.cumsum([0, *map(len, own)])
+                found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in kept] + [found], [*kept, ids])
 
     return docs.mapInArrow(run, schema)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; a longer text is one step by itself.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _PRIME = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1

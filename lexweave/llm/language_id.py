@@ -199,8 +199,11 @@ _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text holds a letter of any script."""
-    total = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data], dtype=np.int64)])
-    found = total[offsets[1:]] > total[offsets[:-1]]
+    found = np.zeros(len(offsets) - 1, bool)
+    for a, b in slices(offsets):
+        own = offsets[a : b + 1] - offsets[a]
+        total = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data[offsets[a] : offsets[b]]], dtype=np.int64)])
+        found[a:b] = total[own[1:]] > total[own[:-1]]
     for i in np.flatnonzero(~found):
         piece = data[offsets[i] : offsets[i + 1]].tobytes()
         found[i] = any(c.isalpha() for c in piece.decode("utf-8", "replace"))
