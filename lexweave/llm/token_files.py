@@ -246,26 +246,24 @@ class PieceEncoder:
         for t in texts:
             spaced.append(None if _ODD_SPACE.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else [p if not i else " " + p for i, p in enumerate(t.split(" "))])
         known = self.known
-        own = set(chain.from_iterable(p for p in spaced if p is not None))
-        new = own.difference(known)
+        found = [None if p is None else list(map(known.get, p)) for p in spaced]
+        lacking = [i for i, f in enumerate(found) if f is not None and None in f]
+        new = dict.fromkeys(x for i in lacking for x, v in zip(spaced[i], found[i], strict=True) if v is None)
         long = {p for p in new if len(p) > REMEMBERED_CHARS}
         self._learn([p for p in new if p[:1] == " " and p not in long], known)
         once: dict[str, bytes] = {}
         for p in long.union(p for p in new if p[:1] != " "):
             ids = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32).tobytes() if p else b""
             (once if p in long else known)[p] = ids
+        for i in lacking:
+            found[i] = [v if v is not None else known[x] if x in known else once[x] for x, v in zip(spaced[i], found[i], strict=True)]
         last, out, size = np.array([end], np.uint32).tobytes(), [], np.zeros(len(texts) + 1, np.int64)
-        for i, (t, p) in enumerate(zip(texts, spaced, strict=True)):
-            if p is None:
-                raw = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes()
-            elif once:
-                raw = b"".join([known[x] if x in known else once[x] for x in p])
-            else:
-                raw = b"".join(map(known.__getitem__, p))
+        for i, f in enumerate(found):
+            raw = b"".join(f) if f is not None else np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32).tobytes()
             out += [raw, last]
             size[i + 1] = len(raw) // 4 + 1
         if len(known) > REMEMBERED:
-            self.known = {p: known[p] for p in own if p in known}
+            self.known = {p: known[p] for s in spaced if s is not None for p in s if p in known}
         return np.frombuffer(b"".join(out), np.uint32), np.cumsum(size)
 
 
