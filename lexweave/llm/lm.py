@@ -6,9 +6,13 @@ vectors add up to a prediction, whose products with the token vectors, plus a
 bias, are the scores.  Training is by noise-contrastive estimation in numpy;
 scoring normalises by products of whole context batches with all token vectors.
 The model's output classes are the most frequent words, the end, and ``GROUPS``
-groups of all other words by their last two bytes, within which words go by
-their smoothed training counts, with a place for unseen words in every group;
-so the probabilities of all possible tokens add up to 1.
+groups of all other words by their last two bytes.  Every word of a group that
+was trained on, down to those met once, has counts of its own: of the states of
+the network (its prediction, quantised) it was met in, which give its share of
+the group in each state, and of the clusters of classes met one and two places
+after it, which weigh the network's classes where it is the context
+(:class:`OwnWords`).  Unseen words have a place in every group, so the
+probabilities of all possible tokens add up to 1.
 
 The corpus is never gathered anywhere:
 
@@ -18,7 +22,9 @@ The corpus is never gathered anywhere:
 3. every partition trains on all training texts of its blocks, from the same
    start, and the models are averaged, weighted by tokens, in two levels; that
    is one round of training over the whole corpus, repeated ``rounds`` times;
-4. each block is scored with the model and its words' counts.
+4. the other words' own counts are added up by hash range in the same way, and
+   each block gets those of its own words back, so no task holds the vocabulary;
+5. each block is scored with the model and its words' counts.
 
 Only the model, the list of frequent words and a few sums reach the driver.
 
@@ -46,6 +52,12 @@ BLOCK_BYTES = 8 << 20
 SHORTLIST = 510
 #: Groups of the other words; a word's group is the last six bits of its hash.
 GROUPS = 64
+#: States of the network, and clusters of its classes, that the other words are counted by.
+STATES = 10
+#: Trained words whose own counts a task adds up.
+SHARD_WORDS = 200_000
+#: Weights of the group's shares against a word's own counts: as target, one and two places before it.
+PRIOR, PRIOR_NEAR, PRIOR_FAR = 4.0, 8.0, 32.0
 
 
 @dataclass
@@ -111,15 +123,35 @@ class LogBilinear:
 
     def log_probabilities(self, far: np.ndarray, near: np.ndarray, word: np.ndarray, batch: int = 4096) -> np.ndarray:
         """Natural logarithms of the normalised probabilities; every distinct context is normalised once."""
+        context, inverse = self.contexts(far, near)
+        return self.of_contexts(far, near, word, inverse, self.normalised(context, None, batch)[0])
+
+    def contexts(self, far: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct contexts, and each token's place among them."""
+        wide = len(self.vectors)
+        numbers = far * wide + near
+        if wide > 2048:
+            return np.unique(numbers, return_inverse=True)
+        present = np.bincount(numbers, minlength=wide * wide) > 0
+        return np.flatnonzero(present), (np.cumsum(present) - 1)[numbers]
+
+    def normalised(self, context: np.ndarray, member: np.ndarray | None, batch: int = 4096) -> tuple[np.ndarray, np.ndarray | None]:
+        """Of distinct contexts: the normaliser's logarithm and, with ``member`` (classes, clusters), the clusters' probabilities."""
         wide = len(self.vectors)
-        context, inverse = np.unique(far * wide + near, return_inverse=True)
-        norm = np.empty(len(context))
+        norm, shares = np.empty(len(context)), None if member is None else np.empty((len(context), member.shape[1]), np.float32)
         targets = self.targets.T.astype(np.float32)
         for a in range(0, len(context), batch):
             c = context[a : a + batch]
             s = self.prediction(c // wide, c % wide).astype(np.float32) @ targets + self.bias.astype(np.float32)
             top = s.max(1, keepdims=True)
-            norm[a : a + batch] = top[:, 0] + np.log(np.exp(s - top).sum(1, dtype=np.float64))
+            e = np.exp(s - top)
+            total = e.sum(1, dtype=np.float64)
+            norm[a : a + batch] = top[:, 0] + np.log(total)
+            if shares is not None:
+                shares[a : a + batch] = (e @ member) / total[:, None]
+        return norm, shares
+
+    def of_contexts(self, far: np.ndarray, near: np.ndarray, word: np.ndarray, inverse: np.ndarray, norm: np.ndarray) -> np.ndarray:
         out = np.empty(len(word))
         for a in range(0, len(word), 1 << 18):
             b = slice(a, a + (1 << 18))
@@ -267,6 +299,177 @@ def train_round(blocks: DataFrame, model: LogBilinear, frequent: np.ndarray, see
     return model.with_flat(sum(np.frombuffer(r["model"]) for r in rows) / weight) if weight else model
 
 
+# ------------------------------------------------------------ other words --
+def _centres(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """Weighted k-means from a spread start."""
+    out, gap = x[[int(np.argmax(weight))]], np.full(len(x), np.inf)
+    for _ in range(min(k, len(x)) - 1):
+        gap = np.minimum(gap, ((x - out[-1]) ** 2).sum(1))
+        out = np.vstack([out, x[[int(np.argmax(gap * weight))]]])
+    for _ in range(rounds):
+        own = nearest(x, out)
+        mass = np.bincount(own, weights=weight, minlength=len(out))
+        for d in range(x.shape[1]):
+            total = np.bincount(own, weights=weight * x[:, d], minlength=len(out))
+            out[:, d] = np.where(mass > 0, total / np.maximum(mass, 1e-300), out[:, d])
+    return out
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres * centres).sum(1) - 2 * (x @ centres.T)).argmin(1)
+
+
+def places_of(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every token of a block, ends included: the block's numbers of its word and of the words one and two before, or -1."""
+    words, local = _blob(batch, "words", i, np.uint32), _blob(batch, "local", i, np.uint32)
+    n = words.astype(np.int64) + 1
+    ends = np.cumsum(n)
+    own = np.full(ends[-1] if len(ends) else 0, -1)
+    inner = np.ones(len(own), bool)
+    inner[ends - 1] = False
+    own[inner] = local
+    near, far = np.full_like(own, -1), np.full_like(own, -1)
+    near[1:], far[2:] = own[:-1], own[:-2]  # the end before a text is -1 already
+    far[(ends - n)[n > 1] + 1] = -1
+    far[ends - n] = -1
+    return own, near, far
+
+
+@dataclass
+class OwnWords:
+    """What the words of the groups add to the model; a word's row has its counts by state, and by cluster one and two places later."""
+
+    model: LogBilinear
+    centres: np.ndarray  # (states, d): of predictions
+    cluster: np.ndarray  # (classes,)
+    shares: np.ndarray | None = None  # (groups, states): of the groups' training tokens
+    places: np.ndarray | None = None  # (groups, states): sums of the words' weights, with one for unseen words
+    after: np.ndarray | None = None  # (2, groups, clusters): shares one and two places after a group's words
+
+    @classmethod
+    def start(cls, model: LogBilinear) -> OwnWords:
+        weight = model.noise
+        cluster = nearest(model.targets, _centres(model.targets, weight, STATES))
+        near = np.append(np.arange(len(weight)), len(weight))
+        mean = weight @ model.vectors[: len(weight)] * model.scale[1]
+        x = model.vectors[near] * model.scale[0] + mean
+        return cls(model, _centres(x, np.append(weight, weight[-1]), STATES), cluster)
+
+    @property
+    def member(self) -> np.ndarray:
+        return np.eye(STATES, dtype=np.float32)[self.cluster]
+
+    def states(self, context: np.ndarray) -> np.ndarray:
+        wide = len(self.model.vectors)
+        return nearest(self.model.prediction(context // wide, context % wide), self.centres)
+
+    def rare(self, number: np.ndarray) -> np.ndarray:
+        return (number >= self.model.k) & (number < self.model.k + GROUPS)
+
+    def count(self, far: np.ndarray, near: np.ndarray, word: np.ndarray, places: tuple[np.ndarray, np.ndarray, np.ndarray], size: int) -> np.ndarray:
+        """(size, 3 * STATES) counts of the words of the groups over these tokens."""
+        context, inverse = self.model.contexts(far, near)
+        state, cluster = self.states(context)[inverse], self.cluster[word]
+        cells = [(p * 3 * STATES + q * STATES + c)[self.rare(x)] for q, (p, c, x) in enumerate(zip(places, (state, cluster, cluster), (word, near, far), strict=True))]
+        return np.bincount(np.concatenate(cells), minlength=size * 3 * STATES).reshape(size, 3 * STATES)
+
+    @staticmethod
+    def sums(counts: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """(GROUPS, 4 * STATES + 1) of trained words: their counts, their discounted counts by state, their weights for the group's shares."""
+        c = counts[:, :STATES].sum(1)
+        counts, group, c = counts[c > 0], group[c > 0], c[c > 0]
+        rate = (c + 1) / (c + PRIOR)
+        parts = np.hstack([counts, counts[:, :STATES] * rate[:, None], (PRIOR * rate)[:, None]])
+        return np.stack([np.bincount(group, weights=p, minlength=GROUPS) for p in parts.T], 1)
+
+    def with_sums(self, sums: np.ndarray) -> OwnWords:
+        share = lambda x: (x + 1 / STATES) / (x.sum(1, keepdims=True) + 1)
+        n, near, far, a = (sums[:, q * STATES : (q + 1) * STATES] for q in range(4))
+        shares = share(n)
+        return OwnWords(self.model, self.centres, self.cluster, shares, a + shares * (sums[:, -1:] + 1), np.stack([share(near), share(far)]))
+
+    def log_probabilities(self, far: np.ndarray, near: np.ndarray, word: np.ndarray, places: tuple[np.ndarray, np.ndarray, np.ndarray], counts: np.ndarray) -> np.ndarray:
+        """Natural logarithms; ``counts``: rows of the words that ``places`` number."""
+        context, inverse = self.model.contexts(far, near)
+        norm, mass = self.model.normalised(context, self.member)
+        state, cluster, k = self.states(context), self.cluster[word], self.model.k
+        out = self.model.of_contexts(far, near, word, inverse, norm)
+        trained = counts[:, :STATES].sum(1)
+        for a in range(0, len(word), 1 << 16):
+            b = slice(a, a + (1 << 16))
+            ratio = np.ones((len(word[b]), STATES), np.float32)
+            for q, (c, place, prior) in enumerate(((near[b], places[1][b], PRIOR_NEAR), (far[b], places[2][b], PRIOR_FAR))):
+                at = np.flatnonzero(self.rare(c))
+                after, row = self.after[q][c[at] - k], counts[place[at], (q + 1) * STATES : (q + 2) * STATES]
+                ratio[at] *= (row + prior * after) / ((row.sum(1, keepdims=True) + prior) * after)
+            known = (ratio * mass[inverse[b]]).sum(1, dtype=np.float64)
+            out[b] += np.log(ratio[np.arange(len(ratio)), cluster[b]]) - np.log(known)
+            at = np.flatnonzero(self.rare(word[b]))
+            g, z, w = word[b][at] - k, state[inverse[b][at]], places[0][b][at]
+            c = trained[w]
+            out[b][at] += np.log((c + 1) / (c + PRIOR) * (counts[w, z] + PRIOR * self.shares[g, z]) / self.places[g, z])
+        return out
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """Counts, nearly all small, as compressed bytes; those from 255 on follow apart."""
+    flat = counts.ravel()
+    large = np.flatnonzero(flat >= 255)
+    raw = np.uint64(len(large)).tobytes() + large.astype(np.uint64).tobytes() + flat[large].astype(np.uint64).tobytes() + np.minimum(flat, 255).astype(np.uint8).tobytes()
+    return np.uint64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = pa.decompress(memoryview(data)[8:], int(np.frombuffer(data, np.uint64, 1)[0]), "zstd")
+    n = int(np.frombuffer(raw, np.uint64, 1)[0])
+    at, value = np.frombuffer(raw, np.uint64, 2 * n, 8).reshape(2, n)
+    out = np.frombuffer(raw, np.uint8, offset=8 + 16 * n).astype(np.uint32)
+    out[at.astype(np.int64)] = value
+    return out.reshape(-1, 3 * STATES)
+
+
+def count_own(blocks: DataFrame, own: OwnWords, frequent: np.ndarray, shards: int) -> DataFrame:
+    """Stored rows: a block's share of a hash range with the corpus counts of its words of the groups; and each range's sums."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.array([(s << 64) // shards for s in range(shards)], dtype=np.uint64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                far, near, word, text = classes_of(batch, i, frequent)
+                use = batch.column("train")[i].values.to_numpy(zero_copy_only=False)[text]
+                uniq = _blob(batch, "uniq", i, np.uint64)
+                counts = own.count(far[use], near[use], word[use], tuple(p[use] for p in places_of(batch, i)), len(uniq))
+                at = np.append(np.searchsorted(uniq, edges), len(uniq))
+                for s in np.flatnonzero(np.diff(at)):
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()]), pa.array([s], pa.int32()), pa.array([uniq[at[s] : at[s + 1]].tobytes()], pa.binary()), pa.array([packed(counts[at[s] : at[s + 1]])], pa.binary())], ["block", "shard", "uniq", "own"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "shard", "own", "sums"]
+        for part in grouped(batches, ["shard"]):
+            words = [_blob(part, "uniq", i, np.uint64) for i in range(part.num_rows)]
+            uniq, inverse = np.unique(np.concatenate(words), return_inverse=True)
+            ends = np.cumsum([len(w) for w in words])
+            counts = np.zeros((len(uniq), 3 * STATES), np.uint32)
+            for i, e in enumerate(ends):
+                counts[inverse[e - len(words[i]) : e]] += unpacked(part.column("own")[i].as_py())
+            shard = part.column("shard")[0].as_py()
+            for i, e in enumerate(ends):
+                back = packed(counts[inverse[e - len(words[i]) : e]])
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("block")[i].as_py()]), pa.array([shard], pa.int32()), pa.array([back], pa.binary()), pa.array([None], pa.binary())], names)
+            sums = own.sums(counts, (uniq % np.uint64(GROUPS)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([shard], pa.int32()), pa.array([None], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names)
+
+    rows = blocks.select("block", "train", "words", "local", "uniq").mapInArrow(cut, "block string, shard int, uniq binary, own binary")
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "block")
+    return materialize(rows.mapInArrow(add, "block string, shard int, own binary, sums binary"), "lm-own")
+
+
+def own_of(batch: pa.RecordBatch, i: int) -> np.ndarray:
+    """The block's words' own counts, put together from the hash ranges in their order."""
+    parts = batch.column("others")[i]
+    return np.concatenate([unpacked(p).astype(np.float32) for p in parts.as_py()]) if parts.is_valid else np.zeros((0, 3 * STATES), np.float32)
+
+
 # ---------------------------------------------------------------- scoring --
 def score_documents(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id", shortlist: int = SHORTLIST, rounds: int = 2) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10 probabilities.
@@ -285,12 +488,16 @@ def score_documents(docs: DataFrame, train: Column, text: str = "text", key: str
     order = np.argsort(frequent)
     frequent, own = frequent[order], np.array([r["top_counts"] for r in top], np.float64)[order]
     n, v = int(tokens.sum()) + ends, int(kinds.sum()) + (ends > 0)
-    group = (frequent % np.uint64(GROUPS)).astype(np.int64)
-    rest = tokens - np.bincount(group, weights=own, minlength=GROUPS).astype(np.int64)
-    places = rest + kinds - np.bincount(group, minlength=GROUPS) + 1  # counts and one for each kind, and one for unseen words
+    rest = tokens - np.bincount((frequent % np.uint64(GROUPS)).astype(np.int64), weights=own, minlength=GROUPS).astype(np.int64)
     model = LogBilinear.start(np.concatenate([own, rest, [ends]]))
     for r in range(rounds if n else 0):
         model = train_round(blocks, model, frequent, r)
+    others = OwnWords.start(model)
+    tables = count_own(blocks, others, frequent, max(partitions(blocks.sparkSession), v // SHARD_WORDS + 1))
+    sums = np.zeros((GROUPS, 4 * STATES + 1))
+    for r in tables.filter("block IS NULL").select("sums").collect():  # one small row a hash range
+        sums += np.frombuffer(r["sums"]).reshape(sums.shape)
+    others = others.with_sums(sums)
 
     kind = blocks.schema["keys"].dataType.elementType
     schema = T.StructType([T.StructField("key", kind), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
@@ -306,11 +513,10 @@ def score_documents(docs: DataFrame, train: Column, text: str = "text", key: str
                 inner = word != model.k + GROUPS
                 seen[inner] = c[_blob(batch, "local", i, np.uint32)]
                 base = np.log10((seen + 1) / (n + (v + 1)))
-                log = model.log_probabilities(far, near, word) / np.log(10)
-                other = inner & (word >= model.k)
-                log[other] += np.log10((seen[other] + 1) / places[word[other] - model.k])
+                log = others.log_probabilities(far, near, word, places_of(batch, i), own_of(batch, i)) / np.log(10)
                 total = lambda x: np.bincount(owner, weights=x, minlength=docs_here)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([batch.column("keys")[i].values, pa.array(np.bincount(owner, minlength=docs_here), pa.int64()), pa.array(total(seen > 0).astype(np.int64)), pa.array(np.full(docs_here, n), pa.int64()), pa.array(total(base)), pa.array(total(log))], schema.names)
 
     back = counts.filter("block IS NOT NULL").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "counts"))).alias("c")).select("block", F.transform("c", lambda x: x["counts"]).alias("counts"))
-    return blocks.select("block", "keys", "words", "local", "uniq").join(back, "block", "left").drop("block").mapInArrow(score, schema)
+    own_back = tables.filter("block IS NOT NULL").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "own"))).alias("c")).select("block", F.transform("c", lambda x: x["own"]).alias("others"))
+    return blocks.select("block", "keys", "words", "local", "uniq").join(back, "block", "left").join(own_back, "block", "left").drop("block").mapInArrow(score, schema)

@@ -305,6 +305,37 @@ def test_lm_is_normalised_and_learns():
     assert total == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_learns_words_outside_the_shortlist(spark):
+    from pyspark.sql import functions as F
+
+    # two words of one group and one count: only vectors or counts of their own can tell them apart
+    rows = [(i, ("p alphaxx q", "r betaxx s", "p", "q", "r", "s")[i % 6]) for i in range(600)]
+    ask = ["p alphaxx", "p betaxx", "alphaxx q", "betaxx q", "alphaxx p q", "betaxx p q"]
+    docs = spark.createDataFrame([*rows, *[(1000 + i, t) for i, t in enumerate(ask)]], "doc_id long, text string").repartition(2)
+    got = {r["key"]: r["score"] for r in lm.score_documents(docs, F.col("doc_id") < 1000, shortlist=4).collect()}
+    assert got[1000] > got[1001] + 0.3 and got[1002] > got[1003] + 0.3
+
+
+def test_lm_is_normalised_over_all_words():
+    rng = np.random.default_rng(0)
+    k, size = 5, 200
+    n = k + lm.GROUPS + 1
+    group = rng.integers(0, lm.GROUPS, size)
+    m = lm.LogBilinear(k, rng.normal(size=(n + 1, 16)), np.ones((2, 16)), rng.normal(size=(n, 16)), rng.normal(size=n), np.full(n, 1 / n))
+    own = lm.OwnWords.start(m)
+    counts = rng.integers(0, 4, (size, 3 * lm.STATES)) * (rng.random((size, 3 * lm.STATES)) < 0.2)
+    counts[-lm.GROUPS :], group[-lm.GROUPS :] = 0, np.arange(lm.GROUPS)  # an unseen word of each group
+    known = counts[:, : lm.STATES].sum(1) > 0
+    known[-lm.GROUPS :] = True
+    own = own.with_sums(own.sums(counts, group))
+    for near, far in ((0, 1), (size - 70, 2), (3, size - 80)):
+        word = np.concatenate([np.arange(k), [n - 1], k + group[known]])
+        place = np.concatenate([np.full(k + 1, -1), np.flatnonzero(known)])
+        full = lambda x: np.full(len(word), x)  # noqa: B023, E731
+        p = own.log_probabilities(full(k + group[far]), full(k + group[near]), word, (place, full(near), full(far)), counts.astype(np.float32))
+        assert np.exp(p).sum() == pytest.approx(1, abs=1e-5)
+
+
 # -------------------------------------------------------------- token counts --
 def test_ledger(spark, tmp_path):
     ledger = token_counts.Ledger(spark, f"file://{tmp_path}/ledger")
