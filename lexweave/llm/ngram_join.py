@@ -2,8 +2,8 @@
 
 A text's words (A-Z lower-cased, runs of ASCII letters, digits and all other
 non-ASCII characters) give overlapping n-grams; a text of fewer words, but not
-none, is one n-gram.  Texts with equal n-gram sets form a class, which only its
-smallest key represents from there on.
+none, is one n-gram.  Texts with equal n-gram sets form a class, which the
+set's digest stands for from there on; keys come back at the end.
 
 Steps, each over all rows:
 
@@ -23,7 +23,8 @@ Steps, each over all rows:
 5. connected components of those edges are the join's groups.
 
 Defined cases: null texts and texts without words link with nothing; repeated
-rows (equal keys) count as one document for links and each get a result row; an
+rows (equal keys and n-gram sets) count as one document for links and each get a
+result row; rows of one key with different sets are documents of their own; an
 empty table gives an empty result; a null key is a document of its own that
 links with nothing.  Extra columns are not read.
 """
@@ -111,6 +112,16 @@ def sets_of(hashes: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h[first], np.searchsorted(d[first], np.arange(len(total)))
 
 
+def digests(sets: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """A digest of each n-gram set; None for an empty one."""
+    has = np.diff(bounds) > 0
+    sums = [np.zeros(len(has), np.uint64) for _ in range(2)]
+    for s, salt in zip(sums, (0x5851F42D4C957F2D, 0x14057B7EF767814F), strict=True):
+        mixed = mix64(sets ^ np.uint64(salt))
+        s[has] = np.add.reduceat(mixed, bounds[:-1][has]) if has.any() else 0
+    return [sums[0][i].tobytes() + sums[1][i].tobytes() + int(bounds[i + 1] - bounds[i]).to_bytes(4, "little") if has[i] else None for i in range(len(has))]
+
+
 def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """(key, digest of the n-gram set, bands): a null digest stands for no n-grams."""
 
@@ -122,11 +133,7 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 codes = minhash(hashes, total)
                 has = np.diff(total) > 0
                 sets, bounds = sets_of(hashes, total)
-                sums = [np.zeros(b - a, np.uint64) for _ in range(2)]
-                for s, salt in zip(sums, (0x5851F42D4C957F2D, 0x14057B7EF767814F), strict=True):
-                    mixed = mix64(sets ^ np.uint64(salt))
-                    s[has] = np.add.reduceat(mixed, bounds[:-1][has]) if has.any() else 0
-                digest = [sums[0][i].tobytes() + sums[1][i].tobytes() + int(bounds[i + 1] - bounds[i]).to_bytes(4, "little") if has[i] else None for i in range(b - a)]
+                digest = digests(sets, bounds)
                 blobs, k = [None] * (b - a), 0
                 for i in np.flatnonzero(has):
                     blobs[i], k = codes[k].tobytes(), k + 1
@@ -224,12 +231,12 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     signed = materialize(_signatures(source, n, bands, rows), "ngram-signatures")
     worded = signed.filter("key IS NOT NULL AND digest IS NOT NULL")
-    classes = materialize(worded.groupBy("digest").agg(F.min("key").alias("key"), F.count_distinct("key").alias("copies"), F.min_by("codes", "key").alias("codes")), "ngram-classes")
-    maybe = connected_components(_stars(classes, bands), name="ngram-maybe")
+    classes = materialize(worded.groupBy("digest").agg(F.min("key").alias("first"), F.count_distinct("key").alias("copies"), F.min_by("codes", "key").alias("codes")), "ngram-classes")
+    maybe = connected_components(_stars(classes.withColumnRenamed("digest", "key"), bands), name="ngram-maybe")
     numbered = maybe.join(maybe.groupBy("component").agg(F.count("*").alias("members")), "component")
-    # a component's members spread evenly over its chunks by a hash of their key
+    # a component's members spread evenly over its chunks by a hash of their digest
     numbered = numbered.withColumn("chunks", F.ceil(F.col("members") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    members = materialize(numbered.join(classes, F.col("node") == F.col("key")).select("key", "component", "chunks", "chunk", "copies", "codes"), "ngram-members")
+    members = materialize(numbered.join(classes, F.col("node") == F.col("digest")).select(F.col("first").alias("key"), "digest", "component", "chunks", "chunk", "copies", "codes"), "ngram-members")
     blocks = materialize(_with_sets(source.join(members, "key"), n), "ngram-sets", "lz4")
     pair = F.explode(F.expr("transform(sequence(0, cast(chunks AS int) - 1), c -> struct(least(c, chunk) AS low, greatest(c, chunk) AS high))"))
     dealt = blocks.select("key", "component", "chunk", "chunks", "copies", "codes", "grams", pair.alias("p")).select("key", "component", F.col("p.low").alias("low"), F.col("p.high").alias("high"), "chunk", "chunks", "copies", "codes", "grams")
@@ -238,25 +245,30 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     found = materialize(_verified(sorted_, keys, threshold), "ngram-links")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     joined = connected_components(found.filter("root <> key").select(F.col("key").alias("a"), F.col("root").alias("b")), name="ngram-groups")
-    by_class = classes.select("key", "copies", "digest").join(links, "key", "left").join(joined.withColumnRenamed("node", "key"), "key", "left")
-    by_class = by_class.select("digest", F.col("key").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "key").alias("group_id"))
+    by_class = classes.select(F.col("digest").alias("key"), "first", "copies").join(links, "key", "left").join(joined.withColumnRenamed("node", "key"), "key", "left")
+    smallest = by_class.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("group"))
+    by_class = by_class.join(smallest, "component", "left")
+    by_class = by_class.select(F.col("key").alias("digest"), F.col("first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("group", "first").alias("group_id"))
     out = signed.join(by_class, "digest", "left")
     own = F.col("key").isNull()
     return out.select("key", *[F.when(own, empty).otherwise(F.coalesce(c, empty)).alias(c) for c, empty in (("class_id", F.col("key")), ("n_links", F.lit(0).cast("bigint")), ("group_id", F.col("key")))])
 
 
 def _with_sets(docs: DataFrame, n: int) -> DataFrame:
-    """Sorted distinct n-gram hashes in place of the text."""
-    kept = ["key", "component", "chunks", "chunk", "copies", "codes"]
-    schema = docs.select(*kept).schema.add("grams", "binary")
+    """Sorted distinct n-gram hashes in place of the text, for the rows whose set is the class's; the digest becomes the key."""
+    kept = ["digest", "component", "chunks", "chunk", "copies", "codes"]
+    names = ["key", *kept[1:], "grams"]
+    schema = docs.select(F.col("digest").alias("key"), *kept[1:]).schema.add("grams", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(alnum_table())
         for batch in batches:
             for a, b, data, offsets in text_slices(batch, "text"):
                 sets, bounds = sets_of(*shingles(hasher, data, offsets, n))
-                blobs = [sets[bounds[i] : bounds[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in kept] + [pa.array(blobs, pa.binary())], [*kept, "grams"])
+                wanted = batch.column("digest").slice(a, b - a).to_pylist()
+                own = [i for i, d in enumerate(digests(sets, bounds)) if d == wanted[i]]
+                blobs = [sets[bounds[i] : bounds[i + 1]].tobytes() for i in own]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a).take(pa.array(own, pa.int64())) for c in kept] + [pa.array(blobs, pa.binary())], names)
 
     return docs.mapInArrow(run, schema)
 

@@ -65,6 +65,13 @@ def jaccard_rows(rows, threshold=0.8, n=5):
     return {k: (same[k], sum(k in e for e in links), groups[k]) for k in sets}
 
 
+def test_ngram_join_keeps_the_links_of_different_texts_of_one_key(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "vw")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (3, b + " more")]
+    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, 1), (1, 1, 1, 1), (2, 2, 1, 1), (3, 3, 1, 1), (3, 3, 1, 1)]
+
+
 def test_ngram_join_of_large_groups(spark, monkeypatch):
     rng = np.random.default_rng(0)
     base = [f"w{i}" for i in rng.integers(0, 500, 120)]
