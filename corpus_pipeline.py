@@ -32,12 +32,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of near copies, the document with the smallest id stays.
 
-    A document with a null id, or without words, is its own group and stays;
-    of rows with the same id all stay or go.
+    A document with a null id, or without words, is its own group and stays.
+    Rows of one id are told apart by their texts; of repeated rows (same id and
+    text) one stays.
     """
-    groups = ngram_join.jaccard_groups(docs.select("doc_id", "text"))
-    gone = groups.filter("group_id <> key").select(F.col("key").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    own = docs.withColumn("_lw_key", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", digest.alias("digest"))))
+    groups = ngram_join.jaccard_groups(own.select("_lw_key", "text"), key="_lw_key")
+    gone = groups.filter("group_id <> key").select(F.col("key").alias("_lw_key")).distinct()
+    left = own.join(gone, "_lw_key", "left_anti")
+    repeated = own.filter("_lw_key IS NOT NULL").groupBy("_lw_key").count().filter("count > 1").select("_lw_key")
+    once = left.join(repeated, "_lw_key", "left_semi").dropDuplicates(["_lw_key"])
+    return left.join(repeated, "_lw_key", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -263,6 +263,14 @@ def test_loser_tree():
 
 
 # ------------------------------------------------------------------ pipeline --
+def test_one_row_of_each_group_stays(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "vw")
+    rows = [(1, a), (1, a), (2, a), (2, b), (4, "!!"), (4, "!!"), (None, "lone text"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (4, "!!"), (None, "lone text"), (5, None)], key=str)
+
+
 def test_stages_one_by_one(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = q.table(spark, sf, "documents")
