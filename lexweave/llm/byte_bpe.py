@@ -8,9 +8,10 @@ stand side by side after the merges; whether they can is decided by undoing
 their merges one by one, and remembered by pair.  Every position is left for
 good at most once, so the work is linear in the bytes.
 
-Words recur, so their ids are remembered too, up to a bound.  A text is first
-cut before each space that is followed by no white space: the pattern always
-has a border there.  Texts with other spacing are cut by the pattern as a whole.
+Pieces of text recur, so texts are first cut where the pattern certainly has a
+border (:mod:`lexweave.llm.pieces`), and each distinct piece is encoded once; a
+memory bounded by bytes holds on to ids of pieces.  With another pattern each
+text is cut by it as a whole.  An encoder lives as long as a partition.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; very
 long texts and words without spaces are handled whole; repeated rows get equal
@@ -21,11 +22,8 @@ have an output's name.
 from __future__ import annotations
 
 import base64
-import hashlib
-import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_bytes
+from .common import map_arrow, slices, text_slices
+from .pieces import PATTERN, Memory, encode_pieces, plain_words
 
-#: Words whose ids a worker remembers, and their longest length in characters.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
-#: Neighbour pairs that a worker remembers.
-REMEMBERED_PAIRS = 300_000
+#: Neighbour pairs that a worker remembers (about 100 bytes each).
+REMEMBERED_PAIRS = 100_000
 #: Ids that are decoded at once; a longer document is decoded by itself.
 DECODE_IDS = 1 << 19
 
-_ODD_SPACE = re.compile(r" (?:[\s\x1c-\x1f]|\Z)")
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a token in base64 and its rank on each line."""
@@ -63,25 +58,34 @@ def merge_by_rank(word: bytes, ranks: dict[bytes, int], below: float = float("in
 
 
 class Vocabulary:
-    """What the encoder knows of the merges; small, and sent to the workers."""
+    """What the encoder knows of the merges: arrays by id, sent to the workers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.pattern = pattern
-        self.ids = ranks
-        self.bytes_of = {i: t for t, i in ranks.items()}
-        self.name = hashlib.sha256(pattern.encode() + b"".join(t + b"%d" % i for t, i in sorted(ranks.items()))).hexdigest()
-        self.halves: dict[int, tuple[int, int]] = {}  # the two tokens of a token's last merge
+        self.pattern, self.ids = pattern, ranks
+        n = max(ranks.values(), default=-1) + 1
+        tokens = [b""] * n
         for token, i in ranks.items():
-            self.halves[i] = (i, i)
-            if len(token) > 1:
-                cuts = [(ranks[token[:k]], ranks[token[k:]]) for k in range(1, len(token)) if ranks.get(token[:k], i) < i and ranks.get(token[k:], i) < i]
-                if len(cuts) > 1:
-                    parts = merge_by_rank(token, ranks, i)
-                    cuts = [tuple(ranks[p] for p in parts)] if len(parts) == 2 else []
-                if cuts:
-                    self.halves[i] = cuts[0]
-        self.merged = {pair: i for i, pair in self.halves.items() if pair != (i, i)}
-        self.shorter = {i: next((ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in ranks), None) for t, i in ranks.items()}
+            tokens[i] = token
+        self.flat, self.sizes = b"".join(tokens), np.array([len(t) for t in tokens], np.int32)
+        self.halves = np.stack([np.arange(n, dtype=np.int32)] * 2, 1)  # the two tokens of a token's last merge
+        self.shorter = np.full(n, -1, np.int32)  # the longest token that is a proper prefix
+        for token, i in ranks.items():
+            self.shorter[i] = next((ranks[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in ranks), -1)
+            cuts = [(ranks[token[:k]], ranks[token[k:]]) for k in range(1, len(token)) if ranks.get(token[:k], i) < i and ranks.get(token[k:], i) < i]
+            if len(cuts) > 1:
+                parts = merge_by_rank(token, ranks, i)
+                cuts = [tuple(ranks[p] for p in parts)] if len(parts) == 2 else []
+            if cuts:
+                self.halves[i] = cuts[0]
+
+    def __getstate__(self) -> dict[str, object]:
+        return {k: v for k, v in self.__dict__.items() if k != "ids"}  # the workers' automaton has them
+
+    def tokens(self) -> Iterator[tuple[int, bytes]]:
+        ends = np.cumsum(self.sizes)
+        for i, (size, end) in enumerate(zip(self.sizes.tolist(), ends.tolist(), strict=True)):
+            if size:
+                yield i, self.flat[end - size : end]
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Vocabulary:
@@ -93,19 +97,23 @@ class Encoder:
         import ahocorasick
         import regex
 
-        self.v = vocabulary
+        self.cut = vocabulary.pattern == PATTERN
         self.find = regex.compile(vocabulary.pattern).findall
-        self.automaton = ahocorasick.Automaton()
-        for token, i in vocabulary.ids.items():
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.bytes_: list[int] = [-1] * 256
+        for i, token in vocabulary.tokens():
             if len(token) > 1:
-                self.automaton.add_word(token.decode("latin-1"), (i, len(token) - 1))
+                self.automaton.add_word(token.decode("latin-1"), i)
+            else:
+                self.bytes_[token[0]] = i
         self.automaton.make_automaton()
-        n = max(vocabulary.bytes_of, default=-1) + 1
-        self.length = [len(vocabulary.bytes_of.get(i, b"")) for i in range(n)]
-        self.shorter = [vocabulary.shorter.get(i) for i in range(n)]
-        self.bytes_ = [vocabulary.ids.get(bytes([b])) for b in range(256)]
+        self.length, self.shorter = array("i", vocabulary.sizes.tobytes()), array("i", vocabulary.shorter.tobytes())
+        left, right = vocabulary.halves[:, 0], vocabulary.halves[:, 1]
+        self.left, self.right = array("i", left.tobytes()), array("i", right.tobytes())
+        merges = np.flatnonzero(left != np.arange(len(left)))
+        self.merged = dict(zip((left[merges].astype(np.int64) << 32 | right[merges]).tolist(), merges.tolist(), strict=True))
         self.pairs: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}  # little-endian ids
+        self.memory = Memory()
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges leave ``a`` and ``b`` as neighbours."""
@@ -117,12 +125,12 @@ class Encoder:
         return known
 
     def _compatible(self, a: int, b: int) -> bool:
-        merged, halves = self.v.merged, self.v.halves
-        before = float("inf")  # merges of a lower rank came first
+        merged = self.merged
+        before = 1 << 62  # merges of a lower rank came first
         while True:
-            if merged.get((a, b), before) < before:
+            if merged.get(a << 32 | b, before) < before:
                 return False
-            right, left = halves[a][1], halves[b][0]
+            right, left = self.right[a], self.left[b]
             if right == a and left == b:
                 return True
             # go back to before the later of the two tokens' last merges
@@ -133,21 +141,21 @@ class Encoder:
 
     def encode_bytes(self, word: bytes) -> list[int]:
         """Ids of one match of the pattern."""
-        whole = self.v.ids.get(word)
-        if whole is not None:
+        n, text = len(word), word.decode("latin-1")
+        whole = self.automaton.get(text, -1) if n > 1 and self.automaton.kind else self.bytes_[word[0]] if n == 1 else -1
+        if whole >= 0:
             return [whole]
-        n = len(word)
-        longest: list[int | None] = [self.bytes_[b] for b in word]
-        longest.append(None)
-        if n > 1 and self.automaton.kind:
-            for end, (i, before) in self.automaton.iter(word.decode("latin-1")):
-                longest[end - before] = i  # ends ascend, so the last is the longest
         length, shorter, pairs = self.length, self.shorter, self.pairs
+        longest = [self.bytes_[b] for b in word]
+        longest.append(-1)
+        if n > 1 and self.automaton.kind:
+            for end, i in self.automaton.iter(text):
+                longest[end + 1 - length[i]] = i  # ends ascend, so the last is the longest
         out: list[int] = []
         open_ = bytearray(b"\x01" * (n + 1))  # borders not found to be dead ends
         at, token, last = 0, longest[0], -1
         while at < n:
-            while token is not None:
+            while token >= 0:
                 if open_[at + length[token]]:
                     if last < 0:
                         break
@@ -155,7 +163,7 @@ class Encoder:
                     if fits or (fits is None and self.compatible(last, token)):
                         break
                 token = shorter[token]
-            if token is not None:
+            if token >= 0:
                 out.append(token)
                 at += length[token]
                 last, token = token, longest[at]
@@ -169,38 +177,44 @@ class Encoder:
                 raise ValueError("a byte has no token")
         return out
 
-    def _word(self, word: str) -> bytes:
-        found = [word] if word.isascii() and word[word[:1] == " " :].isalpha() else self.find(word)  # such a word is one match
-        ids = array("i", chain.from_iterable([self.encode_bytes(m.encode()) for m in found])).tobytes()
-        if len(word) <= REMEMBERED_CHARS:
-            self.words[word] = ids
-        return ids
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        out, size = array("i"), np.zeros(len(pieces), np.int64)
+        plain, _ = plain_words(pieces)
+        for i, (piece, one) in enumerate(zip(pieces, plain.tolist(), strict=True)):
+            before = len(out)
+            if one:
+                out.extend(self.encode_bytes(piece))
+            else:
+                for m in self.find(piece.decode()):
+                    out.extend(self.encode_bytes(m.encode()))
+            size[i] = len(out) - before
+        return np.array(out, "<u4"), size
+
+    def encode_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of concatenated texts, where each text's begin, and the end)."""
+        if self.cut:
+            ids, begins = encode_pieces(data, offsets, self.memory, self._learn)
+            return ids.view("<i4"), begins
+        out, begins = array("i"), [0]
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            for m in self.find(data[a:b].tobytes().decode()):
+                out.extend(self.encode_bytes(m.encode()))
+            begins.append(len(out))
+        return np.array(out, "<i4"), np.array(begins)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text."""
-        if _ODD_SPACE.search(text):
-            pieces = self.find(text)
-        else:
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + p for p in rest]]
-        known, word = self.words, self._word
-        try:
-            raw = b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            raw = b"".join([known[p] if p in known else word(p) for p in pieces])
-        if len(known) > REMEMBERED:
-            self.words = {p: known[p] for p in pieces if p in known}
-        return np.frombuffer(raw, "<i4")
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_texts(raw, np.array([0, len(raw)]))[0]
 
 
 class Decoder:
     """Tokens' bytes in one array; all that decoding needs."""
 
     def __init__(self, vocabulary: Vocabulary):
-        tokens = [vocabulary.bytes_of.get(i, b"") for i in range(max(vocabulary.bytes_of, default=-1) + 1)]
-        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.sizes = vocabulary.sizes.astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.flat = np.frombuffer(vocabulary.flat, np.uint8)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all ids, where each document's begin, and the end); ``bounds``: the documents' first ids and the end."""
@@ -211,17 +225,6 @@ class Decoder:
         return self.flat[np.repeat(self.starts[ids] - done[:-1], size) + np.arange(done[-1])], done[bounds]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(vocabulary: Vocabulary) -> Encoder:
-    """This worker's encoder of a vocabulary."""
-    if vocabulary.name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[vocabulary.name] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary.name]
-
-
 def _replaced(df: DataFrame, name: str, kind: T.DataType, without: tuple[str, ...] = ()) -> tuple[list[str], T.StructType]:
     kept = [c for c in df.columns if c != name and c not in without]
     return kept, T.StructType([df.schema[c] for c in kept] + [T.StructField(name, kind)])
@@ -233,17 +236,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(sent.value)
+        enc = Encoder(sent.value)
         for batch in batches:
-            column = batch.column(text)
-            _, offsets, _ = text_bytes(column)
-            for a, b in slices(offsets):  # small parts go out at once
-                own = [enc.encode(t.as_py() or "") for t in column.slice(a, b - a)]
-                ends = np.cumsum([0, *map(len, own)])
-                found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own)))
+            for a, b, data, offsets in text_slices(batch, text):  # small parts go out at once
+                own, begins = enc.encode_texts(data, offsets)
+                found = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(own))
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in kept] + [found], [*kept, ids])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -263,7 +263,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded
                 found = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in kept] + [found], [*kept, decoded])
 
-    return encoded.mapInArrow(run, schema)
+    return map_arrow(encoded, run, schema)
 
 
 def ids_digest(ids: str = "ids"):

@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step works on; a longer text is one step by itself.
 SLICE_BYTES = 2 << 20
-
-_PRIME = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+#: Bytes of rows that go to a Python worker at once; a larger row goes by itself.
+BATCH_BYTES = 4 << 20
 
 
 # ---------------------------------------------------------------- scratch --
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, local mode takes a folder in the warehouse; a cluster
+    must name one, as a folder of the driver's machine is not its executors'.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lexweave-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lexweave_scratch"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -41,6 +49,43 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of intermediate rows that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _give_back() -> None:
+    """Memory that this worker's allocators hold goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` on batches bounded by bytes; workers, which live on, keep nothing after a partition.
+
+    The bound is a setting of the session and is left alone where one is set.
+    """
+    spark = df.sparkSession
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll and name not in dict(spark.sparkContext.getConf().getAll()):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
 def remainder(doc_id: str | Column, m: int) -> Column:
     """crc32 of the id as text, modulo ``m``; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -116,59 +161,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """Words of many texts at once, as 64-bit hashes: a keyed polynomial over the bytes, then mixed.
+    """Words of many texts at once, as 64-bit hashes (XXH3 of the word's bytes).
 
-    Two given words collide with a chance of about 2**-64, so among a thousand
-    million distinct words a collision has a chance of a few per cent, and a
-    given word meets one with a chance under 1e-10.
+    Distinct words are found by their bytes, so each is hashed once.  XXH3 mixes
+    and has no known structured collisions, but it is no cryptographic hash: of
+    a thousand million distinct words some two meet with a chance of a few per
+    cent, and words made to collide can.  Where a single false match matters,
+    compare the words themselves.
     """
 
     def __init__(self, is_word: np.ndarray, lower: bool = True):
         self.is_word, self.lower = is_word, lower_table() if lower else None
-        rng = np.random.default_rng(20240229)
-        self.key = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.inverse = pow(_PRIME, -1, 1 << 64)
-        self.up, self.down = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            for name, base in (("up", _PRIME), ("down", self.inverse)):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts, ends, words before each document and in all)."""
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-        if self.lower is not None:
-            data = self.lower[data]
-        inside = self.is_word[data]
-        before = np.empty_like(inside)
-        before[0] = False
-        before[1:] = inside[:-1]
+        inside = self.is_word[data] if self.lower is None else self.is_word[self.lower][data]
+        edge = np.empty_like(inside)
+        edge[0] = inside[0]
+        np.greater(inside[1:], inside[:-1], out=edge[1:])
         cuts = offsets[:-1][offsets[:-1] < len(data)]
-        before[cuts] = False  # a text begins here
-        starts = np.flatnonzero(inside & ~before)
-        after = np.empty_like(inside)
-        after[-1] = False
-        after[:-1] = inside[1:]
-        after[cuts[cuts > 0] - 1] = False
-        ends = np.flatnonzero(inside & ~after) + 1
-        return starts, ends, np.searchsorted(starts, offsets)
+        edge[cuts] = inside[cuts]  # a text begins here
+        starts = np.flatnonzero(edge)
+        edge[-1] = inside[-1]
+        np.greater(inside[:-1], inside[1:], out=edge[:-1])
+        last = cuts[cuts > 0] - 1
+        edge[last] = inside[last]
+        return starts, np.flatnonzero(edge) + 1, np.searchsorted(starts, offsets)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(hash of each word, words before each document and in all)."""
         starts, ends, counts = self.spans(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint64), counts
-        self._powers(len(data) + 1)
         if self.lower is not None:
             data = self.lower[data]
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(self.key[data] * self.up[: len(data)], out=total[1:])
-        return mix64((total[ends] - total[starts]) * self.down[starts]), counts
+        bounds = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(ends - starts, out=bounds[1:])
+        packed = np.ascontiguousarray(data[self.is_word[data]])
+        found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(packed)]).dictionary_encode()
+        distinct = np.fromiter(map(xxhash.xxh3_64_intdigest, found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
+        return distinct[found.indices.to_numpy()], counts
 
 
 def word_hash(hasher: WordHasher, words: list[str]) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHasher, alnum_table, materialize, text_slices, word_hash
+from .common import WordHasher, alnum_table, map_arrow, materialize, text_slices, word_hash
 
 #: Text of a segment of the index.
 SEGMENT_BYTES = 8 << 20
@@ -167,7 +167,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", segmen
                 k += 1
                 yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{k}"]), keys] + [pa.array([x.tobytes()], pa.binary()) for x in (s.bounds, s.terms, s.starts, s.deltas)], ["segment", "keys", *names])
 
-    return materialize(source.mapInArrow(run, schema), "positional-index")
+    return materialize(map_arrow(source, run, schema), "positional-index")
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Segment]]:
@@ -206,7 +206,7 @@ def search(index: DataFrame, items: DataFrame, text: str = "text", key: str = "i
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), runs)
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("segment")[i].as_py()] * n, pa.string()), pa.array(np.arange(n)), batch.column("keys")[i].values, pa.array(np.diff(s.bounds)), lists], ["segment", "ordinal", "key", "n_words", "runs"])
 
-        passes.append(index.mapInArrow(run, schema))
+        passes.append(map_arrow(index, run, schema))
     if len(passes) == 1:
         return passes[0].select("key", "n_words", "runs")
     out = passes[0]
@@ -249,7 +249,7 @@ def near(index: DataFrame, words: list[str], within: int) -> DataFrame:
             doc = np.searchsorted(s.bounds, best[:, 0], "right") - 1
             yield pa.RecordBatch.from_arrays([batch.column("keys")[i].values.take(pa.array(doc)), pa.array(best[:, 0] - s.bounds[doc]), pa.array(best[:, 1] - s.bounds[doc])], ["key", "first", "after"])
 
-    return index.mapInArrow(run, schema)
+    return map_arrow(index, run, schema)
 
 
 def hit_words(runs: str = "runs"):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, text_bytes
+from .common import map_arrow, slices, text_bytes
 
 UNDETERMINED = "und"
 
@@ -183,7 +183,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             keep = np.flatnonzero(chosen)
             yield pa.RecordBatch.from_arrays([batch.column("l").take(pa.array(doc[keep])), batch.column("k").take(pa.array(doc[keep])), pa.array(rank[keep], pa.int64()), pa.array([x[i].tobytes() for i in keep], pa.binary())], ["l", "k", "r", "w"])
 
-    rows = sorted((r["l"], r["k"], r["r"], bytes(r["w"])) for r in sample.mapInArrow(cut, "l string, k string, r bigint, w binary").collect())
+    rows = sorted((r["l"], r["k"], r["r"], bytes(r["w"])) for r in map_arrow(sample, cut, "l string, k string, r bigint, w binary").collect())
     languages = sorted({r[0] for r in rows})
     net = ByteConvNet(languages, window=size, **options)
     if len(languages) < 2:
@@ -221,7 +221,7 @@ def predict(docs: DataFrame, net: ByteConvNet, text: str = "text", lang_col: str
             lang, score = label_texts(batch.column(text), net)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [lang, score], [*kept, lang_col, score_col])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def label_texts(column: pa.Array, net: ByteConvNet, chunk: int = 2 << 20) -> tuple[pa.Array, pa.Array]:

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHasher, grouped, materialize, mix64, nonspace_table, partitions, text_slices
+from .common import WordHasher, grouped, map_arrow, materialize, mix64, nonspace_table, partitions, text_slices
 
 #: Text of a block.
 BLOCK_BYTES = 8 << 20
@@ -195,7 +195,7 @@ def blocks_of(docs: DataFrame, text: str, key: str, train: Column) -> DataFrame:
                 k += 1
                 yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{k}"]), one(batch.column("key").slice(a, b - a)), one(flags)] + [pa.array([blobs[c].astype(t).tobytes()], pa.binary()) for c, t in _BLOBS.items()], schema.names)
 
-    return materialize(source.mapInArrow(run, schema), "lm-blocks")
+    return materialize(map_arrow(source, run, schema), "lm-blocks")
 
 
 def _blob(batch: pa.RecordBatch | pa.Table, column: str, i: int, kind: type) -> np.ndarray:
@@ -234,9 +234,9 @@ def count_words(blocks: DataFrame, shortlist: int) -> DataFrame:
             rows.append((None, shard, None, np.bincount(group, weights=counts > 0, minlength=GROUPS).astype(np.int64).tolist(), np.bincount(group, weights=counts, minlength=GROUPS).astype(np.int64).tolist(), uniq[top].view(np.int64).tolist(), counts[top].tolist()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    rows = blocks.select("block", "uniq", "own").mapInArrow(cut, "block string, shard int, uniq binary, own binary")
+    rows = map_arrow(blocks.select("block", "uniq", "own"), cut, "block string, shard int, uniq binary, own binary")
     rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    return materialize(rows.mapInArrow(add, "block string, shard int, counts binary, distinct array<bigint>, total array<bigint>, top array<bigint>, top_counts array<bigint>"), "lm-counts")
+    return materialize(map_arrow(rows, add, "block string, shard int, counts binary, distinct array<bigint>, total array<bigint>, top array<bigint>, top_counts array<bigint>"), "lm-counts")
 
 
 # --------------------------------------------------------------- training --
@@ -293,8 +293,8 @@ def train_round(blocks: DataFrame, model: LogBilinear, frequent: np.ndarray, see
         if weight:
             yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([total.tobytes()], pa.binary())], ["weight", "model"])
 
-    parts = materialize(blocks.select("train", "words", "local", "uniq").mapInArrow(learn, "part int, weight double, model binary"), "lm-models")
-    rows = parts.repartition(16, "part").mapInArrow(add, "weight double, model binary").collect()  # at most 16 models
+    parts = materialize(map_arrow(blocks.select("train", "words", "local", "uniq"), learn, "part int, weight double, model binary"), "lm-models")
+    rows = map_arrow(parts.repartition(16, "part"), add, "weight double, model binary").collect()  # at most 16 models
     weight = sum(r["weight"] for r in rows)
     return model.with_flat(sum(np.frombuffer(r["model"]) for r in rows) / weight) if weight else model
 
@@ -459,9 +459,9 @@ def count_own(blocks: DataFrame, own: OwnWords, frequent: np.ndarray, shards: in
             sums = own.sums(counts, (uniq % np.uint64(GROUPS)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([shard], pa.int32()), pa.array([None], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names)
 
-    rows = blocks.select("block", "train", "words", "local", "uniq").mapInArrow(cut, "block string, shard int, uniq binary, own binary")
+    rows = map_arrow(blocks.select("block", "train", "words", "local", "uniq"), cut, "block string, shard int, uniq binary, own binary")
     rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    return materialize(rows.mapInArrow(add, "block string, shard int, own binary, sums binary"), "lm-own")
+    return materialize(map_arrow(rows, add, "block string, shard int, own binary, sums binary"), "lm-own")
 
 
 def own_of(batch: pa.RecordBatch, i: int) -> np.ndarray:
@@ -519,4 +519,4 @@ def score_documents(docs: DataFrame, train: Column, text: str = "text", key: str
 
     back = counts.filter("block IS NOT NULL").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "counts"))).alias("c")).select("block", F.transform("c", lambda x: x["counts"]).alias("counts"))
     own_back = tables.filter("block IS NOT NULL").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "own"))).alias("c")).select("block", F.transform("c", lambda x: x["own"]).alias("others"))
-    return blocks.select("block", "keys", "words", "local", "uniq").join(back, "block", "left").join(own_back, "block", "left").drop("block").mapInArrow(score, schema)
+    return map_arrow(blocks.select("block", "keys", "words", "local", "uniq").join(back, "block", "left").join(own_back, "block", "left").drop("block"), score, schema)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, alnum_table, grouped, materialize, mix64, partitions, text_slices
+from .common import WordHasher, alnum_table, grouped, map_arrow, materialize, mix64, partitions, text_slices
 from .components import connected_components
 
 #: Classes in a chunk of a large component; a block holds two chunks.
@@ -139,7 +139,7 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     blobs[i], k = codes[k].tobytes(), k + 1
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.array(digest, pa.binary()), pa.array(blobs, pa.binary())], ["key", "digest", "codes"])
 
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, digest binary, codes binary")
+    return map_arrow(docs, run, f"key {docs.schema['key'].dataType.simpleString()}, digest binary, codes binary")
 
 
 def _stars(classes: DataFrame, bands: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _stars(classes: DataFrame, bands: int) -> DataFrame:
             codes = np.frombuffer(b"".join(x.as_py() for x in batch.column("codes")), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(np.repeat(np.arange(batch.num_rows), bands))), pa.array(codes)], ["key", "code"])
 
-    entries = materialize(classes.select("key", "codes").mapInArrow(run, f"key {classes.schema['key'].dataType.simpleString()}, code bigint"), "ngram-bands")
+    entries = materialize(map_arrow(classes.select("key", "codes"), run, f"key {classes.schema['key'].dataType.simpleString()}, code bigint"), "ngram-bands")
     heads = entries.groupBy("code").agg(F.min("key").alias("head"), F.count("*").alias("n")).filter("n > 1").select("code", "head")
     return entries.join(heads, "code").filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
 
@@ -270,7 +270,7 @@ def _with_sets(docs: DataFrame, n: int) -> DataFrame:
                 blobs = [sets[bounds[i] : bounds[i + 1]].tobytes() for i in own]
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a).take(pa.array(own, pa.int64())) for c in kept] + [pa.array(blobs, pa.binary())], names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _verified(dealt: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -299,4 +299,4 @@ def _verified(dealt: DataFrame, keys: list[str], threshold: float) -> DataFrame:
             root = roots(len(sets), i, j)[at]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(links[at]), ids.take(pa.array(root))], ["key", "links", "root"])
 
-    return dealt.drop("chunks").mapInArrow(run, f"key {kind}, links bigint, root {kind}")
+    return map_arrow(dealt.drop("chunks"), run, f"key {kind}, links bigint, root {kind}")

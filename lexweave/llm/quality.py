@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHasher, nonspace_table, text_slices
+from .common import WordHasher, map_arrow, nonspace_table, text_slices
 
 _CLASSES = 12
 
@@ -60,8 +60,10 @@ def _hasher() -> WordHasher:
 def statistics(data: np.ndarray, offsets: np.ndarray, hasher: WordHasher) -> np.ndarray:
     """(documents, statistics) for concatenated UTF-8 texts."""
     n, size = len(offsets) - 1, np.diff(offsets).astype(float)
-    doc = np.repeat(np.arange(n), np.diff(offsets))
-    counts = np.bincount(doc * _CLASSES + _byte_classes()[data], minlength=n * _CLASSES).reshape(n, _CLASSES).astype(float)
+    classes = _byte_classes()[data]
+    at = np.flatnonzero((classes != 0) & (classes != 3))  # letters and spaces, most of a text, are not asked for
+    doc = np.searchsorted(offsets, at, "right") - 1
+    counts = np.bincount(doc * _CLASSES + classes[at], minlength=n * _CLASSES).reshape(n, _CLASSES).astype(float)
     hashes, before = hasher(data, offsets)
     starts, ends, _ = hasher.spans(data, offsets)
     words = np.diff(before).astype(float)
@@ -73,7 +75,9 @@ def statistics(data: np.ndarray, offsets: np.ndarray, hasher: WordHasher) -> np.
     same = np.zeros(len(hashes))
     if len(hashes) > 1:
         same[1:] = (hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])
-    distinct = np.bincount((np.unique(np.stack([owner.astype(np.uint64), hashes], 1).view("u8,u8")).view(np.uint64).reshape(-1, 2)[:, 0]).astype(np.int64), minlength=n) if len(hashes) else np.zeros(n)
+    # 44 bits of a word's hash tell the words of one text apart
+    kinds = np.sort(owner.astype(np.uint64) << np.uint64(44) | hashes >> np.uint64(20))
+    distinct = np.bincount((kinds[np.diff(kinds, prepend=~kinds[:1]) != 0] >> np.uint64(44)).astype(np.int64), minlength=n)
     upper_start = total(((data[starts] >= 65) & (data[starts] <= 90)).astype(float)) if len(starts) else np.zeros(n)
     ratio = lambda k: np.log((counts[:, k] + PROSE_BYTES * PROSE[k]) / (size + PROSE_BYTES) + 1e-3)
     share = lambda x, usual: np.log((x + PROSE_WORDS * usual) / (words + PROSE_WORDS) + 1e-2)
@@ -98,7 +102,7 @@ def document_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id"
             stats = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(STATISTICS), pa.int32()), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("key"), stats], ["key", "stats"])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 @dataclass
@@ -151,7 +155,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", key: str =
         c, i = np.indices(acc.shape)
         yield pa.RecordBatch.from_arrays([pa.array(c.ravel(), pa.int32()), pa.array(i.ravel(), pa.int32()), pa.array(acc.ravel())], ["c", "i", "v"])
 
-    rows = joined.mapInArrow(moments, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).collect()
+    rows = map_arrow(joined, moments, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).collect()
     acc = np.zeros((2, 1 + k + k * k))
     for r in rows:
         acc[r["c"], r["i"]] = r["v"]
@@ -167,7 +171,7 @@ def score(stats: DataFrame, model: QuadraticDiscriminant, score_col: str = "scor
             x = np.asarray(batch.column("stats").flatten()).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(model.score(x))], ["key", score_col])
 
-    return stats.select("key", "stats").mapInArrow(run, schema)
+    return map_arrow(stats.select("key", "stats"), run, schema)
 
 
 def score_documents(docs: DataFrame, model: QuadraticDiscriminant, text: str = "text", score_col: str = "score") -> DataFrame:
@@ -182,4 +186,4 @@ def score_documents(docs: DataFrame, model: QuadraticDiscriminant, text: str = "
             x = [model.score(statistics(data, offsets, hasher)) for _, _, data, offsets in text_slices(batch, text)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(np.concatenate(x) if x else np.zeros(0))], [*kept, score_col])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

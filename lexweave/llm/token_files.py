@@ -4,22 +4,29 @@ Documents are encoded with a tokenizer of the tokenizers library, an end id is
 added to each, and ids are written in ascending document order: files by key
 range, shards of whole documents within a file.  A shard is compressed by
 itself.  Re-Pair replaces frequent pairs of neighbouring ids by new symbols,
-again and again; here each round replaces all pairs that are frequent, where
-they overlap the more frequent one.  A shard stores its alphabet, its rules, the
-length each symbol expands to and the remaining symbols; so any range of ids
-can be expanded without the rest of the shard.
+again and again, until no pair is left that a rule would pay for; here each round
+replaces all pairs that are frequent, where they overlap the more frequent one.
+After the first round only the places next to new symbols, and those that lost
+against a neighbour, can hold a frequent pair, so only they are looked at.
 
-File: frames one after the other, each ``FRAME`` mark, body length, body and a
-line feed (Spark's text writer lays them down, see :mod:`lexweave.llm.warc`).
-Body: lengths of its parts as unsigned 64-bit numbers, then the parts: keys (an
-Arrow stream), first id of each document and the end, alphabet (u32), rules
-(pairs), expansion lengths of the rules (u32), symbols.  Numbers are
-little-endian; rules and symbols are u16 where all fit, else u32.
+A shard stores its alphabet, its rules, the length each symbol expands to, the
+remaining symbols and the ids before every ``MARK``-th of them.  A range of ids
+is found by these sums and expanded by walking down the rules; a symbol that
+lies outside the range is not expanded.
 
-Encoding.  White space rules of byte-level pre-tokenizers put a border before
-each space that is followed by no white space, so a text is the sequence of
-pieces cut there, and ids of pieces seen before are reused; texts with other
-spacing are encoded whole.  Tests compare this with encoding whole texts.
+File: frames one after the other, each ``FRAME`` mark, body length, body and a
+line feed (Spark's text writer lays them down, see :mod:`lexweave.llm.warc`); a
+file ends after ``FILE_SHARDS`` frames, so its size is bounded however large
+the corpus is.  Body: lengths of its parts as unsigned 64-bit numbers, then the
+parts: keys (an Arrow stream), first id of each document and the end, alphabet
+(u32), rules (pairs), expansion lengths of the rules (u32), symbols, ids before
+each mark (u64).  Numbers are little-endian; rules and symbols are u16 where all
+fit, else u32.
+
+Encoding.  With a byte-level pre-tokenizer, texts are cut where it certainly has
+a border (:mod:`lexweave.llm.pieces`) and each distinct piece of a shard is
+encoded once; other tokenizers, and texts that hold an added token's string,
+encode whole texts.  Tests compare this with encoding whole texts.
 
 Defined cases: null and empty texts have the end id alone; rows with equal keys
 stand together, ordered by text; null keys come first; very long texts are
@@ -29,12 +36,12 @@ shards of their own; an empty table gives no shards and no rows.
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,29 +50,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialize, partitions, scratch_path, slices, text_bytes
+from .common import map_arrow, materialize, scratch_path, text_slices
+from .pieces import Memory, byte_signs, encode_pieces, plain_words
 
 FRAME = b"LWTOKENS"
 #: Text that goes into one shard.
 SHARD_BYTES = 8 << 20
-#: A pair with fewer occurrences gets no rule.
-LEAST = 12
-#: Rounds end when one removes less than this share of the symbols.
-LEAST_GAIN = 1 / 200
-#: Pieces whose ids a worker remembers, and their longest length in characters.
-REMEMBERED, REMEMBERED_CHARS = 600_000, 64
+#: Shards in a file at most, and the text that a file is planned for.
+FILE_SHARDS, FILE_BYTES = 16, 64 << 20
+#: A rule takes 8 bytes in a shard with narrow symbols and 12 with wide ones, and each place saves 2 or 4: from so many on it pays.
+LEAST = 4
+#: Symbols between two stored sums of ids.
+MARK = 1024
+
 
-_ODD_SPACE = re.compile(r" (?:[\s\x1c-\x1f]|\Z)")
+#: A piece's bytes, read as Latin-1, to the model's characters; line ends stay, as they part the pieces.
+SIGNS = {b: c for b, c in enumerate(byte_signs()) if b != 10}
+SPACE_SIGN = SIGNS[32].encode()
 
 
 # ---------------------------------------------------------------- grammar --
 class Grammar:
-    """A compressed sequence: symbols below ``len(alphabet)`` stand for ids, the next for the rules in order."""
-
-    def __init__(self, alphabet: np.ndarray, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray):
-        self.alphabet, self.rules, self.lengths, self.symbols = alphabet, rules, lengths, symbols
-        self._flat: tuple[np.ndarray, np.ndarray] | None = None
-        self._ends: np.ndarray | None = None
+    """A compressed sequence: symbols below ``len(alphabet)`` stand for ids, the next for the rules in order.
+
+    ``expanded`` counts the symbols taken apart so far.
+    """
+
+    def __init__(self, alphabet: np.ndarray, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, marks: np.ndarray | None = None):
+        self.alphabet, self.rules, self.symbols = alphabet, rules, symbols
+        self.lengths = lengths
+        self.sizes = np.concatenate([np.ones(len(alphabet), np.int64), lengths.astype(np.int64)])
+        if marks is None:
+            own = self.sizes[symbols]
+            starts = np.arange(0, len(symbols), MARK)
+            marks = np.concatenate([[0], np.cumsum(np.add.reduceat(own, starts))]) if len(symbols) else np.zeros(1, np.int64)
+        self.marks = marks.astype(np.int64)
+        self.expanded = 0
 
     @classmethod
     def compress(cls, ids: np.ndarray, least: int = LEAST) -> Grammar:
@@ -74,96 +94,157 @@ class Grammar:
             alphabet, seq = np.flatnonzero(present).astype(ids.dtype), (np.cumsum(present) - 1)[ids]
         else:
             alphabet, seq = np.unique(ids, return_inverse=True)
-        seq, rules, size = seq.astype(np.uint32), [], len(alphabet)
-        while len(seq) > 1:
-            n = len(seq)
-            if size <= 1 << 16:
-                kind, half, step = np.uint32, 16, np.uint32(0x9E3779B1 + 2 * 0x2C1B3C6D * len(rules) & 0xFFFFFFFF)
-            else:
-                kind, half, step = np.uint64, 32, np.uint64((0x9E3779B97F4A7C15 + 2 * 0x5851F42D4C957F2D * len(rules)) % (1 << 64))
-            pair = seq[:-1].astype(kind, copy=False) << kind(half) | seq[1:]
-            place = lambda p: (p * step) >> kind(2 * half - 20)  # noqa: B023, E731  pairs in one bucket part in the next round
-            bucket = place(pair)
-            often = np.bincount(bucket.astype(np.int64), minlength=1 << 20) >= least
-            ordered = np.sort(pair[often[bucket]])
-            if not len(ordered):
-                break
-            begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            count = np.diff(np.append(begin, len(ordered)))
-            begin, count = begin[count >= least], count[count >= least]
-            if not len(begin):
-                break
-            kinds = ordered[begin][np.argsort(count, kind="stable")]  # the more frequent, the higher its rank
-            table = np.zeros(1 << 20, np.int32)
-            table[place(kinds)] = np.arange(1, len(kinds) + 1)
-            weight = table[bucket]
-            weight[np.concatenate([kinds[:1], kinds])[weight] != pair] = 0
-            # a place wins over its neighbours; in runs of one pair every second place does
-            best = weight > 0
-            best[1:] &= weight[1:] >= weight[:-1]
-            best[:-1] &= weight[:-1] >= weight[1:]
-            win = np.flatnonzero(best)
-            follows = np.zeros(len(win), bool)
-            follows[1:] = np.diff(win) == 1
-            if follows.any():
-                start = np.maximum.accumulate(np.where(follows, 0, np.arange(len(win))))
-                win = win[(np.arange(len(win)) - start) % 2 == 0]
-            own = weight[win]
-            good = np.bincount(own, minlength=len(kinds) + 1) >= least
-            good[0] = False
-            use = good[own]
-            win, own = win[use], own[use]
-            if not len(win):
-                break
-            new = kinds[good[1:]].astype(np.int64)
-            rules.append(np.stack([new >> half, new & (1 << half) - 1], 1))
-            seq[win] = size + (np.cumsum(good) - 1)[own]
-            keep = np.ones(n, bool)
-            keep[win + 1] = False
-            seq, size = seq[keep], size + len(new)
-            if len(win) < LEAST_GAIN * n:
-                break
+        pairs = _Pairs(seq.astype(np.uint32), len(alphabet), least)
+        rules = []
+        while (new := pairs.round()) is not None:
+            rules.append(new)
+        seq, size = pairs.symbols(), pairs.size
         table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
         lengths = np.ones(size, np.int64)
-        at = len(alphabet)
+        first = len(alphabet)
         for r in rules:  # a round's rules hold symbols of earlier rounds only
-            lengths[at : at + len(r)] = lengths[r].sum(1)
-            at += len(r)
+            lengths[first : first + len(r)] = lengths[r].sum(1)
+            first += len(r)
         return cls(alphabet, table, lengths[len(alphabet) :], seq)
 
-    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of every symbol's expansion, one after the other, and where each begins)."""
-        if self._flat is None:
-            parts = [(int(a),) for a in self.alphabet]
-            for left, right in self.rules.tolist():
-                parts.append(parts[left] + parts[right])
-            sizes = np.concatenate([np.ones(len(self.alphabet), np.int64), self.lengths.astype(np.int64)])
-            self._flat = np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
-        return self._flat
-
-    def ends(self) -> np.ndarray:
-        """Ids up to and including each symbol."""
-        if self._ends is None:
-            sizes = np.concatenate([np.ones(len(self.alphabet), np.int64), self.lengths.astype(np.int64)])
-            self._ends = np.cumsum(sizes[self.symbols])
-        return self._ends
-
     def __len__(self) -> int:
-        return int(self.ends()[-1]) if len(self.symbols) else 0
+        return int(self.marks[-1])
 
     def decode(self, a: int = 0, b: int | None = None) -> np.ndarray:
-        """Ids a..b; only the symbols that hold them are expanded."""
+        """Ids a..b; only symbols that hold some of them are expanded."""
         b = len(self) if b is None else min(b, len(self))
         if a >= b:
             return np.zeros(0, np.uint32)
-        first, last = np.searchsorted(self.ends(), [a, b - 1], "right")
-        flat, begin = self._expansions()
-        own = self.symbols[first : last + 1].astype(np.int64)
-        size = begin[own + 1] - begin[own]
-        done = np.cumsum(size)
-        out = flat[np.repeat(begin[own] - (done - size), size) + np.arange(done[-1])]
-        skipped = int(self.ends()[first]) - int(size[0])
-        return out[a - skipped : b - skipped]
+        first, last = np.searchsorted(self.marks, a, "right") - 1, np.searchsorted(self.marks, b, "left")
+        symbol = self.symbols[first * MARK : last * MARK].astype(np.int64)
+        size = self.sizes[symbol]
+        place = self.marks[first] + np.cumsum(size) - size
+        out, n = np.empty(b - a, np.uint32), len(self.alphabet)
+        whole = a == 0 and b == len(self)
+        while len(symbol):
+            if not whole:
+                own = (place < b) & (place + self.sizes[symbol] > a)
+                symbol, place = symbol[own], place[own]
+            leaf = symbol < n
+            out[place[leaf] - a] = self.alphabet[symbol[leaf]]
+            inner = np.flatnonzero(~leaf)
+            rule, place = symbol[inner] - n, place[inner]
+            self.expanded += len(rule)
+            left = self.rules[rule, 0].astype(np.int64)
+            symbol = np.concatenate([left, self.rules[rule, 1]])
+            place = np.concatenate([place, place + self.sizes[left]])
+        return out
+
+
+class _Pairs:
+    """Rounds of replacements on a sequence.
+
+    While most places may begin a frequent pair all are looked at, then only
+    those that may; once these are few, symbols are chained instead of moved
+    together.
+    """
+
+    def __init__(self, seq: np.ndarray, size: int, least: int):
+        self.seq, self.size, self.least = seq, size, least
+        self.at: np.ndarray | None = None  # places where a frequent pair may begin, if not all
+        self.after: np.ndarray | None = None
+        self.before: np.ndarray | None = None
+
+    def symbols(self) -> np.ndarray:
+        return self.seq if self.after is None else self.seq[self.after >= 0]
+
+    def round(self) -> np.ndarray | None:
+        """The rules for all frequent pairs that begin at one of the places, which are replaced; None at the end."""
+        seq, at = self.seq, self.at
+        if len(seq) < 2 or (at is not None and not len(at)):
+            return None
+        kind, half, odd = (np.uint32, 16, 0x9E3779B1) if self.size <= 1 << 16 else (np.uint64, 32, 0x9E3779B97F4A7C15)
+        odd = odd + 2 * self.size & (1 << 2 * half) - 1  # pairs in one bucket part in the next round
+        place_of = lambda p: (p * kind(odd)) >> kind(2 * half - 20)
+        right = None if at is None else at + 1 if self.after is None else self.after[at]
+        pair = (seq[:-1] if at is None else seq[at]).astype(kind) << kind(half)
+        pair |= (seq[1:] if at is None else seq[right]).astype(kind, copy=False)
+        ordered = np.sort(pair)
+        begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        count = np.diff(np.append(begin, len(ordered)))
+        begin, count = begin[count >= self.least], count[count >= self.least]
+        if not len(begin):
+            return None
+        kinds = ordered[begin][np.argsort(count, kind="stable")]  # the more frequent, the higher its rank
+        del ordered
+        table = np.zeros(1 << 20, np.int32)
+        table[place_of(kinds)] = np.arange(1, len(kinds) + 1)
+        weight = table[place_of(pair)]
+        maybe = weight > 0
+        weight *= np.concatenate([kinds[:1], kinds])[weight] == pair  # others share a bucket with a more frequent pair and wait
+        # a place wins over its neighbours; in runs of one pair every second place does
+        touch = True if at is None else right[:-1] == at[1:]
+        best = weight > 0
+        best[1:] &= (weight[1:] >= weight[:-1]) if at is None else ~touch | (weight[1:] >= weight[:-1])
+        best[:-1] &= (weight[:-1] >= weight[1:]) if at is None else ~touch | (weight[:-1] >= weight[1:])
+        win = _spaced(np.flatnonzero(best), touch)
+        which = weight[win]
+        good = np.bincount(which, minlength=len(kinds) + 1) >= self.least
+        good[0] = False
+        win, which = win[good[which]], which[good[which]]
+        if not len(win):
+            # all lose somewhere: the pair with the most places that do not overlap goes on alone
+            ascending = np.sort(kinds)
+            which = np.minimum(np.searchsorted(ascending, pair), len(kinds) - 1)
+            which[ascending[which] != pair] = len(kinds)
+            apart = _spaced(np.argsort(which, kind="stable"), touch, which)
+            most = np.bincount(which[apart], minlength=len(kinds) + 1)[:-1]
+            if most.max() < self.least:
+                return None
+            win = apart[which[apart] == most.argmax()]
+            which, kinds, good = np.ones(len(win), np.int64), ascending[[most.argmax()]], np.array([False, True])
+        new = kinds[good[1:]].astype(np.int64)
+        place = win if at is None else at[win]
+        seq[place] = (self.size - 1 + np.cumsum(good))[which]
+        self._join(maybe if at is None else at[maybe], place, place + 1 if at is None else right[win])
+        self.size += len(new)
+        return np.stack([new >> half, new & (1 << half) - 1], 1)
+
+    def _join(self, left: np.ndarray, place: np.ndarray, gone: np.ndarray) -> None:
+        """Take ``gone``, which follow ``place``, out; the next round looks at the places left, the new symbols and what stands before them."""
+        if self.after is not None:
+            beyond = self.after[gone]
+            self.after[place], self.before[beyond] = beyond, place
+            self.after[gone] = -1
+            near = np.concatenate([left, place, self.before[place]])
+            near = np.unique(near[near >= 0])
+            self.at = near[(self.after[near] >= 0) & (self.after[near] < len(self.seq))]
+            return
+        keep = np.ones(len(self.seq), bool)
+        keep[gone] = False
+        before = place - 1
+        before -= ~keep[before] & (before >= 0)
+        near = np.zeros(len(self.seq), bool)
+        if self.at is None:
+            near[:-1] = left  # flags
+        else:
+            near[left] = True
+        near[place], near[before[before >= 0]] = True, True
+        self.seq, near = self.seq[keep], near[keep]
+        near[-1] = False
+        n = int(np.count_nonzero(near))
+        self.at = None if 2 * n > len(self.seq) else np.flatnonzero(near)
+        if 8 * n < len(self.seq):
+            self.after, self.before = np.arange(1, len(self.seq) + 1), np.arange(-1, len(self.seq))
+
+
+def _spaced(own: np.ndarray, touch: np.ndarray | bool, which: np.ndarray | None = None) -> np.ndarray:
+    """Of numbers of places, every second one of those (of one kind) that touch: their pairs overlap."""
+    follows = np.zeros(len(own), bool)
+    follows[1:] = np.diff(own) == 1
+    if touch is not True:
+        follows[1:][follows[1:]] = touch[own[:-1][follows[1:]]]
+    if which is not None:
+        follows[1:] &= which[own[1:]] == which[own[:-1]]
+    if not follows.any():
+        return own
+    start = np.maximum.accumulate(np.where(follows, 0, np.arange(len(own))))
+    return own[(np.arange(len(own)) - start) % 2 == 0]
 
 
 class Shard:
@@ -182,21 +263,21 @@ class Shard:
             out.write_batch(batch)
         g = self.grammar
         kind = "<u2" if len(g.alphabet) + len(g.rules) <= 1 << 16 else "<u4"
-        parts = [sink.getvalue(), self.starts.astype("<u8").tobytes(), g.alphabet.astype("<u4").tobytes(), g.rules.astype(kind).tobytes(), g.lengths.astype("<u4").tobytes(), g.symbols.astype(kind).tobytes()]
-        body = struct.pack("<7Q", int(kind[2]), *map(len, parts)) + b"".join(parts)
+        parts = [sink.getvalue(), self.starts.astype("<u8").tobytes(), g.alphabet.astype("<u4").tobytes(), g.rules.astype(kind).tobytes(), g.lengths.astype("<u4").tobytes(), g.symbols.astype(kind).tobytes(), g.marks.astype("<u8").tobytes()]
+        body = struct.pack("<8Q", int(kind[2]), *map(len, parts)) + b"".join(parts)
         return FRAME + struct.pack("<Q", len(body)) + body + b"\n"
 
     @classmethod
     def from_bytes(cls, body: memoryview) -> Shard:
-        width, *sizes = struct.unpack("<7Q", body[:56])
-        at, parts = 56, []
+        width, *sizes = struct.unpack("<8Q", body[:64])
+        at, parts = 64, []
         for n in sizes:
             parts.append(body[at : at + n])
             at += n
         kind = f"<u{width}"
         keys = pa.ipc.open_stream(pa.py_buffer(parts[0])).read_all().column(0).combine_chunks()
         rules = np.frombuffer(parts[3], kind).reshape(-1, 2)
-        return cls(keys, np.frombuffer(parts[1], "<u8").astype(np.int64), Grammar(np.frombuffer(parts[2], "<u4"), rules, np.frombuffer(parts[4], "<u4"), np.frombuffer(parts[5], kind)))
+        return cls(keys, np.frombuffer(parts[1], "<u8").astype(np.int64), Grammar(np.frombuffer(parts[2], "<u4"), rules, np.frombuffer(parts[4], "<u4"), np.frombuffer(parts[5], kind), np.frombuffer(parts[6], "<u8")))
 
 
 def shards(data: memoryview) -> Iterator[Shard]:
@@ -219,63 +300,70 @@ class PieceEncoder:
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(definition)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # a byte-level token has as many characters as it stands for bytes
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str], into: dict[str, bytes], step: int = 8192) -> None:
-        """Ids of pieces that begin with a space: encoded end to end, as each has its borders in any text, and cut by their bytes."""
-        for a in range(0, len(new), step):
-            part = new[a : a + step]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            done = np.cumsum(self.bytes_of[ids])
-            ends = np.cumsum([len(p.encode()) for p in part])
-            cut = np.searchsorted(done, ends) + 1
-            if (done[cut - 1] != ends).any():
-                raise ValueError("the tokenizer does not keep the borders of pieces")
-            raw, cut = ids.tobytes(), (np.concatenate([[0], cut]) * 4).tolist()
-            for p, x, y in zip(part, cut[:-1], cut[1:], strict=True):
-                into[p] = raw[x:y]
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each followed by the end id; where each begins, and the end)."""
-        spaced: list[list[str] | None] = []
-        for t in texts:
-            spaced.append(None if _ODD_SPACE.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else [p if not i else " " + p for i, p in enumerate(t.split(" "))])
-        known = self.known
-        found = [None if p is None else list(map(known.get, p)) for p in spaced]
-        lacking = [i for i, f in enumerate(found) if f is not None and None in f]
-        new = dict.fromkeys(x for i in lacking for x, v in zip(spaced[i], found[i], strict=True) if v is None)
-        long = {p for p in new if len(p) > REMEMBERED_CHARS}
-        self._learn([p for p in new if p[:1] == " " and p not in long], known)
-        once: dict[str, bytes] = {}
-        for p in long.union(p for p in new if p[:1] != " "):
-            ids = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32).tobytes() if p else b""
-            (once if p in long else known)[p] = ids
-        for i in lacking:
-            found[i] = [v if v is not None else known[x] if x in known else once[x] for x, v in zip(spaced[i], found[i], strict=True)]
-        last, out, size = np.array([end], np.uint32).tobytes(), [], np.zeros(len(texts) + 1, np.int64)
-        for i, f in enumerate(found):
-            raw = b"".join(f) if f is not None else np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32).tobytes()
-            out += [raw, last]
-            size[i + 1] = len(raw) // 4 + 1
-        if len(known) > REMEMBERED:
-            self.known = {p: known[p] for s in spaced if s is not None for p in s if p in known}
-        return np.frombuffer(b"".join(out), np.uint32), np.cumsum(size)
-
-
-_ENCODERS: dict[int, PieceEncoder] = {}
-
-
-def _encoder(definition: str) -> PieceEncoder:
-    name = zlib.crc32(definition.encode())
-    if name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[name] = PieceEncoder(definition)
-    return _ENCODERS[name]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        parts = json.loads(definition)
+        before = parts.get("pre_tokenizer") or {}
+        plain = not parts.get("normalizer") and not parts.get("truncation") and not parts.get("padding") and (parts.get("model") or {}).get("dropout") is None
+        self.cut = bool(plain and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space"))
+        self.words = Tokenizer(self.tokenizer.model)  # the same merges for words that are cut already
+        self.words.pre_tokenizer = WhitespaceSplit()
+        self.memory = Memory()
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes], step: int = 32_768) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces.  Words and numbers need no pattern: they go to the model in one string, and its ids are cut by their bytes."""
+        plain, ascii_ = plain_words(pieces)
+        flat, size = [], np.zeros(len(pieces), np.int64)
+        order = []
+        for own in (np.flatnonzero(plain & ascii_), np.flatnonzero(plain & ~ascii_)):
+            for a in range(0, len(own), step):
+                part = [pieces[i] for i in own[a : a + step].tolist()]
+                text = b"\n".join(part)
+                text = text.replace(b" ", SPACE_SIGN).decode() if ascii_[own[a]] else text.decode("latin-1").translate(SIGNS)
+                ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                ends, done = np.cumsum(np.fromiter(map(len, part), np.int64, len(part))), np.cumsum(self.bytes_of[ids])
+                cut = np.searchsorted(done, ends)
+                if not len(done) or done[-1] != ends[-1] or (done[cut] != ends).any():
+                    raise ValueError("the tokenizer does not keep the borders of pieces")
+                flat.append(ids)
+                size[own[a : a + step]] = np.diff(cut, prepend=-1)
+            order.append(own)
+        rest = np.flatnonzero(~plain)
+        for a in range(0, len(rest), step):
+            found = self._whole([pieces[i].decode() for i in rest[a : a + step].tolist()])
+            flat.append(np.frombuffer(b"".join(found), "<u4"))
+            size[rest[a : a + step]] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        order = np.concatenate([*order, rest])
+        ids = np.concatenate([*flat, np.zeros(0, "<u4")])
+        own = size[order]
+        first = np.empty(len(pieces), np.int64)
+        first[order] = np.cumsum(own) - own
+        done = np.cumsum(size)
+        return ids[np.repeat(first - (done - size), size) + np.arange(len(ids))], size
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of concatenated texts, each followed by the end id; where each begins, and the end)."""
+        raw = data.tobytes()
+        if self.cut and not any(t in raw for t in self.added):
+            ids, begins = encode_pieces(data, offsets, self.memory, self._learn)
+        else:
+            found = []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                if self.cut and not any(t in raw[a:b] for t in self.added):
+                    found.append(encode_pieces(data[a:b], np.array([0, b - a]), self.memory, self._learn)[0])
+                else:
+                    found.append(np.frombuffer(self._whole([raw[a:b].decode()])[0], "<u4"))
+            begins = np.cumsum([0, *map(len, found)])
+            ids = np.concatenate([*found, np.zeros(0, "<u4")])
+        return np.insert(ids, begins[1:], end), begins + np.arange(len(begins))
 
 
 # ------------------------------------------------------------------ files --
@@ -285,23 +373,42 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, text: str
     with open(tokenizer_file, encoding="utf-8") as f:
         sent = spark.sparkContext.broadcast(f.read())  # a tokenizer's definition
     source = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    dealt = source.repartitionByRange(partitions(spark), "key").sortWithinPartitions("key", "text")
+    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = source.repartitionByRange(max(1, -(-total // FILE_BYTES)), "key").sortWithinPartitions("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(sent.value)
-        for batch in batches:
-            column = batch.column("text")
-            _, offsets, _ = text_bytes(column)
-            for a, b in slices(offsets, SHARD_BYTES):
-                ids, starts = enc.encode(column.slice(a, b - a).to_pylist(), end)
-                frame = Shard(batch.column("key").slice(a, b - a), starts, Grammar.compress(ids)).to_bytes()
-                yield pa.RecordBatch.from_arrays([pa.array([frame[:-1]], pa.binary())], ["value"])
+        enc = PieceEncoder(sent.value)
+        for keys, data, offsets in _gathered(batches):
+            ids, starts = enc.encode(data, offsets, end)
+            frame = Shard(keys, starts, Grammar.compress(ids)).to_bytes()
+            yield pa.RecordBatch.from_arrays([pa.array([frame[:-1]], pa.binary())], ["value"])
+
+    frames = map_arrow(dealt, run, "value binary").select(F.col("value").cast("string"))
+    frames.write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_SHARDS).text(path)
+
 
-    dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(keys, bytes of the texts, their offsets) of about ``SHARD_BYTES`` each, across batches."""
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def joined() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        lengths = np.concatenate([np.diff(o) for _, _, o in held])
+        return pa.concat_arrays([k for k, _, _ in held]), np.concatenate([d for _, d, _ in held]), np.concatenate([[0], np.cumsum(lengths)])
+
+    for batch in batches:
+        for a, b, data, offsets in text_slices(batch, "text", SHARD_BYTES):
+            if held and size + len(data) > SHARD_BYTES:
+                yield joined()
+                held, size = [], 0
+            held.append((batch.column("key").slice(a, b - a), data, offsets))
+            size += len(data)
+    if held:
+        yield joined()
 
 
 def read_token_files(spark: SparkSession, path: str, key_type: T.DataType) -> DataFrame:
-    """(file, key, first, n_tokens, ids_crc32, ids) of every document; ``first`` counts within the file. Files' names ascend with the keys."""
+    """(file, key, first, n_tokens, ids_crc32, ids) of every document; ``first`` counts within the file. Files ascend with the keys by :func:`file_order`."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("key", key_type), T.StructField("first", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     arrow_key = to_arrow_type(key_type)
@@ -317,13 +424,21 @@ def read_token_files(spark: SparkSession, path: str, key_type: T.DataType) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), s.keys.cast(arrow_key), pa.array(before + s.starts[:-1]), pa.array(np.diff(s.starts)), pa.array(sums, pa.int64()), lists], schema.names)
                     before += int(s.starts[-1])
 
-    return files.mapInArrow(run, schema)
+    return map_arrow(files, run, schema)
+
+
+def file_order(name: str) -> tuple[int, int]:
+    """A file's place: its partition's number, and its number among the partition's files."""
+    partition, _, rest = name.removeprefix("part-").partition("-")
+    number = re.search(r"-c(\d+)", rest)
+    return int(partition), int(number.group(1)) if number else 0
 
 
 def documents_in_files(spark: SparkSession, path: str, key_type: T.DataType) -> DataFrame:
     """(key, start, n_tokens, ids_crc32): ``start`` counts the ids of all documents before, in all files."""
     rows = materialize(read_token_files(spark, path, key_type).drop("ids"), "token-files")
-    totals = sorted((r["file"], r["n"]) for r in rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect())  # one row per file
+    found = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()  # one row per file of some 64 MiB of text
+    totals = sorted(((r["file"], r["n"]) for r in found), key=lambda x: file_order(x[0]))
     before, at = [], 0
     for name, n in totals:
         before.append((name, at))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, scratch_path, whole_groups
+from .common import map_arrow, materialize, scratch_path, whole_groups
 
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 100
@@ -148,7 +148,7 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
                 out.append(member(record)[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    rows = dealt.select("key", "url", "payload", "digest", "first", "first_url").mapInArrow(run, "value binary")
+    rows = map_arrow(dealt.select("key", "url", "payload", "digest", "first", "first_url"), run, "value binary")
     rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
     _rename(pages.sparkSession, path)
 
@@ -199,7 +199,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                 rows.sort(key=sort_key)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names)
 
-    return files.mapInArrow(run, CAPTURE)
+    return map_arrow(files, run, CAPTURE)
 
 
 def sort_key(row: tuple) -> tuple:
@@ -282,8 +282,8 @@ def merge_index(captures: DataFrame) -> DataFrame:
 
     schema = T.StructType([*captures.schema.fields, T.StructField("range", T.IntegerType())])
     placed = T.StructType([*schema.fields, T.StructField("position", T.LongType())])
-    parts = captures.mapInArrow(assign, schema).repartition(ranges, "range").sortWithinPartitions("range", "archive", "url_key", "captured", F.coalesce("key", F.lit(-1)), "offset")
-    return parts.mapInArrow(merge, placed)
+    parts = map_arrow(captures, assign, schema).repartition(ranges, "range").sortWithinPartitions("range", "archive", "url_key", "captured", F.coalesce("key", F.lit(-1)), "offset")
+    return map_arrow(parts, merge, placed)
 
 
 def capture_histories(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
