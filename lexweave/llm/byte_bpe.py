@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, slices, text_slices
+from .common import map_arrow, slices, text_bytes, text_slices
 from .pieces import PATTERN, Memory, encode_pieces, plain_words
 
 #: Neighbour pairs that a worker remembers (about 100 bytes each).
@@ -177,23 +177,23 @@ class Encoder:
                 raise ValueError("a byte has no token")
         return out
 
-    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        out, size = array("i"), np.zeros(len(pieces), np.int64)
-        plain, _ = plain_words(pieces)
-        for i, (piece, one) in enumerate(zip(pieces, plain.tolist(), strict=True)):
-            before = len(out)
-            if one:
-                out.extend(self.encode_bytes(piece))
-            else:
-                for m in self.find(piece.decode()):
-                    out.extend(self.encode_bytes(m.encode()))
-            size[i] = len(out) - before
-        return np.array(out, "<u4"), size
+    def _learn(self, pieces: pa.BinaryArray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets, _ = text_bytes(pieces)
+        out, known = [], self.memory.known
+        for piece, plain, often in zip(pieces.to_pylist(), plain_words(data, offsets).tolist(), (places > 1).tolist(), strict=True):
+            ids = known.get(piece)
+            if ids is None:
+                found = self.encode_bytes(piece) if plain else [i for m in self.find(piece.decode()) for i in self.encode_bytes(m.encode())]
+                ids = array("i", found).tobytes()
+                if often:  # what recurs in a window may do so in the next
+                    self.memory.put(piece, ids)
+            out.append(ids)
+        return np.frombuffer(b"".join(out), "<u4"), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
     def encode_texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of concatenated texts, where each text's begin, and the end)."""
         if self.cut:
-            ids, begins = encode_pieces(data, offsets, self.memory, self._learn)
+            ids, begins = encode_pieces(data, offsets, self._learn)
             return ids.view("<i4"), begins
         out, begins = array("i"), [0]
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):

@@ -116,40 +116,22 @@ class Memory:
         self.known[piece] = ids
 
 
-#: Gives (ids of all pieces, how many each has).
-Learn = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+#: Of distinct pieces and the places of each: (ids of all pieces, how many each has).
+Learn = Callable[[pa.BinaryArray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def encode_pieces(data: np.ndarray, offsets: np.ndarray, memory: Memory, learn: Learn) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, where each text's begin, and the end); ``learn`` encodes pieces that are not remembered.
-
-    Only pieces that recur within a window are remembered for the next ones.
-    """
+def encode_pieces(data: np.ndarray, offsets: np.ndarray, learn: Learn) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, where each text's begin, and the end)."""
     found, begins, total = [], np.zeros(len(offsets), np.int64), 0
     for pos, starts in windows(data, offsets):
         end = pos + int(starts[-1])
         pieces = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(np.ascontiguousarray(data[pos:end]))]).dictionary_encode()
-        distinct, at = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
-        del pieces
-        ids = list(map(memory.known.get, distinct))
-        new = np.array([i for i, x in enumerate(ids) if x is None], np.int64)
-        old = [x for x in ids if x is not None]
-        flat, learnt = learn([distinct[i] for i in new.tolist()])
-        size, first = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
-        size[new], first[new] = learnt, np.cumsum(learnt) - learnt
-        if old:
-            seen = np.ones(len(ids), bool)
-            seen[new] = False
-            own = np.fromiter(map(len, old), np.int64, len(old)) // 4
-            size[seen], first[seen] = own, len(flat) + np.cumsum(own) - own
-            flat = np.concatenate([flat, np.frombuffer(b"".join(old), "<u4")])
-        raw, often = memoryview(np.ascontiguousarray(flat, "<u4")).cast("B"), new[np.bincount(at, minlength=len(ids))[new] > 1]
-        for i, x, n in zip(often.tolist(), (first[often] * 4).tolist(), (size[often] * 4).tolist(), strict=True):
-            memory.put(distinct[i], bytes(raw[x : x + n]))
+        at = pieces.indices.to_numpy()
+        flat, size = learn(pieces.dictionary, np.bincount(at, minlength=len(pieces.dictionary)))
         own = size[at]
         done = np.zeros(len(at) + 1, np.int64)
         np.cumsum(own, out=done[1:])
-        found.append(flat[np.repeat(first[at] - done[:-1], own) + np.arange(done[-1])])
+        found.append(flat[np.repeat((np.cumsum(size) - size)[at] - done[:-1], own) + np.arange(done[-1])])
         inside = slice(np.searchsorted(offsets, pos), np.searchsorted(offsets, end))
         begins[inside] = total + done[np.searchsorted(starts, offsets[inside] - pos)]
         total += int(done[-1])
@@ -157,16 +139,29 @@ def encode_pieces(data: np.ndarray, offsets: np.ndarray, memory: Memory, learn:
     return (found[0] if len(found) == 1 else np.concatenate([*found, np.zeros(0, "<u4")])), begins
 
 
-def plain_words(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Flags: pieces that are one match of the pattern (letters, or digits, after a space or not), and those of ASCII characters alone."""
-    if not pieces:
-        return np.zeros(0, bool), np.zeros(0, bool)
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    first = np.cumsum(size) - size
+def plain_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Flags of pieces, none of them empty, that are one match of the pattern: letters, or digits, after a space or not."""
+    first = offsets[:-1]
+    if not len(first):
+        return np.zeros(0, bool)
     kind = classes(data)
-    # a piece that ends within a character never joins with the next one's bytes: pieces hold whole characters
-    spaced = (kind[first] == 1) & (size > 1)
+    spaced = (kind[first] == 1) & (np.diff(offsets) > 1)
     kind[first[spaced]] = kind[first[spaced] + 1]
-    low, high = np.minimum.reduceat(kind, first), np.maximum.reduceat(kind, first)
-    return (low == high) & ((low == 3) | (low == 4)), np.maximum.reduceat(data, first) < 128
+    low = np.minimum.reduceat(kind, first)
+    return (low == np.maximum.reduceat(kind, first)) & ((low == 3) | (low == 4))
+
+
+_SIGNS = [c.encode() for c in byte_signs()]
+_WIDTH = np.array([len(c) for c in _SIGNS], np.int64)
+_FIRST, _SECOND = np.array([c[0] for c in _SIGNS], np.uint8), np.array([c[-1] for c in _SIGNS], np.uint8)
+
+
+def in_signs(data: np.ndarray, offsets: np.ndarray) -> str:
+    """The pieces in the characters that byte-level models use, each before a line end."""
+    width = _WIDTH[data]
+    at = np.cumsum(width) - width + np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    out = np.full(int(width.sum()) + len(offsets) - 1, 10, np.uint8)
+    out[at] = _FIRST[data]
+    two = np.flatnonzero(width == 2)
+    out[at[two] + 1] = _SECOND[data[two]]
+    return out.tobytes().decode()

@@ -50,25 +50,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_arrow, materialize, scratch_path, text_slices
-from .pieces import Memory, byte_signs, encode_pieces, plain_words
+from .common import map_arrow, materialize, scratch_path, text_bytes, text_slices
+from .pieces import encode_pieces, in_signs, plain_words
 
 FRAME = b"LWTOKENS"
 #: Text that goes into one shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Shards in a file at most, and the text that a file is planned for.
-FILE_SHARDS, FILE_BYTES = 16, 64 << 20
+FILE_SHARDS, FILE_BYTES = 16, 32 << 20
 #: A rule takes 8 bytes in a shard with narrow symbols and 12 with wide ones, and each place saves 2 or 4: from so many on it pays.
 LEAST = 4
 #: Symbols between two stored sums of ids.
 MARK = 1024
 
 
-#: A piece's bytes, read as Latin-1, to the model's characters; line ends stay, as they part the pieces.
-SIGNS = {b: c for b, c in enumerate(byte_signs()) if b != 10}
-SPACE_SIGN = SIGNS[32].encode()
-
-
 # ---------------------------------------------------------------- grammar --
 class Grammar:
     """A compressed sequence: symbols below ``len(alphabet)`` stand for ids, the next for the rules in order.
@@ -295,7 +290,7 @@ def shards(data: memoryview) -> Iterator[Shard]:
 
 # --------------------------------------------------------------- encoding --
 class PieceEncoder:
-    """A tokenizer with a memory of the ids of pieces."""
+    """A tokenizer that encodes each distinct piece of a shard once."""
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -313,52 +308,51 @@ class PieceEncoder:
         self.cut = bool(plain and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space"))
         self.words = Tokenizer(self.tokenizer.model)  # the same merges for words that are cut already
         self.words.pre_tokenizer = WhitespaceSplit()
-        self.memory = Memory()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[bytes], step: int = 32_768) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, pieces: pa.BinaryArray, places: np.ndarray, step: int = 32_768) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces.  Words and numbers need no pattern: they go to the model in one string, and its ids are cut by their bytes."""
-        plain, ascii_ = plain_words(pieces)
+        data, offsets, _ = text_bytes(pieces)
+        plain = plain_words(data, offsets)
         flat, size = [], np.zeros(len(pieces), np.int64)
-        order = []
-        for own in (np.flatnonzero(plain & ascii_), np.flatnonzero(plain & ~ascii_)):
-            for a in range(0, len(own), step):
-                part = [pieces[i] for i in own[a : a + step].tolist()]
-                text = b"\n".join(part)
-                text = text.replace(b" ", SPACE_SIGN).decode() if ascii_[own[a]] else text.decode("latin-1").translate(SIGNS)
-                ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-                ends, done = np.cumsum(np.fromiter(map(len, part), np.int64, len(part))), np.cumsum(self.bytes_of[ids])
-                cut = np.searchsorted(done, ends)
-                if not len(done) or done[-1] != ends[-1] or (done[cut] != ends).any():
-                    raise ValueError("the tokenizer does not keep the borders of pieces")
-                flat.append(ids)
-                size[own[a : a + step]] = np.diff(cut, prepend=-1)
-            order.append(own)
+        own, length = np.flatnonzero(plain), np.diff(offsets)
+        words = data[np.repeat(plain, length)]
+        bounds = np.concatenate([[0], np.cumsum(length[own])])
+        for a in range(0, len(own), step):
+            part = bounds[a : a + step + 1]
+            ids = self.words.encode_batch_fast([in_signs(words[part[0] : part[-1]], part - part[0])], add_special_tokens=False)[0].ids
+            ids, ends = np.array(ids, "<u4"), part[1:] - part[0]
+            done = np.cumsum(self.bytes_of[ids])
+            cut = np.searchsorted(done, ends)
+            if not len(done) or done[-1] != ends[-1] or (done[cut] != ends).any():
+                raise ValueError("the tokenizer does not keep the borders of pieces")
+            flat.append(ids)
+            size[own[a : a + step]] = np.diff(cut, prepend=-1)
         rest = np.flatnonzero(~plain)
         for a in range(0, len(rest), step):
-            found = self._whole([pieces[i].decode() for i in rest[a : a + step].tolist()])
+            found = self._whole([p.decode() for p in pieces.take(pa.array(rest[a : a + step])).to_pylist()])
             flat.append(np.frombuffer(b"".join(found), "<u4"))
             size[rest[a : a + step]] = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        order = np.concatenate([*order, rest])
         ids = np.concatenate([*flat, np.zeros(0, "<u4")])
-        own = size[order]
+        if not len(rest):
+            return ids, size
+        order = np.concatenate([own, rest])
         first = np.empty(len(pieces), np.int64)
-        first[order] = np.cumsum(own) - own
-        done = np.cumsum(size)
-        return ids[np.repeat(first - (done - size), size) + np.arange(len(ids))], size
+        first[order] = np.cumsum(size[order]) - size[order]
+        return ids[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(len(ids))], size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of concatenated texts, each followed by the end id; where each begins, and the end)."""
         raw = data.tobytes()
         if self.cut and not any(t in raw for t in self.added):
-            ids, begins = encode_pieces(data, offsets, self.memory, self._learn)
+            ids, begins = encode_pieces(data, offsets, self._learn)
         else:
             found = []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 if self.cut and not any(t in raw[a:b] for t in self.added):
-                    found.append(encode_pieces(data[a:b], np.array([0, b - a]), self.memory, self._learn)[0])
+                    found.append(encode_pieces(data[a:b], np.array([0, b - a]), self._learn)[0])
                 else:
                     found.append(np.frombuffer(self._whole([raw[a:b].decode()])[0], "<u4"))
             begins = np.cumsum([0, *map(len, found)])
