@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder of ``spark.checkpoint.dir``; in a temporary one only where that is unset."""
-    sc = df.sparkSession.sparkContext
+    """Checkpoint in the folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, local mode takes a folder in the warehouse; a cluster
+    must name one, as a folder of the driver's machine is not its executors'.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="lexweave-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lexweave_checkpoints")
     return df.checkpoint()

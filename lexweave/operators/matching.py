@@ -40,26 +40,13 @@ def collisions(reps: DataFrame, key: Callable[[str], Column]) -> DataFrame:
     return reps.withColumn("key", key("rep_name")).groupBy("key").agg(F.count_distinct("canonical_id").alias("targets")).filter("targets > 1")
 
 
-#: Queries of at most this many go to all executors; the rest take further passes.
-QUERY_BLOCK = 5_000
+def score_listed(queries: DataFrame, reps: DataFrame, lists: DataFrame, scorer: Callable[[str, str], Column]) -> DataFrame:
+    """(query_id, canonical_id, rep_id, is_alias, score) of every query with the names of the canonicals listed for it, but its own alias.
 
-
-def score_pairs(queries: DataFrame, reps: DataFrame, scorer: Callable[[str, str], Column], prepare: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(query_id, canonical_id, rep_id, is_alias, score) of every query with every representation but its own alias.
-
-    The query set is a sample; it streams past the representations in blocks of
-    ``QUERY_BLOCK`` rows. ``prepare`` runs once per text, not once per pair.
+    For whole catalogues see :mod:`lexweave.operators.scoring`.
     """
-    prep = prepare or (lambda c: c)
-    q = queries.select("query_id", prep(F.col("query_name")).alias("query_text"))
-    r = reps.select("rep_id", "canonical_id", "is_alias", prep(F.col("rep_name")).alias("rep_text"))
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
-    out = None
-    for b in range(blocks):
-        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = r.join(F.broadcast(part), not_itself()).select("query_id", "canonical_id", "rep_id", "is_alias", scorer("query_text", "rep_text").alias("score"))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    pairs = lists.select("query_id", "canonical_id").join(queries.select("query_id", "query_name"), "query_id").join(reps, "canonical_id").filter(not_itself())
+    return pairs.select("query_id", "canonical_id", "rep_id", "is_alias", scorer("query_name", "rep_name").alias("score"))
 
 
 def max_pool(scores: DataFrame) -> DataFrame:

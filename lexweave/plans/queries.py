@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..functions.hashing import group_split, hash_order
-from ..operators import audit, decisions, matching, metrics, pages, profiles, retrieval, review, sampling, snapshot
+from ..functions.scratch import cut
+from ..operators import audit, decisions, matching, metrics, pages, profiles, retrieval, review, sampling, scoring, snapshot
 from ..sources import tables as src
 from .views import CAP, SAMPLE, SEED, Host, table
 
@@ -175,33 +176,30 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("score", F.round(F.col("score").cast("double"), 6))
 
 
-def _trigram(h: Host, reps: DataFrame) -> DataFrame:
-    return matching.max_pool(matching.score_pairs(h.queries, reps, lambda a, b: tx.set_similarity(F.col(a), F.col(b)), tx.trigrams))
+def _top(h: Host, reps: DataFrame, scorer: str = "similarity") -> DataFrame:
+    """The ten best canonicals of every query."""
+    return matching.top_k(matching.max_pool(scoring.best_matches(h.queries, reps, scorer)))
 
 
 @query
 def trigram_topk_names(h: Host) -> DataFrame:
-    return _rounded(matching.top_k(_trigram(h, h.names)))
+    return _rounded(_top(h, h.names))
 
 
 @query
 def trigram_topk_alias_max(h: Host) -> DataFrame:
-    return _rounded(matching.top_k(_trigram(h, h.names_and_aliases)))
+    return _rounded(_top(h, h.names_and_aliases))
 
 
 @query
 def trigram_full_rank(h: Host) -> DataFrame:
-    r = matching.full_rank(_trigram(h, h.names), h.queries)
+    r = _trigram_ranks(h, h.names)
     return r.withColumn("expected_score", F.round(F.col("expected_score").cast("double"), 6))
 
 
-def _scored(h: Host, scorer: str) -> DataFrame:
-    return matching.max_pool(matching.score_pairs(h.queries, h.names, tx.SCORERS[scorer]))
-
-
 @query
 def levenshtein_topk(h: Host) -> DataFrame:
-    return _rounded(matching.top_k(_scored(h, "levenshtein")))
+    return _rounded(_top(h, h.names, "levenshtein"))
 
 
 @query
@@ -218,17 +216,17 @@ def equality_diagnostics(h: Host) -> DataFrame:
 
 @query
 def word_similarity_topk(h: Host) -> DataFrame:
-    return _rounded(matching.top_k(_scored(h, "word_similarity")))
+    return _rounded(_top(h, h.names, "word_similarity"))
 
 
 @query
 def strict_word_similarity_topk(h: Host) -> DataFrame:
-    return _rounded(matching.top_k(_scored(h, "strict_word_similarity")))
+    return _rounded(_top(h, h.names, "strict_word_similarity"))
 
 
 @query
 def wratio_topk(h: Host) -> DataFrame:
-    return _rounded(matching.top_k(_scored(h, "wratio")))
+    return _rounded(_top(h, h.names, "wratio"))
 
 
 @query
@@ -308,7 +306,7 @@ def macro_recall(h: Host) -> DataFrame:
 
 
 def _trigram_ranks(h: Host, reps: DataFrame) -> DataFrame:
-    return matching.full_rank(_trigram(h, reps), h.queries)
+    return scoring.expected_ranks(h.queries, reps, "similarity")
 
 
 @query
@@ -338,24 +336,23 @@ def group_bootstrap_ci(h: Host) -> DataFrame:
 
 @query
 def membership_recheck(h: Host) -> DataFrame:
-    pooled = _trigram(h, h.names)
-    return metrics.membership_recheck(matching.full_rank(pooled, h.queries), matching.top_k(pooled))
+    return metrics.membership_recheck(_trigram_ranks(h, h.names), _top(h, h.names))
 
 
 @query
 def rank_order_check(h: Host) -> DataFrame:
-    return matching.order_violations(matching.top_k(_trigram(h, h.names))).agg(F.count("*").alias("violations"))
+    return matching.order_violations(_top(h, h.names)).agg(F.count("*").alias("violations"))
 
 
 @query
 def candidate_union(h: Host) -> DataFrame:
-    u = matching.candidate_union(matching.top_k(_trigram(h, h.names)), matching.top_k(_scored(h, "levenshtein")), matching.top_k(_trigram(h, h.names_and_aliases)))
+    u = matching.candidate_union(_top(h, h.names), _top(h, h.names, "levenshtein"), _top(h, h.names_and_aliases))
     return u.select("query_id", F.array_join(F.transform("candidates", lambda x: x.cast("string")), ",").alias("candidates"))
 
 
 @query
 def fused_ranking(h: Host) -> DataFrame:
-    return _nine(matching.reciprocal_rank_fusion(matching.top_k(_trigram(h, h.names)), matching.top_k(_scored(h, "levenshtein"))), "score")
+    return _nine(matching.reciprocal_rank_fusion(_top(h, h.names), _top(h, h.names, "levenshtein")), "score")
 
 
 # --------------------------------------------------------------- profiles --
@@ -466,7 +463,7 @@ def profile_invariants(h: Host) -> DataFrame:
 # -------------------------------------------------------------- decisions --
 def _cases(h: Host) -> DataFrame:
     """Shortlists of ten with an answer, and decisions drawn by hash: abstain, take the first, or take another."""
-    lists = matching.top_k(_trigram(h, h.names)).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))), lambda x: x["canonical_id"]).alias("top_ids"))
+    lists = _top(h, h.names).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))), lambda x: x["canonical_id"]).alias("top_ids"))
     c = lists.join(h.queries.select("query_id", F.col("canonical_id").alias("answer")), "query_id")
     pick = (F.conv(F.substring(hash_order(SEED + ":decision", "query_id"), 1, 4), 16, 10).cast("int") % 4).alias("pick")
     c = c.withColumn("pick", pick)
@@ -476,9 +473,8 @@ def _cases(h: Host) -> DataFrame:
 
 @query
 def shortlist_rerank(h: Host) -> DataFrame:
-    top = matching.top_k(_trigram(h, h.names))
-    reps = matching.score_pairs(h.queries, h.names_and_aliases, tx.SCORERS["levenshtein"])
-    return decisions.rerank(top, reps.join(top.select("query_id", "canonical_id"), ["query_id", "canonical_id"], "left_semi"))
+    top = cut(_top(h, h.names))
+    return decisions.rerank(top, matching.score_listed(h.queries, h.names_and_aliases, top, tx.SCORERS["levenshtein"]))
 
 
 @query
@@ -535,8 +531,8 @@ def review_validate(h: Host) -> DataFrame:
 @query
 def review_shortlist_recall(h: Host) -> DataFrame:
     cases, j, _ = _reviewed(h)
-    lists = lambda df, m: matching.top_k(df).groupBy(F.col("query_id").alias("source_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))), lambda x: x["canonical_id"]).alias("top_ids")).withColumn("method", F.lit(m))
-    tops = lists(_trigram(h, h.names), "trigram").unionByName(lists(_scored(h, "levenshtein"), "levenshtein"))
+    lists = lambda df, m: df.groupBy(F.col("query_id").alias("source_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))), lambda x: x["canonical_id"]).alias("top_ids")).withColumn("method", F.lit(m))
+    tops = lists(_top(h, h.names), "trigram").unionByName(lists(_top(h, h.names, "levenshtein"), "levenshtein"))
     r = review.shortlist_recall(cases, j, tops)
     return _nine(r, "recall_1", "recall_3", "recall_5", "recall_10")
 

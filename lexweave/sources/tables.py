@@ -18,18 +18,18 @@ TAGS = "id BIGINT, type STRING, name STRING, canonical STRING, cached_count BIGI
 WORKS = "creation_date STRING, language STRING, restricted STRING, complete STRING, word_count STRING, tags STRING, tail STRING"
 
 
-def _csv(spark: SparkSession, path: str, schema: str, header: list[str], **options) -> DataFrame:
-    """A CSV file with doubled quotes and line feeds in fields, whose header must be as given."""
+def _csv(spark: SparkSession, path: str, schema: str, header: list[str], one_line: bool = False) -> DataFrame:
+    """A CSV file with doubled quotes whose header must be as given; line feeds in fields make a file one task's, unless there are none."""
     first = spark.read.text(path).first()
     names = [x.strip().strip('"') for x in (first[0] if first else "").lstrip("﻿").split(",")]
     if names[: len(header)] != header or any(names[len(header) :]):
         raise ValueError(f"unexpected header: {names}")
-    return spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=True, enforceSchema=True, mode="FAILFAST", **options).csv(path)
+    return spark.read.schema(schema).options(header=True, quote='"', escape='"', multiLine=not one_line, enforceSchema=True, mode="FAILFAST").csv(path)
 
 
-def read_tags(spark: SparkSession, path: str) -> DataFrame:
-    """The tag dump; a malformed row is an error when it is read."""
-    raw = _csv(spark, path, TAGS, ["id", "type", "name", "canonical", "cached_count", "merger_id"])
+def read_tags(spark: SparkSession, path: str, one_line: bool = False) -> DataFrame:
+    """The tag dump; a malformed row is an error when it is read.  With ``one_line`` (no line feeds in names) a file is split over tasks."""
+    raw = _csv(spark, path, TAGS, ["id", "type", "name", "canonical", "cached_count", "merger_id"], one_line)
     link = F.col("merger_id").try_cast("bigint")
     bad = (F.coalesce(F.col("id"), F.lit(0)) <= 0) | ~F.coalesce(F.col("canonical").isin("true", "false"), F.lit(False)) | F.col("cached_count").isNull() | (F.col("merger_id").isNotNull() & F.coalesce(link <= 0, F.lit(True)))
     checked = raw.withColumn("id", F.when(bad, F.raise_error(F.lit("malformed tag row")).cast("bigint")).otherwise(F.col("id")))
@@ -62,11 +62,23 @@ def read_xml_tags(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str, items: str) -> DataFrame:
-    """Items of cached response pages ({"items": [...], "has_more": ...}); the last page must say that it is the last."""
-    pages = spark.read.schema(f"items ARRAY<STRUCT<{items}>>, has_more BOOLEAN, quota_remaining BIGINT").option("multiLine", True).json(path)
-    if pages.agg(F.count_if(~F.coalesce("has_more", F.lit(False)))).first()[0] != 1:
-        raise ValueError("the cached pages are incomplete")
-    return pages.select(F.inline("items"))
+    """Items of cached response pages ({"items": [...], "has_more": ..., "quota_remaining": ...}), with ``page`` and ``place``.
+
+    The pages' numbers, at the end of their files' names, must follow each other
+    from 1 on without a gap, only the last may say that it is the last, and the
+    quota, where it is given, must not rise from page to page.
+    """
+    number = F.regexp_extract(F.input_file_name(), r"(\d+)\.json(?:\.gz)?$", 1).cast("bigint")
+    pages = spark.read.schema(f"items ARRAY<STRUCT<{items}>>, has_more BOOLEAN, quota_remaining BIGINT").option("multiLine", True).json(path).withColumn("page", number)
+    last = ~F.coalesce("has_more", F.lit(False))
+    found = pages.agg(F.count("*").alias("n"), F.min("page").alias("lo"), F.max("page").alias("hi"), F.count_distinct("page").alias("d"), F.count_if(last).alias("ends"), F.max(F.when(last, F.col("page"))).alias("end")).first()
+    if found["ends"] != 1 or (found["lo"], found["d"], found["hi"], found["end"]) != (1, found["n"], found["n"], found["n"]):
+        raise ValueError("the cached pages are incomplete or out of order")
+    given = pages.filter("quota_remaining IS NOT NULL").select("page", "quota_remaining")
+    before = given.select((F.col("page") + 1).alias("page"), F.col("quota_remaining").alias("before"))
+    if not given.join(before, "page").filter("quota_remaining > before").isEmpty():
+        raise ValueError("the quota rises: pages of several runs are mixed")
+    return pages.select("page", F.posexplode("items").alias("place", "item")).select("item.*", "page", "place")
 
 
 # ---------------------------------------------------------------- vectors --
@@ -101,6 +113,12 @@ def check_indices(responses: DataFrame, expected: int, index: str = "index") ->
         raise ValueError("missing or repeated indices")
 
 
+def by_index(responses: DataFrame, requests: DataFrame, expected: int, index: str = "index") -> DataFrame:
+    """``requests`` with the rest of the response that names their index, whatever order responses came in; each index answers once."""
+    check_indices(responses, expected, index)
+    return requests.join(responses, index)
+
+
 def plan_batches(texts: DataFrame, order: str, text: str, most: int = 512, most_bytes: int = 280_000) -> DataFrame:
     """Adds ``batch``: contiguous batches in order, each within both bounds; a larger text is an error.
 
@@ -142,6 +160,36 @@ def write_table(df: DataFrame, path: str, format: str = "parquet", **options) ->
     df.write.mode("overwrite").options(**(defaults | options)).format(format).save(path)
 
 
+def write_counted(df: DataFrame, path: str, format: str = "csv", **options) -> dict[str, object]:
+    """Write, and say what was written: rows, files, bytes, and a digest of the files' digests in the order of their names."""
+    spark = df.sparkSession
+    write_table(df, path, format, **options)
+    back = spark.read.schema(df.schema)
+    rows = (back.options(header=True, quote='"', escape='"', multiLine=True).csv(path) if format == "csv" else back.format(format).load(path)).count()
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda x: x["sha256"]), "")
+    found = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.sha2(each.cast("binary"), 256).alias("sha256")).first()  # one digest a file
+    return {"rows": rows, **found.asDict()}
+
+
+def write_rankings(df: DataFrame, path: str, about: dict[str, object]) -> dict[str, object]:
+    """Rankings as gzipped JSON lines, and beside them ``<path>.meta``: what they are and what was written."""
+    spark = df.sparkSession
+    written = write_counted(df, path, "json")
+    line = json.dumps({"about": about, "written": written}, sort_keys=True, ensure_ascii=False)
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.meta")
+    return written
+
+
+def read_rankings(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, dict[str, object]]:
+    """Rankings and what they are; an error if the number of rows is not the one that was written."""
+    meta = json.loads(spark.read.text(f"{path}.meta").first()[0])
+    rows = spark.read.schema(schema).json(path)
+    if rows.count() != meta["written"]["rows"]:
+        raise ValueError("the rankings are not those that were written")
+    return rows, meta["about"]
+
+
 def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -172,25 +220,40 @@ def write_json(path: str | Path, value: object) -> None:
     os.replace(name, path)
 
 
-def save_checkpoint(path: str | Path, recipe: object, result: object) -> None:
-    write_json(path, {"recipe_sha256": fingerprint(recipe), "result_sha256": fingerprint(result), "result": result})
-
-
-def read_checkpoint(path: str | Path, recipe: object) -> object:
-    """The stored result; an error if the recipe is another or the file was changed."""
-    stored = json.loads(Path(path).read_text(encoding="utf-8"))
-    if stored["recipe_sha256"] != fingerprint(recipe) or stored["result_sha256"] != fingerprint(stored["result"]):
-        raise ValueError("the checkpoint does not belong to this recipe or was changed")
-    return stored["result"]
-
-
-def freeze(path: str | Path, value: object) -> None:
-    """Write once; another value later is an error."""
-    if Path(path).exists():
-        if fingerprint(json.loads(Path(path).read_text(encoding="utf-8"))) != fingerprint(value):
-            raise ValueError("the frozen file holds something else")
-        return
-    write_json(path, value)
+class VerifiedStore:
+    """A JSON file for one result that can prove what it was made from and that nobody has changed it."""
+
+    #: Names of the file's parts.
+    MADE_FROM, DIGEST, RESULT = "recipe_sha256", "result_sha256", "result"
+
+    def __init__(self, path: str | Path):
+        self.path = Path(path)
+
+    def _envelope(self, recipe: object, result: object) -> dict[str, object]:
+        return {self.MADE_FROM: fingerprint(recipe), self.DIGEST: fingerprint(result), self.RESULT: result}
+
+    def put(self, recipe: object, result: object) -> None:
+        write_json(self.path, self._envelope(recipe, result))
+
+    def get(self, recipe: object) -> object:
+        """The result, if the file is what ``put`` would write for it and this recipe; an error otherwise."""
+        with self.path.open(encoding="utf-8") as f:
+            held = json.load(f)
+        result = held.get(self.RESULT)
+        if held != self._envelope(recipe, result):
+            raise ValueError(f"{self.path.name} was made from something else, or changed")
+        return result
+
+    def put_once(self, value: object) -> None:
+        """Write a bare value that stays: the same again is nothing new, another one an error."""
+        try:
+            with self.path.open(encoding="utf-8") as f:
+                same = fingerprint(json.load(f)) == fingerprint(value)
+        except FileNotFoundError:
+            write_json(self.path, value)
+            return
+        if not same:
+            raise ValueError(f"{self.path.name} holds another value already")
 
 
 def cache_folder(root: str | Path, recipe: object) -> Path:

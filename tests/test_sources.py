@@ -38,7 +38,35 @@ def test_xml_and_pages(spark, tmp_path):
     with pytest.raises(ValueError):
         src.read_pages(spark, str(d), "name: STRING")
     (d / "2.json").write_text('{"items": [{"name": "y"}], "has_more": false}')
-    assert sorted(r[0] for r in src.read_pages(spark, str(d), "name: STRING").collect()) == ["x", "y"]
+    assert sorted(map(tuple, src.read_pages(spark, str(d), "name: STRING").collect())) == [("x", 1, 0), ("y", 2, 0)]
+    (d / "4.json").write_text('{"items": [], "has_more": true}')
+    with pytest.raises(ValueError, match="out of order"):
+        src.read_pages(spark, str(d), "name: STRING")
+    (d / "4.json").unlink()
+    for k, quota in ((1, 5), (2, 6)):
+        (d / f"{k}.json").write_text('{"items": [{"name": "x"}], "has_more": %s, "quota_remaining": %d}' % ("true" if k == 1 else "false", quota))
+    with pytest.raises(ValueError, match="quota"):
+        src.read_pages(spark, str(d), "name: STRING")
+
+
+def test_counted_sinks_and_rankings(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f'a "{i}"\nb', i % 2 == 0) for i in range(50)], "i long, s string, t boolean").repartition(3)
+    found = src.write_counted(rows, f"file://{tmp_path}/c")
+    assert found["rows"] == 50 and found["files"] == 3 and found["bytes"] == sum(f.stat().st_size for f in (tmp_path / "c").glob("part-*")) and len(found["sha256"]) == 64
+    src.write_rankings(rows, f"file://{tmp_path}/r", {"method": "x"})
+    back, about = src.read_rankings(spark, f"file://{tmp_path}/r", "i long, s string, t boolean")
+    assert about == {"method": "x"} and sorted(back.collect()) == sorted(rows.collect())
+    back.limit(10).write.mode("overwrite").json(f"file://{tmp_path}/other")
+    src.write_rankings(rows.limit(0), f"file://{tmp_path}/e", {})
+    assert src.read_rankings(spark, f"file://{tmp_path}/e", "i long")[0].count() == 0
+
+
+def test_answers_by_index(spark):
+    asked = spark.createDataFrame([(0, "a"), (1, "b")], "index int, text string")
+    answers = spark.createDataFrame([(1, 2.0), (0, 1.0)], "index int, value double")
+    assert sorted(map(tuple, src.by_index(answers, asked, 2).collect())) == [(0, "a", 1.0), (1, "b", 2.0)]
+    with pytest.raises(ValueError):
+        src.by_index(answers.union(answers), asked, 2)
 
 
 def test_vectors(spark):
@@ -63,16 +91,19 @@ def test_batches(spark):
 
 def test_files(tmp_path, spark):
     p = tmp_path / "c.json"
-    src.save_checkpoint(p, {"a": 1}, [1, 2])
-    assert src.read_checkpoint(p, {"a": 1}) == [1, 2]
+    store = src.VerifiedStore(p)
+    store.put({"a": 1}, [1, 2])
+    assert store.get({"a": 1}) == [1, 2]
     with pytest.raises(ValueError):
-        src.read_checkpoint(p, {"a": 2})
+        store.get({"a": 2})
     p.write_text(p.read_text().replace("2\n", "3\n"))
     with pytest.raises(ValueError):
-        src.read_checkpoint(p, {"a": 1})
-    src.freeze(tmp_path / "f.json", {"x": 1})
+        store.get({"a": 1})
+    frozen = src.VerifiedStore(tmp_path / "f.json")
+    frozen.put_once({"x": 1})
+    frozen.put_once({"x": 1})
     with pytest.raises(ValueError):
-        src.freeze(tmp_path / "f.json", {"x": 2})
+        frozen.put_once({"x": 2})
     assert src.fingerprint({"a": 1, "b": 2}) == src.fingerprint({"b": 2, "a": 1}) and src.ordered_fingerprint({"a": 1, "b": 2}) != src.ordered_fingerprint({"b": 2, "a": 1})
     assert src.editable_csv(tmp_path / "r.csv", ["source_id", "x"], ["1", "2"]) and not src.editable_csv(tmp_path / "r.csv", ["source_id", "x"], ["2", "1"])
     with pytest.raises(ValueError):
@@ -85,7 +116,7 @@ def test_files(tmp_path, spark):
         assert src.checked_table(spark, f"file://{tmp_path}/t", {"v": 1}, table).count() == 3
     assert len(made) == 1
     src.write_table(spark.createDataFrame([(True, 'a"b')], "t boolean, s string"), f"file://{tmp_path}/csv", "csv")
-    assert "true" in next((tmp_path / "csv").glob("part-*")).read_text()
+    assert any("true" in r["value"] for r in spark.read.text(f"file://{tmp_path}/csv").collect())
 
 
 def test_providers(spark):
