@@ -129,3 +129,8 @@ def observed_counts(work_tags: DataFrame, tags: DataFrame) -> DataFrame:
     """Works that use each tag, beside the dump's own count."""
     used = work_tags.groupBy("tag_id").agg(F.count("*").alias("observed"))
     return tags.join(used, tags["id"] == used["tag_id"], "left").select("id", "cached_count", F.coalesce("observed", F.lit(0)).alias("observed"))
+
+
+def pool_sizes(rows: DataFrame, group: str) -> DataFrame:
+    """(size, groups): how many groups have how many rows."""
+    return rows.groupBy(group).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("groups"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,67 @@ NONE = "none_of_these"
 SUM_TOLERANCE, TIE = 0.02, 1e-6
 
 
-def shuffled(ids: str, source: str, seed: str = "order-v1") -> Column:
+@dataclass(frozen=True)
+class Condition:
+    """What a question shows: which prompt, whether aliases and observed co-tags, in what order, and how it asks."""
+
+    prompt: str
+    aliases: bool = False
+    context: bool = False
+    shuffled: bool = False
+    none: bool = True
+    pairwise: bool = False
+
+
+#: The conditions of the comparison.
+CONDITIONS = {
+    "generic_names": Condition("generic", none=False), "strict_names": Condition("strict"), "ao3_names": Condition("ao3"), "ao3_aliases": Condition("ao3", aliases=True),
+    "ao3_aliases_shuffled": Condition("ao3", aliases=True, shuffled=True), "ao3_context": Condition("context", aliases=True, context=True), "ao3_pairwise_aliases": Condition("pairwise", aliases=True, none=False, pairwise=True),
+}
+
+
+def json_text(c: Column) -> Column:
+    """A text as JSON."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+
+
+def candidate_description(condition: Condition, name: Column, aliases: Column, context: Column) -> Column:
+    """JSON of what a candidate shows: its name and, where the condition has them, aliases (an array) and co-tags (a map of arrays).
+
+    Nothing else is an input, so no label, rank or score can be in it.
+    """
+    texts = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, json_text), ", "), F.lit("]"))
+    parts = [F.concat(F.lit('"canonical_tag": '), json_text(name))]
+    if condition.aliases:
+        parts.append(F.when(F.size(aliases) > 0, F.concat(F.lit('"known_alternate_names": '), texts(aliases))))
+    if condition.context:
+        kinds = F.transform(F.map_entries(context), lambda e: F.concat(json_text(e["key"]), F.lit(": "), texts(e["value"])))
+        parts.append(F.when(F.size(context) > 0, F.concat(F.lit('"observed_co_tags": {'), F.array_join(kinds, ", "), F.lit("}"))))
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def question(condition: Condition, model: str, prompt: str, incoming: Column, described: Column, none_text: str, own_context: Column | None = None, true_text: str = "yes", false_text: str = "no") -> Column:
+    """JSON of a request about an array of (id, text) candidates in the order shown.
+
+    A choice has one question with an option for each candidate, the rejecting
+    one last; the pairwise form asks about each candidate by itself.
+    """
+    state = [F.concat(F.lit('"incoming_tag":'), json_text(incoming)), F.lit('"type":"Freeform"')]
+    if condition.context and own_context is not None:
+        state.append(F.concat(F.lit('"observed_co_tags":'), F.to_json(own_context)))
+    key = lambda x: F.concat(F.lit('"tag_'), x["id"].cast("string"), F.lit('":'))
+    if condition.pairwise:
+        ends = F.concat(F.lit(',"criteria":{"true":'), json_text(F.lit(true_text)), F.lit(',"false":'), json_text(F.lit(false_text)), F.lit("}}"))
+        asked = F.array_join(F.transform(described, lambda x: F.concat(key(x), F.lit('{"type":"noul","instructions":'), json_text(F.concat(F.lit(prompt), x["text"])), ends)), ",")
+    else:
+        options = F.transform(described, lambda x: F.concat(key(x), json_text(x["text"])))
+        if condition.none:
+            options = F.concat(options, F.array(F.concat(F.lit(f'"{NONE}":'), json_text(F.lit(none_text)))))
+        asked = F.concat(F.lit('"canonical":{"type":"choice","instructions":'), json_text(F.lit(prompt)), F.lit(',"criteria":{'), F.array_join(options, ","), F.lit("}}"))
+    return F.concat(F.lit(f'{{"model":"{model}","state":{{'), F.concat_ws(",", *state), F.lit('},"questions":{'), asked, F.lit("}}"))
+
+
+def shuffled(ids: str | Column, source: str, seed: str = "order-v1") -> Column:
     """Candidate ids by hash of source and candidate, then id."""
     keyed = F.transform(ids, lambda i: F.struct(F.sha2(F.concat_ws(":", F.lit(seed), F.col(source).cast("string"), i.cast("string")).cast("binary"), 256).alias("h"), i.alias("i")))
     return F.transform(F.array_sort(keyed), lambda x: x["i"])

@@ -26,7 +26,7 @@ def resolve_links(nodes: DataFrame, key: str = "id", link: str = "merger_id", ca
     Keys must be unique.  Pointers double each round, so a chain of n links
     takes log2(n) joins; the loop ends when a round decides no further node.
     """
-    n = nodes.select(F.col(key).alias("id"), F.when(F.col(link) != 0, F.col(link)).alias("link"), F.col(canonical).alias("canonical"))
+    n = nodes.select(F.col(key).alias("id"), F.when(F.col(link).cast("string") != "0", F.col(link)).alias("link"), F.col(canonical).alias("canonical"))
     unique = n.agg(F.count("*").alias("a"), F.count_distinct("id").alias("b")).first()
     if unique["a"] != unique["b"]:
         raise ValueError("node keys must be unique and not null")
@@ -40,7 +40,7 @@ def resolve_links(nodes: DataFrame, key: str = "id", link: str = "merger_id", ca
     state = n.join(known, "link", "left").select("id", "link", status.alias("status"))
     state = cut(state.select("id", F.col("link").alias("at"), "status", F.when(F.col("status") == "RESOLVED", F.col("id")).alias("terminal"), F.when((F.col("status") == "MISSING") | F.col("status").isNull(), 1).otherwise(0).alias("hops")))
     open_before = None
-    while (still := state.filter("status IS NULL").count()) and still != open_before:
+    while (still := state.filter("status IS NULL").count()) and still != open_before:  # from the files' statistics and one column
         open_before = still
         ahead = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("status").alias("s"), F.col("terminal").alias("t"), F.col("hops").alias("h"))
         waiting = state.filter("status IS NULL").join(ahead, "at")
@@ -56,11 +56,10 @@ def resolve_names(edges: DataFrame, source: str = "from_tag", target: str = "to_
     if not conflicting_edges(e, "id", "merger_id").isEmpty():
         raise ValueError("a name has several targets")
     nodes = names.join(e, "id", "left").withColumn("canonical", F.col("merger_id").isNull())
-    # names may be any text, so links are compared by a wrapped value that is never zero
-    wrapped = nodes.select(F.struct("id").alias("id"), F.when(F.col("merger_id").isNotNull(), F.struct(F.col("merger_id").alias("id"))).alias("merger_id"), "canonical")
-    numbered = wrapped.select(F.col("id.id").alias("name"), F.xxhash64("id.id").alias("id"), F.xxhash64("merger_id.id").alias("h"), F.col("merger_id").isNotNull().alias("linked"), "canonical")
-    found = resolve_links(numbered.select("id", F.when(F.col("linked"), F.col("h")).alias("merger_id"), "canonical"))
+    # digests stand for names: any text is a name, and no digest is taken for a missing link
+    keyed = nodes.select(F.sha2(F.col("id").cast("binary"), 256).alias("id"), F.col("id").alias("name"), F.sha2(F.col("merger_id").cast("binary"), 256).alias("merger_id"), "canonical")
+    found = resolve_links(keyed)
     if not found.filter("status = 'CYCLE'").isEmpty():
         raise ValueError("the names form a cycle")
-    back = numbered.select(F.col("id").alias("terminal"), F.col("name").alias("canonical_name"))
-    return numbered.filter("linked").join(found, "id").join(back, "terminal").select(F.col("name").alias(source), F.col("canonical_name").alias("canonical"), "hops")
+    back = keyed.select(F.col("id").alias("terminal"), F.col("name").alias("canonical_name"))
+    return keyed.filter("merger_id IS NOT NULL").join(found, "id").join(back, "terminal").select(F.col("name").alias(source), F.col("canonical_name").alias("canonical"), "hops")

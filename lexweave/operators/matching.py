@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash_order
+from ..functions.text import contains_all_tokens
+
 
 def representations(catalogue: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(rep_id, canonical_id, rep_name, is_alias): canonical names, then aliases."""
@@ -95,3 +98,36 @@ def reciprocal_rank_fusion(*tops: DataFrame, k: int = 60) -> DataFrame:
         part = t.select("query_id", "canonical_id", (1.0 / (k + F.col("rank"))).alias("score"))
         rows = part if rows is None else rows.unionByName(part)
     return top_k(rows.groupBy("query_id", "canonical_id").agg(F.sum("score").alias("score")))
+
+
+def margin(ranked: DataFrame) -> DataFrame:
+    """(query_id, score, margin): the best score and how far the second lies below it (null if there is none)."""
+    first = F.max(F.when(F.col("rank") == 1, F.col("score")))
+    return ranked.groupBy("query_id").agg(first.alias("score"), (first - F.max(F.when(F.col("rank") == 2, F.col("score")))).alias("margin"))
+
+
+def listed_names(ranked: DataFrame, names: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, names): names of the first ``k``, in order."""
+    own = ranked.filter(F.col("rank") <= k).join(names.select(F.col("id").alias("canonical_id"), "name"), "canonical_id")
+    return own.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("names"))
+
+
+def changed_hits(a: DataFrame, b: DataFrame, seed: str, k: int = 10, most: int = 5) -> DataFrame:
+    """(query_id, change, place): the first queries, in hash order, that only one of two methods hits: gains of ``a`` and its losses."""
+    from .metrics import hit
+
+    both = a.select("query_id", hit("expected_rank", k).alias("x")).join(b.select("query_id", hit("expected_rank", k).alias("y")), "query_id").filter("x <> y")
+    w = Window.partitionBy("change").orderBy(hash_order(seed, "query_id"), "query_id")
+    own = both.select("query_id", F.when(F.col("x"), "gain").otherwise("loss").alias("change"))
+    return own.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= most)
+
+
+def search_names(catalogue: DataFrame, aliases: DataFrame, asked: str, most: int = 100) -> DataFrame:
+    """(id, name, matches): the first canonicals, by id, whose names and aliases hold every word asked for; ``#id`` finds one; ``matches`` counts all."""
+    asked = asked.strip()
+    own = aliases.groupBy("canonical_id").agg(F.concat_ws(" ", F.array_sort(F.collect_list("name"))).alias("others"))
+    rows = catalogue.join(own, catalogue["id"] == own["canonical_id"], "left")
+    exact = asked[1:] if asked[:1] == "#" and asked[1:].isdigit() else None
+    found = rows.filter(F.col("id") == int(exact)) if exact else rows.filter(contains_all_tokens(F.concat_ws(" ", "name", "others"), F.lit(asked)))
+    found = found.filter(F.lit(bool(asked))).select("id", "name")
+    return found.orderBy("id").limit(most).join(found.agg(F.count("*").alias("matches")))

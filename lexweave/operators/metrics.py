@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the normal quantile of a 95 % interval.
@@ -62,6 +62,28 @@ def group_bootstrap(ranks: DataFrame, group: str, value: Column, resamples: int
     return {"mean": float(s.sum() / n.sum()), "low": float(low), "high": float(high)}
 
 
+def drawn_bootstrap(rows: DataFrame, group: str, value: Column, resamples: int = RESAMPLES, seed: str = "bootstrap-v1") -> DataFrame:
+    """One row: mean of a value (or of a paired difference) and its 95 % interval over resamples of whole groups.
+
+    The draws are hashes of seed, resample and place, so any engine can repeat
+    them; groups are added up first and resamples are spread over the tasks.
+    """
+    sums = rows.groupBy(group).agg(F.sum(value.cast("double")).alias("s"), F.count("*").alias("n"))
+    sums = sums.withColumn("i", F.row_number().over(Window.orderBy(group)) - 1)  # over the groups of an evaluation sample
+    size = sums.agg(F.count("*").alias("groups"))
+    places = rows.sparkSession.range(resamples).withColumnRenamed("id", "r").join(F.broadcast(size)).filter("groups > 0").select("r", "groups", F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int"))).alias("j"))
+    drawn = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "r", "j").cast("binary"), 256), 1, 12), 16, 10).cast("bigint") % F.col("groups")
+    means = places.withColumn("i", drawn.cast("int")).join(sums, "i").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("m"))
+    bounds = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return sums.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mean")).join(bounds)
+
+
+def by_strata(rows: DataFrame, strata: dict[str, Column], ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """Recall in strata that may overlap; empty ones are left out."""
+    names = F.array(*[F.when(F.coalesce(flag, F.lit(False)), F.lit(name)) for name, flag in strata.items()])
+    return recall_at(rows.withColumn("stratum", F.explode(F.array_compact(names))), ks, ("stratum",))
+
+
 def membership_recheck(ranks: DataFrame, tops: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """Disagreements between the rank field and membership in the top list, for each k (0 where all is well)."""
     lists = tops.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))), lambda x: x["canonical_id"]).alias("top"))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_order, work_bucket, work_priority
 
 #: Quotas of context types, meta types, and bounds of the protocol.
-COTAG_LIMITS = {"Fandom": 3, "Character": 3, "Relationship": 2, "Freeform": 4}
-META_TYPES = ("Rating", "ArchiveWarning", "Category")
+SHOWN_OF_TYPE = {"Fandom": 3, "Character": 3, "Relationship": 2, "Freeform": 4}
+DESCRIPTIVE_TYPES = ("Rating", "ArchiveWarning", "Category")
 SAMPLE_WORKS, CONTEXT_CAP, MINIMUM_SUPPORT, MINIMUM_WORKS = 32, 24, 2, 3
 LENGTH_NAMES = ("short", "medium", "long", "epic")
 
@@ -27,7 +27,7 @@ def assign_works(works: DataFrame, seed: str) -> DataFrame:
 
 def visible_context(work_tags: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(ordinal, tag_id, type) of a work's catalogue tags of context types: at most the 24 lowest ids of each type."""
-    kinds = [*COTAG_LIMITS, *META_TYPES]
+    kinds = [*SHOWN_OF_TYPE, *DESCRIPTIVE_TYPES]
     known = catalogue.filter(F.col("type").isin(kinds)).select(F.col("id").alias("tag_id"), "type")
     w = Window.partitionBy("ordinal", "type").orderBy("tag_id")
     return work_tags.select("ordinal", "tag_id").distinct().join(known, "tag_id").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= CONTEXT_CAP).select("ordinal", "tag_id", "type")
@@ -72,23 +72,25 @@ def background_counts(support: DataFrame, context: DataFrame) -> DataFrame:
     return context.join(support.select("ordinal"), "ordinal", "left_semi").groupBy("tag_id").agg(F.count("*").alias("background"))
 
 
-def associated_tags(sample: DataFrame, context: DataFrame, background: DataFrame) -> DataFrame:
+def associated_tags(sample: DataFrame, context: DataFrame, background: DataFrame | None) -> DataFrame:
     """(profile, type, tag_id, works, place): co-occurring tags of the sampled works within the types' quotas.
 
     Order: more works, then (works + 1) / (background + 10) downwards, then id.
-    The cap of a work's context comes before the target leaves it.
+    The cap of a work's context comes before the target leaves it.  Without a
+    background, as in reviews, ties go to the id.
     """
     counts = sample.join(context, "ordinal").filter(F.col("tag_id") != F.col("target")).groupBy("profile", "type", "tag_id").agg(F.count("*").alias("works"))
-    scored = counts.join(background, "tag_id", "left").withColumn("share", (F.col("works") + 1) / (F.coalesce("background", F.lit(0)) + 10))
+    known = counts.withColumn("background", F.lit(None).cast("bigint")) if background is None else counts.join(background, "tag_id", "left")
+    scored = known.withColumn("share", (F.col("works") + 1) / (F.coalesce("background", F.lit(0)) + 10))
     w = Window.partitionBy("profile", "type").orderBy(F.desc("works"), F.desc("share"), "tag_id")
-    limit = F.coalesce(*[F.when(F.col("type") == k, v) for k, v in {**COTAG_LIMITS, **dict.fromkeys(META_TYPES, 1)}.items()])
+    limit = F.coalesce(*[F.when(F.col("type") == k, v) for k, v in {**SHOWN_OF_TYPE, **dict.fromkeys(DESCRIPTIVE_TYPES, 1)}.items()])
     return scored.filter(F.col("works") >= MINIMUM_SUPPORT).withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= limit).select("profile", "type", "tag_id", "works", "place")
 
 
 def one_work(sample: DataFrame, context: DataFrame) -> DataFrame:
     """(profile, type, tag_id, place): the first sampled work's context in id order, within quotas."""
     w = Window.partitionBy("profile", "type").orderBy("tag_id")
-    limit = F.coalesce(*[F.when(F.col("type") == k, v) for k, v in COTAG_LIMITS.items()])
+    limit = F.coalesce(*[F.when(F.col("type") == k, v) for k, v in SHOWN_OF_TYPE.items()])
     own = sample.filter("place = 1").join(context, "ordinal").filter(F.col("tag_id") != F.col("target"))
     return own.withColumn("place", F.row_number().over(w).cast("long")).filter(F.col("place") <= limit).select("profile", "type", "tag_id", "place")
 
@@ -130,7 +132,7 @@ def render(view: str, denominator: Column | None = None) -> Column:
         return F.concat_ws("\n", *lines)
     has, enough = F.col("n") > 0, F.col("n") >= MINIMUM_WORKS
     if view in ("fandom", "cotags", "cotags_length", "all"):
-        for kind in ("Fandom",) if view == "fandom" else COTAG_LIMITS:
+        for kind in ("Fandom",) if view == "fandom" else SHOWN_OF_TYPE:
             names = F.try_element_at("context", F.lit(kind))
             lines.append(F.when(has & (names != ""), F.concat(F.lit(f"Observed {kind.lower()} context: "), names)))
     if view in ("length", "cotags_length", "all"):
@@ -143,7 +145,7 @@ def render(view: str, denominator: Column | None = None) -> Column:
     if view in ("metadata", "all"):
         lines.append(F.when(enough, F.concat(F.lit("Work language codes: "), F.array_join("top_languages", ", "))))
         lines.append(F.when(enough, F.concat(F.lit("Works complete: "), percent("complete", "n"), F.lit("; restricted: "), percent("restricted", "n"))))
-        for kind in META_TYPES:
+        for kind in DESCRIPTIVE_TYPES:
             names = F.try_element_at("context", F.lit(kind))
             lines.append(F.when(enough & (names != ""), F.concat(F.lit(f"Observed {kind}: "), names)))
     return F.concat_ws("\n", *lines)
@@ -162,3 +164,8 @@ def profile_violations(profiles: DataFrame, sample: DataFrame, associated: DataF
     own = sample.select("profile", "target").distinct()
     a = associated.join(own, "profile").agg(F.count_if(F.col("tag_id") == F.col("target")).alias("own_tag"))
     return p.join(s).join(a)
+
+
+def slim(profile: DataFrame) -> DataFrame:
+    """A profile without its samples: arrays and maps of works stay behind."""
+    return profile.select(*[f.name for f in profile.schema.fields if not f.dataType.typeName().startswith("array")])

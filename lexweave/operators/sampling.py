@@ -54,3 +54,8 @@ def quota_selection(rows: DataFrame, key: str, seed: str, rules: list[tuple[str,
         out = picked if out is None else out.unionByName(picked)
         left = left.join(picked.select(key), key, "left_anti")
     return out
+
+
+def review_order(rows: DataFrame, key: str, seed: str) -> DataFrame:
+    """Rows with ``position`` in hash order; of a sample of bounded size."""
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(hash_order(seed + ":review_order", key), key)).cast("long"))
