@@ -43,10 +43,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
+    return materialize_at(df, name, compression)[0]
+
+
+def materialize_at(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """The same, and the folder, for :func:`drop_scratch`."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_scratch(spark: SparkSession, *paths: str) -> None:

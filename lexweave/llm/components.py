@@ -5,27 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_scratch, materialize_at, partitions
+
+#: A key with this many rows is never hot.
+FEW_ROWS = 64
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
+    """``left`` with the row of ``right`` for its key, which is unique there; ``rows``: those of ``left``.
+
+    Keys that hold more than a quarter of an even partition's rows are fewer
+    than four times the partitions, so their rows of ``right`` are broadcast and
+    ``left``'s rows stay where they are; all others are shuffled as usual.
+    """
+    most = max(FEW_ROWS, rows // (4 * partitions(left.sparkSession)))
+    hot = left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(key)
+    few = F.broadcast(hot)  # fewer than 4 x partitions rows, by the bound above
+    cold = left.join(few, key, "left_anti").join(right, key, how)
+    return cold.unionByName(left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """Rows (node, component) for every node of ``edges``; component is the smallest node reachable.
 
-    Each round takes the smallest label among a node's neighbours and then the
-    label of that label, so paths shorten by doubling.  Every round is written
-    to the shared folder; only one counter comes to the driver.
+    Each round takes the smallest label among a node and its neighbours and then
+    the label of that label, so paths shorten by doubling.  Labels and nodes that
+    hold a large share of the rows are not gathered in a task
+    (:func:`spread_join`).  Every round is written to the shared folder, and the
+    one before is deleted; only counters come to the driver.
     """
+    spark = edges.sparkSession
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    both = materialize(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
-    label = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")), f"{name}-0")
-    k = 0
+    both, _ = materialize_at(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
+    label, last = materialize_at(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")), f"{name}-labels")
+    n_edges, n_nodes = both.count(), label.count()
+    if not n_nodes:
+        return label.select(F.col("u").alias("node"), F.col("l").alias("component"))
     while True:
-        k += 1
-        near = both.join(label.select(F.col("u").alias("v"), F.col("l").alias("nl")), "v").groupBy("u").agg(F.min("nl").alias("nl"))
-        step = label.join(near, "u").select("u", F.col("l").alias("old"), F.least("l", "nl").alias("l"))
-        jump = step.select(F.col("u").alias("l"), F.col("l").alias("ll"))
-        after = step.join(jump, "l", "left").select("u", "old", F.least("l", F.coalesce("ll", "l")).alias("l"))
-        after = materialize(after, f"{name}-{k}")
-        if after.filter("l <> old").isEmpty():
-            return after.select(F.col("u").alias("node"), F.col("l").alias("component"))
-        label = after.select("u", "l")
+        near = spread_join(both, label.select(F.col("u").alias("v"), "l"), "v", n_edges).select("u", "l", F.lit(None).cast(label.schema["l"].dataType).alias("old"))
+        own = label.select("u", "l", F.col("l").alias("old"))
+        step, path = materialize_at(near.unionByName(own).groupBy("u").agg(F.min("l").alias("l"), F.min("old").alias("old")), f"{name}-step")
+        after = spread_join(step, step.select(F.col("u").alias("l"), F.col("l").alias("ll")), "l", n_nodes, "left")
+        label, done = materialize_at(after.select("u", F.least("l", F.coalesce("ll", "l")).alias("l"), "old"), f"{name}-labels")
+        drop_scratch(spark, last, path)
+        last = done
+        if label.filter("l <> old").isEmpty():
+            return label.select(F.col("u").alias("node"), F.col("l").alias("component"))
+        label = label.select("u", "l")

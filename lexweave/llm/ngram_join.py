@@ -39,10 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHasher, alnum_table, grouped, map_arrow, materialize, mix64, partitions, text_slices
-from .components import connected_components
+from .components import connected_components, spread_join
 
-#: Classes in a chunk of a large component; a block holds two chunks.
-CHUNK = 512
+#: Classes in a chunk of a large component, and bytes of their sets, about; a block holds two chunks.
+CHUNK, CHUNK_BYTES = 512, 4 << 20
 #: Shingle columns of one dense product.
 COLUMNS = 4096
 
@@ -233,9 +233,11 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     worded = signed.filter("key IS NOT NULL AND digest IS NOT NULL")
     classes = materialize(worded.groupBy("digest").agg(F.min("key").alias("first"), F.count_distinct("key").alias("copies"), F.min_by("codes", "key").alias("codes")), "ngram-classes")
     maybe = connected_components(_stars(classes.withColumnRenamed("digest", "key"), bands), name="ngram-maybe")
-    numbered = maybe.join(maybe.groupBy("component").agg(F.count("*").alias("members")), "component")
+    grams = F.conv(F.hex(F.reverse(F.substring("node", 17, 4))), 16, 10).cast("bigint")  # a digest ends with its set's size
+    sizes = maybe.groupBy("component").agg(F.count("*").alias("members"), F.sum(grams).alias("grams"))
+    chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("grams") * 8 / CHUNK_BYTES))
     # a component's members spread evenly over its chunks by a hash of their digest
-    numbered = numbered.withColumn("chunks", F.ceil(F.col("members") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    numbered = spread_join(maybe, sizes, "component", maybe.count()).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     members = materialize(numbered.join(classes, F.col("node") == F.col("digest")).select(F.col("first").alias("key"), "digest", "component", "chunks", "chunk", "copies", "codes"), "ngram-members")
     blocks = materialize(_with_sets(source.join(members, "key"), n), "ngram-sets", "lz4")
     pair = F.explode(F.expr("transform(sequence(0, cast(chunks AS int) - 1), c -> struct(least(c, chunk) AS low, greatest(c, chunk) AS high))"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 #: Fixed value: the pattern that the borders hold for.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text cut into pieces at once; a longer run without a border is one piece.
-WINDOW_BYTES = 8 << 20
+WINDOW_BYTES = 4 << 20
 #: Bytes that remembered pieces may take, about, and the longest piece remembered.
 MEMORY_BYTES, REMEMBERED_BYTES = 16 << 20, 64
 #: What an entry takes besides its bytes: two objects and a place in a hash table.
@@ -121,22 +121,27 @@ Learn = Callable[[pa.BinaryArray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def encode_pieces(data: np.ndarray, offsets: np.ndarray, learn: Learn) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, where each text's begin, and the end)."""
-    found, begins, total = [], np.zeros(len(offsets), np.int64), 0
-    for pos, starts in windows(data, offsets):
-        end = pos + int(starts[-1])
-        pieces = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(np.ascontiguousarray(data[pos:end]))]).dictionary_encode()
-        at = pieces.indices.to_numpy()
-        flat, size = learn(pieces.dictionary, np.bincount(at, minlength=len(pieces.dictionary)))
+    """(ids of all texts, where each text's begin, and the end); a piece that stands in several texts is encoded once."""
+    begins, data = np.zeros(len(offsets), np.int64), np.ascontiguousarray(data)
+    cuts = list(windows(data, offsets))
+    if not cuts:
+        return np.zeros(0, "<u4"), begins
+    pieces = pa.chunked_array([pa.Array.from_buffers(pa.binary(), len(s) - 1, [None, pa.py_buffer(s), pa.py_buffer(data[pos : pos + int(s[-1])])]) for pos, s in cuts]).dictionary_encode()
+    distinct, places = pieces.chunk(0).dictionary, [c.indices.to_numpy() for c in pieces.chunks]
+    del pieces
+    flat, size = learn(distinct, sum(np.bincount(at, minlength=len(distinct)) for at in places))
+    first = np.cumsum(size) - size
+    found, total = [], 0
+    for (pos, starts), at in zip(cuts, places, strict=True):
         own = size[at]
         done = np.zeros(len(at) + 1, np.int64)
         np.cumsum(own, out=done[1:])
-        found.append(flat[np.repeat((np.cumsum(size) - size)[at] - done[:-1], own) + np.arange(done[-1])])
-        inside = slice(np.searchsorted(offsets, pos), np.searchsorted(offsets, end))
+        found.append(flat[np.repeat(first[at] - done[:-1], own) + np.arange(done[-1])])
+        inside = slice(np.searchsorted(offsets, pos), np.searchsorted(offsets, pos + int(starts[-1])))
         begins[inside] = total + done[np.searchsorted(starts, offsets[inside] - pos)]
         total += int(done[-1])
     begins[np.searchsorted(offsets, len(data)) :] = total
-    return (found[0] if len(found) == 1 else np.concatenate([*found, np.zeros(0, "<u4")])), begins
+    return (found[0] if len(found) == 1 else np.concatenate(found)), begins
 
 
 def plain_words(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

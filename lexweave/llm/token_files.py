@@ -24,8 +24,8 @@ each mark (u64).  Numbers are little-endian; rules and symbols are u16 where all
 fit, else u32.
 
 Encoding.  With a byte-level pre-tokenizer, texts are cut where it certainly has
-a border (:mod:`lexweave.llm.pieces`) and each distinct piece of a shard is
-encoded once; other tokenizers, and texts that hold an added token's string,
+a border (:mod:`lexweave.llm.pieces`) and each distinct piece of a
+group of shards is encoded once; other tokenizers, and texts that hold an added token's string,
 encode whole texts.  Tests compare this with encoding whole texts.
 
 Defined cases: null and empty texts have the end id alone; rows with equal keys
@@ -50,12 +50,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_arrow, materialize, scratch_path, text_bytes, text_slices
+from .common import map_arrow, materialize, scratch_path, slices, text_bytes, text_slices
 from .pieces import encode_pieces, in_signs, plain_words
 
 FRAME = b"LWTOKENS"
 #: Text that goes into one shard.
 SHARD_BYTES = 4 << 20
+#: Text whose distinct pieces are encoded together.
+GROUP_BYTES = 24 << 20
 #: Shards in a file at most, and the text that a file is planned for.
 FILE_SHARDS, FILE_BYTES = 16, 32 << 20
 #: A rule takes 8 bytes in a shard with narrow symbols and 12 with wide ones, and each place saves 2 or 4: from so many on it pays.
@@ -131,6 +133,9 @@ class Grammar:
         return out
 
 
+_MARKED = np.uint32(1 << 31)
+
+
 class _Pairs:
     """Rounds of replacements on a sequence.
 
@@ -155,7 +160,6 @@ class _Pairs:
             return None
         kind, half, odd = (np.uint32, 16, 0x9E3779B1) if self.size <= 1 << 16 else (np.uint64, 32, 0x9E3779B97F4A7C15)
         odd = odd + 2 * self.size & (1 << 2 * half) - 1  # pairs in one bucket part in the next round
-        place_of = lambda p: (p * kind(odd)) >> kind(2 * half - 20)
         right = None if at is None else at + 1 if self.after is None else self.after[at]
         pair = (seq[:-1] if at is None else seq[at]).astype(kind) << kind(half)
         pair |= (seq[1:] if at is None else seq[right]).astype(kind, copy=False)
@@ -167,7 +171,9 @@ class _Pairs:
             return None
         kinds = ordered[begin][np.argsort(count, kind="stable")]  # the more frequent, the higher its rank
         del ordered
-        table = np.zeros(1 << 20, np.int32)
+        bits = min(20, max(8, len(kinds).bit_length() + 3))
+        place_of = lambda p: (p * kind(odd)) >> kind(2 * half - bits)
+        table = np.zeros(1 << bits, np.int32)
         table[place_of(kinds)] = np.arange(1, len(kinds) + 1)
         weight = table[place_of(pair)]
         maybe = weight > 0
@@ -214,14 +220,16 @@ class _Pairs:
         keep[gone] = False
         before = place - 1
         before -= ~keep[before] & (before >= 0)
-        near = np.zeros(len(self.seq), bool)
         if self.at is None:
-            near[:-1] = left  # flags
+            self.seq[:-1] |= left.astype(np.uint32) << np.uint32(31)  # the highest bit marks a place to look at; symbols stay below it
         else:
-            near[left] = True
-        near[place], near[before[before >= 0]] = True, True
-        self.seq, near = self.seq[keep], near[keep]
+            self.seq[left] |= _MARKED
+        self.seq[place] |= _MARKED
+        self.seq[before[before >= 0]] |= _MARKED
+        self.seq = self.seq[keep]
+        near = self.seq >= _MARKED
         near[-1] = False
+        self.seq &= ~_MARKED
         n = int(np.count_nonzero(near))
         self.at = None if 2 * n > len(self.seq) else np.flatnonzero(near)
         if 8 * n < len(self.seq):
@@ -290,7 +298,7 @@ def shards(data: memoryview) -> Iterator[Shard]:
 
 # --------------------------------------------------------------- encoding --
 class PieceEncoder:
-    """A tokenizer that encodes each distinct piece of a shard once."""
+    """A tokenizer that encodes each distinct piece of some texts once."""
 
     def __init__(self, definition: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -372,17 +380,19 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = PieceEncoder(sent.value)
-        for keys, data, offsets in _gathered(batches):
+        for keys, data, offsets in _gathered(batches, GROUP_BYTES):
             ids, starts = enc.encode(data, offsets, end)
-            frame = Shard(keys, starts, Grammar.compress(ids)).to_bytes()
-            yield pa.RecordBatch.from_arrays([pa.array([frame[:-1]], pa.binary())], ["value"])
+            for a, b in slices(offsets, SHARD_BYTES):
+                own = Grammar.compress(ids[starts[a] : starts[b]])
+                frame = Shard(keys.slice(a, b - a), starts[a : b + 1] - starts[a], own).to_bytes()
+                yield pa.RecordBatch.from_arrays([pa.array([frame[:-1]], pa.binary())], ["value"])
 
     frames = map_arrow(dealt, run, "value binary").select(F.col("value").cast("string"))
     frames.write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_SHARDS).text(path)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(keys, bytes of the texts, their offsets) of about ``SHARD_BYTES`` each, across batches."""
+def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(keys, bytes of the texts, their offsets) of at most ``limit`` bytes, or one text, across batches."""
     held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -391,8 +401,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.
         return pa.concat_arrays([k for k, _, _ in held]), np.concatenate([d for _, d, _ in held]), np.concatenate([[0], np.cumsum(lengths)])
 
     for batch in batches:
-        for a, b, data, offsets in text_slices(batch, "text", SHARD_BYTES):
-            if held and size + len(data) > SHARD_BYTES:
+        for a, b, data, offsets in text_slices(batch, "text", limit):
+            if held and size + len(data) > limit:
                 yield joined()
                 held, size = [], 0
             held.append((batch.column("key").slice(a, b - a), data, offsets))
@@ -401,10 +411,10 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.
         yield joined()
 
 
-def read_token_files(spark: SparkSession, path: str, key_type: T.DataType) -> DataFrame:
-    """(file, key, first, n_tokens, ids_crc32, ids) of every document; ``first`` counts within the file. Files ascend with the keys by :func:`file_order`."""
+def read_token_files(spark: SparkSession, path: str, key_type: T.DataType, with_ids: bool = True) -> DataFrame:
+    """(file, key, first, n_tokens, ids_crc32, ids) of every document, or all but the ids; ``first`` counts within the file. Files ascend with the keys by :func:`file_order`."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("key", key_type), T.StructField("first", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("key", key_type), T.StructField("first", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))][: 6 if with_ids else 5])
     arrow_key = to_arrow_type(key_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,8 +424,10 @@ def read_token_files(spark: SparkSession, path: str, key_type: T.DataType) -> Da
                 for s in shards(memoryview(content.as_buffer())):
                     ids, n = s.grammar.decode().astype("<u4"), len(s.keys)
                     sums = [zlib.crc32(memoryview(ids[a:b]).cast("B") if b > a else b"") for a, b in zip(s.starts[:-1], s.starts[1:], strict=True)]
-                    lists = pa.ListArray.from_arrays(pa.array(s.starts, pa.int32()), pa.array(ids.view(np.int32)))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), s.keys.cast(arrow_key), pa.array(before + s.starts[:-1]), pa.array(np.diff(s.starts)), pa.array(sums, pa.int64()), lists], schema.names)
+                    rows = [pa.array([name] * n, pa.string()), s.keys.cast(arrow_key), pa.array(before + s.starts[:-1]), pa.array(np.diff(s.starts)), pa.array(sums, pa.int64())]
+                    if with_ids:
+                        rows.append(pa.ListArray.from_arrays(pa.array(s.starts, pa.int32()), pa.array(ids.view(np.int32))))
+                    yield pa.RecordBatch.from_arrays(rows, schema.names)
                     before += int(s.starts[-1])
 
     return map_arrow(files, run, schema)
@@ -430,7 +442,7 @@ def file_order(name: str) -> tuple[int, int]:
 
 def documents_in_files(spark: SparkSession, path: str, key_type: T.DataType) -> DataFrame:
     """(key, start, n_tokens, ids_crc32): ``start`` counts the ids of all documents before, in all files."""
-    rows = materialize(read_token_files(spark, path, key_type).drop("ids"), "token-files")
+    rows = materialize(read_token_files(spark, path, key_type, with_ids=False), "token-files")
     found = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()  # one row per file of some 64 MiB of text
     totals = sorted(((r["file"], r["n"]) for r in found), key=lambda x: file_order(x[0]))
     before, at = [], 0
