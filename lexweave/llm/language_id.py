@@ -23,11 +23,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, slices, text_bytes
+from .common import map_arrow, materialize, slices, text_bytes
 
 UNDETERMINED = "und"
 
@@ -158,14 +158,22 @@ def windows(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     return x, doc, n
 
 
+#: Languages whose shares are broadcast at most.
+FEW_LANGUAGES = 10_000
+
+
 def training_sample(docs: DataFrame, text: str, lang: str, key: str, texts_per_language: int) -> DataFrame:
-    """About ``texts_per_language`` whole texts of each language, chosen by a hash of the key and the text."""
+    """At most ``texts_per_language`` whole texts of each language, the lowest by a hash of key and text among a share of about as many.
+
+    Repeated rows count once, so the bound holds whatever repeats.
+    """
     labelled = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t IS NOT NULL AND l IS NOT NULL AND t <> ''")
-    counts = labelled.groupBy("l").count().collect()  # one row per language
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col("l") == row["l"], F.lit(min(1.0, texts_per_language / row["count"]))).otherwise(share)
-    return labelled.filter(F.pmod(F.xxhash64("k", F.octet_length("t")), F.lit(1 << 20)) < share * (1 << 20))
+    shares = materialize(labelled.groupBy("l").agg((F.lit(float(texts_per_language)) / F.count("*")).alias("share")), "language-shares")
+    if shares.count() <= FEW_LANGUAGES:
+        shares = F.broadcast(shares)  # its size is checked; a longer table is joined by a shuffle
+    chosen = labelled.withColumn("h", F.xxhash64("k", "t")).join(shares, "l").filter(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    w = Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 20)), "h")  # over the share, about the bound's size
+    return chosen.dropDuplicates(["l", "h"]).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= texts_per_language).select("k", "t", "l")
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts_per_language: int = 600, windows_per_text: int = 6, size: int = 128, **options) -> ByteConvNet:

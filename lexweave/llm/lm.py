@@ -27,6 +27,9 @@ The corpus is never gathered anywhere:
 5. each block is scored with the model and its words' counts.
 
 Only the model, the list of frequent words and a few sums reach the driver.
+Partitions train apart, so the model, and with it ``score`` (not the counts and
+``base_score``), depends in its last digits on how the texts fall into files and
+partitions; the same files and settings give the same scores.
 
 Defined cases: a null or empty text is an end alone; without training texts all
 counts are 0 and the model is uniform over its classes; repeated rows get equal
@@ -56,6 +59,8 @@ GROUPS = 64
 STATES = 10
 #: Trained words whose own counts a task adds up.
 SHARD_WORDS = 200_000
+#: Words of blocks, each block's distinct ones, that a task of the first count adds up.
+SHARD_ENTRIES = 2_000_000
 #: Weights of the group's shares against a word's own counts: as target, one and two places before it.
 PRIOR, PRIOR_NEAR, PRIOR_FAR = 4.0, 8.0, 32.0
 
@@ -204,7 +209,8 @@ def _blob(batch: pa.RecordBatch | pa.Table, column: str, i: int, kind: type) ->
 
 def count_words(blocks: DataFrame, shortlist: int) -> DataFrame:
     """Stored rows: a block's share of a hash range with the corpus counts of its words; and each range's sums and most frequent words."""
-    shards = partitions(blocks.sparkSession)
+    entries = blocks.agg(F.sum(F.octet_length("uniq"))).first()[0] or 0  # eight bytes for each distinct word of each block
+    shards = max(partitions(blocks.sparkSession), entries // 8 // SHARD_ENTRIES + 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array([(s << 64) // shards for s in range(shards)], dtype=np.uint64)

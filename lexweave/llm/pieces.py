@@ -57,9 +57,17 @@ def byte_signs() -> list[str]:
     return out
 
 
+#: What a byte's class and the next one's say: 1 a border between them; 2 one before the first, if it is a space; 4 one between them after a single tab or line end, if 8 holds one place before.
+_SAYS = _BORDER.astype(np.uint8)
+_SAYS[1, 3:] |= 2
+_SAYS[2, 3:7] |= 4
+_SAYS[3:7, 2] |= 8
+
+
 def classes(data: np.ndarray) -> np.ndarray:
     kind = CLASS[data]
-    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    lead = np.flatnonzero(kind == 7)
+    lead = lead[data[lead] <= 0xC9]
     if len(lead):
         lead = lead[lead + 1 < len(data)]
         second = data[lead + 1]
@@ -71,11 +79,15 @@ def classes(data: np.ndarray) -> np.ndarray:
 def borders(data: np.ndarray) -> np.ndarray:
     """Flags of the places in texts' bytes that certainly begin a piece (the first byte's is not set)."""
     kind = classes(data)
+    code = kind[:-1] << 3
+    code |= kind[1:]
+    says = _SAYS.ravel()[code]
     out = np.zeros(len(data), bool)
-    out[1:] = _BORDER.ravel()[kind[:-1] << 3 | kind[1:]]
-    out[:-1] |= (kind[:-1] == 1) & (kind[1:] >= 3)
-    plain = (kind >= 3) & (kind < 7)
-    out[2:] |= plain[2:] & (kind[1:-1] == 2) & plain[:-2]
+    np.bitwise_and(says, 1, out=out[1:].view(np.uint8))
+    out[:-1] |= says & 2 > 0
+    after = np.flatnonzero(says & 4)
+    after = after[after > 0]
+    out[after[says[after - 1] & 8 > 0] + 1] = True
     out[:1] = False
     return out
 

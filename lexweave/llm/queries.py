@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, decontaminate, language_id, lattice_dedup, lm, ngram_join, quality, sql, token_counts, token_files, warc
 from .common import materialize, remainder, scratch_path
+from .components import spread_join
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +58,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     counts = F.map_from_arrays(F.array(*map(F.lit, token_counts.TOKENIZERS)), F.array(*[token_counts.count_tokens("text", v) for v in token_counts.TOKENIZERS]))
     counted = materialize(docs.select("doc_id", "source", "lang", F.coalesce(F.expr("n_chars div 6"), F.lit(0)).alias("guess"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"), counts.alias("counts")), "op6-counts")
-    firsts = counted.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    copies = counted.join(firsts, "digest").filter("doc_id <> first")
+    # one row of each text stays: that with the smallest id, nulls last; of rows with equal ids, sources and languages any
+    named = counted.filter("digest IS NOT NULL").withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "source", "lang"))
+    alike = materialize(named.groupBy("digest", "place").agg(F.count("*").alias("n"), F.first("counts").alias("counts")), "op6-alike")
+    firsts = alike.groupBy("digest").agg(F.min("place").alias("first"), F.sum("n").alias("rows")).filter("rows > 1").select("digest", "first")
+    gone = spread_join(alike, firsts, "digest", alike.count()).withColumn("n", F.col("n") - (F.col("place") == F.col("first")).cast("int")).filter("n > 0")
+    copies = gone.select("place.source", "place.lang", "counts", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     each = F.explode("counts").alias("version", "exact")
     guessed = F.when(F.col("version") == "space-1", F.col("guess")).otherwise(F.col("exact"))
     ledger = token_counts.Ledger(spark, scratch_path(spark, "op6-ledger"))

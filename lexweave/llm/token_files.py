@@ -107,21 +107,43 @@ class Grammar:
     def __len__(self) -> int:
         return int(self.marks[-1])
 
+    def _all(self) -> np.ndarray:
+        """All ids: every rule is expanded once, from the shortest paths up, and its expansion laid down at each place."""
+        n, left, right = len(self.alphabet), self.rules[:, 0].astype(np.int64), self.rules[:, 1].astype(np.int64)
+        first = np.cumsum(self.sizes) - self.sizes
+        flat = np.empty(int(self.sizes.sum()), np.uint32)
+        flat[:n] = self.alphabet
+        ready = np.zeros(n + len(left), bool)
+        ready[:n] = True
+        rest = np.arange(len(left))
+        while len(rest):
+            now = ready[left[rest]] & ready[right[rest]]
+            own, rest = rest[now], rest[~now]
+            pair = np.stack([left[own], right[own]], 1).ravel()
+            size = self.sizes[n + own]
+            begin = first[n + own]
+            done = np.cumsum(size)
+            flat[np.repeat(begin - (done - size), size) + np.arange(done[-1])] = _laid_out(flat, first[pair], self.sizes[pair])
+            ready[n + own] = True
+        self.expanded += len(left)
+        symbol = self.symbols.astype(np.int64)
+        return _laid_out(flat, first[symbol], self.sizes[symbol])
+
     def decode(self, a: int = 0, b: int | None = None) -> np.ndarray:
         """Ids a..b; only symbols that hold some of them are expanded."""
         b = len(self) if b is None else min(b, len(self))
         if a >= b:
             return np.zeros(0, np.uint32)
+        if a == 0 and b == len(self) and self.lengths.sum(dtype=np.int64) <= 2 * b:
+            return self._all()
         first, last = np.searchsorted(self.marks, a, "right") - 1, np.searchsorted(self.marks, b, "left")
         symbol = self.symbols[first * MARK : last * MARK].astype(np.int64)
         size = self.sizes[symbol]
         place = self.marks[first] + np.cumsum(size) - size
         out, n = np.empty(b - a, np.uint32), len(self.alphabet)
-        whole = a == 0 and b == len(self)
         while len(symbol):
-            if not whole:
-                own = (place < b) & (place + self.sizes[symbol] > a)
-                symbol, place = symbol[own], place[own]
+            own = (place < b) & (place + self.sizes[symbol] > a)
+            symbol, place = symbol[own], place[own]
             leaf = symbol < n
             out[place[leaf] - a] = self.alphabet[symbol[leaf]]
             inner = np.flatnonzero(~leaf)
@@ -133,9 +155,16 @@ class Grammar:
         return out
 
 
+#: Marks a symbol at whose place the next round looks; symbols stay below it.
 _MARKED = np.uint32(1 << 31)
 
 
+def _laid_out(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Ranges of ``flat`` one after the other."""
+    done = np.cumsum(size)
+    return flat[np.repeat(first - (done - size), size) + np.arange(int(done[-1]) if len(done) else 0)]
+
+
 class _Pairs:
     """Rounds of replacements on a sequence.
 
@@ -212,8 +241,8 @@ class _Pairs:
             beyond = self.after[gone]
             self.after[place], self.before[beyond] = beyond, place
             self.after[gone] = -1
-            near = np.concatenate([left, place, self.before[place]])
-            near = np.unique(near[near >= 0])
+            near = np.sort(np.concatenate([left, place, self.before[place]]))
+            near = near[np.diff(near, prepend=-1) > 0]  # each once, and none before the first
             self.at = near[(self.after[near] >= 0) & (self.after[near] < len(self.seq))]
             return
         keep = np.ones(len(self.seq), bool)
@@ -297,23 +326,29 @@ def shards(data: memoryview) -> Iterator[Shard]:
 
 
 # --------------------------------------------------------------- encoding --
+def describe(definition: str) -> tuple[np.ndarray, list[bytes], bool]:
+    """Of a tokenizer: bytes that each token stands for, strings of added tokens, and whether texts may be cut into pieces."""
+    from tokenizers import Tokenizer
+
+    tokenizer, parts = Tokenizer.from_str(definition), json.loads(definition)
+    # a byte-level token has as many characters as it stands for bytes
+    sizes = np.array([len(tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))], np.int64)
+    before = parts.get("pre_tokenizer") or {}
+    plain = not parts.get("normalizer") and not parts.get("truncation") and not parts.get("padding") and (parts.get("model") or {}).get("dropout") is None
+    cut = bool(plain and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space"))
+    return sizes, [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()], cut
+
+
 class PieceEncoder:
-    """A tokenizer that encodes each distinct piece of some texts once."""
+    """A tokenizer that encodes each distinct piece of some texts once; ``known``: what :func:`describe` says of it."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, known: tuple[np.ndarray, list[bytes], bool] | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(definition)
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        # a byte-level token has as many characters as it stands for bytes
-        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        parts = json.loads(definition)
-        before = parts.get("pre_tokenizer") or {}
-        plain = not parts.get("normalizer") and not parts.get("truncation") and not parts.get("padding") and (parts.get("model") or {}).get("dropout") is None
-        self.cut = bool(plain and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space"))
+        self.bytes_of, self.added, self.cut = known or describe(definition)
         self.words = Tokenizer(self.tokenizer.model)  # the same merges for words that are cut already
         self.words.pre_tokenizer = WhitespaceSplit()
 
@@ -373,13 +408,14 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, path: str, text: str
     """Encode every whole text and write files of shards in ascending key order."""
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
-        sent = spark.sparkContext.broadcast(f.read())  # a tokenizer's definition
+        definition = f.read()
+    sent = spark.sparkContext.broadcast((definition, describe(definition)))  # a tokenizer's size
     source = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = source.repartitionByRange(max(1, -(-total // FILE_BYTES)), "key").sortWithinPartitions("key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = PieceEncoder(sent.value)
+        enc = PieceEncoder(*sent.value)
         for keys, data, offsets in _gathered(batches, GROUP_BYTES):
             ids, starts = enc.encode(data, offsets, end)
             for a, b in slices(offsets, SHARD_BYTES):

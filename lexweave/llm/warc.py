@@ -7,14 +7,20 @@ behind.  The writer ends each row with a separator: a member ends in a zero byte
 whenever its content is below 16 MiB, so rows lack that byte and the separator
 is it; after a larger record an empty member follows, which also ends in zero.
 
+A row is a bundle of members, and a file takes a fixed number of rows, so
+archives are bounded by bytes: 64 MiB, or more where single records are larger
+than a bundle.  The job's commit stands before files get their ending, and
+nothing reads them until all have it; a run that fails in between is repeated
+in a new folder.
+
 Equal payloads of at least ``REVISIT_BYTES`` are stored once: the smallest key
 is the response, others are revisits that refer to it.
 
 Index.  Reading an archive gives its captures; sorted by URL key, time and page,
-they are one run.  Ranges of the key space come from a bounded sample of whole
-sort keys, so one URL's captures may span ranges.  For each range a loser tree
-merges the runs' parts (k-way, log2 k comparisons a capture).  Ranges in order,
-and positions in them, are the global order.
+they are one run.  Spark's range partitioning cuts the key space by whole sort
+keys, so one URL's captures may span ranges.  For each range a loser tree merges
+the runs' parts (k-way, log2 k comparisons a capture).  Ranges in order, and
+positions in them, are the global order.
 
 Defined cases: null html is an empty payload; a null URL is left out of the
 record and sorts first; a null key is a capture of its own, always a response;
@@ -24,7 +30,6 @@ payload's smallest; an empty table gives no rows.  Extra columns are not read.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import uuid
 import zlib
@@ -43,10 +48,8 @@ from .common import map_arrow, materialize, scratch_path, whole_groups
 REVISIT_BYTES = 100
 #: Captures in a range of the merged index, about.
 RANGE_CAPTURES = 50_000
-#: Sort keys in the sample that sets the ranges, at most about.
-SAMPLE = 20_000
-#: Records in one archive file.
-ARCHIVE_RECORDS = 20_000
+#: An archive file: so many bundles of records at most, each of so many bytes (or one larger record), and so many records in all.
+BUNDLES, BUNDLE_BYTES, ARCHIVE_RECORDS = 16, 4 << 20, 20_000
 #: The pages have no capture times: page k counts as captured k seconds after this.
 FIRST_CAPTURE = datetime(2024, 1, 1, tzinfo=UTC)
 _SPACE = uuid.UUID("5b2f5f0e-6f5e-4c58-9f0d-0f7a4b0c6d11")
@@ -138,18 +141,28 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = _header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(uuid.uuid4())), ("WARC-Date", capture_time(0)), ("Content-Type", "application/warc-fields")], 0) + b"\r\n\r\n"
-        started = False
+        most = max(1, ARCHIVE_RECORDS // BUNDLES)
+        out, size = [member(info)], 0
+
+        def bundle() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(out)[:-1]], pa.binary())], ["value"])
+
+        empty = True
         for batch in batches:
-            out = [] if started else [member(info)[:-1]]
-            started = True
             for k, u, p, d, f, fu in zip(*(batch.column(c) for c in ("key", "url", "payload", "digest", "first", "first_url")), strict=True):
                 k, u, f = k.as_py(), u.as_py(), f.as_py()
-                record = response_record(k, u, p.as_py(), d.as_py()) if f is None else revisit_record(k, u, d.as_py(), f, fu.as_py())
-                out.append(member(record)[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                record = member(response_record(k, u, p.as_py(), d.as_py()) if f is None else revisit_record(k, u, d.as_py(), f, fu.as_py()))
+                if out and (size + len(record) > BUNDLE_BYTES or len(out) >= most) and not empty:
+                    yield bundle()
+                    out, size = [], 0
+                out.append(record)
+                size += len(record)
+                empty = False
+        if not empty:
+            yield bundle()
 
     rows = map_arrow(dealt.select("key", "url", "payload", "digest", "first", "first_url"), run, "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    rows.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", BUNDLES).text(path)
     _rename(pages.sparkSession, path)
 
 
@@ -161,7 +174,7 @@ def _rename(spark: SparkSession, path: str) -> None:
     for status in fs.listStatus(folder):
         name = status.getPath().getName()
         if name.startswith("part-"):
-            fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name.split(".")[0] + ".warc.gz"))
+            fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(folder, name.removesuffix(".txt") + ".warc.gz"))
 
 
 # ---------------------------------------------------------------- reading --
@@ -244,29 +257,13 @@ class LoserTree:
             self._enter(w)
 
 
-def splitters(captures: DataFrame, ranges: int, total: int) -> list[tuple]:
-    """Sort keys that cut the captures into about equal ranges, from a bounded sample of them."""
-    share = min(1.0, SAMPLE / max(total, 1))
-    chosen = captures.select("url_key", "captured", "key", "archive", "offset").filter(F.pmod(F.xxhash64("archive", "offset"), F.lit(1 << 24)) < share * (1 << 24))
-    keys = sorted((r[0], r[1], -1 if r[2] is None else r[2], r[3], r[4]) for r in chosen.collect())
-    return [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
-
-
 def merge_index(captures: DataFrame) -> DataFrame:
     """All captures with ``range`` and ``position``: together the global order by URL key, time and page.
 
     ``captures``: sorted runs, one per archive (:func:`read_captures`), stored.
     """
-    total = captures.count()
-    ranges = int(total // RANGE_CAPTURES) + 1
-    cuts = splitters(captures, ranges, total)
-    names = captures.columns
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("url_key", "captured", "key", "archive", "offset")), strict=True)
-            found = [bisect.bisect_right(cuts, (u, t, -1 if k is None else k, a, o)) for u, t, k, a, o in keys]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], [*names, "range"])
+    ranges = int(captures.count() // RANGE_CAPTURES) + 1
+    page = F.coalesce("key", F.lit(-1))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, ["range"]):
@@ -280,10 +277,9 @@ def merge_index(captures: DataFrame) -> DataFrame:
                 out = part.take(pa.array(order)).append_column("position", pa.array(np.arange(len(order))))
                 yield from out.combine_chunks().to_batches()
 
-    schema = T.StructType([*captures.schema.fields, T.StructField("range", T.IntegerType())])
-    placed = T.StructType([*schema.fields, T.StructField("position", T.LongType())])
-    parts = map_arrow(captures, assign, schema).repartition(ranges, "range").sortWithinPartitions("range", "archive", "url_key", "captured", F.coalesce("key", F.lit(-1)), "offset")
-    return map_arrow(parts, merge, placed)
+    parts = captures.repartitionByRange(ranges, "url_key", "captured", page, "archive", "offset").withColumn("range", F.spark_partition_id())
+    placed = T.StructType([*parts.schema.fields, T.StructField("position", T.LongType())])
+    return map_arrow(parts.sortWithinPartitions("archive", "url_key", "captured", page, "offset"), merge, placed)
 
 
 def capture_histories(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:
