@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize_at, partitions
+from .common import drop_scratch, materialize, materialize_at, partitions
 
 #: A key with this many rows is never hot.
 FEW_ROWS = 64
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "inner") -> DataFrame:
+def hot_keys(left: DataFrame, key: str, rows: int) -> DataFrame:
+    """Keys that hold more than a quarter of an even partition's rows: fewer than four times the partitions."""
+    most = max(FEW_ROWS, rows // (4 * partitions(left.sparkSession)))
+    return left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(key)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """``left`` with the row of ``right`` for its key, which is unique there; ``rows``: those of ``left``.
 
-    Keys that hold more than a quarter of an even partition's rows are fewer
-    than four times the partitions, so their rows of ``right`` are broadcast and
-    ``left``'s rows stay where they are; all others are shuffled as usual.
+    The rows of ``right`` for hot keys (:func:`hot_keys`, unless they are given)
+    are broadcast and ``left``'s rows stay where they are; all others are
+    shuffled as usual.
     """
-    most = max(FEW_ROWS, rows // (4 * partitions(left.sparkSession)))
-    hot = left.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(key)
-    few = F.broadcast(hot)  # fewer than 4 x partitions rows, by the bound above
+    few = F.broadcast(hot if hot is not None else hot_keys(left, key, rows))  # bounded by four times the partitions
     cold = left.join(few, key, "left_anti").join(right, key, how)
     return cold.unionByName(left.join(few, key, "left_semi").join(F.broadcast(right.join(few, key, "left_semi")), key, how))
 
@@ -41,8 +45,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
     n_edges, n_nodes = both.count(), label.count()
     if not n_nodes:
         return label.select(F.col("u").alias("node"), F.col("l").alias("component"))
+    hot = materialize(hot_keys(both, "v", n_edges), f"{name}-hot")
     while True:
-        near = spread_join(both, label.select(F.col("u").alias("v"), "l"), "v", n_edges).select("u", "l", F.lit(None).cast(label.schema["l"].dataType).alias("old"))
+        near = spread_join(both, label.select(F.col("u").alias("v"), "l"), "v", n_edges, hot=hot).select("u", "l", F.lit(None).cast(label.schema["l"].dataType).alias("old"))
         own = label.select("u", "l", F.col("l").alias("old"))
         step, path = materialize_at(near.unionByName(own).groupBy("u").agg(F.min("l").alias("l"), F.min("old").alias("old")), f"{name}-step")
         after = spread_join(step, step.select(F.col("u").alias("l"), F.col("l").alias("ll")), "l", n_nodes, "left")
