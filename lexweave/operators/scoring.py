@@ -467,8 +467,8 @@ class _Block:
             self.low[n, q] = np.maximum(self.low[n, q], found.astype(np.float32) if self.scorer.single else found)
 
 
-class _Bests:
-    """Each query's best ``k`` canonicals so far."""
+class Bests:
+    """Each query's best ``k`` canonicals so far; blocks give pooled scores with ids ascending, and settle what may be among the best."""
 
     def __init__(self, queries: int, k: int):
         self.k, self.rows = k, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -535,7 +535,7 @@ def best_matches(queries: DataFrame, reps: DataFrame, scorer: str, k: int = 10)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, texts = sent.value
-            made, bests = SCORERS[scorer](texts), _Bests(len(ids), k)
+            made, bests = SCORERS[scorer](texts), Bests(len(ids), k)
             for block in _blocks(batches, len(ids)):
                 bests.add(_Block(made, ids, *block))
             q, canonical, score = bests.rows

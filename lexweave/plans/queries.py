@@ -245,9 +245,9 @@ def _vector_queries(e: DataFrame) -> DataFrame:
     return e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), F.col("label").alias("query_label"))
 
 
-def _cosine(h: Host, k: int | None = 10) -> DataFrame:
+def _cosine(h: Host) -> DataFrame:
     e = _embeddings(h)
-    return retrieval.cosine_scores(_vector_queries(e), e.select(F.col("vec_id").alias("canonical_id"), F.col("embedding").alias("vector")), k)
+    return retrieval.cosine_scores(_vector_queries(e), e.select(F.col("vec_id").alias("canonical_id"), F.col("embedding").alias("vector")))
 
 
 def _nine(df: DataFrame, *columns: str) -> DataFrame:
@@ -261,14 +261,17 @@ def cosine_topk(h: Host) -> DataFrame:
 
 @query
 def cosine_full_rank(h: Host) -> DataFrame:
-    expected = _vector_queries(_embeddings(h)).select("query_id", (F.col("query_id") + 1).alias("canonical_id"))
-    return _nine(matching.full_rank(_cosine(h, None), expected), "expected_score")
+    e = _embeddings(h)
+    expected = _vector_queries(e).select("query_id", (F.col("query_id") + 1).alias("canonical_id"))
+    return _nine(retrieval.cosine_ranks(_vector_queries(e), e.select(F.col("vec_id").alias("canonical_id"), F.col("embedding").alias("vector")), expected), "expected_score")
 
 
 @query
 def cosine_alias_max(h: Host) -> DataFrame:
-    scores = _cosine(h, None).select("query_id", F.expr("canonical_id div 5").alias("canonical_id"), "score")
-    return _nine(matching.top_k(matching.max_pool(scores)), "score")
+    """Five vectors a canonical: the best of them counts."""
+    e = _embeddings(h)
+    found = retrieval.cosine_scores(_vector_queries(e), e.select(F.expr("vec_id div 5").alias("canonical_id"), F.col("vec_id").alias("own_id"), F.col("embedding").alias("vector")))
+    return _nine(matching.top_k(matching.max_pool(found)), "score")
 
 
 @query
