@@ -233,7 +233,8 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     worded = signed.filter("key IS NOT NULL AND digest IS NOT NULL")
     classes = materialize(worded.groupBy("digest").agg(F.min("key").alias("first"), F.count_distinct("key").alias("copies"), F.min_by("codes", "key").alias("codes")), "ngram-classes")
     maybe = connected_components(_stars(classes.withColumnRenamed("digest", "key"), bands), name="ngram-maybe")
-    grams = F.conv(F.hex(F.reverse(F.substring("node", 17, 4))), 16, 10).cast("bigint")  # a digest ends with its set's size
+    size = F.hex(F.substring("node", 17, 4))  # a digest ends with its set's size, the lowest byte first
+    grams = F.conv(F.concat(*[F.substring(size, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("bigint")
     sizes = maybe.groupBy("component").agg(F.count("*").alias("members"), F.sum(grams).alias("grams"))
     chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("grams") * 8 / CHUNK_BYTES))
     # a component's members spread evenly over its chunks by a hash of their digest
