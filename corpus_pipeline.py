@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 from lexweave.llm import byte_bpe, decontaminate, language_id, ngram_join, quality
 from lexweave.llm.common import materialize
 
-#: A document stays if some language is at least this likely.
-LANGUAGE_SCORE = 0.3
+#: A document stays if some language is this many times as likely as by chance (0.3 with four languages): a higher bound would take clean, short texts.
+LANGUAGE_TIMES = 1.2
 #: A document stays if its quality score is at least this.
 QUALITY_SCORE = 0.7
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: texts without a language (null, or no letter) or with no likely one go."""
+    """Language ID: texts without a language (null, or no letter) or with none that stands out go."""
     net = language_id.train(docs)
+    least = min(1.0, LANGUAGE_TIMES / max(1, len(net.languages)))
     found = language_id.predict(docs, net, lang_col="_lw_lang", score_col="_lw_score")
-    return found.filter((F.col("_lw_lang") != language_id.UNDETERMINED) & (F.col("_lw_score") >= LANGUAGE_SCORE)).select(docs.columns)
+    return found.filter((F.col("_lw_lang") != language_id.UNDETERMINED) & (F.col("_lw_score") >= least)).select(docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows of one id are told apart by their texts; of repeated rows (same id and
     text) one stays.
     """
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     own = docs.withColumn("_lw_key", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", digest.alias("digest"))))
     groups = ngram_join.jaccard_groups(own.select("_lw_key", "text"), key="_lw_key")
     gone = groups.filter("group_id <> key").select(F.col("key").alias("_lw_key")).distinct()
@@ -52,7 +53,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Whether one does depends on its text alone, so texts are told apart by a
     digest and rows with null or repeated ids are treated like all others.
     """
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     index = decontaminate.build_index(docs.select("text", digest.alias("digest")), key="digest")
     found = decontaminate.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
     gone = found.filter(F.size("runs") > 0).select("key").distinct()
