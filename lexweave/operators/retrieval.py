@@ -13,6 +13,8 @@ from .scoring import Bests
 
 #: Queries whose vectors go to all executors at once; more take further passes.
 QUERY_BLOCK = 4_000
+#: Cosines of one pair of vectors may differ by so much, as sums are taken in another order.
+NOISE = 1e-12
 
 
 def _matrix(column: pa.Array, rows: int) -> np.ndarray:
@@ -91,7 +93,8 @@ def cosine_scores(queries: DataFrame, candidates: DataFrame, k: int = 10) -> Dat
 def cosine_ranks(queries: DataFrame, candidates: DataFrame, expected: DataFrame) -> DataFrame:
     """(query_id, canonical_id, expected_score, expected_rank) of each query's expected candidate, by counting the candidates that beat it.
 
-    Each candidate has one vector, so tasks count apart; equal scores go to the smaller id.
+    Each candidate has one vector, so tasks count apart; scores that differ by
+    no more than the noise of sums count as equal and go to the smaller id.
     """
     spark, out = queries.sparkSession, None
     target = candidates.select(F.col("canonical_id").cast("long"), F.col("vector").alias("target"))
@@ -106,7 +109,8 @@ def cosine_ranks(queries: DataFrame, candidates: DataFrame, expected: DataFrame)
             ids, unit, target, score = sent.value
             count = np.zeros(len(ids), np.int64)
             for _, canonical, scores in _products(batches, ids, unit):
-                better = (scores > score) | ((scores == score) & (canonical[:, None] < target))
+                above = scores - score
+                better = (above > NOISE) | ((above >= -NOISE) & (canonical[:, None] < target))
                 count += (better & (canonical[:, None] != target)).sum(0)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(target), pa.array(score), pa.array(count)], ["query_id", "canonical_id", "expected_score", "n"])
 

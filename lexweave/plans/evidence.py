@@ -675,6 +675,60 @@ def answers_by_index(h: Host) -> DataFrame:
 SQL["answers_by_index"] = "SELECT sha256(text) AS text_id, CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM (SELECT DISTINCT text FROM benchmark)"
 
 
+# ------------------------------------------------------------------ pages --
+def _page_sql() -> str:
+    plain = "html"
+    for pattern in ("<script.*?</script>", "<style.*?</style>", "<!--.*?-->", "<[^>]*>"):
+        plain = f"regexp_replace({plain}, '{pattern}', ' ', 'gs')"
+    decoded = lambda x: f"replace(replace(replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+    folded = lambda x: f"trim(regexp_replace({decoded(x)}, '\\s+', ' ', 'g'))"
+    first = lambda tag: f"{folded(f"regexp_extract(html, '<{tag}[^>]*>(.*?)</{tag}>', 1, 's')")}"
+    return f"SELECT page_id, {first('title')} AS title, {first('h1')} AS heading, CAST(length({folded(plain)}) AS BIGINT) AS text_chars, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS links, CAST(len(regexp_extract_all(html, '<h[1-6][ >]')) AS BIGINT) AS headings, CAST(NULL AS VARCHAR) AS work FROM pages"
+
+
+SQL["page_metadata"] = _page_sql()
+
+
+@query
+def work_pages(h: Host) -> DataFrame:
+    """Work pages made of orders, and what is read from them: tags by type, numbers, chapters."""
+    from ..operators import pages
+
+    rows = table(h.spark, h.sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    k = F.col("o_orderkey").cast("string")
+    name = F.concat(F.lit("Work &amp; "), k)
+    html = F.concat(
+        F.lit('<html><h2 class="title heading"> '), name, F.lit(' </h2><dl class="work meta group"><dd class="fandom tags"><ul><li><a class="tag" href="/tags/1">A  <i>b</i></a></li></ul></dd><dd class="freeform tags"><a class="tag" href="/tags/2">c'), k,
+        F.lit('</a></dd><dd class="language">English</dd><dd class="stats"><dl class="stats"><dd class="words">'), F.format_number(F.floor("o_totalprice"), 0), F.lit('</dd><dd class="hits">7</dd></dl></dd></dl><script>var x = "<b>";</script><div class="chapter" id="chapter-1"><a href="/works/'), k,
+        F.lit("/chapters/3\">next</a></p></div></html>"),
+    )
+    spoilt = F.when(F.col("o_orderkey") % 10 == 0, F.lit("<html>please log in</html>")).otherwise(html)
+    found = pages.page_metadata(rows.select("o_orderkey", spoilt.alias("html"))).select("o_orderkey", "work")
+    path = lambda p: F.get_json_object("work", p)
+    return found.select("o_orderkey", path("$.work_id").cast("bigint").alias("work_id"), path("$.title").alias("title"), path("$.language").alias("language"), path("$.tags.Fandom[0].name").alias("fandom"), path("$.tags.Freeform[0].name").alias("freeform"), path("$.stats.words").cast("bigint").alias("words"), path("$.stats.kudos").cast("bigint").alias("kudos"), path("$.chapter_urls[0]").alias("chapter"))
+
+
+SQL["work_pages"] = """SELECT o_orderkey, CASE WHEN ok THEN CAST(o_orderkey AS BIGINT) END AS work_id, CASE WHEN ok THEN 'Work & ' || o_orderkey END AS title, CASE WHEN ok THEN 'English' END AS language, CASE WHEN ok THEN 'A b' END AS fandom, CASE WHEN ok THEN 'c' || o_orderkey END AS freeform,
+  CASE WHEN ok THEN CAST(floor(o_totalprice) AS BIGINT) END AS words, CAST(NULL AS BIGINT) AS kudos, CASE WHEN ok THEN '/works/' || o_orderkey || '/chapters/3' END AS chapter FROM (SELECT *, o_orderkey % 10 <> 0 AS ok FROM orders)"""
+
+
+@query
+def running_profiles(h: Host) -> DataFrame:
+    """Profile sums over a stream of works, run to the end of what there is."""
+    from ..streaming import replay
+
+    spark, path = h.spark, shared_path(h.spark, "stream")
+    own = Profiles(h).candidate_works().select("profile", "word_count", "complete", "restricted")
+    own.write.parquet(f"{path}/in")
+    name = "profiles_" + path.rsplit("-", 1)[-1]
+    stream = replay.running_profiles(spark.readStream.schema(own.schema).parquet(f"{path}/in"))
+    stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+SQL["running_profiles"] = o.PROFILE + "SELECT profile, n, words_n, band_0, band_1, band_2, band_3, complete, restricted FROM (" + o.accumulate("mw") + ")"
+
+
 # --------------------------------------------------- scorers' twins in SQL --
 def _extents(whole_words: bool) -> str:
     """Runs of trigrams (or of whole words): every start and end, its distinct trigrams, and how many of the query's are among them."""

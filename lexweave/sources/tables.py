@@ -288,22 +288,53 @@ def editable_csv(path: str | Path, fields: list[str], ids: list[str]) -> bool:
     return True
 
 
-def write_review_page(path: str | Path, title: str, packet: object) -> None:
-    """One offline page with a search over names and aliases; markup in the data stays text."""
-    data = json.dumps(packet, ensure_ascii=False).replace("&", "\\u0026").replace("<", "\\u003c").replace(">", "\\u003e")
+#: What a reviewer may judge, and how sure.
+JUDGMENTS, CONFIDENCE = ("", "synonym", "new_canonical", "unresolved"), ("", "high", "medium", "low")
+REVIEW_FIELDS = ("source_id", "reviewer", "judgment", "canonical_id", "proposed_name", "confidence", "catalogue_checked", "rationale")
+
+
+def write_review_page(path: str | Path, title: str, packet: object, cases: list[dict[str, object]] | None = None) -> None:
+    """One offline page: a search over names and aliases and, for given cases, a form for each that keeps its answers in the browser and exports them as CSV.
+
+    Markup in the data stays text: it is never read as HTML, by the page or by its parser.
+    """
+    safe = lambda x: json.dumps(x, ensure_ascii=False).replace("&", "\\u0026").replace("<", "\\u003c").replace(">", "\\u003e")
     head = title.replace("&", "&amp;").replace("<", "&lt;")
+    form = {"cases": cases or [], "fields": REVIEW_FIELDS, "choices": {"judgment": JUDGMENTS, "confidence": CONFIDENCE, "catalogue_checked": ("", "yes", "no")}, "packet": fingerprint([cases or [], packet])}
     Path(path).write_text(
-        f"""<!doctype html><meta charset="utf-8"><title>{head}</title><h1>{head}</h1><input id="q" placeholder="words, or #id"><p id="n"></p><ol id="r"></ol>
-<script type="application/json" id="d">{data}</script>
+        f"""<!doctype html><meta charset="utf-8"><title>{head}</title><h1>{head}</h1><input id="q" placeholder="words, or #id"><p id="n"></p><ol id="r"></ol><section id="f"></section>
+<script type="application/json" id="d">{safe(packet)}</script>
+<script type="application/json" id="c">{safe(form)}</script>
 <script>
-const rows = JSON.parse(document.getElementById('d').textContent);
+const read = id => JSON.parse(document.getElementById(id).textContent), rows = read('d'), form = read('c');
+const make = (name, text) => {{ const e = document.createElement(name); if (text !== undefined) e.textContent = text; return e; }};
 const show = () => {{
   const q = document.getElementById('q').value.trim().toLowerCase(), words = q.split(/\\s+/);
   const hit = rows.filter(r => q.startsWith('#') ? String(r.id) === q.slice(1) : words.every(w => [r.name, ...(r.aliases || [])].join(' ').toLowerCase().includes(w)));
   document.getElementById('n').textContent = hit.length + ' found, first 100 shown';
-  document.getElementById('r').replaceChildren(...hit.slice(0, 100).map(r => {{ const e = document.createElement('li'); e.textContent = r.id + ' ' + r.name; return e; }}));
+  document.getElementById('r').replaceChildren(...hit.slice(0, 100).map(r => make('li', r.id + ' ' + r.name)));
 }};
 document.getElementById('q').oninput = show; show();
+const place = 'review-' + form.packet, kept = JSON.parse(localStorage.getItem(place) || '{{}}');
+const answer = c => kept[c.source_id] ||= Object.fromEntries(form.fields.map(f => [f, f === 'source_id' ? String(c.source_id) : '']));
+const entry = (c, f) => {{
+  const e = make(form.choices[f] ? 'select' : 'input');
+  (form.choices[f] || []).forEach(v => e.append(make('option', v)));
+  e.value = answer(c)[f]; e.readOnly = f === 'source_id'; e.name = f;
+  e.onchange = () => {{ answer(c)[f] = e.value; localStorage.setItem(place, JSON.stringify(kept)); }};
+  const label = make('label', f + ' '); label.append(e); return label;
+}};
+document.getElementById('f').append(...form.cases.map(c => {{
+  const box = make('fieldset'); box.append(make('legend', c.source_id + ' ' + c.name), ...form.fields.map(f => entry(c, f))); return box;
+}}));
+if (form.cases.length) {{
+  const b = make('button', 'Export CSV'), cell = v => '"' + String(v).replaceAll('"', '""') + '"';
+  b.onclick = () => {{
+    const lines = [form.fields, ...form.cases.map(c => form.fields.map(f => answer(c)[f]))].map(r => r.map(cell).join(',')).join('\\n') + '\\n';
+    const a = make('a'); a.href = URL.createObjectURL(new Blob([lines], {{type: 'text/csv'}})); a.download = 'judgments.csv'; a.click();
+  }};
+  document.getElementById('f').append(b);
+}}
 </script>
 """,
         encoding="utf-8",
