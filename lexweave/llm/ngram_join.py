@@ -14,9 +14,11 @@ Steps, each over all rows:
    from each member to its smallest, and connected components of those edges
    collect what can possibly be linked (a star, never all pairs);
 3. only texts in such components are read again; their n-gram sets go to blocks
-   of the component.  A component of many classes is cut into chunks and each
-   pair of chunks is a block of its own, so no task holds more than two chunks
-   and every pair still meets exactly once;
+   of the component.  A component of many classes is cut into chunks, by number
+   and bytes, and each pair of chunks is a block of its own, so no task holds more
+   than two chunks and every pair still meets exactly once; a component that is a
+   long chain of chance meetings is dealt by its band buckets instead
+   (:func:`_by_buckets`);
 4. a block verifies the pairs that share a band on their full sets and returns,
    for each class, its number of linked documents and the edges that join the
    block's linked classes, again a star;
@@ -37,12 +39,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordHasher, alnum_table, grouped, map_arrow, materialize, mix64, partitions, text_slices
 from .components import connected_components, spread_join
 
 #: Classes in a chunk of a large component, and bytes of their sets, about; a block holds two chunks.
 CHUNK, CHUNK_BYTES = 512, 4 << 20
+#: A component with more chunks may be compared bucket by bucket instead.
+MOST_CHUNKS = 16
 #: Shingle columns of one dense product.
 COLUMNS = 4096
 
@@ -142,23 +147,63 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return map_arrow(docs, run, f"key {docs.schema['key'].dataType.simpleString()}, digest binary, codes binary")
 
 
-def _stars(classes: DataFrame, bands: int) -> DataFrame:
-    """(a, b): each member of a band bucket and the bucket's smallest class."""
+def _entries(classes: DataFrame, bands: int, name: str) -> DataFrame:
+    """(key, code, and the other columns) of every class and band."""
+    kept = [c for c in classes.columns if c != "codes"]
+    schema = T.StructType([classes.schema[c] for c in kept] + [T.StructField("code", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = np.frombuffer(b"".join(x.as_py() for x in batch.column("codes")), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(np.repeat(np.arange(batch.num_rows), bands))), pa.array(codes)], ["key", "code"])
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), bands))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(rows) for c in kept], pa.array(codes)], [*kept, "code"])
+
+    return materialize(map_arrow(classes, run, schema), name)
 
-    entries = materialize(map_arrow(classes.select("key", "codes"), run, f"key {classes.schema['key'].dataType.simpleString()}, code bigint"), "ngram-bands")
+
+def _stars(classes: DataFrame, bands: int) -> DataFrame:
+    """(a, b): each member of a band bucket and the bucket's smallest class."""
+    entries = _entries(classes.select("key", "codes"), bands, "ngram-bands")
     heads = entries.groupBy("code").agg(F.min("key").alias("head"), F.count("*").alias("n")).filter("n > 1").select("code", "head")
     return entries.join(heads, "code").filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct()
 
 
-def verify_block(sets: list[np.ndarray], codes: np.ndarray, half: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def _deal(blocks: DataFrame) -> DataFrame:
+    """Rows once for each pair of chunks that theirs is in."""
+    pair = F.explode(F.expr("transform(sequence(0, cast(chunks AS int) - 1), c -> struct(least(c, chunk) AS low, greatest(c, chunk) AS high))"))
+    return blocks.withColumn("p", pair).select("key", "component", F.col("p.low").alias("low"), F.col("p.high").alias("high"), "chunk", "copies", "codes", "grams", "own")
+
+
+def _by_buckets(blocks: DataFrame, bands: int) -> tuple[DataFrame, DataFrame | None]:
+    """(what is to be compared within components, what within band buckets or None).
+
+    A component is a group of near copies, or a chain of chance meetings.  Of a
+    group every pair of chunks must meet; of a long chain few do, and its sets
+    are sent less often if only the members of a bucket meet.  Where a component
+    has many chunks, the way that sends fewer sets is taken; both find the same
+    pairs.
+    """
+    large = blocks.filter(F.col("chunks") > MOST_CHUNKS)
+    if large.isEmpty():
+        return blocks, None
+    own = large.select("key", "codes", F.octet_length("grams").cast("bigint").alias("bytes")).dropDuplicates(["key"])
+    entries = _entries(own, bands, "ngram-large-bands")
+    parts = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("size") / CHUNK_BYTES)).alias("parts")
+    buckets = materialize(entries.groupBy("code").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).filter("n > 1").select("code", parts), "ngram-buckets")
+    meets = materialize(spread_join(entries.select("key", "code"), buckets, "code", entries.count()), "ngram-meets")
+    sent = large.select("key", "component", "chunks").dropDuplicates(["key"]).join(meets.groupBy("key").agg(F.sum("parts").alias("sent")), "key", "left")
+    chains = materialize(sent.groupBy("component").agg(F.sum("sent").alias("sent"), F.sum("chunks").alias("direct")).filter("sent < direct").select("component"), "ngram-chains")
+    scattered = large.join(chains, "component", "left_semi").drop("own", "chunks", "chunk", "component").join(meets, "key")
+    scattered = scattered.select("key", F.unhex(F.hex("code")).alias("component"), F.col("parts").alias("chunks"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("chunk"), "copies", "codes", "grams", F.col("code").alias("own"))
+    return blocks.join(chains, "component", "left_anti"), scattered
+
+
+def verify_block(sets: list[np.ndarray], codes: np.ndarray, half: np.ndarray, threshold: float, own: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j), i < j, that share a band and whose sets have a Jaccard similarity of at least the threshold.
 
-    ``half``: the chunk of each member; if there are two, only pairs across them count.
+    ``half``: the chunk of each member; if there are two, only pairs across them
+    count.  ``own``: the code that all share, in the block of a bucket; pairs that
+    share a smaller one are left to that one's.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
@@ -167,7 +212,10 @@ def verify_block(sets: list[np.ndarray], codes: np.ndarray, half: np.ndarray, th
     right = np.flatnonzero(half == half.max()) if two else np.arange(n)
     shared = np.zeros((len(left), len(right)), bool)
     for k in range(codes.shape[1]):
-        shared |= codes[left, k][:, None] == codes[right, k][None]
+        equal = codes[left, k][:, None] == codes[right, k][None]
+        shared |= equal if own is None else equal & (codes[left, k] < own)[:, None]
+    if own is not None:
+        shared = ~shared
     small, large = np.minimum(size[left][:, None], size[right][None]), np.maximum(size[left][:, None], size[right][None])
     shared &= small >= threshold * large - 1e-9
     if not two:
@@ -241,8 +289,10 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     numbered = spread_join(maybe, sizes, "component", maybe.count()).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     members = materialize(numbered.join(classes, F.col("node") == F.col("digest")).select(F.col("first").alias("key"), "digest", "component", "chunks", "chunk", "copies", "codes"), "ngram-members")
     blocks = materialize(_with_sets(source.join(members, "key"), n), "ngram-sets", "lz4")
-    pair = F.explode(F.expr("transform(sequence(0, cast(chunks AS int) - 1), c -> struct(least(c, chunk) AS low, greatest(c, chunk) AS high))"))
-    dealt = blocks.select("key", "component", "chunk", "chunks", "copies", "codes", "grams", pair.alias("p")).select("key", "component", F.col("p.low").alias("low"), F.col("p.high").alias("high"), "chunk", "chunks", "copies", "codes", "grams")
+    within, scattered = _by_buckets(blocks.withColumn("own", F.lit(None).cast("bigint")), bands)
+    dealt = _deal(within)
+    if scattered is not None:
+        dealt = dealt.unionByName(_deal(scattered))
     keys = ["component", "low", "high"]
     sorted_ = dealt.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, "key")
     found = materialize(_verified(sorted_, keys, threshold), "ngram-links")
@@ -293,7 +343,8 @@ def _verified(dealt: DataFrame, keys: list[str], threshold: float) -> DataFrame:
             codes = np.frombuffer(b"".join(x.as_py() for x in block.column("codes")), np.uint64).reshape(len(sets), -1)
             if block.column("low")[0].as_py() != block.column("high")[0].as_py() and len(np.unique(half)) < 2:
                 continue
-            i, j = verify_block(sets, codes, half, threshold)
+            own = block.column("own")[0].as_py()
+            i, j = verify_block(sets, codes, half, threshold, None if own is None else np.int64(own).view(np.uint64))
             copies = block.column("copies").to_numpy()
             links = np.zeros(len(sets), np.int64)
             np.add.at(links, i, copies[j])
@@ -302,4 +353,4 @@ def _verified(dealt: DataFrame, keys: list[str], threshold: float) -> DataFrame:
             root = roots(len(sets), i, j)[at]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(links[at]), ids.take(pa.array(root))], ["key", "links", "root"])
 
-    return map_arrow(dealt.drop("chunks"), run, f"key {kind}, links bigint, root {kind}")
+    return map_arrow(dealt, run, f"key {kind}, links bigint, root {kind}")
