@@ -48,6 +48,8 @@ from .components import connected_components, spread_join
 CHUNK, CHUNK_BYTES = 512, 4 << 20
 #: A component with more chunks may be compared bucket by bucket instead.
 MOST_CHUNKS = 16
+#: What a set sent to a bucket costs, against one sent to a pair of chunks.
+BUCKET_COST = 1.0
 #: Shingle columns of one dense product.
 COLUMNS = 4096
 
@@ -192,7 +194,7 @@ def _by_buckets(blocks: DataFrame, bands: int) -> tuple[DataFrame, DataFrame | N
     buckets = materialize(entries.groupBy("code").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).filter("n > 1").select("code", parts), "ngram-buckets")
     meets = materialize(spread_join(entries.select("key", "code"), buckets, "code", entries.count()), "ngram-meets")
     sent = large.select("key", "component", "chunks").dropDuplicates(["key"]).join(meets.groupBy("key").agg(F.sum("parts").alias("sent")), "key", "left")
-    chains = materialize(sent.groupBy("component").agg(F.sum("sent").alias("sent"), F.sum("chunks").alias("direct")).filter("sent < direct").select("component"), "ngram-chains")
+    chains = materialize(sent.groupBy("component").agg(F.sum("sent").alias("sent"), F.sum("chunks").alias("direct")).filter(F.col("sent") * BUCKET_COST < F.col("direct")).select("component"), "ngram-chains")
     scattered = large.join(chains, "component", "left_semi").drop("own", "chunks", "chunk", "component").join(meets, "key")
     scattered = scattered.select("key", F.unhex(F.hex("code")).alias("component"), F.col("parts").alias("chunks"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("chunk"), "copies", "codes", "grams", F.col("code").alias("own"))
     return blocks.join(chains, "component", "left_anti"), scattered
