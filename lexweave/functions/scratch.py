@@ -10,14 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
-    Where that is unset, local mode takes a folder in the warehouse; a cluster
-    must name one, as a folder of the driver's machine is not its executors'.
+    Where that is unset, local mode takes a folder in the warehouse that goes
+    when the session's machine stops; a cluster must name one, as a folder of the
+    driver's machine is not its executors'.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named and sc.master.split("[")[0] != "local":
+    if named:
+        return named.rstrip("/")
+    if sc.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lexweave_checkpoints").rstrip("/")
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lexweave_{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
