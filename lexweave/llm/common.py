@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scratch import shared_folder
+
 #: Bytes of text that one vectorised step works on; a longer text is one step by itself.
 SLICE_BYTES = 2 << 20
 #: Bytes of rows that go to a Python worker at once; a larger row goes by itself.
@@ -23,18 +25,8 @@ BATCH_BYTES = 4 << 20
 
 # ---------------------------------------------------------------- scratch --
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Where that is unset, local mode takes a folder in the warehouse; a cluster
-    must name one, as a folder of the driver's machine is not its executors'.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lexweave_scratch"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    """The shared folder (:func:`~lexweave.functions.scratch.shared_folder`)."""
+    return shared_folder(spark)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
