@@ -47,7 +47,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", name: str
         return label.select(F.col("u").alias("node"), F.col("l").alias("component"))
     hot = materialize(hot_keys(both, "v", n_edges), f"{name}-hot")
     while True:
-        near = spread_join(both, label.select(F.col("u").alias("v"), "l"), "v", n_edges, hot=hot).select("u", "l", F.lit(None).cast(label.schema["l"].dataType).alias("old"))
+        near = spread_join(
+            both, label.select(F.col("u").alias("v"), "l"), "v", n_edges, hot=hot
+        ).select("u", "l", F.lit(None).cast(label.schema["l"].dataType).alias("old"))
         own = label.select("u", "l", F.col("l").alias("old"))
         step, path = materialize_at(near.unionByName(own).groupBy("u").agg(F.min("l").alias("l"), F.min("old").alias("old")), f"{name}-step")
         after = spread_join(step, step.select(F.col("u").alias("l"), F.col("l").alias("ll")), "l", n_nodes, "left")

@@ -154,7 +154,9 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", segmen
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kind = source.schema["key"].dataType
     names = ["bounds", "terms", "starts", "deltas"]
-    schema = T.StructType([T.StructField("segment", T.StringType()), T.StructField("keys", T.ArrayType(kind))] + [T.StructField(c, T.BinaryType()) for c in names])
+    schema = T.StructType(
+        [T.StructField("segment", T.StringType()), T.StructField("keys", T.ArrayType(kind))] + [T.StructField(c, T.BinaryType()) for c in names]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -165,7 +167,10 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id", segmen
                 s = Segment.of(*hasher(data, offsets))
                 keys = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column("key").slice(a, b - a))
                 k += 1
-                yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{k}"]), keys] + [pa.array([x.tobytes()], pa.binary()) for x in (s.bounds, s.terms, s.starts, s.deltas)], ["segment", "keys", *names])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{part}-{k}"]), keys] + [pa.array([x.tobytes()], pa.binary()) for x in (s.bounds, s.terms, s.starts, s.deltas)],
+                    ["segment", "keys", *names]
+                )
 
     return materialize(map_arrow(source, run, schema), "positional-index")
 
@@ -188,9 +193,16 @@ def _item_blocks(items: DataFrame, text: str, key: str) -> Iterator[list[tuple[o
 
 def search(index: DataFrame, items: DataFrame, text: str = "text", key: str = "item_id", window: int = 10) -> DataFrame:
     """(key, n_words, runs) of every indexed document; runs: item_id, first word, word after the last."""
-    run_type = T.ArrayType(T.StructType([T.StructField("item_id", items.schema[key].dataType), T.StructField("first", T.LongType()), T.StructField("after", T.LongType())]))
+    run_type = T.ArrayType(
+        T.StructType([T.StructField("item_id", items.schema[key].dataType), T.StructField("first", T.LongType()), T.StructField("after", T.LongType())])
+    )
     key_type = index.schema["keys"].dataType.elementType
-    schema = T.StructType([T.StructField("segment", T.StringType()), T.StructField("ordinal", T.LongType()), T.StructField("key", key_type), T.StructField("n_words", T.LongType()), T.StructField("runs", run_type)])
+    schema = T.StructType(
+        [
+            T.StructField("segment", T.StringType()), T.StructField("ordinal", T.LongType()), T.StructField("key", key_type),
+            T.StructField("n_words", T.LongType()), T.StructField("runs", run_type)
+        ]
+    )
     spark = index.sparkSession
     passes = []
     for block in _item_blocks(items, text, key):
@@ -204,7 +216,13 @@ def search(index: DataFrame, items: DataFrame, text: str = "text", key: str = "i
                 ids = pa.array([phrases.ids[k] for k in item], _arrow(run_type.elementType["item_id"].dataType))
                 runs = pa.StructArray.from_arrays([ids, pa.array(first, pa.int64()), pa.array(after, pa.int64())], ["item_id", "first", "after"])
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), runs)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("segment")[i].as_py()] * n, pa.string()), pa.array(np.arange(n)), batch.column("keys")[i].values, pa.array(np.diff(s.bounds)), lists], ["segment", "ordinal", "key", "n_words", "runs"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([batch.column("segment")[i].as_py()] * n, pa.string()), pa.array(np.arange(n)),
+                        batch.column("keys")[i].values, pa.array(np.diff(s.bounds)), lists
+                    ],
+                    ["segment", "ordinal", "key", "n_words", "runs"]
+                )
 
         passes.append(map_arrow(index, run, schema))
     if len(passes) == 1:
@@ -212,7 +230,9 @@ def search(index: DataFrame, items: DataFrame, text: str = "text", key: str = "i
     out = passes[0]
     for p in passes[1:]:
         out = out.unionByName(p)
-    return out.groupBy("segment", "ordinal").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs")).select("key", "n_words", "runs")
+    return out.groupBy("segment", "ordinal").agg(
+        F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs")
+    ).select("key", "n_words", "runs")
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:
@@ -224,7 +244,9 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 def near(index: DataFrame, words: list[str], within: int) -> DataFrame:
     """(key, first, after) of the shortest spans of at most ``within`` words that hold all given words, one for each place of the rarest."""
     terms = np.unique(word_hash(WordHasher(alnum_table()), words))
-    schema = T.StructType([T.StructField("key", index.schema["keys"].dataType.elementType), T.StructField("first", T.LongType()), T.StructField("after", T.LongType())])
+    schema = T.StructType(
+        [T.StructField("key", index.schema["keys"].dataType.elementType), T.StructField("first", T.LongType()), T.StructField("after", T.LongType())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, s in _segments(batches):
@@ -247,14 +269,19 @@ def near(index: DataFrame, words: list[str], within: int) -> DataFrame:
                                 best[k] = a, e
             best = best[best[:, 0] >= 0]
             doc = np.searchsorted(s.bounds, best[:, 0], "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column("keys")[i].values.take(pa.array(doc)), pa.array(best[:, 0] - s.bounds[doc]), pa.array(best[:, 1] - s.bounds[doc])], ["key", "first", "after"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("keys")[i].values.take(pa.array(doc)), pa.array(best[:, 0] - s.bounds[doc]), pa.array(best[:, 1] - s.bounds[doc])],
+                ["key", "first", "after"]
+            )
 
     return map_arrow(index, run, schema)
 
 
 def hit_words(runs: str = "runs"):
     """Words covered by a document's runs, each counted once."""
-    return F.expr(f"aggregate(array_sort(transform({runs}, r -> struct(r.first AS f, r.after AS a))), struct(0L AS last, 0L AS n), (s, r) -> struct(greatest(s.last, r.a) AS last, s.n + greatest(0L, r.a - greatest(r.f, s.last)) AS n), s -> s.n)")
+    return F.expr(
+        f"aggregate(array_sort(transform({runs}, r -> struct(r.first AS f, r.after AS a))), struct(0L AS last, 0L AS n), (s, r) -> struct(greatest(s.last, r.a) AS last, s.n + greatest(0L, r.a - greatest(r.f, s.last)) AS n), s -> s.n)"
+    )
 
 
 def hit_items(runs: str = "runs"):

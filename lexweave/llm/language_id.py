@@ -167,7 +167,9 @@ def training_sample(docs: DataFrame, text: str, lang: str, key: str, texts_per_l
 
     Repeated rows count once, so the bound holds whatever repeats.
     """
-    labelled = docs.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter("t IS NOT NULL AND l IS NOT NULL AND t <> ''")
+    labelled = docs.select(
+        F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")
+    ).filter("t IS NOT NULL AND l IS NOT NULL AND t <> ''")
     shares = materialize(labelled.groupBy("l").agg((F.lit(float(texts_per_language)) / F.count("*")).alias("share")), "language-shares")
     if shares.count() <= FEW_LANGUAGES:
         shares = F.broadcast(shares)  # its size is checked; a longer table is joined by a shuffle
@@ -176,7 +178,10 @@ def training_sample(docs: DataFrame, text: str, lang: str, key: str, texts_per_l
     return chosen.dropDuplicates(["l", "h"]).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= texts_per_language).select("k", "t", "l")
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts_per_language: int = 600, windows_per_text: int = 6, size: int = 128, **options) -> ByteConvNet:
+def train(
+    docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", texts_per_language: int = 600, windows_per_text: int = 6,
+    size: int = 128, **options
+) -> ByteConvNet:
     """Fit a network on at most ``windows_per_text`` windows, spread evenly over the whole text, of the sampled texts."""
     sample = training_sample(docs, text, lang, key, texts_per_language)
 
@@ -189,7 +194,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
             rank = np.arange(len(doc)) - first[doc]
             chosen = (rank * windows_per_text) // np.maximum(per[doc], windows_per_text) != ((rank - 1) * windows_per_text) // np.maximum(per[doc], windows_per_text)
             keep = np.flatnonzero(chosen)
-            yield pa.RecordBatch.from_arrays([batch.column("l").take(pa.array(doc[keep])), batch.column("k").take(pa.array(doc[keep])), pa.array(rank[keep], pa.int64()), pa.array([x[i].tobytes() for i in keep], pa.binary())], ["l", "k", "r", "w"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("l").take(pa.array(doc[keep])), batch.column("k").take(pa.array(doc[keep])),
+                    pa.array(rank[keep], pa.int64()), pa.array([x[i].tobytes() for i in keep], pa.binary())
+                ],
+                ["l", "k", "r", "w"]
+            )
 
     rows = sorted((r["l"], r["k"], r["r"], bytes(r["w"])) for r in map_arrow(sample, cut, "l string, k string, r bigint, w binary").collect())
     languages = sorted({r[0] for r in rows})
@@ -218,7 +229,10 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return found
 
 
-def predict(docs: DataFrame, net: ByteConvNet, text: str = "text", lang_col: str = "lang_pred", score_col: str = "score", columns: list[str] | None = None) -> DataFrame:
+def predict(
+    docs: DataFrame, net: ByteConvNet, text: str = "text", lang_col: str = "lang_pred", score_col: str = "score",
+    columns: list[str] | None = None
+) -> DataFrame:
     """``docs`` (or the given columns of it) with the predicted language and its mean probability over the whole text."""
     kept = [c for c in (columns or docs.columns) if c not in (lang_col, score_col)]
     source = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])])

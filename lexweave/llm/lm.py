@@ -100,7 +100,10 @@ class LogBilinear:
     def prediction(self, far: np.ndarray, near: np.ndarray) -> np.ndarray:
         return self.vectors[near] * self.scale[0] + self.vectors[far] * self.scale[1]
 
-    def train(self, far: np.ndarray, near: np.ndarray, word: np.ndarray, weight: np.ndarray, state: list[np.ndarray], rng: np.random.Generator, noises: int = 48, batch: int = 2048, rate: float = 0.08) -> None:
+    def train(
+        self, far: np.ndarray, near: np.ndarray, word: np.ndarray, weight: np.ndarray, state: list[np.ndarray], rng: np.random.Generator,
+        noises: int = 48, batch: int = 2048, rate: float = 0.08
+    ) -> None:
         """One pass of noise-contrastive estimation over weighted (far, near, word) triples, with Adagrad steps."""
         cumulative = np.cumsum(self.noise)
         order = rng.permutation(len(word))
@@ -182,7 +185,12 @@ def grouped_hashes(hasher: WordHasher, data: np.ndarray, offsets: np.ndarray) ->
 def blocks_of(docs: DataFrame, text: str, key: str, train: Column) -> DataFrame:
     """Stored blocks: keys, train flags, words per text, word numbers, distinct word hashes and their training counts here."""
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("keys", T.ArrayType(source.schema["key"].dataType)), T.StructField("train", T.ArrayType(T.BooleanType()))] + [T.StructField(c, T.BinaryType()) for c in _BLOBS])
+    schema = T.StructType(
+        [
+            T.StructField("block", T.StringType()), T.StructField("keys", T.ArrayType(source.schema["key"].dataType)),
+            T.StructField("train", T.ArrayType(T.BooleanType()))
+        ] + [T.StructField(c, T.BinaryType()) for c in _BLOBS]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -198,7 +206,12 @@ def blocks_of(docs: DataFrame, text: str, key: str, train: Column) -> DataFrame:
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 blobs = {"words": np.diff(before), "local": local, "uniq": uniq, "own": own}
                 k += 1
-                yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{k}"]), one(batch.column("key").slice(a, b - a)), one(flags)] + [pa.array([blobs[c].astype(t).tobytes()], pa.binary()) for c, t in _BLOBS.items()], schema.names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{part}-{k}"]), one(batch.column("key").slice(a, b - a)), one(flags)] + [
+                        pa.array([blobs[c].astype(t).tobytes()], pa.binary()) for c, t in _BLOBS.items()
+                    ],
+                    schema.names
+                )
 
     return materialize(map_arrow(source, run, schema), "lm-blocks")
 
@@ -220,7 +233,14 @@ def count_words(blocks: DataFrame, shortlist: int) -> DataFrame:
                 at = np.append(np.searchsorted(uniq, edges), len(uniq))
                 full = np.flatnonzero(np.diff(at))
                 name = batch.column("block")[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(full)), pa.array(full, pa.int32()), pa.array([uniq[at[s] : at[s + 1]].tobytes() for s in full], pa.binary()), pa.array([own[at[s] : at[s + 1]].tobytes() for s in full], pa.binary())], ["block", "shard", "uniq", "own"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([name] * len(full)), pa.array(full, pa.int32()),
+                        pa.array([uniq[at[s] : at[s + 1]].tobytes() for s in full], pa.binary()),
+                        pa.array([own[at[s] : at[s + 1]].tobytes() for s in full], pa.binary())
+                    ],
+                    ["block", "shard", "uniq", "own"]
+                )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["block", "shard", "counts", "distinct", "total", "top", "top_counts"]
@@ -236,13 +256,28 @@ def count_words(blocks: DataFrame, shortlist: int) -> DataFrame:
             top = np.lexsort((uniq, -counts))[:shortlist]
             top = top[counts[top] > 0]
             group = (uniq % np.uint64(GROUPS)).astype(np.int64)
-            rows = [(part.column("block")[i].as_py(), shard, back[e - n : e].tobytes(), None, None, None, None) for i, (n, e) in enumerate(zip(sizes, ends, strict=True))]
-            rows.append((None, shard, None, np.bincount(group, weights=counts > 0, minlength=GROUPS).astype(np.int64).tolist(), np.bincount(group, weights=counts, minlength=GROUPS).astype(np.int64).tolist(), uniq[top].view(np.int64).tolist(), counts[top].tolist()))
+            rows = [
+                (part.column("block")[i].as_py(), shard, back[e - n : e].tobytes(), None, None, None, None) for i,
+                (n, e) in enumerate(zip(sizes, ends, strict=True))
+            ]
+            rows.append(
+                (
+                    None, shard, None, np.bincount(group, weights=counts > 0, minlength=GROUPS).astype(np.int64).tolist(),
+                    np.bincount(group, weights=counts, minlength=GROUPS).astype(np.int64).tolist(), uniq[top].view(np.int64).tolist(),
+                    counts[top].tolist()
+                )
+            )
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     rows = map_arrow(blocks.select("block", "uniq", "own"), cut, "block string, shard int, uniq binary, own binary")
     rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "block")
-    return materialize(map_arrow(rows, add, "block string, shard int, counts binary, distinct array<bigint>, total array<bigint>, top array<bigint>, top_counts array<bigint>"), "lm-counts")
+    return materialize(
+        map_arrow(
+            rows, add,
+            "block string, shard int, counts binary, distinct array<bigint>, total array<bigint>, top array<bigint>, top_counts array<bigint>"
+        ),
+        "lm-counts"
+    )
 
 
 # --------------------------------------------------------------- training --
@@ -288,7 +323,10 @@ def train_round(blocks: DataFrame, model: LogBilinear, frequent: np.ndarray, see
                     own.train(triples // wide // wide, triples // wide % wide, triples % wide, count.astype(float), state, rng)
                     total += int(use.sum())
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([float(total)]), pa.array([(own.flat() * total).tobytes()], pa.binary())], ["part", "weight", "model"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([float(total)]), pa.array([(own.flat() * total).tobytes()], pa.binary())],
+                ["part", "weight", "model"]
+            )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, total = 0.0, 0.0
@@ -376,7 +414,10 @@ class OwnWords:
         """(size, 3 * STATES) counts of the words of the groups over these tokens."""
         context, inverse = self.model.contexts(far, near)
         state, cluster = self.states(context)[inverse], self.cluster[word]
-        cells = [(p * 3 * STATES + q * STATES + c)[self.rare(x)] for q, (p, c, x) in enumerate(zip(places, (state, cluster, cluster), (word, near, far), strict=True))]
+        cells = [
+            (p * 3 * STATES + q * STATES + c)[self.rare(x)] for q,
+            (p, c, x) in enumerate(zip(places, (state, cluster, cluster), (word, near, far), strict=True))
+        ]
         return np.bincount(np.concatenate(cells), minlength=size * 3 * STATES).reshape(size, 3 * STATES)
 
     @staticmethod
@@ -394,7 +435,9 @@ class OwnWords:
         shares = share(n)
         return OwnWords(self.model, self.centres, self.cluster, shares, a + shares * (sums[:, -1:] + 1), np.stack([share(near), share(far)]))
 
-    def log_probabilities(self, far: np.ndarray, near: np.ndarray, word: np.ndarray, places: tuple[np.ndarray, np.ndarray, np.ndarray], counts: np.ndarray) -> np.ndarray:
+    def log_probabilities(
+        self, far: np.ndarray, near: np.ndarray, word: np.ndarray, places: tuple[np.ndarray, np.ndarray, np.ndarray], counts: np.ndarray
+    ) -> np.ndarray:
         """Natural logarithms; ``counts``: rows of the words that ``places`` number."""
         context, inverse = self.model.contexts(far, near)
         norm, mass = self.model.normalised(context, self.member)
@@ -447,7 +490,14 @@ def count_own(blocks: DataFrame, own: OwnWords, frequent: np.ndarray, shards: in
                 counts = own.count(far[use], near[use], word[use], tuple(p[use] for p in places_of(batch, i)), len(uniq))
                 at = np.append(np.searchsorted(uniq, edges), len(uniq))
                 for s in np.flatnonzero(np.diff(at)):
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()]), pa.array([s], pa.int32()), pa.array([uniq[at[s] : at[s + 1]].tobytes()], pa.binary()), pa.array([packed(counts[at[s] : at[s + 1]])], pa.binary())], ["block", "shard", "uniq", "own"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([batch.column("block")[i].as_py()]), pa.array([s], pa.int32()),
+                            pa.array([uniq[at[s] : at[s + 1]].tobytes()], pa.binary()),
+                            pa.array([packed(counts[at[s] : at[s + 1]])], pa.binary())
+                        ],
+                        ["block", "shard", "uniq", "own"]
+                    )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["block", "shard", "own", "sums"]
@@ -461,9 +511,15 @@ def count_own(blocks: DataFrame, own: OwnWords, frequent: np.ndarray, shards: in
             shard = part.column("shard")[0].as_py()
             for i, e in enumerate(ends):
                 back = packed(counts[inverse[e - len(words[i]) : e]])
-                yield pa.RecordBatch.from_arrays([pa.array([part.column("block")[i].as_py()]), pa.array([shard], pa.int32()), pa.array([back], pa.binary()), pa.array([None], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.column("block")[i].as_py()]), pa.array([shard], pa.int32()), pa.array([back], pa.binary()), pa.array([None], pa.binary())],
+                    names
+                )
             sums = own.sums(counts, (uniq % np.uint64(GROUPS)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([shard], pa.int32()), pa.array([None], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None], pa.string()), pa.array([shard], pa.int32()), pa.array([None], pa.binary()), pa.array([sums.tobytes()], pa.binary())],
+                names
+            )
 
     rows = map_arrow(blocks.select("block", "train", "words", "local", "uniq"), cut, "block string, shard int, uniq binary, own binary")
     rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "block")
@@ -484,7 +540,9 @@ def score_documents(docs: DataFrame, train: Column, text: str = "text", key: str
     """
     blocks = blocks_of(docs, text, key, train)
     counts = count_words(blocks, shortlist)
-    by_group = counts.filter("block IS NULL").select(F.posexplode(F.arrays_zip("distinct", "total")).alias("g", "x")).groupBy("g").agg(F.sum("x.distinct").alias("v"), F.sum("x.total").alias("n")).collect()
+    by_group = counts.filter("block IS NULL").select(
+        F.posexplode(F.arrays_zip("distinct", "total")).alias("g", "x")
+    ).groupBy("g").agg(F.sum("x.distinct").alias("v"), F.sum("x.total").alias("n")).collect()
     kinds, tokens = np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64)
     for r in by_group:
         kinds[r["g"]], tokens[r["g"]] = r["v"], r["n"]
@@ -506,7 +564,12 @@ def score_documents(docs: DataFrame, train: Column, text: str = "text", key: str
     others = others.with_sums(sums)
 
     kind = blocks.schema["keys"].dataType.elementType
-    schema = T.StructType([T.StructField("key", kind), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType(
+        [
+            T.StructField("key", kind), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
+            T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())
+        ]
+    )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -521,8 +584,22 @@ def score_documents(docs: DataFrame, train: Column, text: str = "text", key: str
                 base = np.log10((seen + 1) / (n + (v + 1)))
                 log = others.log_probabilities(far, near, word, places_of(batch, i), own_of(batch, i)) / np.log(10)
                 total = lambda x: np.bincount(owner, weights=x, minlength=docs_here)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([batch.column("keys")[i].values, pa.array(np.bincount(owner, minlength=docs_here), pa.int64()), pa.array(total(seen > 0).astype(np.int64)), pa.array(np.full(docs_here, n), pa.int64()), pa.array(total(base)), pa.array(total(log))], schema.names)
-
-    back = counts.filter("block IS NOT NULL").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "counts"))).alias("c")).select("block", F.transform("c", lambda x: x["counts"]).alias("counts"))
-    own_back = tables.filter("block IS NOT NULL").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("shard", "own"))).alias("c")).select("block", F.transform("c", lambda x: x["own"]).alias("others"))
-    return map_arrow(blocks.select("block", "keys", "words", "local", "uniq").join(back, "block", "left").join(own_back, "block", "left").drop("block"), score, schema)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("keys")[i].values, pa.array(np.bincount(owner, minlength=docs_here), pa.int64()),
+                        pa.array(total(seen > 0).astype(np.int64)), pa.array(np.full(docs_here, n), pa.int64()), pa.array(total(base)),
+                        pa.array(total(log))
+                    ],
+                    schema.names
+                )
+
+    back = counts.filter("block IS NOT NULL").groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("shard", "counts"))).alias("c")
+    ).select("block", F.transform("c", lambda x: x["counts"]).alias("counts"))
+    own_back = tables.filter("block IS NOT NULL").groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("shard", "own"))).alias("c")
+    ).select("block", F.transform("c", lambda x: x["own"]).alias("others"))
+    return map_arrow(
+        blocks.select("block", "keys", "words", "local", "uniq").join(back, "block", "left").join(own_back, "block", "left").drop("block"),
+        score, schema
+    )

@@ -144,7 +144,10 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 blobs, k = [None] * (b - a), 0
                 for i in np.flatnonzero(has):
                     blobs[i], k = codes[k].tobytes(), k + 1
-                yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), pa.array(digest, pa.binary()), pa.array(blobs, pa.binary())], ["key", "digest", "codes"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").slice(a, b - a), pa.array(digest, pa.binary()), pa.array(blobs, pa.binary())],
+                    ["key", "digest", "codes"]
+                )
 
     return map_arrow(docs, run, f"key {docs.schema['key'].dataType.simpleString()}, digest binary, codes binary")
 
@@ -173,7 +176,9 @@ def _stars(classes: DataFrame, bands: int) -> DataFrame:
 def _deal(blocks: DataFrame) -> DataFrame:
     """Rows once for each pair of chunks that theirs is in."""
     pair = F.explode(F.expr("transform(sequence(0, cast(chunks AS int) - 1), c -> struct(least(c, chunk) AS low, greatest(c, chunk) AS high))"))
-    return blocks.withColumn("p", pair).select("key", "component", F.col("p.low").alias("low"), F.col("p.high").alias("high"), "chunk", "copies", "codes", "grams", "own")
+    return blocks.withColumn("p", pair).select(
+        "key", "component", F.col("p.low").alias("low"), F.col("p.high").alias("high"), "chunk", "copies", "codes", "grams", "own"
+    )
 
 
 def _by_buckets(blocks: DataFrame, bands: int) -> tuple[DataFrame, DataFrame | None]:
@@ -191,12 +196,23 @@ def _by_buckets(blocks: DataFrame, bands: int) -> tuple[DataFrame, DataFrame | N
     own = large.select("key", "codes", F.octet_length("grams").cast("bigint").alias("bytes")).dropDuplicates(["key"])
     entries = _entries(own, bands, "ngram-large-bands")
     parts = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("size") / CHUNK_BYTES)).alias("parts")
-    buckets = materialize(entries.groupBy("code").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).filter("n > 1").select("code", parts), "ngram-buckets")
+    buckets = materialize(
+        entries.groupBy("code").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).filter("n > 1").select("code", parts),
+        "ngram-buckets"
+    )
     meets = materialize(spread_join(entries.select("key", "code"), buckets, "code", entries.count()), "ngram-meets")
     sent = large.select("key", "component", "chunks").dropDuplicates(["key"]).join(meets.groupBy("key").agg(F.sum("parts").alias("sent")), "key", "left")
-    chains = materialize(sent.groupBy("component").agg(F.sum("sent").alias("sent"), F.sum("chunks").alias("direct")).filter(F.col("sent") * BUCKET_COST < F.col("direct")).select("component"), "ngram-chains")
+    chains = materialize(
+        sent.groupBy("component").agg(
+            F.sum("sent").alias("sent"), F.sum("chunks").alias("direct")
+        ).filter(F.col("sent") * BUCKET_COST < F.col("direct")).select("component"),
+        "ngram-chains"
+    )
     scattered = large.join(chains, "component", "left_semi").drop("own", "chunks", "chunk", "component").join(meets, "key")
-    scattered = scattered.select("key", F.unhex(F.hex("code")).alias("component"), F.col("parts").alias("chunks"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("chunk"), "copies", "codes", "grams", F.col("code").alias("own"))
+    scattered = scattered.select(
+        "key", F.unhex(F.hex("code")).alias("component"), F.col("parts").alias("chunks"),
+        F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("chunk"), "copies", "codes", "grams", F.col("code").alias("own")
+    )
     return blocks.join(chains, "component", "left_anti"), scattered
 
 
@@ -281,15 +297,25 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     source = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     signed = materialize(_signatures(source, n, bands, rows), "ngram-signatures")
     worded = signed.filter("key IS NOT NULL AND digest IS NOT NULL")
-    classes = materialize(worded.groupBy("digest").agg(F.min("key").alias("first"), F.count_distinct("key").alias("copies"), F.min_by("codes", "key").alias("codes")), "ngram-classes")
+    classes = materialize(
+        worded.groupBy("digest").agg(F.min("key").alias("first"), F.count_distinct("key").alias("copies"), F.min_by("codes", "key").alias("codes")),
+        "ngram-classes"
+    )
     maybe = connected_components(_stars(classes.withColumnRenamed("digest", "key"), bands), name="ngram-maybe")
     size = F.hex(F.substring("node", 17, 4))  # a digest ends with its set's size, the lowest byte first
     grams = F.conv(F.concat(*[F.substring(size, k, 2) for k in (7, 5, 3, 1)]), 16, 10).cast("bigint")
     sizes = maybe.groupBy("component").agg(F.count("*").alias("members"), F.sum(grams).alias("grams"))
     chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("grams") * 8 / CHUNK_BYTES))
     # a component's members spread evenly over its chunks by a hash of their digest
-    numbered = spread_join(maybe, sizes, "component", maybe.count()).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    members = materialize(numbered.join(classes, F.col("node") == F.col("digest")).select(F.col("first").alias("key"), "digest", "component", "chunks", "chunk", "copies", "codes"), "ngram-members")
+    numbered = spread_join(maybe, sizes, "component", maybe.count()).withColumn("chunks", chunks).withColumn(
+        "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    )
+    members = materialize(
+        numbered.join(classes, F.col("node") == F.col("digest")).select(
+            F.col("first").alias("key"), "digest", "component", "chunks", "chunk", "copies", "codes"
+        ),
+        "ngram-members"
+    )
     blocks = materialize(_with_sets(source.join(members, "key"), n), "ngram-sets", "lz4")
     within, scattered = _by_buckets(blocks.withColumn("own", F.lit(None).cast("bigint")), bands)
     dealt = _deal(within)
@@ -303,10 +329,19 @@ def jaccard_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     by_class = classes.select(F.col("digest").alias("key"), "first", "copies").join(links, "key", "left").join(joined.withColumnRenamed("node", "key"), "key", "left")
     smallest = by_class.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("group"))
     by_class = by_class.join(smallest, "component", "left")
-    by_class = by_class.select(F.col("key").alias("digest"), F.col("first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("group", "first").alias("group_id"))
+    by_class = by_class.select(
+        F.col("key").alias("digest"), F.col("first").alias("class_id"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("group", "first").alias("group_id")
+    )
     out = signed.join(by_class, "digest", "left")
     own = F.col("key").isNull()
-    return out.select("key", *[F.when(own, empty).otherwise(F.coalesce(c, empty)).alias(c) for c, empty in (("class_id", F.col("key")), ("n_links", F.lit(0).cast("bigint")), ("group_id", F.col("key")))])
+    return out.select(
+        "key",
+        *[
+            F.when(own, empty).otherwise(F.coalesce(c, empty)).alias(c) for c,
+            empty in (("class_id", F.col("key")), ("n_links", F.lit(0).cast("bigint")), ("group_id", F.col("key")))
+        ]
+    )
 
 
 def _with_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -323,7 +358,9 @@ def _with_sets(docs: DataFrame, n: int) -> DataFrame:
                 wanted = batch.column("digest").slice(a, b - a).to_pylist()
                 own = [i for i, d in enumerate(digests(sets, bounds)) if d == wanted[i]]
                 blobs = [sets[bounds[i] : bounds[i + 1]].tobytes() for i in own]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a).take(pa.array(own, pa.int64())) for c in kept] + [pa.array(blobs, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).slice(a, b - a).take(pa.array(own, pa.int64())) for c in kept] + [pa.array(blobs, pa.binary())], names
+                )
 
     return map_arrow(docs, run, schema)
 

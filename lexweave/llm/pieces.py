@@ -138,7 +138,9 @@ def encode_pieces(data: np.ndarray, offsets: np.ndarray, learn: Learn) -> tuple[
     cuts = list(windows(data, offsets))
     if not cuts:
         return np.zeros(0, "<u4"), begins
-    pieces = pa.chunked_array([pa.Array.from_buffers(pa.binary(), len(s) - 1, [None, pa.py_buffer(s), pa.py_buffer(data[pos : pos + int(s[-1])])]) for pos, s in cuts]).dictionary_encode()
+    pieces = pa.chunked_array(
+        [pa.Array.from_buffers(pa.binary(), len(s) - 1, [None, pa.py_buffer(s), pa.py_buffer(data[pos : pos + int(s[-1])])]) for pos, s in cuts]
+    ).dictionary_encode()
     distinct, places = pieces.chunk(0).dictionary, [c.indices.to_numpy() for c in pieces.chunks]
     del pieces
     flat, size = learn(distinct, sum(np.bincount(at, minlength=len(distinct)) for at in places))

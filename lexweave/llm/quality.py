@@ -47,7 +47,10 @@ def _byte_classes() -> np.ndarray:
     return t
 
 
-STATISTICS = ("upper", "digit", "stop_marks", "excited", "pipe", "symbol", "other_mark", "high", "control", "word_length", "word_spread", "long_words", "adjacent_repeats", "distinct_words", "line_length", "upper_starts")
+STATISTICS = (
+    "upper", "digit", "stop_marks", "excited", "pipe", "symbol", "other_mark", "high", "control", "word_length", "word_spread",
+    "long_words", "adjacent_repeats", "distinct_words", "line_length", "upper_starts"
+)
 #: Rates of ordinary prose; a short text's rates are drawn towards them, as if it held this many further bytes or words of prose.
 PROSE = {1: 0.03, 2: 0.005, 5: 0.02, 6: 0.002, 7: 0.001, 8: 0.001, 9: 0.005, 10: 0.02, 11: 0.001}
 PROSE_BYTES, PROSE_WORDS = 120, 20
@@ -83,7 +86,9 @@ def statistics(data: np.ndarray, offsets: np.ndarray, hasher: WordHasher) -> np.
     share = lambda x, usual: np.log((x + PROSE_WORDS * usual) / (words + PROSE_WORDS) + 1e-2)
     return np.stack([
         *(ratio(k) for k in PROSE),
-        np.log((total(length) + 6 * PROSE_WORDS) / (words + PROSE_WORDS)), np.log((total((length - mean[owner]) ** 2) + 9 * PROSE_WORDS) / (words + PROSE_WORDS)),
+        np.log((total(length) + 6 * PROSE_WORDS) / (words + PROSE_WORDS)), np.log(
+            (total((length - mean[owner]) ** 2) + 9 * PROSE_WORDS) / (words + PROSE_WORDS)
+        ),
         share(total((length > 20).astype(float)), 0.01), share(total(same), 0.005), np.log(distinct + 5) - 0.85 * np.log(words + 5),
         np.log((size + 3 * PROSE_BYTES) / (counts[:, 4] + 1)), share(upper_start, 0.1),
     ], 1)
@@ -113,7 +118,9 @@ class QuadraticDiscriminant:
     logdets: np.ndarray | None = None
 
     @classmethod
-    def from_moments(cls, count: np.ndarray, total: np.ndarray, products: np.ndarray, shrink: float = 0.1, diagonal: float = 0.1, floor: float = 1e-4) -> QuadraticDiscriminant:
+    def from_moments(
+        cls, count: np.ndarray, total: np.ndarray, products: np.ndarray, shrink: float = 0.1, diagonal: float = 0.1, floor: float = 1e-4
+    ) -> QuadraticDiscriminant:
         """count (2,), sums (2, k) and sums of products (2, k, k) of the classes 0 and 1."""
         if count.sum() == 0:
             return cls(0.5)
@@ -140,7 +147,9 @@ class QuadraticDiscriminant:
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", **options) -> QuadraticDiscriminant:
     """Fit on all rows of (key, stats) whose key has a label in ``labels``."""
-    known = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("y")).filter("key IS NOT NULL AND y IN (0, 1)").groupBy("key").agg(F.min("y").alias("y"), F.max("y").alias("hi")).filter("y = hi")
+    known = labels.select(
+        F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("y")
+    ).filter("key IS NOT NULL AND y IN (0, 1)").groupBy("key").agg(F.min("y").alias("y"), F.max("y").alias("hi")).filter("y = hi")
     joined = stats.join(known.select("key", "y"), "key").select("y", "stats")
     k = len(STATISTICS)
 

@@ -22,7 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stats = materialize(quality.document_statistics(docs), "op1-statistics")
     model = quality.fit(stats.filter(remainder("key", 4) != 2), table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    return quality.score(stats, model).select(F.col("key").alias("doc_id"), (remainder("key", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return quality.score(stats, model).select(
+        F.col("key").alias("doc_id"), (remainder("key", 4) == 2).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +49,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's log10 probability; learnt from the rows whose crc32 remainder by 7 is not 2."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = lm.score_documents(docs, remainder("doc_id", 7) != 2)
-    return found.select(F.col("key").alias("doc_id"), (remainder("key", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select(
+        F.col("key").alias("doc_id"), (remainder("key", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+        "score"
+    )
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +63,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     counts = F.map_from_arrays(F.array(*map(F.lit, token_counts.TOKENIZERS)), F.array(*[token_counts.count_tokens("text", v) for v in token_counts.TOKENIZERS]))
-    counted = materialize(docs.select("doc_id", "source", "lang", F.coalesce(F.expr("n_chars div 6"), F.lit(0)).alias("guess"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"), counts.alias("counts")), "op6-counts")
+    counted = materialize(
+        docs.select(
+            "doc_id", "source", "lang", F.coalesce(F.expr("n_chars div 6"), F.lit(0)).alias("guess"),
+            F.sha2(F.col("text").cast("binary"), 256).alias("digest"), counts.alias("counts")
+        ),
+        "op6-counts"
+    )
     # one row of each text stays: that with the smallest id, nulls last; of rows with equal ids, sources and languages any
     named = counted.filter("digest IS NOT NULL").withColumn("place", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "source", "lang"))
     alike = materialize(named.groupBy("digest", "place").agg(F.count("*").alias("n"), F.first("counts").alias("counts")), "op6-alike")
@@ -68,12 +80,23 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     guessed = F.when(F.col("version") == "space-1", F.col("guess")).otherwise(F.col("exact"))
     ledger = token_counts.Ledger(spark, scratch_path(spark, "op6-ledger"))
     base = counted.select("source", "lang", "guess", each)
-    ledger.commit("1-load", base.select(F.lit("insert").alias("kind"), "source", "lang", "version", guessed.alias("tokens"), F.lit(None).cast("bigint").alias("old_tokens")))
-    revised = base.filter("version = 'space-1'").select(F.lit("revise").alias("kind"), "source", "lang", "version", F.col("exact").alias("tokens"), F.col("guess").alias("old_tokens"))
+    ledger.commit(
+        "1-load",
+        base.select(F.lit("insert").alias("kind"), "source", "lang", "version", guessed.alias("tokens"), F.lit(None).cast("bigint").alias("old_tokens"))
+    )
+    revised = base.filter("version = 'space-1'").select(
+        F.lit("revise").alias("kind"), "source", "lang", "version", F.col("exact").alias("tokens"), F.col("guess").alias("old_tokens")
+    )
     ledger.commit("2-revise", revised)
     ledger.compact()
     ledger.commit("2-revise", revised)  # a repeat changes nothing
-    ledger.commit("3-copies", copies.select("source", "lang", each).select(F.lit("delete").alias("kind"), "source", "lang", "version", F.col("exact").alias("tokens"), F.lit(None).cast("bigint").alias("old_tokens")))
+    ledger.commit(
+        "3-copies",
+        copies.select("source", "lang", each).select(
+            F.lit("delete").alias("kind"), "source", "lang", "version", F.col("exact").alias("tokens"),
+            F.lit(None).cast("bigint").alias("old_tokens")
+        )
+    )
     return ledger.totals()
 
 
@@ -88,7 +111,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontaminate.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = decontaminate.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     found = found.select(F.col("key").alias("doc_id"), "n_words", decontaminate.hit_words().alias("n_hit"), decontaminate.hit_items().alias("items"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,7 +295,10 @@ class Shard:
             out.write_batch(batch)
         g = self.grammar
         kind = "<u2" if len(g.alphabet) + len(g.rules) <= 1 << 16 else "<u4"
-        parts = [sink.getvalue(), self.starts.astype("<u8").tobytes(), g.alphabet.astype("<u4").tobytes(), g.rules.astype(kind).tobytes(), g.lengths.astype("<u4").tobytes(), g.symbols.astype(kind).tobytes(), g.marks.astype("<u8").tobytes()]
+        parts = [
+            sink.getvalue(), self.starts.astype("<u8").tobytes(), g.alphabet.astype("<u4").tobytes(), g.rules.astype(kind).tobytes(),
+            g.lengths.astype("<u4").tobytes(), g.symbols.astype(kind).tobytes(), g.marks.astype("<u8").tobytes()
+        ]
         body = struct.pack("<8Q", int(kind[2]), *map(len, parts)) + b"".join(parts)
         return FRAME + struct.pack("<Q", len(body)) + body + b"\n"
 
@@ -309,7 +312,10 @@ class Shard:
         kind = f"<u{width}"
         keys = pa.ipc.open_stream(pa.py_buffer(parts[0])).read_all().column(0).combine_chunks()
         rules = np.frombuffer(parts[3], kind).reshape(-1, 2)
-        return cls(keys, np.frombuffer(parts[1], "<u8").astype(np.int64), Grammar(np.frombuffer(parts[2], "<u4"), rules, np.frombuffer(parts[4], "<u4"), np.frombuffer(parts[5], kind), np.frombuffer(parts[6], "<u8")))
+        return cls(
+            keys, np.frombuffer(parts[1], "<u8").astype(np.int64),
+            Grammar(np.frombuffer(parts[2], "<u4"), rules, np.frombuffer(parts[4], "<u4"), np.frombuffer(parts[5], kind), np.frombuffer(parts[6], "<u8"))
+        )
 
 
 def shards(data: memoryview) -> Iterator[Shard]:
@@ -450,7 +456,13 @@ def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[p
 def read_token_files(spark: SparkSession, path: str, key_type: T.DataType, with_ids: bool = True) -> DataFrame:
     """(file, key, first, n_tokens, ids_crc32, ids) of every document, or all but the ids; ``first`` counts within the file. Files ascend with the keys by :func:`file_order`."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("key", key_type), T.StructField("first", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))][: 6 if with_ids else 5])
+    schema = T.StructType(
+        [
+            T.StructField("file", T.StringType()), T.StructField("key", key_type), T.StructField("first", T.LongType()),
+            T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()),
+            T.StructField("ids", T.ArrayType(T.IntegerType()))
+        ][: 6 if with_ids else 5]
+    )
     arrow_key = to_arrow_type(key_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,7 +472,10 @@ def read_token_files(spark: SparkSession, path: str, key_type: T.DataType, with_
                 for s in shards(memoryview(content.as_buffer())):
                     ids, n = s.grammar.decode().astype("<u4"), len(s.keys)
                     sums = [zlib.crc32(memoryview(ids[a:b]).cast("B") if b > a else b"") for a, b in zip(s.starts[:-1], s.starts[1:], strict=True)]
-                    rows = [pa.array([name] * n, pa.string()), s.keys.cast(arrow_key), pa.array(before + s.starts[:-1]), pa.array(np.diff(s.starts)), pa.array(sums, pa.int64())]
+                    rows = [
+                        pa.array([name] * n, pa.string()), s.keys.cast(arrow_key), pa.array(before + s.starts[:-1]),
+                        pa.array(np.diff(s.starts)), pa.array(sums, pa.int64())
+                    ]
                     if with_ids:
                         rows.append(pa.ListArray.from_arrays(pa.array(s.starts, pa.int32()), pa.array(ids.view(np.int32))))
                     yield pa.RecordBatch.from_arrays(rows, schema.names)

@@ -81,12 +81,28 @@ def _header(fields: list[tuple[str, str | None]], size: int) -> bytes:
 
 def response_record(key: object, url: str | None, payload: bytes, digest: str) -> bytes:
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
-    return _header([("WARC-Type", "response"), ("WARC-Record-ID", record_id(key)), ("WARC-Date", capture_time(key)), ("WARC-Target-URI", url), ("WARC-Page-Key", None if key is None else str(key)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")], len(block)) + block + b"\r\n\r\n"
+    return _header(
+        [
+            ("WARC-Type", "response"), ("WARC-Record-ID", record_id(key)), ("WARC-Date", capture_time(key)), ("WARC-Target-URI", url),
+            ("WARC-Page-Key", None if key is None else str(key)), ("WARC-Payload-Digest", f"sha256:{digest}"),
+            ("Content-Type", "application/http; msgtype=response")
+        ],
+        len(block)
+    ) + block + b"\r\n\r\n"
 
 
 def revisit_record(key: object, url: str | None, digest: str, first: object, first_url: str | None) -> bytes:
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-    return _header([("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(key)), ("WARC-Date", capture_time(key)), ("WARC-Target-URI", url), ("WARC-Page-Key", str(key)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first)), ("WARC-Refers-To-Target-URI", first_url), ("WARC-Refers-To-Date", capture_time(first)), ("WARC-Refers-To-Page-Key", str(first)), ("Content-Type", "application/http; msgtype=response")], len(block)) + block + b"\r\n\r\n"
+    return _header(
+        [
+            ("WARC-Type", "revisit"), ("WARC-Record-ID", record_id(key)), ("WARC-Date", capture_time(key)), ("WARC-Target-URI", url),
+            ("WARC-Page-Key", str(key)), ("WARC-Payload-Digest", f"sha256:{digest}"),
+            ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first)),
+            ("WARC-Refers-To-Target-URI", first_url), ("WARC-Refers-To-Date", capture_time(first)), ("WARC-Refers-To-Page-Key", str(first)),
+            ("Content-Type", "application/http; msgtype=response")
+        ],
+        len(block)
+    ) + block + b"\r\n\r\n"
 
 
 def member(record: bytes) -> bytes:
@@ -132,15 +148,29 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 # ---------------------------------------------------------------- writing --
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Write every page as a record into gzip archives under ``path``."""
-    source = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{html}`").cast("binary"), F.lit(b"")).alias("payload"))
+    source = pages.select(
+        F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"),
+        F.coalesce(F.col(f"`{html}`").cast("binary"), F.lit(b"")).alias("payload")
+    )
     source = source.withColumn("digest", F.sha2("payload", 256))
     light = materialize(source.filter((F.octet_length("payload") >= REVISIT_BYTES) & F.col("key").isNotNull()).select("key", "url", "digest"), "warc-digests")
-    firsts = light.groupBy("digest").agg(F.min("key").alias("first"), F.min_by("url", "key").alias("first_url"), F.max("key").alias("last")).filter("first <> last").drop("last")
+    firsts = light.groupBy("digest").agg(
+        F.min("key").alias("first"), F.min_by("url", "key").alias("first_url"), F.max("key").alias("last")
+    ).filter("first <> last").drop("last")
     refers = light.select("key", "digest").join(firsts, "digest").filter("key <> first").distinct()
-    dealt = source.join(refers.withColumnRenamed("key", "rkey").withColumnRenamed("digest", "rdigest"), (F.col("key") == F.col("rkey")) & (F.col("digest") == F.col("rdigest")), "left")
+    dealt = source.join(
+        refers.withColumnRenamed("key", "rkey").withColumnRenamed("digest", "rdigest"),
+        (F.col("key") == F.col("rkey")) & (F.col("digest") == F.col("rdigest")), "left"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        info = _header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(uuid.uuid4())), ("WARC-Date", capture_time(0)), ("Content-Type", "application/warc-fields")], 0) + b"\r\n\r\n"
+        info = _header(
+            [
+                ("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(uuid.uuid4())), ("WARC-Date", capture_time(0)),
+                ("Content-Type", "application/warc-fields")
+            ],
+            0
+        ) + b"\r\n\r\n"
         most = max(1, ARCHIVE_RECORDS // BUNDLES)
         out, size = [member(info)], 0
 
@@ -208,9 +238,16 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                         if found != digest:
                             raise ValueError(f"{archive}: the record at {offset} is damaged")
                     refers = fields.get("WARC-Refers-To-Page-Key")
-                    rows.append((url_key(url), fields["WARC-Date"], key if key is None else int(key), url, size, digest, fields["WARC-Type"], refers if refers is None else int(refers), archive, offset, length))
+                    rows.append(
+                        (
+                            url_key(url), fields["WARC-Date"], key if key is None else int(key), url, size, digest, fields["WARC-Type"],
+                            refers if refers is None else int(refers), archive, offset, length
+                        )
+                    )
                 rows.sort(key=sort_key)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names
+                )
 
     return map_arrow(files, run, CAPTURE)
 
