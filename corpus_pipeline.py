@@ -65,12 +65,21 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     v = byte_bpe.Vocabulary.from_file(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     source = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
     encoded = byte_bpe.encode(source, v)
-    counted = encoded.select("doc_id", "lang", "source", "text_sha256", F.size("ids").cast("bigint").alias("n_tokens"), byte_bpe.ids_digest().alias("ids_sha256"), F.col("ids").alias("input_ids"), "ids")
+    counted = encoded.select(
+        "doc_id", "lang", "source", "text_sha256", F.size("ids").cast("bigint").alias("n_tokens"),
+        byte_bpe.ids_digest().alias("ids_sha256"), F.col("ids").alias("input_ids"), "ids"
+    )
     decoded = byte_bpe.decode(counted, v)
-    return decoded.select("doc_id", "lang", "source", "n_tokens", "input_ids", "ids_sha256", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
+    return decoded.select(
+        "doc_id", "lang", "source", "n_tokens", "input_ids", "ids_sha256",
+        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip")
+    )
 
 
-STAGES = [("language_id", keep_language), ("quality", keep_quality), ("ngram_join", keep_one_of_each), ("decontaminate", drop_contaminated), ("byte_bpe", tokenize)]
+STAGES = [
+    ("language_id", keep_language), ("quality", keep_quality), ("ngram_join", keep_one_of_each), ("decontaminate", drop_contaminated),
+    ("byte_bpe", tokenize)
+]
 
 #: No SQL: learned models and byte-pair merges; tests compare the stages with brute force.
 ORACLE_SQL = None
