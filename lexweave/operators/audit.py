@@ -41,7 +41,9 @@ def eligible_synonyms(tags: DataFrame, resolved: DataFrame) -> DataFrame:
     """Visible noncanonical tags that resolve to a visible canonical of their type."""
     t = with_targets(tags, resolved)
     good = ~F.col("canonical") & visible() & has_link() & (F.col("status") == "RESOLVED") & visible("target_name") & (F.col("type") == F.col("target_type"))
-    return t.filter(good).select("id", "type", "name", "cached_count", F.col("terminal").alias("canonical_id"), F.col("target_name").alias("canonical_name"), "hops")
+    return t.filter(good).select(
+        "id", "type", "name", "cached_count", F.col("terminal").alias("canonical_id"), F.col("target_name").alias("canonical_name"), "hops"
+    )
 
 
 def integrity_counters(tags: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -100,7 +102,10 @@ def group_size_stats(rows: DataFrame, group: str) -> DataFrame:
     """Median, 95th percentile, largest, singletons and the ten largest groups' share of all rows."""
     sizes = rows.groupBy(group).count()
     top = sizes.orderBy(F.desc("count"), group).limit(10).agg(F.sum("count").alias("top"))
-    stats = sizes.agg(F.count("*").alias("groups"), F.percentile("count", F.lit(0.5)).alias("median"), F.percentile("count", F.lit(0.95)).alias("p95"), F.max("count").alias("largest"), F.count_if(F.col("count") == 1).alias("singletons"), F.sum("count").alias("total"))
+    stats = sizes.agg(
+        F.count("*").alias("groups"), F.percentile("count", F.lit(0.5)).alias("median"), F.percentile("count", F.lit(0.95)).alias("p95"),
+        F.max("count").alias("largest"), F.count_if(F.col("count") == 1).alias("singletons"), F.sum("count").alias("total")
+    )
     return stats.join(top).select("groups", "median", "p95", "largest", "singletons", F.try_divide("top", "total").alias("top10_share"))
 
 
@@ -116,7 +121,11 @@ def works_audit(works: DataFrame, work_tags: DataFrame, tags: DataFrame, synonym
         F.count_distinct(F.when(F.col("synonym"), F.col("ordinal"))).alias("works_with_synonym"),
         F.count_distinct(F.when(F.col("synonym"), F.col("tag_id"))).alias("observed_synonyms"),
     )
-    w = works.agg(F.count("*").alias("works"), F.min("creation_date").alias("first_date"), F.max("creation_date").alias("last_date"), F.count_if(F.col("word_count").isNull()).alias("missing_words"), F.count_if(F.col("restricted")).alias("restricted_works"), F.count_if(F.col("complete")).alias("complete_works"))
+    w = works.agg(
+        F.count("*").alias("works"), F.min("creation_date").alias("first_date"), F.max("creation_date").alias("last_date"),
+        F.count_if(F.col("word_count").isNull()).alias("missing_words"), F.count_if(F.col("restricted")).alias("restricted_works"),
+        F.count_if(F.col("complete")).alias("complete_works")
+    )
     return w.join(r)
 
 

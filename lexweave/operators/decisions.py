@@ -52,7 +52,10 @@ def candidate_description(condition: Condition, name: Column, aliases: Column, c
     return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 
 
-def question(condition: Condition, model: str, prompt: str, incoming: Column, described: Column, none_text: str, own_context: Column | None = None, true_text: str = "yes", false_text: str = "no") -> Column:
+def question(
+    condition: Condition, model: str, prompt: str, incoming: Column, described: Column, none_text: str, own_context: Column | None = None,
+    true_text: str = "yes", false_text: str = "no"
+) -> Column:
     """JSON of a request about an array of (id, text) candidates in the order shown.
 
     A choice has one question with an option for each candidate, the rejecting
@@ -64,18 +67,27 @@ def question(condition: Condition, model: str, prompt: str, incoming: Column, de
     key = lambda x: F.concat(F.lit('"tag_'), x["id"].cast("string"), F.lit('":'))
     if condition.pairwise:
         ends = F.concat(F.lit(',"criteria":{"true":'), json_text(F.lit(true_text)), F.lit(',"false":'), json_text(F.lit(false_text)), F.lit("}}"))
-        asked = F.array_join(F.transform(described, lambda x: F.concat(key(x), F.lit('{"type":"noul","instructions":'), json_text(F.concat(F.lit(prompt), x["text"])), ends)), ",")
+        asked = F.array_join(
+            F.transform(described, lambda x: F.concat(key(x), F.lit('{"type":"noul","instructions":'), json_text(F.concat(F.lit(prompt), x["text"])), ends)),
+            ","
+        )
     else:
         options = F.transform(described, lambda x: F.concat(key(x), json_text(x["text"])))
         if condition.none:
             options = F.concat(options, F.array(F.concat(F.lit(f'"{NONE}":'), json_text(F.lit(none_text)))))
-        asked = F.concat(F.lit('"canonical":{"type":"choice","instructions":'), json_text(F.lit(prompt)), F.lit(',"criteria":{'), F.array_join(options, ","), F.lit("}}"))
+        asked = F.concat(
+            F.lit('"canonical":{"type":"choice","instructions":'), json_text(F.lit(prompt)), F.lit(',"criteria":{'),
+            F.array_join(options, ","), F.lit("}}")
+        )
     return F.concat(F.lit(f'{{"model":"{model}","state":{{'), F.concat_ws(",", *state), F.lit('},"questions":{'), asked, F.lit("}}"))
 
 
 def shuffled(ids: str | Column, source: str, seed: str = "order-v1") -> Column:
     """Candidate ids by hash of source and candidate, then id."""
-    keyed = F.transform(ids, lambda i: F.struct(F.sha2(F.concat_ws(":", F.lit(seed), F.col(source).cast("string"), i.cast("string")).cast("binary"), 256).alias("h"), i.alias("i")))
+    keyed = F.transform(
+        ids,
+        lambda i: F.struct(F.sha2(F.concat_ws(":", F.lit(seed), F.col(source).cast("string"), i.cast("string")).cast("binary"), 256).alias("h"), i.alias("i"))
+    )
     return F.transform(F.array_sort(keyed), lambda x: x["i"])
 
 
@@ -83,17 +95,27 @@ def payload(model: str, instructions: str, ids: Column, describe: str, none_desc
     """Ordered JSON of a choice question; ``describe``: a map column of candidate id to JSON text. Labels are no input of it."""
     options = F.transform(ids, lambda i: F.concat(F.lit('"tag_'), i.cast("string"), F.lit('":'), F.element_at(F.col(describe), i)))
     if none_description is not None:
-        options = F.concat(options, F.array(F.concat(F.lit(f'"{NONE}":'), F.regexp_extract(F.to_json(F.struct(F.lit(none_description).alias("v"))), r"^\{\"v\":(.*)\}$", 1))))
+        options = F.concat(
+            options,
+            F.array(F.concat(F.lit(f'"{NONE}":'), F.regexp_extract(F.to_json(F.struct(F.lit(none_description).alias("v"))), r"^\{\"v\":(.*)\}$", 1)))
+        )
     text = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
     state = [F.concat(F.lit('"incoming_tag":'), text(F.col("incoming_tag"))), F.lit('"type":"Freeform"')]
     if context:
         state.append(F.concat(F.lit('"observed_co_tags":'), F.to_json(context)))
-    return F.concat(F.lit(f'{{"model":"{model}","state":{{'), F.concat_ws(",", *state), F.lit('},"questions":{"canonical":{"type":"choice","instructions":'), text(F.lit(instructions)), F.lit(',"criteria":{'), F.array_join(options, ","), F.lit("}}}}"))
+    return F.concat(
+        F.lit(f'{{"model":"{model}","state":{{'), F.concat_ws(",", *state),
+        F.lit('},"questions":{"canonical":{"type":"choice","instructions":'), text(F.lit(instructions)), F.lit(',"criteria":{'),
+        F.array_join(options, ","), F.lit("}}}}")
+    )
 
 
 def best_option(probabilities: Column, none: bool = False) -> Column:
     """Key of the highest probability, ties by numeric id; the rejecting option counts only if asked for."""
-    rows = F.transform(F.map_entries(probabilities), lambda e: F.struct((-e["value"]).alias("p"), F.regexp_extract(e["key"], r"^tag_(\d+)$", 1).try_cast("bigint").alias("i"), e["key"].alias("k")))
+    rows = F.transform(
+        F.map_entries(probabilities),
+        lambda e: F.struct((-e["value"]).alias("p"), F.regexp_extract(e["key"], r"^tag_(\d+)$", 1).try_cast("bigint").alias("i"), e["key"].alias("k"))
+    )
     use = rows if none else F.filter(rows, lambda r: r["k"] != NONE)
     return F.get(F.array_sort(use), F.lit(0))["k"]
 
@@ -119,7 +141,12 @@ def parse_choice(responses: DataFrame, model: str, response: str = "response", o
         F.when(F.col("_r").isNull() | F.col("_r.error").isNotNull(), "error or no answer")
         .when(~F.coalesce((F.col("_r.model") == model) | F.startswith(F.col("_r.model"), F.lit(model + "-")), F.lit(False)), "other model")
         .when(F.col("_r.answers.canonical").isNull(), "missing answer")
-        .when(~F.coalesce(F.col("_r.answers.canonical.type") == "choice", F.lit(False)) | ~F.coalesce(same, F.lit(False)) | ~F.coalesce(F.array_contains(F.col(options), choice), F.lit(False)), "other options")
+        .when(
+            ~F.coalesce(
+                F.col("_r.answers.canonical.type") == "choice", F.lit(False)
+            ) | ~F.coalesce(same, F.lit(False)) | ~F.coalesce(F.array_contains(F.col(options), choice), F.lit(False)),
+            "other options"
+        )
         .when(F.col("_p").isNull(), "not a probability")
         .when(F.abs(total - 1) > SUM_TOLERANCE, "sum of probabilities")
     )
@@ -162,7 +189,10 @@ def outcomes(cases: DataFrame) -> DataFrame:
         "rescue": correct & ~base, "regression": base & ~correct, "selection_error": present & ~none & ~correct, "unnecessary_abstention": present & none,
         "correct_shortlist_rejection": ~present & none, "wrong_acceptance_on_retrieval_miss": ~present & ~none,
     }
-    checked = cases.withColumn("top_ids", F.when(F.coalesce(outside, F.lit(True)), F.raise_error(F.lit("a selection is outside its shortlist")).cast("array<bigint>")).otherwise(top))
+    checked = cases.withColumn(
+        "top_ids",
+        F.when(F.coalesce(outside, F.lit(True)), F.raise_error(F.lit("a selection is outside its shortlist")).cast("array<bigint>")).otherwise(top)
+    )
     return checked.select(*cases.columns, *[v.alias(k) for k, v in flags.items()])
 
 
@@ -173,7 +203,9 @@ def summarize(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     accepted = ~c("abstained")
     aggs = [
         F.count("*").alias("queries"), n(c("target_present")).alias("present"), n(~c("target_present")).alias("retrieval_misses"), n(c("correct")).alias("successes"),
-        F.try_divide(n(c("correct")), F.count("*")).alias("overall_success"), F.try_divide(n(c("correct") & c("target_present")), n(c("target_present"))).alias("conditional_success"),
+        F.try_divide(n(c("correct")), F.count("*")).alias("overall_success"), F.try_divide(
+            n(c("correct") & c("target_present")), n(c("target_present"))
+        ).alias("conditional_success"),
         F.try_divide(n(c("correct") | c("correct_shortlist_rejection")), F.count("*")).alias("shortlist_decision_accuracy"),
         F.try_divide(n(c("correct")), n(accepted)).alias("precision"), F.try_divide(n(accepted), F.count("*")).alias("acceptance"),
         *[n(c(k)).alias(k + "s") for k in ("baseline_correct", "rescue", "regression", "selection_error", "unnecessary_abstention", "correct_shortlist_rejection", "wrong_acceptance_on_retrieval_miss")],
@@ -185,16 +217,28 @@ def summarize(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def recount_violations(summary: DataFrame) -> DataFrame:
     """Rows of a summary that break its identities."""
-    return summary.filter("successes <> baseline_corrects + rescues - regressions OR queries <> successes + selection_errors + unnecessary_abstentions + retrieval_misses")
+    return summary.filter(
+        "successes <> baseline_corrects + rescues - regressions OR queries <> successes + selection_errors + unnecessary_abstentions + retrieval_misses"
+    )
 
 
 def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: queries that only one of two conditions gets right, and changed selections."""
-    j = a.select("query_id", F.col("correct").alias("x"), F.col("selected_id").alias("s")).join(b.select("query_id", F.col("correct").alias("y"), F.col("selected_id").alias("t")), "query_id")
-    return j.agg(F.count("*").alias("queries"), F.count_if(F.col("x") & ~F.col("y")).alias("a_only"), F.count_if(~F.col("x") & F.col("y")).alias("b_only"), F.count_if(~F.col("s").eqNullSafe(F.col("t"))).alias("changed_selections"), F.try_divide(F.count_if("x") - F.count_if("y"), F.count("*")).alias("difference"))
+    j = a.select("query_id", F.col("correct").alias("x"), F.col("selected_id").alias("s")).join(
+        b.select("query_id", F.col("correct").alias("y"), F.col("selected_id").alias("t")), "query_id"
+    )
+    return j.agg(
+        F.count("*").alias("queries"), F.count_if(F.col("x") & ~F.col("y")).alias("a_only"),
+        F.count_if(~F.col("x") & F.col("y")).alias("b_only"), F.count_if(~F.col("s").eqNullSafe(F.col("t"))).alias("changed_selections"),
+        F.try_divide(F.count_if("x") - F.count_if("y"), F.count("*")).alias("difference")
+    )
 
 
 def operations(log: DataFrame) -> DataFrame:
     """Requests, attempts, latency, and sums that are null as soon as one part is missing."""
     whole = lambda c: F.when(F.count(c) == F.count("*"), F.sum(c)).alias(c)
-    return log.agg(F.count("*").alias("requests"), whole("cost"), whole("input_tokens"), whole("output_tokens"), F.sum("attempts").alias("attempts"), F.percentile("seconds", F.lit(0.5)).alias("p50"), F.percentile("seconds", F.lit(0.95)).alias("p95"), F.array_sort(F.collect_set("model")).alias("models"))
+    return log.agg(
+        F.count("*").alias("requests"), whole("cost"), whole("input_tokens"), whole("output_tokens"), F.sum("attempts").alias("attempts"),
+        F.percentile("seconds", F.lit(0.5)).alias("p50"), F.percentile("seconds", F.lit(0.95)).alias("p95"),
+        F.array_sort(F.collect_set("model")).alias("models")
+    )

@@ -38,15 +38,29 @@ def resolve_links(nodes: DataFrame, key: str = "id", link: str = "merger_id", ca
         .when(F.col("present").isNull(), "MISSING")
     )
     state = n.join(known, "link", "left").select("id", "link", status.alias("status"))
-    state = cut(state.select("id", F.col("link").alias("at"), "status", F.when(F.col("status") == "RESOLVED", F.col("id")).alias("terminal"), F.when((F.col("status") == "MISSING") | F.col("status").isNull(), 1).otherwise(0).alias("hops")))
+    state = cut(
+        state.select(
+            "id", F.col("link").alias("at"), "status", F.when(F.col("status") == "RESOLVED", F.col("id")).alias("terminal"),
+            F.when((F.col("status") == "MISSING") | F.col("status").isNull(), 1).otherwise(0).alias("hops")
+        )
+    )
     open_before = None
     while (still := state.filter("status IS NULL").count()) and still != open_before:  # from the files' statistics and one column
         open_before = still
-        ahead = state.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("status").alias("s"), F.col("terminal").alias("t"), F.col("hops").alias("h"))
+        ahead = state.select(
+            F.col("id").alias("at"), F.col("at").alias("next"), F.col("status").alias("s"), F.col("terminal").alias("t"),
+            F.col("hops").alias("h")
+        )
         waiting = state.filter("status IS NULL").join(ahead, "at")
-        moved = waiting.select("id", F.col("next").alias("at"), F.col("s").alias("status"), F.col("t").alias("terminal"), (F.col("hops") + F.col("h")).alias("hops"))
+        moved = waiting.select(
+            "id", F.col("next").alias("at"), F.col("s").alias("status"), F.col("t").alias("terminal"),
+            (F.col("hops") + F.col("h")).alias("hops")
+        )
         state = cut(state.filter("status IS NOT NULL").unionByName(moved))
-    return state.select(F.col("id").alias(key), "terminal", F.coalesce("status", F.lit("CYCLE")).alias("status"), F.when(F.col("status").isNull(), 0).otherwise(F.col("hops")).cast("long").alias("hops"))
+    return state.select(
+        F.col("id").alias(key), "terminal", F.coalesce("status", F.lit("CYCLE")).alias("status"),
+        F.when(F.col("status").isNull(), 0).otherwise(F.col("hops")).cast("long").alias("hops")
+    )
 
 
 def resolve_names(edges: DataFrame, source: str = "from_tag", target: str = "to_tag") -> DataFrame:
@@ -57,9 +71,14 @@ def resolve_names(edges: DataFrame, source: str = "from_tag", target: str = "to_
         raise ValueError("a name has several targets")
     nodes = names.join(e, "id", "left").withColumn("canonical", F.col("merger_id").isNull())
     # digests stand for names: any text is a name, and no digest is taken for a missing link
-    keyed = nodes.select(F.sha2(F.col("id").cast("binary"), 256).alias("id"), F.col("id").alias("name"), F.sha2(F.col("merger_id").cast("binary"), 256).alias("merger_id"), "canonical")
+    keyed = nodes.select(
+        F.sha2(F.col("id").cast("binary"), 256).alias("id"), F.col("id").alias("name"),
+        F.sha2(F.col("merger_id").cast("binary"), 256).alias("merger_id"), "canonical"
+    )
     found = resolve_links(keyed)
     if not found.filter("status = 'CYCLE'").isEmpty():
         raise ValueError("the names form a cycle")
     back = keyed.select(F.col("id").alias("terminal"), F.col("name").alias("canonical_name"))
-    return keyed.filter("merger_id IS NOT NULL").join(found, "id").join(back, "terminal").select(F.col("name").alias(source), F.col("canonical_name").alias("canonical"), "hops")
+    return keyed.filter("merger_id IS NOT NULL").join(found, "id").join(back, "terminal").select(
+        F.col("name").alias(source), F.col("canonical_name").alias("canonical"), "hops"
+    )

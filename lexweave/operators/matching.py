@@ -33,9 +33,14 @@ def exact_match(queries: DataFrame, reps: DataFrame, key: Callable[[str], Column
     """(query_id, status, targets): unique, ambiguous or no_match by equal normalised names, the query's own alias left out."""
     q = queries.withColumn("key", key("query_name"))
     r = reps.withColumn("key", key("rep_name")).select("key", "rep_id", "rep_name", "canonical_id", "is_alias")
-    hits = q.select("query_id", "query_name", "key").join(r, "key").filter(not_itself() if mask is None else mask).groupBy("query_id").agg(F.array_sort(F.collect_set("canonical_id")).alias("targets"))
+    hits = q.select("query_id", "query_name", "key").join(r, "key").filter(not_itself() if mask is None else mask).groupBy("query_id").agg(
+        F.array_sort(F.collect_set("canonical_id")).alias("targets")
+    )
     n = F.coalesce(F.size("targets"), F.lit(0))
-    return q.select("query_id").join(hits, "query_id", "left").select("query_id", F.when(n <= 0, "no_match").when(n == 1, "unique").otherwise("ambiguous").alias("status"), F.coalesce("targets", F.array().cast("array<bigint>")).alias("targets"))
+    return q.select("query_id").join(hits, "query_id", "left").select(
+        "query_id", F.when(n <= 0, "no_match").when(n == 1, "unique").otherwise("ambiguous").alias("status"),
+        F.coalesce("targets", F.array().cast("array<bigint>")).alias("targets")
+    )
 
 
 def collisions(reps: DataFrame, key: Callable[[str], Column]) -> DataFrame:
@@ -65,9 +70,13 @@ def top_k(pooled: DataFrame, k: int = 10, tie: str = "canonical_id") -> DataFram
 
 def full_rank(pooled: DataFrame, expected: DataFrame) -> DataFrame:
     """(query_id, canonical_id, expected_score, expected_rank) of each query's expected canonical, by counting instead of sorting."""
-    own = pooled.join(expected.select("query_id", "canonical_id"), ["query_id", "canonical_id"]).select("query_id", F.col("canonical_id").alias("t"), F.col("score").alias("s"))
+    own = pooled.join(
+        expected.select("query_id", "canonical_id"), ["query_id", "canonical_id"]
+    ).select("query_id", F.col("canonical_id").alias("t"), F.col("score").alias("s"))
     better = (F.col("score") > F.col("s")) | ((F.col("score") == F.col("s")) & (F.col("canonical_id") < F.col("t")))
-    return pooled.join(own, "query_id").groupBy("query_id").agg(F.first("t").alias("canonical_id"), F.first("s").alias("expected_score"), (F.count_if(better) + 1).alias("expected_rank"))
+    return pooled.join(own, "query_id").groupBy("query_id").agg(
+        F.first("t").alias("canonical_id"), F.first("s").alias("expected_score"), (F.count_if(better) + 1).alias("expected_rank")
+    )
 
 
 def check_finite(scores: DataFrame) -> DataFrame:

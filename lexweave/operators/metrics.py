@@ -35,7 +35,12 @@ def paired(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
     """Counts of queries hit by both, one or neither of two methods, the difference and the union's share."""
     both = a.select("query_id", hit("expected_rank", k).alias("a")).join(b.select("query_id", hit("expected_rank", k).alias("b")), "query_id")
     x, y = F.col("a"), F.col("b")
-    return both.agg(F.count("*").alias("queries"), F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("a_only"), F.count_if(~x & y).alias("b_only"), F.count_if(~x & ~y).alias("neither"), F.try_divide(F.count_if(x) - F.count_if(y), F.count("*")).alias("difference"), F.try_divide(F.count_if(x | y), F.count("*")).alias("union_recall"))
+    return both.agg(
+        F.count("*").alias("queries"), F.count_if(x & y).alias("both"), F.count_if(x & ~y).alias("a_only"),
+        F.count_if(~x & y).alias("b_only"), F.count_if(~x & ~y).alias("neither"),
+        F.try_divide(F.count_if(x) - F.count_if(y), F.count("*")).alias("difference"),
+        F.try_divide(F.count_if(x | y), F.count("*")).alias("union_recall")
+    )
 
 
 def wilson(successes: str, total: str) -> tuple[Column, Column]:
@@ -71,7 +76,9 @@ def drawn_bootstrap(rows: DataFrame, group: str, value: Column, resamples: int =
     sums = rows.groupBy(group).agg(F.sum(value.cast("double")).alias("s"), F.count("*").alias("n"))
     sums = sums.withColumn("i", F.row_number().over(Window.orderBy(group)) - 1)  # over the groups of an evaluation sample
     size = sums.agg(F.count("*").alias("groups"))
-    places = rows.sparkSession.range(resamples).withColumnRenamed("id", "r").join(F.broadcast(size)).filter("groups > 0").select("r", "groups", F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int"))).alias("j"))
+    places = rows.sparkSession.range(resamples).withColumnRenamed("id", "r").join(F.broadcast(size)).filter("groups > 0").select(
+        "r", "groups", F.explode(F.sequence(F.lit(0), (F.col("groups") - 1).cast("int"))).alias("j")
+    )
     drawn = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "r", "j").cast("binary"), 256), 1, 12), 16, 10).cast("bigint") % F.col("groups")
     means = places.withColumn("i", drawn.cast("int")).join(sums, "i").groupBy("r").agg((F.sum("s") / F.sum("n")).alias("m"))
     bounds = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
@@ -88,7 +95,10 @@ def membership_recheck(ranks: DataFrame, tops: DataFrame, ks: tuple[int, ...] =
     """Disagreements between the rank field and membership in the top list, for each k (0 where all is well)."""
     lists = tops.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))), lambda x: x["canonical_id"]).alias("top"))
     j = ranks.join(lists, "query_id", "left")
-    return j.agg(F.count("*").alias("queries"), *[F.count_if(hit("expected_rank", k) != F.coalesce(F.array_contains(F.slice("top", 1, k), F.col("canonical_id")), F.lit(False))).alias(f"disagree_{k}") for k in ks])
+    return j.agg(
+        F.count("*").alias("queries"),
+        *[F.count_if(hit("expected_rank", k) != F.coalesce(F.array_contains(F.slice("top", 1, k), F.col("canonical_id")), F.lit(False))).alias(f"disagree_{k}") for k in ks]
+    )
 
 
 def quantiles(df: DataFrame, column: str, points: tuple[float, ...] = (0, 0.25, 0.5, 0.75, 1)) -> DataFrame:

@@ -108,7 +108,9 @@ def joined_names(rows: DataFrame, names: DataFrame, by: str, longest: int | None
     j = rows.join(n, "tag_id")
     if longest:
         j = j.filter(F.char_length("name") <= longest)
-    return j.groupBy("profile", by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), "; ").alias("names"))
+    return j.groupBy("profile", by).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), "; ").alias("names")
+    )
 
 
 def percent(part: str | Column, whole: str | Column) -> Column:

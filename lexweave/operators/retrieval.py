@@ -112,7 +112,9 @@ def cosine_ranks(queries: DataFrame, candidates: DataFrame, expected: DataFrame)
                 above = scores - score
                 better = (above > NOISE) | ((above >= -NOISE) & (canonical[:, None] < target))
                 count += (better & (canonical[:, None] != target)).sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(target), pa.array(score), pa.array(count)], ["query_id", "canonical_id", "expected_score", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(target), pa.array(score), pa.array(count)], ["query_id", "canonical_id", "expected_score", "n"]
+            )
 
         found = _candidates(candidates).mapInArrow(run, "query_id bigint, canonical_id bigint, expected_score double, n bigint")
         out = found if out is None else out.unionByName(found)

@@ -20,7 +20,10 @@ def _ids(rows: DataFrame, cases: DataFrame, problem: Column) -> DataFrame:
     repeated = rows.groupBy("source_id").agg(F.count("*").alias("times"))
     expected = cases.select(F.col("source_id").cast("string").alias("source_id"), F.lit(True).alias("expected")).distinct()
     j = rows.join(repeated, "source_id").join(expected, "source_id", "full")
-    return j.withColumn("problem", F.when(F.col("expected").isNull(), "unknown source").when(F.col("times").isNull(), "missing source").when(F.col("times") > 1, "repeated source").otherwise(problem)).drop("times", "expected", "known")
+    return j.withColumn(
+        "problem",
+        F.when(F.col("expected").isNull(), "unknown source").when(F.col("times").isNull(), "missing source").when(F.col("times") > 1, "repeated source").otherwise(problem)
+    ).drop("times", "expected", "known")
 
 
 def validate_references(judgments: DataFrame, cases: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -89,8 +92,13 @@ def shortlist_recall(cases: DataFrame, references: DataFrame, tops: DataFrame) -
     """Recall of reviewed synonyms by method at 1, 3, 5 and 10; tops: (source_id, method, top_ids)."""
     r = references.filter("judgment = 'synonym'").select("source_id", F.col("canonical_id").alias("answer"))
     j = cases.select("source_id").distinct().join(r, "source_id").join(tops, "source_id")
-    each = j.groupBy("method").agg(F.count("*").alias("synonyms"), *[F.try_divide(F.count_if(F.array_contains(F.slice("top_ids", 1, k), F.col("answer"))), F.count("*")).alias(f"recall_{k}") for k in (1, 3, 5, 10)])
-    union = j.groupBy("source_id").agg(F.max(F.array_contains(F.slice("top_ids", 1, 10), F.col("answer")).cast("int")).alias("h")).agg(F.lit("union").alias("method"), F.count("*").alias("synonyms"), F.avg("h").alias("recall_10"))
+    each = j.groupBy("method").agg(
+        F.count("*").alias("synonyms"),
+        *[F.try_divide(F.count_if(F.array_contains(F.slice("top_ids", 1, k), F.col("answer"))), F.count("*")).alias(f"recall_{k}") for k in (1, 3, 5, 10)]
+    )
+    union = j.groupBy("source_id").agg(F.max(F.array_contains(F.slice("top_ids", 1, 10), F.col("answer")).cast("int")).alias("h")).agg(
+        F.lit("union").alias("method"), F.count("*").alias("synonyms"), F.avg("h").alias("recall_10")
+    )
     return each.unionByName(union, allowMissingColumns=True)
 
 
@@ -102,4 +110,8 @@ def shared_targets(references: DataFrame) -> DataFrame:
 
 def arm_diagnostics(cases: DataFrame) -> DataFrame:
     """Counts by arm over (arm, name, template, pooled, context_works, score)."""
-    return cases.groupBy("arm").agg(F.count("*").alias("cases"), F.count_if(F.col("template") == F.col("pooled")).alias("agreement"), F.count_if(F.col("name").rlike(r"[^\x00-\x7F]")).alias("non_ascii"), F.count_if(F.col("context_works") > 0).alias("with_context"), F.percentile("score", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("score_quantiles"))
+    return cases.groupBy("arm").agg(
+        F.count("*").alias("cases"), F.count_if(F.col("template") == F.col("pooled")).alias("agreement"),
+        F.count_if(F.col("name").rlike(r"[^\x00-\x7F]")).alias("non_ascii"), F.count_if(F.col("context_works") > 0).alias("with_context"),
+        F.percentile("score", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("score_quantiles")
+    )

@@ -32,7 +32,9 @@ def random_screen_partition(rows: DataFrame, key: str, seed: str, random_n: int,
     random = hash_sample(rows, key, seed + ":random", random_n)
     screen = hash_sample(rows.join(random.select(key), key, "left_anti"), key, seed + ":screen", screen_n)
     w = Window.orderBy(hash_order(seed + ":partition", key), key)  # over the sample, whose size is a parameter
-    halves = random.withColumn("_n", F.row_number().over(w)).withColumn("partition", F.when(F.col("_n") <= random_n // 2, "calibration").otherwise("validation")).drop("_n")
+    halves = random.withColumn("_n", F.row_number().over(w)).withColumn(
+        "partition", F.when(F.col("_n") <= random_n // 2, "calibration").otherwise("validation")
+    ).drop("_n")
     return halves, screen
 
 

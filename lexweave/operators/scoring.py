@@ -430,7 +430,10 @@ def _bag_overlap(names: list[str], queries: list[str]) -> np.ndarray:
 
 
 #: Scorers by the names of their column functions.
-SCORERS: dict[str, type[Scorer]] = {"similarity": Trigrams, "word_similarity": Extents, "strict_word_similarity": WordExtents, "levenshtein": EditDistance, "wratio": WeightedRatio}
+SCORERS: dict[str, type[Scorer]] = {
+    "similarity": Trigrams, "word_similarity": Extents, "strict_word_similarity": WordExtents, "levenshtein": EditDistance,
+    "wratio": WeightedRatio
+}
 
 
 # ------------------------------------------------------------------- tasks --
@@ -512,7 +515,9 @@ def _query_blocks(queries: DataFrame, columns: list[str]) -> Iterator[pa.Table]:
 
 
 def _rows(reps: DataFrame) -> DataFrame:
-    return reps.filter("rep_name IS NOT NULL").select(F.col("canonical_id").cast("long"), F.coalesce(F.col("rep_id").cast("long"), F.lit(-1)).alias("rep_id"), "is_alias", "rep_name")
+    return reps.filter("rep_name IS NOT NULL").select(
+        F.col("canonical_id").cast("long"), F.coalesce(F.col("rep_id").cast("long"), F.lit(-1)).alias("rep_id"), "is_alias", "rep_name"
+    )
 
 
 def _tasks(df: DataFrame) -> int:
@@ -539,7 +544,10 @@ def best_matches(queries: DataFrame, reps: DataFrame, scorer: str, k: int = 10)
             for block in _blocks(batches, len(ids)):
                 bests.add(_Block(made, ids, *block))
             q, canonical, score = bests.rows
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(canonical), pa.array(score.astype(np.float32 if kind == "float" else np.float64))], ["query_id", "canonical_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[q]), pa.array(canonical), pa.array(score.astype(np.float32 if kind == "float" else np.float64))],
+                ["query_id", "canonical_id", "score"]
+            )
 
         found = names.mapInArrow(run, f"query_id bigint, canonical_id bigint, score {kind}")
         out = found if out is None else out.unionByName(found)
@@ -556,7 +564,9 @@ def expected_ranks(queries: DataFrame, reps: DataFrame, scorer: str) -> DataFram
     """
     spark = queries.sparkSession
     single, out = SCORERS[scorer].single, None
-    pairs = queries.filter("query_name IS NOT NULL").select("query_id", "query_name", F.col("canonical_id").alias("t")).join(reps.filter("rep_name IS NOT NULL"), F.col("t") == F.col("canonical_id"))
+    pairs = queries.filter("query_name IS NOT NULL").select("query_id", "query_name", F.col("canonical_id").alias("t")).join(
+        reps.filter("rep_name IS NOT NULL"), F.col("t") == F.col("canonical_id")
+    )
     pairs = pairs.filter(~(F.col("is_alias") & F.col("rep_id").eqNullSafe(F.col("query_id"))))
     own = pairs.groupBy("query_id").agg(F.first("t").alias("canonical_id"), F.max(tx.SCORERS[scorer]("query_name", "rep_name")).alias("expected_score"))
     known = queries.select("query_id", "query_name").join(own, "query_id")
@@ -566,7 +576,12 @@ def expected_ranks(queries: DataFrame, reps: DataFrame, scorer: str) -> DataFram
     dealt = marked.repartition(_tasks(reps), deal).sortWithinPartitions("hot", "canonical_id")
     schema = f"query_id bigint, canonical_id bigint, expected_score {'float' if single else 'double'}, beating bigint, n bigint"
     for table in _query_blocks(known, ["query_id", "query_name", "canonical_id", "expected_score"]):
-        sent = spark.sparkContext.broadcast((table.column("query_id").to_numpy(), table.column("query_name").to_pylist(), table.column("canonical_id").to_numpy(), table.column("expected_score").to_numpy()))
+        sent = spark.sparkContext.broadcast(
+            (
+                table.column("query_id").to_numpy(), table.column("query_name").to_pylist(), table.column("canonical_id").to_numpy(),
+                table.column("expected_score").to_numpy()
+            )
+        )
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, texts, target, score = sent.value
@@ -579,7 +594,10 @@ def expected_ranks(queries: DataFrame, reps: DataFrame, scorer: str) -> DataFram
                 return (low > score) | ((low == score) & (b.canonical[:, None] < target)), b.canonical
 
             def rows(q: np.ndarray | slice, canonical: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(target[q]), pa.array(score[q]), canonical, pa.array(n)], ["query_id", "canonical_id", "expected_score", "beating", "n"])
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(ids[q]), pa.array(target[q]), pa.array(score[q]), canonical, pa.array(n)],
+                    ["query_id", "canonical_id", "expected_score", "beating", "n"]
+                )
 
             for hot, block in _canonical_blocks(batches, len(ids)):
                 better, canonical = beating(block)
@@ -594,7 +612,9 @@ def expected_ranks(queries: DataFrame, reps: DataFrame, scorer: str) -> DataFram
         out = found if out is None else out.unionByName(found)
     if out is None:
         return own.limit(0).withColumn("expected_rank", F.lit(0).cast("bigint"))
-    counted = out.groupBy("query_id", "canonical_id", "expected_score").agg(F.sum(F.when(F.col("beating").isNull(), F.col("n"))).alias("cold"), F.count_distinct("beating").alias("hot"))
+    counted = out.groupBy("query_id", "canonical_id", "expected_score").agg(
+        F.sum(F.when(F.col("beating").isNull(), F.col("n"))).alias("cold"), F.count_distinct("beating").alias("hot")
+    )
     return counted.select("query_id", "canonical_id", "expected_score", (F.col("cold") + F.col("hot") + 1).alias("expected_rank"))
 
 

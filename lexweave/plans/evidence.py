@@ -55,7 +55,10 @@ def adjudication_questions(h: Host) -> DataFrame:
             ids = decisions.shuffled(F.transform("shown", lambda x: x["id"]), "query_id")
             order = F.transform(ids, lambda i: F.get(F.filter("shown", lambda x: x["id"] == i), F.lit(0)))
         described = F.transform(order, _describer(c))
-        one = cases.select("query_id", F.lit(name).alias("condition"), decisions.question(c, MODEL, PROMPTS[c.prompt], F.col("query_name"), described, NONE_TEXT).alias("question"))
+        one = cases.select(
+            "query_id", F.lit(name).alias("condition"),
+            decisions.question(c, MODEL, PROMPTS[c.prompt], F.col("query_name"), described, NONE_TEXT).alias("question")
+        )
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -89,7 +92,12 @@ SQL["adjudication_questions"] = _question_sql()
 @query
 def decision_answers(h: Host) -> DataFrame:
     """Answers of eight kinds, six of them faulty, to the shortlists' questions, and the decisions read from them."""
-    lists = _top(h, h.names).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))), lambda x: F.concat(F.lit("tag_"), x["canonical_id"].cast("string"))).alias("tags"))
+    lists = _top(h, h.names).groupBy("query_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))),
+            lambda x: F.concat(F.lit("tag_"), x["canonical_id"].cast("string"))
+        ).alias("tags")
+    )
     k = (F.col("query_id") % 8).alias("k")
     rows = lists.select("query_id", "tags", k).withColumn("options", F.concat("tags", F.array(F.lit(decisions.NONE))))
     liked = F.when(F.col("k") == 1, F.lit(decisions.NONE)).otherwise(F.get("tags", F.lit(0)))
@@ -97,7 +105,10 @@ def decision_answers(h: Host) -> DataFrame:
     shown = F.when(F.col("k") == 5, F.col("tags")).otherwise(F.col("options"))
     value = lambda x: F.when(x != liked, "0.04").when(F.col("k") == 4, "0.7").when(F.col("k") == 6, '"x"').otherwise("0.6")
     chances = F.array_join(F.transform(shown, lambda x: F.concat(F.lit('"'), x, F.lit('":'), value(x))), ",")
-    answer = F.concat(F.lit('{"model":"'), F.when(F.col("k") == 2, "other").otherwise("m-1"), F.lit('","answers":{"canonical":{"type":"choice","choice":"'), chosen, F.lit('","probabilities":{'), chances, F.lit("}}}}"))
+    answer = F.concat(
+        F.lit('{"model":"'), F.when(F.col("k") == 2, "other").otherwise("m-1"),
+        F.lit('","answers":{"canonical":{"type":"choice","choice":"'), chosen, F.lit('","probabilities":{'), chances, F.lit("}}}}")
+    )
     rows = rows.withColumn("response", F.when(F.col("k") == 3, '{"error":"busy"}').otherwise(answer))
     return decisions.parse_choice(rows, "m").drop("tags", "k", "options", "response")
 
@@ -153,8 +164,13 @@ SQL["operations_rollup"] = """SELECT count(*) AS requests, CAST(sum(CAST(floor(o
 @query
 def recount_check(h: Host) -> DataFrame:
     """Groups of a summary whose counts do not add up; one group's successes are made wrong."""
-    top = _top(h, h.names).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))), lambda x: x["canonical_id"]).alias("top_ids"))
-    cases = top.join(h.queries.select("query_id", F.col("canonical_id").alias("answer")), "query_id").select("*", F.get("top_ids", F.lit(0)).alias("selected_id"), F.get("top_ids", F.lit(0)).alias("forced_id"), (F.col("query_id") % 5).alias("part"))
+    top = _top(h, h.names).groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))), lambda x: x["canonical_id"]).alias("top_ids")
+    )
+    cases = top.join(h.queries.select("query_id", F.col("canonical_id").alias("answer")), "query_id").select(
+        "*", F.get("top_ids", F.lit(0)).alias("selected_id"), F.get("top_ids", F.lit(0)).alias("forced_id"),
+        (F.col("query_id") % 5).alias("part")
+    )
     s = decisions.summarize(decisions.outcomes(cases), ("part",))
     return decisions.recount_violations(s.withColumn("successes", F.col("successes") + (F.col("part") == 3).cast("int"))).select("part", "queries", "successes")
 
@@ -166,12 +182,23 @@ SQL["recount_check"] = TRI_TOP + "SELECT query_id % 5 AS part, count(*) AS queri
 @query
 def arm_diagnostics(h: Host) -> DataFrame:
     q = h.queries
-    cases = q.select(F.when(F.col("query_id") % 3 == 0, "random").otherwise("screen").alias("arm"), F.when(F.col("query_id") % 10 == 1, F.concat(F.lit("é"), "query_name")).otherwise(F.col("query_name")).alias("name"), F.col("canonical_id").alias("template"), (F.col("canonical_id") + F.when(F.col("query_id") % 2 == 0, 20).otherwise(0)).alias("pooled"), (F.col("cached_count") % 4).alias("context_works"), F.col("cached_count").cast("double").alias("score"))
+    cases = q.select(
+        F.when(F.col("query_id") % 3 == 0, "random").otherwise("screen").alias("arm"),
+        F.when(F.col("query_id") % 10 == 1, F.concat(F.lit("é"), "query_name")).otherwise(F.col("query_name")).alias("name"),
+        F.col("canonical_id").alias("template"),
+        (F.col("canonical_id") + F.when(F.col("query_id") % 2 == 0, 20).otherwise(0)).alias("pooled"),
+        (F.col("cached_count") % 4).alias("context_works"), F.col("cached_count").cast("double").alias("score")
+    )
     found = review.arm_diagnostics(cases)
-    return found.select("arm", "cases", "agreement", "non_ascii", "with_context", *[F.get("score_quantiles", F.lit(k)).alias(f"score_p{p}") for k, p in enumerate((0, 25, 50, 75, 100))])
+    return found.select(
+        "arm", "cases", "agreement", "non_ascii", "with_context",
+        *[F.get("score_quantiles", F.lit(k)).alias(f"score_p{p}") for k, p in enumerate((0, 25, 50, 75, 100))]
+    )
 
 
-SQL["arm_diagnostics"] = CTE + "SELECT CASE WHEN query_id % 3 = 0 THEN 'random' ELSE 'screen' END AS arm, count(*) AS cases, count(*) FILTER (query_id % 2 <> 0) AS agreement, count(*) FILTER (query_id % 10 = 1) AS non_ascii, count(*) FILTER (cached_count % 4 > 0) AS with_context, " + ", ".join(f"quantile_cont(CAST(cached_count AS DOUBLE), {p / 100}) AS score_p{p}" for p in (0, 25, 50, 75, 100)) + " FROM q GROUP BY arm"
+SQL["arm_diagnostics"] = CTE + "SELECT CASE WHEN query_id % 3 = 0 THEN 'random' ELSE 'screen' END AS arm, count(*) AS cases, count(*) FILTER (query_id % 2 <> 0) AS agreement, count(*) FILTER (query_id % 10 = 1) AS non_ascii, count(*) FILTER (cached_count % 4 > 0) AS with_context, " + ", ".join(
+    f"quantile_cont(CAST(cached_count AS DOUBLE), {p / 100}) AS score_p{p}" for p in (0, 25, 50, 75, 100)
+) + " FROM q GROUP BY arm"
 
 
 @query
@@ -179,7 +206,12 @@ def proposal_validation(h: Host) -> DataFrame:
     """Proposals by what is wrong with them; targets, names and sources are spoilt on purpose."""
     cases, _, p = _reviewed(h)
     i = F.col("source_id")
-    rows = p.select(F.when(i % 17 == 0, i + 5_000_000).otherwise(i).alias("source_id"), F.when(i % 19 == 0, "other").otherwise(F.col("action")).alias("action"), F.when(i % 11 == 0, F.lit(-1)).otherwise(F.col("canonical_id")).alias("canonical_id"), F.when(i % 13 == 0, "x").otherwise("").alias("proposed_name"))
+    rows = p.select(
+        F.when(i % 17 == 0, i + 5_000_000).otherwise(i).alias("source_id"),
+        F.when(i % 19 == 0, "other").otherwise(F.col("action")).alias("action"),
+        F.when(i % 11 == 0, F.lit(-1)).otherwise(F.col("canonical_id")).alias("canonical_id"),
+        F.when(i % 13 == 0, "x").otherwise("").alias("proposed_name")
+    )
     known = h.freeform.unionByName(h.freeform.withColumn("id", F.col("id") + 20))  # the spoilt targets of _reviewed are known as well
     found = review.validate_proposals(rows, cases, known)
     return found.groupBy(F.coalesce("problem", F.lit("valid")).alias("problem")).agg(F.count("*").alias("rows"))
@@ -194,7 +226,10 @@ SELECT problem, count(*) AS rows FROM v GROUP BY problem"""
 
 @query
 def baseline_proposals(h: Host) -> DataFrame:
-    tops = h.queries.select(F.col("query_id").alias("source_id"), F.col("canonical_id").alias("template"), (F.col("canonical_id") + F.when(F.col("query_id") % 3 == 0, 20).otherwise(0)).alias("pooled"))
+    tops = h.queries.select(
+        F.col("query_id").alias("source_id"), F.col("canonical_id").alias("template"),
+        (F.col("canonical_id") + F.when(F.col("query_id") % 3 == 0, 20).otherwise(0)).alias("pooled")
+    )
     out = None
     for method in ("always_template", "always_alias_max", "semantic_agreement_else_abstain"):
         one = review.baseline_proposals(tops, method).withColumn("method", F.lit(method))
@@ -232,12 +267,19 @@ def review_challenge(h: Host) -> DataFrame:
     asked = screen.select(F.col("id").alias("query_id"), F.col("name").alias("query_name"))
     ranked = lambda reps: cut(matching.top_k(matching.max_pool(scoring.best_matches(asked, reps, "similarity"))))
     by_name, pooled = ranked(h.names), ranked(h.names_and_aliases)
-    m = matching.margin(pooled).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("score"), F.col("margin").cast("double").alias("margin"))
+    m = matching.margin(pooled).select(
+        F.col("query_id").alias("id"), F.col("score").cast("double").alias("score"), F.col("margin").cast("double").alias("margin")
+    )
     first = lambda r, c: r.filter("rank = 1").select(F.col("query_id").alias("id"), F.col("canonical_id").alias(c))
     supported = h.aliases.select(F.col("canonical_id").alias("a"), F.lit(True).alias("known")).distinct()
     rows = cut(screen.join(m, "id").join(first(by_name, "a"), "id").join(first(pooled, "b"), "id").join(supported, "a", "left"))
     always = F.lit(True)
-    rules = [("low_similarity", 20, always, F.col("score")), ("small_margin", 20, always, F.col("margin")), ("semantic_disagreement", 20, F.col("a") != F.col("b"), F.lit(0)), ("unsupported_name_target", 20, F.col("known").isNull(), F.lit(0)), ("high_usage", 10, always, -F.col("cached_count")), ("non_ascii", 10, ~tx.is_ascii("name"), F.lit(0))]
+    rules = [
+        ("low_similarity", 20, always, F.col("score")), ("small_margin", 20, always, F.col("margin")),
+        ("semantic_disagreement", 20, F.col("a") != F.col("b"), F.lit(0)),
+        ("unsupported_name_target", 20, F.col("known").isNull(), F.lit(0)), ("high_usage", 10, always, -F.col("cached_count")),
+        ("non_ascii", 10, ~tx.is_ascii("name"), F.lit(0))
+    ]
     return sampling.quota_selection(rows, "id", SEED, rules).select("id", "selection_reason")
 
 
@@ -250,7 +292,11 @@ def _challenge_sql() -> str:
     sql += """, mg AS (SELECT query_id AS id, max(score) FILTER (rank = 1) AS score, max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) AS margin FROM top_tb GROUP BY query_id),
 f AS (SELECT sc.*, mg.score, mg.margin, a.canonical_id AS a, b.canonical_id AS b, a.canonical_id IN (SELECT canonical_id FROM al) AS known FROM sc JOIN mg USING (id) JOIN top_ta a ON a.query_id = id AND a.rank = 1 JOIN top_tb b ON b.query_id = id AND b.rank = 1)"""
     before: list[str] = []
-    for label, n, eligible, priority in (("low_similarity", 20, "true", "score"), ("small_margin", 20, "true", "margin"), ("semantic_disagreement", 20, "a <> b", "id - id"), ("unsupported_name_target", 20, "NOT known", "id - id"), ("high_usage", 10, "true", "-cached_count"), ("non_ascii", 10, "regexp_matches(name, '[^\\x00-\\x7F]')", "id - id")):
+    for label, n, eligible, priority in (
+        ("low_similarity", 20, "true", "score"), ("small_margin", 20, "true", "margin"), ("semantic_disagreement", 20, "a <> b", "id - id"),
+        ("unsupported_name_target", 20, "NOT known", "id - id"), ("high_usage", 10, "true", "-cached_count"),
+        ("non_ascii", 10, "regexp_matches(name, '[^\\x00-\\x7F]')", "id - id")
+    ):
         gone = " AND ".join(f"id NOT IN (SELECT id FROM k_{b})" for b in before) or "true"
         sql += f", f_{label} AS (SELECT id, '{label}' AS selection_reason FROM f WHERE {eligible} AND {gone} ORDER BY {priority}, {o.h(f'{SEED}:challenge:{label}', 'id')}, id LIMIT {n})"
         sql += f", k_{label} AS (SELECT * FROM (SELECT * FROM f_{label} UNION ALL SELECT id, '{label}_fallback' FROM f WHERE {gone} AND id NOT IN (SELECT id FROM f_{label})) QUALIFY row_number() OVER (ORDER BY selection_reason <> '{label}', {o.h(f'{SEED}:fallback:{label}', 'id')}, id) <= {n})"
@@ -289,8 +335,12 @@ def render_one_work(h: Host) -> DataFrame:
     """The view with co-tags of one work."""
     p = Profiles(h)
     own = p.candidate_works()
-    one = profiles.joined_names(profiles.one_work(profiles.sample_works(own), p.context), h.catalogue, "type").groupBy("profile").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "names")))).alias("context"))
-    base = h.freeform.select("id", "name").join(profiles.accumulate(own).withColumnRenamed("profile", "id"), "id", "left").join(one.withColumnRenamed("profile", "id"), "id", "left").withColumn("aliases", F.lit(""))
+    one = profiles.joined_names(profiles.one_work(profiles.sample_works(own), p.context), h.catalogue, "type").groupBy("profile").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "names")))).alias("context")
+    )
+    base = h.freeform.select("id", "name").join(
+        profiles.accumulate(own).withColumnRenamed("profile", "id"), "id", "left"
+    ).join(one.withColumnRenamed("profile", "id"), "id", "left").withColumn("aliases", F.lit(""))
     return base.select("id", profiles.render("cotags").alias("view_one_work"))
 
 
@@ -339,7 +389,9 @@ def coverage_strata(h: Host) -> DataFrame:
     count = lambda works, key: works.groupBy("profile").agg(F.count("*").alias(key))
     own = profiles.select_aliases(h.aliases, p.blocked).select(F.col("canonical_id").alias("t"), F.lit(True).alias("has_aliases")).distinct()
     rows = _trigram_ranks(h, h.names).join(h.queries.select("query_id", "query_name", F.col("canonical_id").alias("t")), "query_id")
-    rows = rows.join(count(p.query_works(), "qn").withColumnRenamed("profile", "query_id"), "query_id", "left").join(count(p.candidate_works(), "cn").withColumnRenamed("profile", "t"), "t", "left").join(own, "t", "left")
+    rows = rows.join(
+        count(p.query_works(), "qn").withColumnRenamed("profile", "query_id"), "query_id", "left"
+    ).join(count(p.candidate_works(), "cn").withColumnRenamed("profile", "t"), "t", "left").join(own, "t", "left")
     q, c, known = F.coalesce("qn", F.lit(0)), F.coalesce("cn", F.lit(0)), F.coalesce("has_aliases", F.lit(False))
     strata = {
         "all": F.lit(True), "query_no_works": q == 0, "target_has_selected_aliases": known, "target_has_no_selected_aliases": ~known, "query_has_any_work": q > 0, "query_1_to_2_works": (q > 0) & (q < 3),
@@ -358,12 +410,22 @@ SQL["coverage_strata"] = o.PROFILE + o.TRI + o.rank("tri", "r") + """, x AS (SEL
 @query
 def adjudication_strata(h: Host) -> DataFrame:
     """Outcomes of the first choice by whether the target has aliases that could be shown."""
-    top = _top(h, h.names).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))), lambda x: x["canonical_id"]).alias("top_ids"))
-    own = profiles.select_aliases(h.aliases, h.queries.select(F.col("query_id").alias("id"))).select(F.col("canonical_id").alias("answer"), F.lit(True).alias("known")).distinct()
+    top = _top(h, h.names).groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))), lambda x: x["canonical_id"]).alias("top_ids")
+    )
+    own = profiles.select_aliases(h.aliases, h.queries.select(F.col("query_id").alias("id"))).select(
+        F.col("canonical_id").alias("answer"), F.lit(True).alias("known")
+    ).distinct()
     cases = top.join(h.queries.select("query_id", F.col("canonical_id").alias("answer")), "query_id").join(own, "answer", "left")
-    cases = cases.select("query_id", "answer", "top_ids", F.get("top_ids", F.lit(0)).alias("selected_id"), F.get("top_ids", F.lit(0)).alias("forced_id"), F.coalesce("known", F.lit(False)).alias("target_has_aliases"))
+    cases = cases.select(
+        "query_id", "answer", "top_ids", F.get("top_ids", F.lit(0)).alias("selected_id"), F.get("top_ids", F.lit(0)).alias("forced_id"),
+        F.coalesce("known", F.lit(False)).alias("target_has_aliases")
+    )
     s = decisions.summarize(decisions.outcomes(cases), ("target_has_aliases",))
-    return _nine(s.select("target_has_aliases", "queries", "present", "successes", "overall_success", "conditional_success"), "overall_success", "conditional_success")
+    return _nine(
+        s.select("target_has_aliases", "queries", "present", "successes", "overall_success", "conditional_success"), "overall_success",
+        "conditional_success"
+    )
 
 
 SQL["adjudication_strata"] = o.PROFILE + o.TRI + f", top AS ({TOP.format('tri')}), x AS (SELECT q.canonical_id IN (SELECT canonical_id FROM pal) AS target_has_aliases, max(CASE WHEN top.canonical_id = q.canonical_id THEN 1 ELSE 0 END) AS present, max(CASE WHEN rank = 1 AND top.canonical_id = q.canonical_id THEN 1 ELSE 0 END) AS ok FROM top JOIN q USING (query_id) GROUP BY query_id, q.canonical_id) SELECT target_has_aliases, count(*) AS queries, CAST(sum(present) AS BIGINT) AS present, CAST(sum(ok) AS BIGINT) AS successes, round(sum(ok) / count(*), 9) AS overall_success, round(sum(ok) / nullif(sum(present), 0), 9) AS conditional_success FROM x GROUP BY target_has_aliases"
@@ -373,7 +435,9 @@ SQL["adjudication_strata"] = o.PROFILE + o.TRI + f", top AS ({TOP.format('tri')}
 def paired_bootstrap(h: Host) -> DataFrame:
     """Difference of the hits at 1 by trigrams and by edit distance, and its interval over resampled canonicals."""
     a, b = _trigram_ranks(h, h.names), scoring.expected_ranks(h.queries, h.names, "levenshtein")
-    rows = a.select("query_id", "canonical_id", metrics.hit("expected_rank", 1).cast("int").alias("x")).join(b.select("query_id", metrics.hit("expected_rank", 1).cast("int").alias("y")), "query_id")
+    rows = a.select("query_id", "canonical_id", metrics.hit("expected_rank", 1).cast("int").alias("x")).join(
+        b.select("query_id", metrics.hit("expected_rank", 1).cast("int").alias("y")), "query_id"
+    )
     return _nine(metrics.drawn_bootstrap(rows, "canonical_id", F.col("x") - F.col("y"), 500), "mean", "low", "high")
 
 
@@ -388,7 +452,9 @@ def score_quantiles(h: Host) -> DataFrame:
     return _nine(metrics.quantiles(h.synonyms.select(tx.levenshtein_similarity("name", "canonical_name").alias("s")), "s"), "p0", "p25", "p50", "p75", "p100")
 
 
-SQL["score_quantiles"] = CTE + ", s AS (SELECT CAST(1 - levenshtein(name, canonical_name) / greatest(length(name), length(canonical_name)) AS DOUBLE) AS s FROM syn) SELECT " + ", ".join(f"round(quantile_cont(s, {p / 100}), 9) AS p{p}" for p in (0, 25, 50, 75, 100)) + " FROM s"
+SQL["score_quantiles"] = CTE + ", s AS (SELECT CAST(1 - levenshtein(name, canonical_name) / greatest(length(name), length(canonical_name)) AS DOUBLE) AS s FROM syn) SELECT " + ", ".join(
+    f"round(quantile_cont(s, {p / 100}), 9) AS p{p}" for p in (0, 25, 50, 75, 100)
+) + " FROM s"
 
 
 @query
@@ -550,7 +616,9 @@ def planted_membership_errors(h: Host) -> DataFrame:
     return metrics.membership_recheck(r, _top(h, h.names))
 
 
-SQL["planted_membership_errors"] = TRI_TOP + o.rank("tri", "r") + ", z AS (SELECT r.query_id, CASE WHEN r.query_id % 4 = 0 THEN r.expected_rank - 1 ELSE r.expected_rank END AS said, (SELECT min(rank) FROM top WHERE top.query_id = r.query_id AND top.canonical_id = r.canonical_id) AS true_rank FROM r) SELECT count(*) AS queries, " + ", ".join(f"count(*) FILTER ((said BETWEEN 1 AND {k}) <> coalesce(true_rank <= {k}, false)) AS disagree_{k}" for k in (1, 3, 5, 10)) + " FROM z"
+SQL["planted_membership_errors"] = TRI_TOP + o.rank("tri", "r") + ", z AS (SELECT r.query_id, CASE WHEN r.query_id % 4 = 0 THEN r.expected_rank - 1 ELSE r.expected_rank END AS said, (SELECT min(rank) FROM top WHERE top.query_id = r.query_id AND top.canonical_id = r.canonical_id) AS true_rank FROM r) SELECT count(*) AS queries, " + ", ".join(
+    f"count(*) FILTER ((said BETWEEN 1 AND {k}) <> coalesce(true_rank <= {k}, false)) AS disagree_{k}" for k in (1, 3, 5, 10)
+) + " FROM z"
 
 
 @query
@@ -562,7 +630,11 @@ def planted_snapshot_errors(h: Host) -> DataFrame:
     al = h.aliases.withColumn("split", group_split(SEED, "canonical_id"))
     cat = cat.filter("id % 7 <> 0").unionByName(cat.filter("id % 100 = 1"))
     al = al.withColumn("canonical_name", F.when(F.col("id") % 5 == 0, F.upper("canonical_name")).otherwise(F.col("canonical_name")))
-    ex = h.queries.select(F.when(F.col("query_id") % 9 == 0, -F.col("query_id")).otherwise(F.col("query_id")).alias("query_id"), F.when(F.col("query_id") % 8 == 0, "x").otherwise(F.col("query_name")).alias("query_name"), "canonical_id", F.lit("synonym").alias("kind"))
+    ex = h.queries.select(
+        F.when(F.col("query_id") % 9 == 0, -F.col("query_id")).otherwise(F.col("query_id")).alias("query_id"),
+        F.when(F.col("query_id") % 8 == 0, "x").otherwise(F.col("query_name")).alias("query_name"), "canonical_id",
+        F.lit("synonym").alias("kind")
+    )
     return snapshot.violations(cat, al, ex)
 
 
@@ -582,7 +654,9 @@ def planted_profile_errors(h: Host) -> DataFrame:
     p = Profiles(h)
     own = p.candidate_works()
     sample = profiles.sample_works(own, 1)
-    acc = profiles.accumulate(own).withColumn("band_0", F.col("band_0") + (F.col("profile") % 3 == 0).cast("int")).withColumn("n", F.when(F.col("profile") % 5 == 0, F.lit(0)).otherwise(F.col("n")))
+    acc = profiles.accumulate(own).withColumn("band_0", F.col("band_0") + (F.col("profile") % 3 == 0).cast("int")).withColumn(
+        "n", F.when(F.col("profile") % 5 == 0, F.lit(0)).otherwise(F.col("n"))
+    )
     assoc = sample.select("profile", F.lit("Freeform").alias("type"), F.when(F.col("profile") % 2 == 0, F.col("target")).otherwise(F.lit(-1)).alias("tag_id"))
     return profiles.profile_violations(acc, sample, assoc)
 
@@ -595,7 +669,10 @@ SQL["planted_profile_errors"] = o.PROFILE + f", a AS ({o.accumulate('mw')}) SELE
 def tag_csv(h: Host) -> DataFrame:
     """The tag dump, written as CSV and read back by its schema."""
     path = shared_path(h.spark, "tag-csv")
-    own = h.tags.select("id", "type", F.when(F.col("id") % 3 == 0, F.concat("name", F.lit(', "x"'))).otherwise(F.col("name")).alias("name"), "canonical", "cached_count", "merger_id")
+    own = h.tags.select(
+        "id", "type", F.when(F.col("id") % 3 == 0, F.concat("name", F.lit(', "x"'))).otherwise(F.col("name")).alias("name"), "canonical",
+        "cached_count", "merger_id"
+    )
     src.write_table(own.coalesce(1), path, "csv")
     return src.read_tags(h.spark, path)
 
@@ -609,10 +686,17 @@ def works_csv(h: Host) -> DataFrame:
     path = shared_path(h.spark, "works-csv")
     held = h.work_tags.groupBy("ordinal").agg(F.array_join(F.transform(F.array_sort(F.collect_list("tag_id")), lambda x: x.cast("string")), "+").alias("tags"))
     own = h.works.join(held, "ordinal", "left").orderBy("ordinal").coalesce(1)
-    own = own.select(F.col("creation_date").cast("string").alias("creation date"), "language", "restricted", "complete", F.coalesce(F.col("word_count").cast("string"), F.lit("")).alias("word_count"), F.coalesce("tags", F.lit("")).alias("tags"), F.lit("").alias(" "))
+    own = own.select(
+        F.col("creation_date").cast("string").alias("creation date"), "language", "restricted", "complete",
+        F.coalesce(F.col("word_count").cast("string"), F.lit("")).alias("word_count"), F.coalesce("tags", F.lit("")).alias("tags"),
+        F.lit("").alias(" ")
+    )
     src.write_table(own, path, "csv", emptyValue="")
     r = src.read_works(h.spark, path)
-    return r.select("ordinal", F.col("creation_date").cast("string").alias("creation_date"), "language", "restricted", "complete", "word_count", _ids("tags").alias("tags"))
+    return r.select(
+        "ordinal", F.col("creation_date").cast("string").alias("creation_date"), "language", "restricted", "complete", "word_count",
+        _ids("tags").alias("tags")
+    )
 
 
 SQL["works_csv"] = CTE + ", w AS (SELECT * FROM work) SELECT row_number() OVER (ORDER BY ordinal) AS ordinal, CAST(creation_date AS VARCHAR) AS creation_date, language, restricted, complete, word_count, coalesce((SELECT string_agg(CAST(tag_id AS VARCHAR), ',' ORDER BY tag_id) FROM wt WHERE wt.ordinal = w.ordinal), '') AS tags FROM w"
@@ -698,14 +782,23 @@ def work_pages(h: Host) -> DataFrame:
     k = F.col("o_orderkey").cast("string")
     name = F.concat(F.lit("Work &amp; "), k)
     html = F.concat(
-        F.lit('<html><h2 class="title heading"> '), name, F.lit(' </h2><dl class="work meta group"><dd class="fandom tags"><ul><li><a class="tag" href="/tags/1">A  <i>b</i></a></li></ul></dd><dd class="freeform tags"><a class="tag" href="/tags/2">c'), k,
-        F.lit('</a></dd><dd class="language">English</dd><dd class="stats"><dl class="stats"><dd class="words">'), F.format_number(F.floor("o_totalprice"), 0), F.lit('</dd><dd class="hits">7</dd></dl></dd></dl><script>var x = "<b>";</script><div class="chapter" id="chapter-1"><a href="/works/'), k,
+        F.lit('<html><h2 class="title heading"> '), name, F.lit(
+            ' </h2><dl class="work meta group"><dd class="fandom tags"><ul><li><a class="tag" href="/tags/1">A  <i>b</i></a></li></ul></dd><dd class="freeform tags"><a class="tag" href="/tags/2">c'
+        ), k,
+        F.lit('</a></dd><dd class="language">English</dd><dd class="stats"><dl class="stats"><dd class="words">'), F.format_number(F.floor("o_totalprice"), 0), F.lit(
+            '</dd><dd class="hits">7</dd></dl></dd></dl><script>var x = "<b>";</script><div class="chapter" id="chapter-1"><a href="/works/'
+        ), k,
         F.lit("/chapters/3\">next</a></p></div></html>"),
     )
     spoilt = F.when(F.col("o_orderkey") % 10 == 0, F.lit("<html>please log in</html>")).otherwise(html)
     found = pages.page_metadata(rows.select("o_orderkey", spoilt.alias("html"))).select("o_orderkey", "work")
     path = lambda p: F.get_json_object("work", p)
-    return found.select("o_orderkey", path("$.work_id").cast("bigint").alias("work_id"), path("$.title").alias("title"), path("$.language").alias("language"), path("$.tags.Fandom[0].name").alias("fandom"), path("$.tags.Freeform[0].name").alias("freeform"), path("$.stats.words").cast("bigint").alias("words"), path("$.stats.kudos").cast("bigint").alias("kudos"), path("$.chapter_urls[0]").alias("chapter"))
+    return found.select(
+        "o_orderkey", path("$.work_id").cast("bigint").alias("work_id"), path("$.title").alias("title"),
+        path("$.language").alias("language"), path("$.tags.Fandom[0].name").alias("fandom"),
+        path("$.tags.Freeform[0].name").alias("freeform"), path("$.stats.words").cast("bigint").alias("words"),
+        path("$.stats.kudos").cast("bigint").alias("kudos"), path("$.chapter_urls[0]").alias("chapter")
+    )
 
 
 SQL["work_pages"] = """SELECT o_orderkey, CASE WHEN ok THEN CAST(o_orderkey AS BIGINT) END AS work_id, CASE WHEN ok THEN 'Work & ' || o_orderkey END AS title, CASE WHEN ok THEN 'English' END AS language, CASE WHEN ok THEN 'A b' END AS fandom, CASE WHEN ok THEN 'c' || o_orderkey END AS freeform,

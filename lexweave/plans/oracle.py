@@ -128,12 +128,24 @@ def cx(kind: str) -> str:
 def _views() -> str:
     base = "'Tag: ' || name || chr(10) || 'Type: Freeform'"
     alias = "CASE WHEN aliases <> '' THEN 'Other names: ' || aliases END"
-    co = {k: f"CASE WHEN n > 0 AND {v} <> '' THEN 'Observed {k.lower()} context: ' || {v} END" for k, v in (("Fandom", "c_fandom"), ("Character", "c_character"), ("Relationship", "c_relationship"), ("Freeform", "c_freeform"))}
-    length = "CASE WHEN n >= 3 AND words_n > 0 THEN 'Work lengths: ' || " + " || ', ' || ".join(f"'{label} ' || {pct(f'band_{k}', 'words_n')}" for k, label in enumerate(("short", "medium", "long", "epic"))) + " END"
+    co = {
+        k: f"CASE WHEN n > 0 AND {v} <> '' THEN 'Observed {k.lower()} context: ' || {v} END" for k,
+        v in (("Fandom", "c_fandom"), ("Character", "c_character"), ("Relationship", "c_relationship"), ("Freeform", "c_freeform"))
+    }
+    length = "CASE WHEN n >= 3 AND words_n > 0 THEN 'Work lengths: ' || " + " || ', ' || ".join(
+        f"'{label} ' || {pct(f'band_{k}', 'words_n')}" for k, label in enumerate(("short", "medium", "long", "epic"))
+    ) + " END"
     usage = "CASE WHEN n >= 3 THEN 'Observed usage frequency: ' || CASE WHEN n / 1000 < 1e-6 THEN 'very rare' WHEN n / 1000 < 1e-4 THEN 'uncommon' WHEN n / 1000 < 1e-2 THEN 'common' ELSE 'very common' END END"
-    meta = ["CASE WHEN n >= 3 THEN 'Work language codes: ' || langs END", f"CASE WHEN n >= 3 THEN 'Works complete: ' || {pct('complete', 'n')} || '; restricted: ' || {pct('restricted', 'n')} END"]
+    meta = [
+        "CASE WHEN n >= 3 THEN 'Work language codes: ' || langs END",
+        f"CASE WHEN n >= 3 THEN 'Works complete: ' || {pct('complete', 'n')} || '; restricted: ' || {pct('restricted', 'n')} END"
+    ]
     every = list(co.values())
-    views = {"raw": None, "template": [], "aliases": [alias], "fandom": [alias, co["Fandom"]], "cotags": [alias, *every], "length": [alias, length], "cotags_length": [alias, *every, length], "usage": [alias, usage], "metadata": [alias, *meta], "all": [alias, *every, length, usage, *meta]}
+    views = {
+        "raw": None, "template": [], "aliases": [alias], "fandom": [alias, co["Fandom"]], "cotags": [alias, *every],
+        "length": [alias, length], "cotags_length": [alias, *every, length], "usage": [alias, usage], "metadata": [alias, *meta],
+        "all": [alias, *every, length, usage, *meta]
+    }
     return ", ".join(f"name AS view_{k}" if v is None else f"concat_ws(chr(10), {', '.join([base, *v])}) AS view_{k}" for k, v in views.items())
 
 
@@ -171,7 +183,11 @@ SUMMARY = ", ".join(
      f"round({_n('correct AND target_present')} / nullif({_n('target_present')}, 0), 9) AS conditional_success", f"round({_n('correct OR correct_shortlist_rejection')} / count(*), 9) AS shortlist_decision_accuracy",
      f"round({_n('correct')} / nullif({_n('NOT abstained')}, 0), 9) AS precision", f"round({_n('NOT abstained')} / count(*), 9) AS acceptance"]
     + [f"{_n(k)} AS {k}s" for k in ("baseline_correct", "rescue", "regression", "selection_error", "unnecessary_abstention", "correct_shortlist_rejection", "wrong_acceptance_on_retrieval_miss")]
-    + [f"{_n('forced_correct')} AS forced_successes", f"{_n('forced_correct AND NOT baseline_correct')} AS forced_rescues", f"{_n('NOT forced_correct AND baseline_correct')} AS forced_regressions", f"round(({_n('forced_correct')} - {_n('baseline_correct')}) / count(*), 9) AS forced_difference"]
+    + [
+        f"{_n('forced_correct')} AS forced_successes", f"{_n('forced_correct AND NOT baseline_correct')} AS forced_rescues",
+        f"{_n('NOT forced_correct AND baseline_correct')} AS forced_regressions",
+        f"round(({_n('forced_correct')} - {_n('baseline_correct')}) / count(*), 9) AS forced_difference"
+    ]
 )
 
 REVIEW = (
@@ -182,7 +198,10 @@ p AS (SELECT query_id AS source_id, CASE WHEN query_id % 5 < 3 THEN 'synonym' WH
 r AS (SELECT * FROM j JOIN p USING (source_id)), rr AS (SELECT *, action = 'synonym' AS mg, action = 'new_canonical' AS nw, coalesce(judgment IN ('synonym', 'new_canonical'), false) AS rs, coalesce(judgment = 'synonym' AND answer = target, false) AS ok FROM r)
 """
 )
-QUOTA = [("low_usage", 20, "true", "cached_count"), ("long_name", 20, "true", "-length(name)"), ("character", 20, "type = 'Character'", "id - id"), ("rare_mark", 10, "contains(name, '~')", "id - id")]
+QUOTA = [
+    ("low_usage", 20, "true", "cached_count"), ("long_name", 20, "true", "-length(name)"),
+    ("character", 20, "type = 'Character'", "id - id"), ("rare_mark", 10, "contains(name, '~')", "id - id")
+]
 
 
 def _quota() -> str:
@@ -214,7 +233,9 @@ COUNTERS = {
 SQL: dict[str, str] = {
     "audit_counters": CTE + "SELECT " + ", ".join(f"{_n(v)} AS {k}" for k, v in COUNTERS.items()) + " FROM full_",
     "audit_by_type": CTE + f"SELECT type, count(*) AS rows, {_n('canonical AND visible AND merger_id IS NULL')} AS catalogue, {_n(GOOD)} AS synonyms, count(DISTINCT CASE WHEN {GOOD} THEN terminal END) AS targets, {_n('NOT canonical AND visible AND merger_id IS NULL')} AS unmerged, CAST(sum(cached_count) AS BIGINT) AS uses FROM full_ GROUP BY type",
-    "audit_type_split_pivot": CTE + ", s AS (SELECT type, " + split("id") + " AS s FROM catalogue) SELECT type, " + ", ".join(f"count(*) FILTER (s = '{k}') AS {k}" for k in ("development", "calibration", "test")) + " FROM s GROUP BY type",
+    "audit_type_split_pivot": CTE + ", s AS (SELECT type, " + split("id") + " AS s FROM catalogue) SELECT type, " + ", ".join(
+        f"count(*) FILTER (s = '{k}') AS {k}" for k in ("development", "calibration", "test")
+    ) + " FROM s GROUP BY type",
     "resolve_links": CTE + "SELECT * FROM resolved",
     "eligible_synonyms": CTE + "SELECT * FROM syn",
     "unmerged_population": CTE + "SELECT id, type, name, cached_count FROM full_ WHERE NOT canonical AND visible AND merger_id IS NULL",
@@ -268,7 +289,9 @@ SQL: dict[str, str] = {
     "one_work_context": PROFILE + "SELECT * FROM one",
     "alias_selection": PROFILE + "SELECT * FROM pal",
     "render_views": RENDER + "SELECT * FROM views",
-    "view_availability": RENDER + "SELECT " + ", ".join(f"count(*) FILTER (view_{v} <> view_template) AS \"{v}\"" for v in ("aliases", "fandom", "cotags", "length", "usage", "metadata", "all")) + " FROM views",
+    "view_availability": RENDER + "SELECT " + ", ".join(
+        f"count(*) FILTER (view_{v} <> view_template) AS \"{v}\"" for v in ("aliases", "fandom", "cotags", "length", "usage", "metadata", "all")
+    ) + " FROM views",
     "profile_invariants": "SELECT 0::BIGINT AS bands, 0::BIGINT AS words, 0::BIGINT AS sample, 0::BIGINT AS own_tag, 0::BIGINT AS shared_works",
     "shortlist_rerank": CTE + TRI + f", top AS ({TOP.format('tri')}), s AS (SELECT t.query_id, t.canonical_id, max(1 - levenshtein(query_name, rep_name) / greatest(length(query_name), length(rep_name))) AS score FROM top t JOIN q ON q.query_id = t.query_id JOIN all_reps r ON r.canonical_id = t.canonical_id AND NOT (is_alias AND rep_id = t.query_id) GROUP BY ALL) SELECT query_id, canonical_id AS selected_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, canonical_id) = 1",
     "outcomes": CASES + "SELECT * EXCLUDE (top_ids) FROM o",
@@ -277,7 +300,9 @@ SQL: dict[str, str] = {
     "candidate_shuffle": CASES + f"SELECT query_id, string_agg(CAST(i AS VARCHAR), ',' ORDER BY sha256('{SEED}:order:' || query_id || ':' || i), i) AS ids FROM (SELECT query_id, unnest(top_ids) AS i FROM cases) GROUP BY query_id",
     "review_actions": REVIEW + f"SELECT {_n('action IS NOT NULL')} AS submitted, {_n('action IS NULL')} AS missing_proposals, {_n('mg')} AS synonym_proposals, {_n('nw')} AS new_canonical_proposals, count(*) FILTER (action = 'abstain') AS abstentions, round({_n('mg OR nw')} / count(*), 9) AS proposal_coverage, round({_n('mg AND ok')} / nullif({_n('mg AND rs')}, 0), 9) AS resolved_synonym_precision, round(({_n('mg AND rs')} - {_n('mg AND ok')}) / nullif({_n('mg AND rs')}, 0), 9) AS resolved_false_merge_fraction, round(count(*) FILTER (mg AND judgment = 'new_canonical') / nullif(count(*) FILTER (judgment = 'new_canonical' AND action IS NOT NULL), 0), 9) AS false_merge_rate_on_new_concepts, count(*) FILTER (mg AND judgment = 'unresolved') AS merges_on_unresolved, count(*) FILTER (mg AND judgment IS NULL) AS merges_without_reference, round(count(*) FILTER (nw AND judgment = 'new_canonical') / nullif({_n('nw AND rs')}, 0), 9) AS new_canonical_precision, count(*) FILTER (nw AND judgment = 'unresolved') AS new_on_unresolved, count(*) FILTER (nw AND judgment IS NULL) AS new_without_reference FROM rr",
     "review_validate": REVIEW + ", v AS (SELECT source_id, judgment, CASE WHEN judgment IS NULL THEN 'missing source' WHEN judgment = 'synonym' AND (source_id % 11 = 0 OR source_id % 13 = 0) THEN 'synonym needs a known target only' WHEN judgment = 'new_canonical' AND (source_id % 11 = 0 OR source_id % 2 <> 0) THEN 'new canonical needs a catalogue search and no target' WHEN judgment = 'unresolved' AND (source_id % 11 = 0 OR source_id % 13 = 0) THEN 'unresolved has no target' ELSE 'valid' END AS problem FROM j) SELECT problem, count(*) AS rows FROM v GROUP BY problem",
-    "review_shortlist_recall": REVIEW + TRI.replace("WITH", "") + LEV + f", t AS (SELECT 'trigram' AS method, query_id, list(canonical_id ORDER BY rank) AS ids FROM ({TOP.format('tri')}) GROUP BY query_id UNION ALL SELECT 'levenshtein', query_id, list(canonical_id ORDER BY rank) FROM ({TOP.format('lev')}) GROUP BY query_id), x AS (SELECT t.*, answer FROM t JOIN j ON source_id = query_id WHERE judgment = 'synonym') SELECT method, count(*) AS synonyms, " + ", ".join(f"round(count(*) FILTER (list_contains(ids[1:{k}], answer)) / count(*), 9) AS recall_{k}" for k in (1, 3, 5, 10)) + " FROM x GROUP BY method UNION ALL SELECT 'union', count(*), NULL, NULL, NULL, round(avg(hh), 9) FROM (SELECT query_id, max(CASE WHEN list_contains(ids[1:10], answer) THEN 1 ELSE 0 END) AS hh FROM x GROUP BY query_id)",
+    "review_shortlist_recall": REVIEW + TRI.replace("WITH", "") + LEV + f", t AS (SELECT 'trigram' AS method, query_id, list(canonical_id ORDER BY rank) AS ids FROM ({TOP.format('tri')}) GROUP BY query_id UNION ALL SELECT 'levenshtein', query_id, list(canonical_id ORDER BY rank) FROM ({TOP.format('lev')}) GROUP BY query_id), x AS (SELECT t.*, answer FROM t JOIN j ON source_id = query_id WHERE judgment = 'synonym') SELECT method, count(*) AS synonyms, " + ", ".join(
+        f"round(count(*) FILTER (list_contains(ids[1:{k}], answer)) / count(*), 9) AS recall_{k}" for k in (1, 3, 5, 10)
+    ) + " FROM x GROUP BY method UNION ALL SELECT 'union', count(*), NULL, NULL, NULL, round(avg(hh), 9) FROM (SELECT query_id, max(CASE WHEN list_contains(ids[1:10], answer) THEN 1 ELSE 0 END) AS hh FROM x GROUP BY query_id)",
     "page_links": "WITH l AS (SELECT page_id, regexp_extract_all(html, 'href=[\"'']([^\"'']*)[\"'']', 1) AS l FROM pages) SELECT page_id, CAST(len(l) AS BIGINT) AS links, array_to_string(l, ' ') AS hrefs FROM l",
     "text_batches": "SELECT count(*) AS texts, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, 0::BIGINT AS too_large FROM (SELECT text FROM benchmark UNION SELECT text FROM conversations)",
 }

@@ -109,13 +109,18 @@ def identity_sample(h: Host) -> DataFrame:
 @query
 def random_screen_partition(h: Host) -> DataFrame:
     random, screen = sampling.random_screen_partition(audit.unmerged(h.tags), "id", SEED, 40, 80)
-    return random.select("id", F.lit("random").alias("arm"), "partition").unionByName(screen.select("id", F.lit("screen").alias("arm"), F.lit("screen").alias("partition")))
+    return random.select("id", F.lit("random").alias("arm"), "partition").unionByName(
+        screen.select("id", F.lit("screen").alias("arm"), F.lit("screen").alias("partition"))
+    )
 
 
 @query
 def quota_challenge(h: Host) -> DataFrame:
     own = h.tags.select("id", "name", "cached_count", "type")
-    rules = [("low_usage", 20, F.lit(True), F.col("cached_count")), ("long_name", 20, F.lit(True), -F.char_length("name")), ("character", 20, F.col("type") == "Character", F.lit(0)), ("rare_mark", 10, F.col("name").contains("~"), F.lit(0))]
+    rules = [
+        ("low_usage", 20, F.lit(True), F.col("cached_count")), ("long_name", 20, F.lit(True), -F.char_length("name")),
+        ("character", 20, F.col("type") == "Character", F.lit(0)), ("rare_mark", 10, F.col("name").contains("~"), F.lit(0))
+    ]
     return sampling.quota_selection(own, "id", SEED, rules).select("id", "selection_reason")
 
 
@@ -125,7 +130,10 @@ def snapshot_violations(h: Host) -> DataFrame:
     cat = h.freeform.withColumn("split", group_split(SEED, "id"))
     al = h.aliases.withColumn("split", group_split(SEED, "canonical_id"))
     ex = h.queries.select("query_id", "query_name", "canonical_id", F.lit("synonym").alias("kind"))
-    ids = sampling.identity_sample(h.freeform, "id", SEED, 50).select(F.col("id").alias("query_id"), F.col("name").alias("query_name"), F.col("id").alias("canonical_id"), F.lit("canonical_name").alias("kind"))
+    ids = sampling.identity_sample(h.freeform, "id", SEED, 50).select(
+        F.col("id").alias("query_id"), F.col("name").alias("query_name"), F.col("id").alias("canonical_id"),
+        F.lit("canonical_name").alias("kind")
+    )
     found = snapshot.violations(cat, al, ex.unionByName(ids)).agg(F.count("*").alias("broken_rules"))
     again = snapshot.same_sample(h.aliases, h.queries.select(F.col("query_id").alias("id")), "id", "canonical_id", SEED, SAMPLE, CAP)
     return found.withColumn("sample_again", F.lit(again))
@@ -211,7 +219,11 @@ def levenshtein_bands(h: Host) -> DataFrame:
 @query
 def equality_diagnostics(h: Host) -> DataFrame:
     a, b = F.col("name"), F.col("canonical_name")
-    return h.synonyms.agg(F.count_if(a == b).alias("raw"), F.count_if(tx.normalize_ascii(a, "casefold") == tx.normalize_ascii(b, "casefold")).alias("casefold"), F.count_if(tx.normalize_ascii(a, "whitespace") == tx.normalize_ascii(b, "whitespace")).alias("whitespace"))
+    return h.synonyms.agg(
+        F.count_if(a == b).alias("raw"),
+        F.count_if(tx.normalize_ascii(a, "casefold") == tx.normalize_ascii(b, "casefold")).alias("casefold"),
+        F.count_if(tx.normalize_ascii(a, "whitespace") == tx.normalize_ascii(b, "whitespace")).alias("whitespace")
+    )
 
 
 @query
@@ -263,14 +275,20 @@ def cosine_topk(h: Host) -> DataFrame:
 def cosine_full_rank(h: Host) -> DataFrame:
     e = _embeddings(h)
     expected = _vector_queries(e).select("query_id", (F.col("query_id") + 1).alias("canonical_id"))
-    return _nine(retrieval.cosine_ranks(_vector_queries(e), e.select(F.col("vec_id").alias("canonical_id"), F.col("embedding").alias("vector")), expected), "expected_score")
+    return _nine(
+        retrieval.cosine_ranks(_vector_queries(e), e.select(F.col("vec_id").alias("canonical_id"), F.col("embedding").alias("vector")), expected),
+        "expected_score"
+    )
 
 
 @query
 def cosine_alias_max(h: Host) -> DataFrame:
     """Five vectors a canonical: the best of them counts."""
     e = _embeddings(h)
-    found = retrieval.cosine_scores(_vector_queries(e), e.select(F.expr("vec_id div 5").alias("canonical_id"), F.col("vec_id").alias("own_id"), F.col("embedding").alias("vector")))
+    found = retrieval.cosine_scores(
+        _vector_queries(e),
+        e.select(F.expr("vec_id div 5").alias("canonical_id"), F.col("vec_id").alias("own_id"), F.col("embedding").alias("vector"))
+    )
     return _nine(matching.top_k(matching.max_pool(found)), "score")
 
 
@@ -286,7 +304,10 @@ def vector_blend_topk(h: Host) -> DataFrame:
 @query
 def vector_norm_check(h: Host) -> DataFrame:
     e = _embeddings(h)
-    return e.select("vec_id", F.round(vx.norm(vx.doubles("embedding")), 9).alias("norm"), vx.is_valid("embedding", 64).alias("valid"), F.round(vx.norm(vx.unit("embedding")), 9).alias("unit_norm"))
+    return e.select(
+        "vec_id", F.round(vx.norm(vx.doubles("embedding")), 9).alias("norm"), vx.is_valid("embedding", 64).alias("valid"),
+        F.round(vx.norm(vx.unit("embedding")), 9).alias("unit_norm")
+    )
 
 
 @query
@@ -326,7 +347,10 @@ def wilson_interval(h: Host) -> DataFrame:
 
 @query
 def strata_recall(h: Host) -> DataFrame:
-    q = h.queries.select("query_id", F.when(F.col("cached_count") < 10, "5-9").when(F.col("cached_count") < 100, "10-99").otherwise(">=100").alias("usage"), F.when(F.char_length("query_name") <= 20, "<=20").when(F.char_length("query_name") <= 50, "21-50").otherwise(">50").alias("length"))
+    q = h.queries.select(
+        "query_id", F.when(F.col("cached_count") < 10, "5-9").when(F.col("cached_count") < 100, "10-99").otherwise(">=100").alias("usage"),
+        F.when(F.char_length("query_name") <= 20, "<=20").when(F.char_length("query_name") <= 50, "21-50").otherwise(">50").alias("length")
+    )
     r = metrics.recall_at(_trigram_ranks(h, h.names).join(q, "query_id"), by=("usage", "length"))
     return _nine(r, "recall_1", "recall_3", "recall_5", "recall_10")
 
@@ -372,7 +396,9 @@ class Profiles:
         self.development = self.assigned.filter("bucket IN (6, 7)")
         permitted = h.aliases.join(self.blocked, "id", "left_anti")
         own = h.freeform.select(F.col("id").alias("tag_id"), F.col("id").alias("profile"), F.col("id").alias("target"))
-        self.members = own.unionByName(permitted.select(F.col("id").alias("tag_id"), F.col("canonical_id").alias("profile"), F.col("canonical_id").alias("target")))
+        self.members = own.unionByName(
+            permitted.select(F.col("id").alias("tag_id"), F.col("canonical_id").alias("profile"), F.col("canonical_id").alias("target"))
+        )
         self.query_members = q.select(F.col("query_id").alias("tag_id"), F.col("query_id").alias("profile"), F.col("canonical_id").alias("target"))
         self.context = profiles.visible_context(h.work_tags, h.catalogue)
 
@@ -438,19 +464,30 @@ def render_views(h: Host) -> DataFrame:
     p = Profiles(h)
     own = p.candidate_works()
     assoc = profiles.associated_tags(profiles.sample_works(own), p.context, p.background())
-    texts = profiles.joined_names(assoc, h.catalogue, "type").groupBy("profile").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "names")))).alias("context"))
-    names = profiles.select_aliases(h.aliases, p.blocked).groupBy("canonical_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), "; ").alias("aliases"))
-    base = h.freeform.select("id", "name").join(profiles.accumulate(own).withColumnRenamed("profile", "id"), "id", "left").join(profiles.languages(own).withColumnRenamed("profile", "id"), "id", "left")
+    texts = profiles.joined_names(assoc, h.catalogue, "type").groupBy("profile").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "names")))).alias("context")
+    )
+    names = profiles.select_aliases(h.aliases, p.blocked).groupBy("canonical_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), "; ").alias("aliases")
+    )
+    base = h.freeform.select("id", "name").join(
+        profiles.accumulate(own).withColumnRenamed("profile", "id"), "id", "left"
+    ).join(profiles.languages(own).withColumnRenamed("profile", "id"), "id", "left")
     base = base.join(texts.withColumnRenamed("profile", "id"), "id", "left").join(names.withColumnRenamed("canonical_id", "id"), "id", "left")
     base = base.withColumn("aliases", F.coalesce("aliases", F.lit(""))).withColumn("top_languages", profiles.top_languages("languages"))
-    return base.select("id", *[profiles.render(v, F.lit(1000)).alias(f"view_{v}") for v in ("raw", "template", "aliases", "fandom", "cotags", "length", "cotags_length", "usage", "metadata", "all")])
+    return base.select(
+        "id",
+        *[profiles.render(v, F.lit(1000)).alias(f"view_{v}") for v in ("raw", "template", "aliases", "fandom", "cotags", "length", "cotags_length", "usage", "metadata", "all")]
+    )
 
 
 @query
 def view_availability(h: Host) -> DataFrame:
     """How many texts differ from the template, by view."""
     r = render_views(h)
-    return r.agg(*[F.count_if(F.col(f"view_{v}") != F.col("view_template")).alias(v) for v in ("aliases", "fandom", "cotags", "length", "usage", "metadata", "all")])
+    return r.agg(
+        *[F.count_if(F.col(f"view_{v}") != F.col("view_template")).alias(v) for v in ("aliases", "fandom", "cotags", "length", "usage", "metadata", "all")]
+    )
 
 
 @query
@@ -466,12 +503,16 @@ def profile_invariants(h: Host) -> DataFrame:
 # -------------------------------------------------------------- decisions --
 def _cases(h: Host) -> DataFrame:
     """Shortlists of ten with an answer, and decisions drawn by hash: abstain, take the first, or take another."""
-    lists = _top(h, h.names).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))), lambda x: x["canonical_id"]).alias("top_ids"))
+    lists = _top(h, h.names).groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))), lambda x: x["canonical_id"]).alias("top_ids")
+    )
     c = lists.join(h.queries.select("query_id", F.col("canonical_id").alias("answer")), "query_id")
     pick = (F.conv(F.substring(hash_order(SEED + ":decision", "query_id"), 1, 4), 16, 10).cast("int") % 4).alias("pick")
     c = c.withColumn("pick", pick)
     other = F.get("top_ids", F.least(F.col("pick"), F.size("top_ids") - 1))
-    return c.withColumn("selected_id", F.when(F.col("pick") > 0, F.when(F.col("pick") == 1, F.get("top_ids", F.lit(0))).otherwise(other))).withColumn("forced_id", F.when(F.col("pick") > 1, other).otherwise(F.get("top_ids", F.lit(0)))).drop("pick")
+    return c.withColumn(
+        "selected_id", F.when(F.col("pick") > 0, F.when(F.col("pick") == 1, F.get("top_ids", F.lit(0))).otherwise(other))
+    ).withColumn("forced_id", F.when(F.col("pick") > 1, other).otherwise(F.get("top_ids", F.lit(0)))).drop("pick")
 
 
 @query
@@ -526,7 +567,12 @@ def review_actions(h: Host) -> DataFrame:
 @query
 def review_validate(h: Host) -> DataFrame:
     cases, j, _ = _reviewed(h)
-    rows = j.select("source_id", F.lit("r1").alias("reviewer"), "judgment", F.when(F.col("source_id") % 11 == 0, F.lit(-1)).otherwise(F.col("canonical_id")).alias("canonical_id"), F.when(F.col("source_id") % 13 == 0, "x").otherwise("").alias("proposed_name"), F.lit("high").alias("confidence"), F.when(F.col("source_id") % 2 == 0, "yes").otherwise("no").alias("catalogue_checked"), F.lit("seen").alias("rationale"))
+    rows = j.select(
+        "source_id", F.lit("r1").alias("reviewer"), "judgment",
+        F.when(F.col("source_id") % 11 == 0, F.lit(-1)).otherwise(F.col("canonical_id")).alias("canonical_id"),
+        F.when(F.col("source_id") % 13 == 0, "x").otherwise("").alias("proposed_name"), F.lit("high").alias("confidence"),
+        F.when(F.col("source_id") % 2 == 0, "yes").otherwise("no").alias("catalogue_checked"), F.lit("seen").alias("rationale")
+    )
     found = review.validate_references(rows, cases, h.freeform)
     return found.groupBy(F.coalesce("problem", F.lit("valid")).alias("problem")).agg(F.count("*").alias("rows"))
 
@@ -534,7 +580,9 @@ def review_validate(h: Host) -> DataFrame:
 @query
 def review_shortlist_recall(h: Host) -> DataFrame:
     cases, j, _ = _reviewed(h)
-    lists = lambda df, m: df.groupBy(F.col("query_id").alias("source_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))), lambda x: x["canonical_id"]).alias("top_ids")).withColumn("method", F.lit(m))
+    lists = lambda df, m: df.groupBy(F.col("query_id").alias("source_id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "canonical_id"))), lambda x: x["canonical_id"]).alias("top_ids")
+    ).withColumn("method", F.lit(m))
     tops = lists(_top(h, h.names), "trigram").unionByName(lists(_top(h, h.names, "levenshtein"), "levenshtein"))
     r = review.shortlist_recall(cases, j, tops)
     return _nine(r, "recall_1", "recall_3", "recall_5", "recall_10")
@@ -558,4 +606,7 @@ def text_batches(h: Host) -> DataFrame:
     """Batches of distinct item texts: rows and bytes of each are within the bounds."""
     t = src.distinct_texts(table(h.spark, h.sf_dir, "benchmark"), table(h.spark, h.sf_dir, "conversations"))
     b = src.plan_batches(t, "text_id", "text").groupBy("batch").agg(F.count("*").alias("texts"), F.sum(F.octet_length("text")).alias("bytes"))
-    return b.agg(F.sum("texts").alias("texts"), F.sum("bytes").alias("bytes"), F.count_if((F.col("texts") > 512) | (F.col("bytes") > 280_000)).alias("too_large"))
+    return b.agg(
+        F.sum("texts").alias("texts"), F.sum("bytes").alias("bytes"),
+        F.count_if((F.col("texts") > 512) | (F.col("bytes") > 280_000)).alias("too_large")
+    )

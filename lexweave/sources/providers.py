@@ -27,7 +27,9 @@ def with_retries(call: Callable, attempts: int = 4, first_wait: float = 1.0) ->
 
 def embed(texts: DataFrame, provider: Callable[[list[str]], list[list[float]]], text: str = "text", batch: int = 512, longest: int = 8192) -> DataFrame:
     """Distinct texts with their vectors, asked for in batches on the executors; texts beyond ``longest`` bytes are an error."""
-    source = texts.select(text).distinct().withColumn(text, F.when(F.octet_length(text) > longest, F.raise_error(F.lit("a text is too long")).cast("string")).otherwise(F.col(text)))
+    source = texts.select(text).distinct().withColumn(
+        text, F.when(F.octet_length(text) > longest, F.raise_error(F.lit("a text is too long")).cast("string")).otherwise(F.col(text))
+    )
     ask = with_retries(provider)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

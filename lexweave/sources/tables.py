@@ -31,9 +31,14 @@ def read_tags(spark: SparkSession, path: str, one_line: bool = False) -> DataFra
     """The tag dump; a malformed row is an error when it is read.  With ``one_line`` (no line feeds in names) a file is split over tasks."""
     raw = _csv(spark, path, TAGS, ["id", "type", "name", "canonical", "cached_count", "merger_id"], one_line)
     link = F.col("merger_id").try_cast("bigint")
-    bad = (F.coalesce(F.col("id"), F.lit(0)) <= 0) | ~F.coalesce(F.col("canonical").isin("true", "false"), F.lit(False)) | F.col("cached_count").isNull() | (F.col("merger_id").isNotNull() & F.coalesce(link <= 0, F.lit(True)))
+    bad = (F.coalesce(F.col("id"), F.lit(0)) <= 0) | ~F.coalesce(F.col("canonical").isin("true", "false"), F.lit(False)) | F.col("cached_count").isNull() | (
+        F.col("merger_id").isNotNull() & F.coalesce(link <= 0, F.lit(True))
+    )
     checked = raw.withColumn("id", F.when(bad, F.raise_error(F.lit("malformed tag row")).cast("bigint")).otherwise(F.col("id")))
-    return checked.select("id", "type", F.coalesce("name", F.lit("")).alias("name"), (F.col("canonical") == "true").alias("canonical"), "cached_count", link.alias("merger_id"))
+    return checked.select(
+        "id", "type", F.coalesce("name", F.lit("")).alias("name"), (F.col("canonical") == "true").alias("canonical"), "cached_count",
+        link.alias("merger_id")
+    )
 
 
 def read_works(spark: SparkSession, path: str) -> DataFrame:
@@ -45,10 +50,16 @@ def read_works(spark: SparkSession, path: str) -> DataFrame:
     raw = _csv(spark, path, WORKS, ["creation date", "language", "restricted", "complete", "word_count", "tags"])
     numbered = raw.coalesce(1).withColumn("ordinal", F.monotonically_increasing_id() + 1)
     words = F.when(F.trim("word_count") != "", F.trim("word_count"))
-    bad = ~F.coalesce(F.col("restricted").isin("true", "false") & F.col("complete").isin("true", "false"), F.lit(False)) | F.col("tail").isNotNull() | (words.isNotNull() & words.try_cast("bigint").isNull()) | (words.try_cast("bigint") < 0)
+    bad = ~F.coalesce(
+        F.col("restricted").isin("true", "false") & F.col("complete").isin("true", "false"), F.lit(False)
+    ) | F.col("tail").isNotNull() | (words.isNotNull() & words.try_cast("bigint").isNull()) | (words.try_cast("bigint") < 0)
     checked = numbered.withColumn("ordinal", F.when(bad, F.raise_error(F.lit("malformed work row")).cast("bigint")).otherwise(F.col("ordinal")))
     ids = F.transform(F.split(F.coalesce("tags", F.lit("")), "[+]"), lambda x: x.try_cast("bigint"))
-    return checked.select("ordinal", F.col("creation_date").cast("date"), "language", (F.col("restricted") == "true").alias("restricted"), (F.col("complete") == "true").alias("complete"), words.try_cast("bigint").alias("word_count"), F.array_distinct(F.filter(ids, lambda x: x.isNotNull())).alias("tags"))
+    return checked.select(
+        "ordinal", F.col("creation_date").cast("date"), "language", (F.col("restricted") == "true").alias("restricted"),
+        (F.col("complete") == "true").alias("complete"), words.try_cast("bigint").alias("word_count"),
+        F.array_distinct(F.filter(ids, lambda x: x.isNotNull())).alias("tags")
+    )
 
 
 def work_tags(works: DataFrame) -> DataFrame:
@@ -69,9 +80,14 @@ def read_pages(spark: SparkSession, path: str, items: str) -> DataFrame:
     quota, where it is given, must not rise from page to page.
     """
     number = F.regexp_extract(F.input_file_name(), r"(\d+)\.json(?:\.gz)?$", 1).cast("bigint")
-    pages = spark.read.schema(f"items ARRAY<STRUCT<{items}>>, has_more BOOLEAN, quota_remaining BIGINT").option("multiLine", True).json(path).withColumn("page", number)
+    pages = spark.read.schema(
+        f"items ARRAY<STRUCT<{items}>>, has_more BOOLEAN, quota_remaining BIGINT"
+    ).option("multiLine", True).json(path).withColumn("page", number)
     last = ~F.coalesce("has_more", F.lit(False))
-    found = pages.agg(F.count("*").alias("n"), F.min("page").alias("lo"), F.max("page").alias("hi"), F.count_distinct("page").alias("d"), F.count_if(last).alias("ends"), F.max(F.when(last, F.col("page"))).alias("end")).first()
+    found = pages.agg(
+        F.count("*").alias("n"), F.min("page").alias("lo"), F.max("page").alias("hi"), F.count_distinct("page").alias("d"),
+        F.count_if(last).alias("ends"), F.max(F.when(last, F.col("page"))).alias("end")
+    ).first()
     if found["ends"] != 1 or (found["lo"], found["d"], found["hi"], found["end"]) != (1, found["n"], found["n"], found["n"]):
         raise ValueError("the cached pages are incomplete or out of order")
     given = pages.filter("quota_remaining IS NOT NULL").select("page", "quota_remaining")
@@ -103,7 +119,9 @@ def decode_json_vectors(responses: DataFrame, column: str = "embedding", dimensi
     from ..functions.vectors import is_valid
 
     v = F.from_json(column, "array<float>")
-    return responses.withColumn(column, v).withColumn(column, F.when(is_valid(column, dimensions), F.col(column)).otherwise(F.raise_error(F.lit("invalid vector")).cast("array<float>")))
+    return responses.withColumn(column, v).withColumn(
+        column, F.when(is_valid(column, dimensions), F.col(column)).otherwise(F.raise_error(F.lit("invalid vector")).cast("array<float>"))
+    )
 
 
 def check_indices(responses: DataFrame, expected: int, index: str = "index") -> None:
@@ -166,9 +184,13 @@ def write_counted(df: DataFrame, path: str, format: str = "csv", **options) -> d
     write_table(df, path, format, **options)
     back = spark.read.schema(df.schema)
     rows = (back.options(header=True, quote='"', escape='"', multiLine=True).csv(path) if format == "csv" else back.format(format).load(path)).count()
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256")
+    )
     each = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda x: x["sha256"]), "")
-    found = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.sha2(each.cast("binary"), 256).alias("sha256")).first()  # one digest a file
+    found = files.agg(  # one digest a file
+        F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.sha2(each.cast("binary"), 256).alias("sha256")
+    ).first()
     return {"rows": rows, **found.asDict()}
 
 
@@ -300,7 +322,11 @@ def write_review_page(path: str | Path, title: str, packet: object, cases: list[
     """
     safe = lambda x: json.dumps(x, ensure_ascii=False).replace("&", "\\u0026").replace("<", "\\u003c").replace(">", "\\u003e")
     head = title.replace("&", "&amp;").replace("<", "&lt;")
-    form = {"cases": cases or [], "fields": REVIEW_FIELDS, "choices": {"judgment": JUDGMENTS, "confidence": CONFIDENCE, "catalogue_checked": ("", "yes", "no")}, "packet": fingerprint([cases or [], packet])}
+    form = {
+        "cases": cases or [], "fields": REVIEW_FIELDS,
+        "choices": {"judgment": JUDGMENTS, "confidence": CONFIDENCE, "catalogue_checked": ("", "yes", "no")},
+        "packet": fingerprint([cases or [], packet])
+    }
     Path(path).write_text(
         f"""<!doctype html><meta charset="utf-8"><title>{head}</title><h1>{head}</h1><input id="q" placeholder="words, or #id"><p id="n"></p><ol id="r"></ol><section id="f"></section>
 <script type="application/json" id="d">{safe(packet)}</script>
