@@ -45,24 +45,26 @@ def resolve_links(nodes: DataFrame, key: str = "id", link: str = "merger_id", ca
         )
     )
     open_before = None
-    while (still := state.filter("status IS NULL").count()) and still != open_before:  # from the files' statistics and one column
+    while (still := state.filter("status IS NULL").count()) and still != open_before:
         open_before = still
-        ahead = state.select(
-            F.col("id").alias("at"), F.col("at").alias("next"), F.col("status").alias("s"), F.col("terminal").alias("t"),
-            F.col("hops").alias("h")
-        )
-        waiting = state.filter("status IS NULL").join(ahead, "at")
-        moved = waiting.select(
-            "id", F.col("next").alias("at"), F.col("s").alias("status"), F.col("t").alias("terminal"),
-            (F.col("hops") + F.col("h")).alias("hops")
-        )
-        state = cut(state.filter("status IS NOT NULL").unionByName(moved))
+        state = cut(_jump(_jump(state)))  # two doublings for each table written
     return state.select(
         F.col("id").alias(key), "terminal", F.coalesce("status", F.lit("CYCLE")).alias("status"),
         F.when(F.col("status").isNull(), 0).otherwise(F.col("hops")).cast("long").alias("hops")
     )
 
 
+def _jump(state: DataFrame) -> DataFrame:
+    """Undecided nodes take over what the node they point at knows: its end, or where it points."""
+    ahead = state.select(
+        F.col("id").alias("at"), F.col("at").alias("next"), F.col("status").alias("s"), F.col("terminal").alias("t"), F.col("hops").alias("h")
+    )
+    waiting = state.filter("status IS NULL").join(ahead, "at")
+    hops = (F.col("hops") + F.col("h")).alias("hops")
+    moved = waiting.select("id", F.col("next").alias("at"), F.col("s").alias("status"), F.col("t").alias("terminal"), hops)
+    return state.filter("status IS NOT NULL").unionByName(moved)
+
+
 def resolve_names(edges: DataFrame, source: str = "from_tag", target: str = "to_tag") -> DataFrame:
     """(source, canonical, hops) of name-keyed chains; names that are no source are canonical; a cycle is an error."""
     names = edges.select(F.col(source).alias("id")).union(edges.select(F.col(target))).distinct()
