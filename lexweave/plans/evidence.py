@@ -850,3 +850,50 @@ ext AS (SELECT q.query_id, r.canonical_id, CAST(coalesce(s, 0) AS FLOAT) AS scor
 
 SQL["word_similarity_topk"] = _extents(False)
 SQL["strict_word_similarity_topk"] = _extents(True)
+
+
+def _wratio(pairs: str) -> str:
+    """CTEs up to ``wr`` (query_id, canonical_id, score) over pairs (query_id, canonical_id, rep_id, a, b); common subsequences by bit vectors."""
+    words = "list_sort([w for w in string_split({0}, ' ') if w <> ''])"
+    mask = "list_reduce([CASE WHEN substr(x, i + 1, 1) = c THEN 1::HUGEINT << i ELSE 0::HUGEINT END for i in range(CAST(length(x) AS INTEGER))], lambda p, q: p | q)"
+    state = f"list_reduce(list_prepend(full_, [{mask} for c in string_split(y, '')]), lambda s, m: ((s + (s & m)) | (s - (s & m))) & full_)"
+    window = "substr({1}, greatest(i, 0) + 1, least(length({1}), i + length({0})) - greatest(i, 0))"
+    far = []
+    for a, b, weight in (("a", "b", "scale"), ("sa", "sb", "0.95 * scale"), ("oa", "ob", "0.95 * scale")):
+        short, long = f"CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END", f"CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END"
+        free = "" if a == "a" else " AND both_ = ''"
+        rows = f"SELECT *, {short} AS sh, {long} AS lo FROM far WHERE {a} <> '' AND {b} <> ''{free}"
+        far.append(f"SELECT query_id, canonical_id, rep_id, {weight} AS weight, sh AS x, {window.format('sh', 'lo')} AS y FROM (SELECT *, unnest(range(1 - length(sh), length(lo))) AS i FROM ({rows}))")
+    return f"""{pairs},
+wp0 AS (SELECT *, greatest(length(a), length(b)) / least(length(a), length(b)) AS longer, {words.format('a')} AS ta, {words.format('b')} AS tb FROM pr WHERE a <> '' AND b <> ''),
+wp AS (SELECT query_id, canonical_id, rep_id, a, b, longer, CASE WHEN longer <= 8 THEN 0.9 ELSE 0.6 END AS scale, array_to_string(ta, ' ') AS sa, array_to_string(tb, ' ') AS sb,
+  array_to_string(list_sort(list_intersect(list_distinct(ta), tb)), ' ') AS both_, array_to_string(list_sort([w for w in list_distinct(ta) if NOT list_contains(tb, w)]), ' ') AS oa, array_to_string(list_sort([w for w in list_distinct(tb) if NOT list_contains(ta, w)]), ' ') AS ob FROM wp0),
+far AS (SELECT * FROM wp WHERE longer >= 1.5), near AS (SELECT *, trim(both_ || ' ' || oa) AS xa, trim(both_ || ' ' || ob) AS xb, both_ <> '' AND (oa = '' OR ob = '') AS covered FROM wp WHERE longer < 1.5),
+job AS (SELECT query_id, canonical_id, rep_id, 1.0 AS weight, a AS x, b AS y FROM wp UNION ALL SELECT query_id, canonical_id, rep_id, 0.95, sa, sb FROM near
+  UNION ALL SELECT query_id, canonical_id, rep_id, 0.95, xa, xb FROM near WHERE NOT covered UNION ALL SELECT query_id, canonical_id, rep_id, 0.95, both_, xa FROM near WHERE NOT covered AND both_ <> '' UNION ALL SELECT query_id, canonical_id, rep_id, 0.95, both_, xb FROM near WHERE NOT covered AND both_ <> ''
+  UNION ALL {' UNION ALL '.join(far)}),
+txt AS (SELECT DISTINCT x, y, (1::HUGEINT << CAST(length(x) AS INTEGER)) - 1 AS full_ FROM job WHERE x <> '' AND y <> ''),
+lcs AS (SELECT x, y, 200.0 * (length(x) - bit_count({state})) / (length(x) + length(y)) AS r FROM txt),
+wr AS (SELECT query_id, canonical_id, max(s) AS score FROM (SELECT query_id, canonical_id, CAST(weight * r AS DOUBLE) AS s FROM job JOIN lcs USING (x, y) UNION ALL SELECT query_id, canonical_id, 95.0 FROM near WHERE covered
+  UNION ALL SELECT query_id, canonical_id, CAST(100 * 0.95 * scale AS DOUBLE) FROM far WHERE both_ <> '' UNION ALL SELECT query_id, canonical_id, 0.0 FROM pr) GROUP BY ALL)
+"""
+
+
+SQL["wratio_topk"] = CTE + _wratio(", pr AS (SELECT query_id, r.canonical_id, rep_id, query_name AS a, rep_name AS b FROM q JOIN reps r ON true)") + o.RETURN_TOP.format(TOP.format("wr"))
+SQL["wratio_decisions"] = (
+    TRI_TOP
+    + _wratio(", pr AS (SELECT t.query_id, t.canonical_id, rep_id, query_name AS a, rep_name AS b FROM top t JOIN q ON q.query_id = t.query_id JOIN all_reps r ON r.canonical_id = t.canonical_id WHERE NOT is_alias OR rep_id NOT IN (SELECT query_id FROM q))")
+    + "SELECT query_id, canonical_id AS selected_id FROM wr QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, canonical_id) = 1"
+)
+
+
+def _bootstrap_sql(groups: tuple[int, ...] = (8, 9, 10)) -> str:
+    """The resamples are numpy's, so they are given as a table: one for each number of labels that the query set can hold."""
+    drawn = {g: np.random.default_rng(metrics.SEED).integers(0, g, (metrics.RESAMPLES, g)).ravel().tolist() for g in groups}
+    tables = " ".join(f"WHEN {g} THEN [{','.join(map(str, rows))}]" for g, rows in drawn.items())
+    return o.LABEL + f""", g AS (SELECT row_number() OVER (ORDER BY query_label) - 1 AS i, CAST(count(*) FILTER (expected_rank = 1) AS DOUBLE) AS s, count(*) AS n FROM lr GROUP BY query_label),
+d AS (SELECT unnest(CASE (SELECT count(*) FROM g) {tables} END) AS i, unnest(range({metrics.RESAMPLES} * (SELECT count(*) FROM g))) // (SELECT count(*) FROM g) AS r),
+m AS (SELECT r, sum(s) / sum(n) AS m FROM d JOIN g USING (i) GROUP BY r) SELECT (SELECT round(sum(s) / sum(n), 9) FROM g) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM m"""
+
+
+SQL["group_bootstrap_ci"] = _bootstrap_sql()

@@ -358,7 +358,7 @@ def strata_recall(h: Host) -> DataFrame:
 @query
 def group_bootstrap_ci(h: Host) -> DataFrame:
     r = metrics.group_bootstrap(_label_ranks(h), "query_label", metrics.hit("expected_rank", 1).cast("int"))
-    return h.spark.createDataFrame([(r["mean"], r["low"], r["high"])], "mean double, low double, high double")
+    return _nine(h.spark.createDataFrame([(r["mean"], r["low"], r["high"])], "mean double, low double, high double"), "mean", "low", "high")
 
 
 @query
