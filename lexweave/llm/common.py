@@ -125,6 +125,27 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets from 0) of at most ``limit`` bytes of text, or one longer text, across batches."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        rows = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        data, offsets, _ = text_bytes(rows.column(column))
+        return rows, data, offsets
+
+    for batch in batches:
+        for a, b, data, _ in text_slices(batch, column, limit):
+            if held and size + len(data) > limit:
+                yield joined()
+                held, size = [], 0
+            held.append(batch.slice(a, b - a))
+            size += len(data)
+    if held:
+        yield joined()
+
+
 # ------------------------------------------------------------------ words --
 def lower_table() -> np.ndarray:
     table = np.arange(256, dtype=np.uint8)

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHasher, grouped, map_arrow, materialize, mix64, nonspace_table, partitions, text_slices
+from .common import WordHasher, gathered, grouped, map_arrow, materialize, mix64, nonspace_table, partitions
 
 #: Text of a block.
 BLOCK_BYTES = 8 << 20
@@ -196,22 +196,17 @@ def blocks_of(docs: DataFrame, text: str, key: str, train: Column) -> DataFrame:
         from pyspark import TaskContext
 
         part, k, hasher = TaskContext.get().partitionId(), 0, WordHasher(nonspace_table())
-        for batch in batches:
-            for a, b, data, offsets in text_slices(batch, "text", BLOCK_BYTES):
-                hashes, before = grouped_hashes(hasher, data, offsets)
-                flags = batch.column("train").slice(a, b - a)
-                uniq, local = np.unique(hashes, return_inverse=True)
-                learn = np.repeat(flags.to_numpy(zero_copy_only=False), np.diff(before))
-                own = np.bincount(local[learn], minlength=len(uniq))
-                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                blobs = {"words": np.diff(before), "local": local, "uniq": uniq, "own": own}
-                k += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{part}-{k}"]), one(batch.column("key").slice(a, b - a)), one(flags)] + [
-                        pa.array([blobs[c].astype(t).tobytes()], pa.binary()) for c, t in _BLOBS.items()
-                    ],
-                    schema.names
-                )
+        for rows, data, offsets in gathered(batches, "text", BLOCK_BYTES):
+            hashes, before = grouped_hashes(hasher, data, offsets)
+            flags = rows.column("train")
+            uniq, local = np.unique(hashes, return_inverse=True)
+            learn = np.repeat(flags.to_numpy(zero_copy_only=False), np.diff(before))
+            own = np.bincount(local[learn], minlength=len(uniq))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            blobs = {"words": np.diff(before), "local": local, "uniq": uniq, "own": own}
+            k += 1
+            binary = [pa.array([blobs[c].astype(t).tobytes()], pa.binary()) for c, t in _BLOBS.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{k}"]), one(rows.column("key")), one(flags), *binary], schema.names)
 
     return materialize(map_arrow(source, run, schema), "lm-blocks")
 
