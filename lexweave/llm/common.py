@@ -208,9 +208,9 @@ class WordHasher:
         edge[last] = inside[last]
         return starts, np.flatnonzero(edge) + 1, np.searchsorted(starts, offsets)
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each word, words before each document and in all)."""
-        starts, ends, counts = self.spans(data, offsets)
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each word, words before each document and in all); ``spans``: those of the same texts, if they are known."""
+        starts, ends, counts = spans or self.spans(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint64), counts
         if self.lower is not None:

@@ -113,9 +113,10 @@ class LogBilinear:
             sample = np.minimum(np.searchsorted(cumulative, rng.random(noises) * cumulative[-1]), len(cumulative) - 1)
             v = self.prediction(f, n)
             true = (v * self.targets[w]).sum(1) + self.bias[w] - np.log(noises * self.noise[w])
-            false = v @ self.targets[sample].T + self.bias[sample] - np.log(noises * self.noise[sample])
+            false = v.astype(np.float32) @ self.targets[sample].T.astype(np.float32)
+            false += (self.bias[sample] - np.log(noises * self.noise[sample])).astype(np.float32)
             dt = c / (1 + np.exp(np.clip(true, -30, 30)))
-            df = -c[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))
+            df = -c[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))  # single precision up to here
             dv = dt[:, None] * self.targets[w] + df @ self.targets[sample]
             g = [np.zeros_like(p) for p in self.parameters()]
             np.add.at(g[2], w, dt[:, None] * v)
@@ -171,10 +172,21 @@ class LogBilinear:
 _BLOBS = {"words": np.uint32, "local": np.uint32, "uniq": np.uint64, "own": np.int64}
 
 
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Word numbers of a block, byte plane by byte plane, compressed: their high bytes are nearly all zero."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return np.uint64(len(planes)).tobytes() + pa.compress(planes, "zstd", asbytes=True)
+
+
+def stretched(data: pa.Buffer) -> np.ndarray:
+    raw = pa.decompress(memoryview(data)[8:], int(np.frombuffer(data, np.uint64, 1)[0]), "zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def grouped_hashes(hasher: WordHasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes whose last bits are the word's group."""
-    hashes, before = hasher(data, offsets)
-    starts, ends, _ = hasher.spans(data, offsets)
+    starts, ends, before = hasher.spans(data, offsets)
+    hashes, _ = hasher(data, offsets, (starts, ends, before))
     if not len(starts):
         return hashes, before
     last = hasher.lower[data[ends - 1]].astype(np.uint64)
@@ -205,7 +217,7 @@ def blocks_of(docs: DataFrame, text: str, key: str, train: Column) -> DataFrame:
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             blobs = {"words": np.diff(before), "local": local, "uniq": uniq, "own": own}
             k += 1
-            binary = [pa.array([blobs[c].astype(t).tobytes()], pa.binary()) for c, t in _BLOBS.items()]
+            binary = [pa.array([squeezed(blobs[c]) if c == "local" else blobs[c].astype(t).tobytes()], pa.binary()) for c, t in _BLOBS.items()]
             yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{k}"]), one(rows.column("key")), one(flags), *binary], schema.names)
 
     return materialize(map_arrow(source, run, schema), "lm-blocks")
@@ -279,7 +291,8 @@ def count_words(blocks: DataFrame, shortlist: int) -> DataFrame:
 def classes_of(batch: pa.RecordBatch, i: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(far context, near context, class, text) of every token of a block, ends included; ``frequent``: sorted hashes."""
     k = len(frequent)
-    words, local, uniq = (_blob(batch, c, i, _BLOBS[c]) for c in ("words", "local", "uniq"))
+    words, uniq = (_blob(batch, c, i, _BLOBS[c]) for c in ("words", "uniq"))
+    local = stretched(batch.column("local")[i].as_buffer())
     at = np.minimum(np.searchsorted(frequent, uniq), max(k - 1, 0))
     other = k + (uniq % np.uint64(GROUPS)).astype(np.int64)
     number = np.where(frequent[at] == uniq, at, other) if k else other
@@ -360,7 +373,7 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def places_of(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every token of a block, ends included: the block's numbers of its word and of the words one and two before, or -1."""
-    words, local = _blob(batch, "words", i, np.uint32), _blob(batch, "local", i, np.uint32)
+    words, local = _blob(batch, "words", i, np.uint32), stretched(batch.column("local")[i].as_buffer())
     n = words.astype(np.int64) + 1
     ends = np.cumsum(n)
     own = np.full(ends[-1] if len(ends) else 0, -1)
@@ -575,7 +588,7 @@ def score_documents(docs: DataFrame, train: Column, text: str = "text", key: str
                 c = np.concatenate([np.frombuffer(x, np.int64) for x in parts.as_py()]) if parts.is_valid else np.zeros(0, np.int64)
                 seen = np.full(len(word), ends, np.int64)  # of an end
                 inner = word != model.k + GROUPS
-                seen[inner] = c[_blob(batch, "local", i, np.uint32)]
+                seen[inner] = c[stretched(batch.column("local")[i].as_buffer())]
                 base = np.log10((seen + 1) / (n + (v + 1)))
                 log = others.log_probabilities(far, near, word, places_of(batch, i), own_of(batch, i)) / np.log(10)
                 total = lambda x: np.bincount(owner, weights=x, minlength=docs_here)  # noqa: B023, E731
