@@ -7,10 +7,10 @@ blocks together are the vector's cell.  A vector also enters the cells that come
 next in distance, one lattice step away in one block.  Vectors that meet in a
 cell are compared in double precision.
 
-The number of blocks follows from the largest label's number of vectors
-(:func:`plan`), so that a vector meets a few others by chance however many there
-are; tables and probes then keep the recall.  For pairs at a cosine of exactly
-0.98, 20,000 each, the plans missed 0, 2, 2 and 6 pairs with one to four blocks.
+Blocks, tables and probes are the same for tables of any size (:func:`plan`), so
+whether a pair is found depends on its two vectors alone.  A pair at a cosine of
+exactly 0.98 is missed in one table with a chance of 0.13 and in all eight with
+one of 1e-7; nearer pairs are missed less.
 
 Equal vectors (bit by bit) with equal labels are one class from the start.  A
 cell is worked on in blocks of two chunks of at most ``CHUNK`` classes, so a hot
@@ -77,20 +77,20 @@ def shortest_vectors() -> np.ndarray:
     return np.array(out)
 
 
-#: Tables and probes by the number of blocks; more blocks take a fifth more tables each.
-PLANS = {1: (6, 1), 2: (6, 3), 3: (12, 3), 4: (16, 4)}
-#: Vectors of a label that so many blocks are enough for.
-ENOUGH = (300, 100_000, 50_000_000)
+#: Fixed for tables of any size: blocks of a cell, tables, and neighbouring cells that a vector enters too.
+BLOCKS, TABLES, PROBES = 2, 8, 4
+#: Cosines of blocks this close to the threshold are worked out again by :func:`cosines`.
+CLOSE = 1e-9
 
 
-def plan(vectors: int) -> tuple[int, int, int]:
-    """(blocks, tables, probes) for labels of at most so many vectors.
+def plan(vectors: int | None = None) -> tuple[int, int, int]:
+    """(blocks, tables, probes), the same for any number of vectors.
 
-    Two random vectors meet with a chance of about 0.016, 5e-5 and 1e-7 with one,
-    two and three blocks, so a vector meets some five others by chance at most.
+    Two random vectors meet with a chance of about 1.2e-4, so among 50,000 of a
+    label a vector is compared with six others by chance and among ten million
+    with 1,200, which costs less than the entries of more blocks and tables.
     """
-    blocks = 1 + sum(vectors > n for n in ENOUGH)
-    return (blocks, *PLANS[blocks])
+    return BLOCKS, TABLES, PROBES
 
 
 def default_scale(threshold: float) -> float:
@@ -148,23 +148,44 @@ def unit_vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return x[good] / norm[good, None], rows[good]
 
 
-def met_before(x: np.ndarray, y: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Whether two members' cell lists (rows; unused places hold the largest number) share a cell below ``code``."""
-    out = np.zeros(len(x), bool)
-    for a in range(0, len(x), 8192):
-        p, q, c = x[a : a + 8192], y[a : a + 8192], code[a : a + 8192]
-        for k in range(p.shape[1]):
-            out[a : a + 8192] |= (p[:, k] < c) & (p[:, k : k + 1] == q).any(1)
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of rows, added up component by component as SQL does: the same whatever rows are compared together."""
+    x, y = (np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1]) for v in (x, y))  # powers of two change no digit
+    xy, xx, yy = (np.zeros(len(x)) for _ in range(3))
+    for k in range(x.shape[1]):
+        xy += x[:, k] * y[:, k]
+        xx += x[:, k] * x[:, k]
+        yy += y[:, k] * y[:, k]
+    return xy / (np.sqrt(xx) * np.sqrt(yy))
+
+
+def met_before(cells: np.ndarray, i: np.ndarray, j: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Whether members i and j share a cell below ``code``; ``cells``: each one's cells, ascending (unused places hold the largest number)."""
+    out = np.zeros(len(i), bool)
+    for a in range(0, len(i), 8192):
+        at = np.arange(a, min(a + 8192, len(i)))  # undecided; near pairs share many cells, so most are decided by the first few
+        for k in range(cells.shape[1]):
+            one = cells[i[at], k]
+            below = one < code[at]
+            at, one = at[below], one[below]
+            if not len(at):
+                break
+            met = (cells[j[at]] == one[:, None]).any(1)
+            out[at[met]] = True
+            at = at[~met]
     return out
 
 
 def link_pairs(
-    unit: np.ndarray, cells: np.ndarray, bounds: np.ndarray, code: np.ndarray, half: np.ndarray, across: np.ndarray, threshold: float
+    unit: np.ndarray, raw: np.ndarray, cells: np.ndarray, bounds: np.ndarray, code: np.ndarray, half: np.ndarray, across: np.ndarray,
+    threshold: float
 ) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (i, j), i < j, of blocks of rows; a pair that meets in a smaller cell too is left to that one.
 
     ``across``: of blocks with two chunks, where only pairs across them count.
-    Blocks of one size are compared at once.
+    Blocks of one size are compared at once.  The last digits of such a product
+    depend on the block's size, so pairs at the threshold are decided by
+    :func:`cosines` of the vectors as they came (``raw``).
     """
     size, found = np.diff(bounds), []
     for m in np.unique(size[size > 1]):
@@ -173,16 +194,18 @@ def link_pairs(
         for a in range(0, len(own), step):
             rows = bounds[own[a : a + step]][:, None] + np.arange(m)
             u = unit[rows]
-            near = u @ u.transpose(0, 2, 1) >= threshold
-            g, i, j = np.nonzero(np.triu(near, 1))
+            cosine = u @ u.transpose(0, 2, 1)
+            g, i, j = np.nonzero(np.triu(cosine >= threshold - CLOSE, 1))
+            close = np.flatnonzero(cosine[g, i, j] < threshold + CLOSE)
             i, j = rows[g, i], rows[g, j]
             cut = across[own[a + g]]
             keep = ~cut | (half[i] != half[j])
+            keep[close] &= cosines(raw[i[close]], raw[j[close]]) >= threshold
             found.append((i[keep], j[keep]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-    keep = ~met_before(cells[i], cells[j], code[i])
+    keep = ~met_before(cells, i, j, code[i])
     return i[keep], j[keep]
 
 
@@ -213,8 +236,7 @@ def near_duplicates(
         F.min_by("vector", "key").alias("vector")
     )
     classes = materialize(classes, "lattice-classes").withColumn("d", F.size("vector"))
-    largest = classes.groupBy("salt").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    blocks, tables, probes = plan(largest)
+    blocks, tables, probes = plan()
     scale = scale or default_scale(threshold)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,9 +290,11 @@ def near_duplicates(
                 blocks = np.flatnonzero(d[bounds[:-1]] == k)
                 rows = np.concatenate([np.arange(bounds[b], bounds[b + 1]) for b in blocks])
                 own = np.concatenate([[0], np.cumsum(np.diff(bounds)[blocks])])
-                unit, _ = unit_vectors(col["vector"].take(pa.array(rows)))
+                own_vectors = col["vector"].take(pa.array(rows))
+                unit, _ = unit_vectors(own_vectors)
+                raw = own_vectors.flatten().to_numpy().astype(np.float64).reshape(-1, k)
                 across = (col["low"].to_numpy() != col["high"].to_numpy())[bounds[blocks]]
-                i, j = link_pairs(unit, lists[rows], own, code[rows], half[rows], across, threshold)
+                i, j = link_pairs(unit, raw, lists[rows], own, code[rows], half[rows], across, threshold)
                 i, j = rows[i], rows[j]
                 np.add.at(links, i, copies[j])
                 np.add.at(links, j, copies[i])

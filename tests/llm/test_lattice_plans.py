@@ -38,6 +38,37 @@ def test_chance_meetings_stay_few_as_vectors_grow():
     assert max(met.values()) < 8
 
 
+def test_links_do_not_depend_on_how_many_vectors_a_label_has(spark):
+    assert len({lattice_dedup.plan(n) for n in (0, 300, 301, 100_000, 100_001, 10**6, 10**8, 10**9)}) == 1
+    rng = np.random.default_rng(177)
+    a = unit(rng.normal(size=(600, 16)))
+    noise = unit(rng.normal(size=a.shape))
+    noise = unit(noise - (noise * a).sum(1, keepdims=True) * a)
+    b = 0.9801 * a + np.sqrt(1 - 0.9801**2) * noise
+    pairs = [(2 * i + j, v.tolist(), i) for i in range(600) for j, v in enumerate((a[i], b[i]))]
+    found = {}
+    for name, rows in {"one label": [(k, v, 0) for k, v, _ in pairs], "a label for each pair": pairs}.items():
+        got = lattice_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+        found[name] = {r["key"]: (r["n_links"], r["component_id"]) for r in got}
+    assert found["one label"] == found["a label for each pair"] == {k: (1, k - k % 2) for k, _, _ in pairs}
+
+
+def test_pairs_at_the_threshold_are_decided_alike_in_blocks_of_any_size():
+    rng = np.random.default_rng(4)
+    raw = unit(rng.normal(size=(2, 48))) * [[3.0], [0.2]]
+    threshold = float(lattice_dedup.cosines(raw[:1], raw[1:])[0])
+    x, y = raw
+    assert threshold == sum(p * q for p, q in zip(x, y, strict=True)) / (np.sqrt(sum(p * p for p in x)) * np.sqrt(sum(q * q for q in y)))
+    for limit, linked in ((threshold, True), (np.nextafter(threshold, 2), False)):
+        for n in (2, 3, 7, 64, 500):
+            rows = np.concatenate([raw, -raw[:1] + rng.normal(0, 1e-3, (n - 2, 48))]) if n > 2 else raw
+            i, j = lattice_dedup.link_pairs(
+                unit(rows), rows, np.zeros((n, 1), np.int64), np.array([0, n]), np.zeros(n, np.int64), np.zeros(n, np.int64), np.array([False]), limit
+            )
+            assert ((0, 1) in set(zip(i.tolist(), j.tolist(), strict=True))) == linked, (n, limit)
+    assert np.isclose(lattice_dedup.cosines(raw * 1e200, raw[::-1] * 1e-200), threshold).all()
+
+
 def test_labels_and_vectors_are_told_apart(spark):
     rows = [(1, [1.0, 2.0], "a1"), (2, [2.0], "a1,1.0"), (3, [1.0, 2.0], "a1"), (4, [11.0, 2.0], "a")]
     got = {r["key"]: (r["n_links"], r["component_id"]) for r in lattice_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
