@@ -86,9 +86,10 @@ CLOSE = 1e-9
 def plan(vectors: int | None = None) -> tuple[int, int, int]:
     """(blocks, tables, probes), the same for any number of vectors.
 
-    Two random vectors meet with a chance of about 1.2e-4, so among 50,000 of a
-    label a vector is compared with six others by chance and among ten million
-    with 1,200, which costs less than the entries of more blocks and tables.
+    Two random vectors meet with a chance of about 8e-5, so among 50,000 of a
+    label a vector is compared with four others by chance, and with more in
+    proportion.  More blocks for large labels alone would save these meetings,
+    but find other pairs there than in small ones.
     """
     return BLOCKS, TABLES, PROBES
 
