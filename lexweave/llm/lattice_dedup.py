@@ -15,8 +15,8 @@ one of 1e-7; nearer pairs are missed less.
 Equal vectors (bit by bit) with equal labels are one class from the start.  A
 cell is worked on in blocks of two chunks of at most ``CHUNK`` classes, so a hot
 cell spreads over many tasks and every pair still meets.  A pair that meets in
-several cells counts in the smallest one only: each entry carries the vector's
-whole list of shared cells.  A block returns sums and stars, never its pairs.
+several cells counts in the smallest one only: each entry carries the list of
+the vector's shared cells before its own.  A block returns sums and stars, never its pairs.
 
 Defined cases: null labels and vectors that are null, empty, zero or hold null
 or non-finite components link with nothing; vectors of different lengths do not
@@ -268,10 +268,10 @@ def near_duplicates(
     ).groupBy("class").agg(F.array_sort(F.collect_set(F.struct("code", "members"))).alias("entries"))
     chunks = F.ceil(F.col("e.members") / CHUNK).cast("int")
     dealt = classes.select("class", "key", "copies", "vector").join(lists, "class").select(
-        "key", "copies", "vector", F.transform("entries", lambda e: e["code"]).alias("cells"), F.explode("entries").alias("e")
+        "key", "copies", "vector", F.transform("entries", lambda e: e["code"]).alias("all"), F.posexplode("entries").alias("before", "e")
     )
     dealt = dealt.select(
-        "key", "copies", "vector", "cells", F.col("e.code").alias("code"), chunks.alias("chunks"),
+        "key", "copies", "vector", F.slice("all", F.lit(1), F.col("before")).alias("cells"), F.col("e.code").alias("code"), chunks.alias("chunks"),
         F.pmod(F.xxhash64("key", "copies"), chunks).cast("int").alias("chunk")
     )
     pair = F.explode(F.expr("transform(sequence(0, chunks - 1), c -> struct(least(c, chunk) AS low, greatest(c, chunk) AS high))"))
