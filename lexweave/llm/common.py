@@ -208,19 +208,27 @@ class WordHasher:
         edge[last] = inside[last]
         return starts, np.flatnonzero(edge) + 1, np.searchsorted(starts, offsets)
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of each word, words before each document and in all); ``spans``: those of the same texts, if they are known."""
+    def distinct(self, data: np.ndarray, offsets: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(distinct words, each word's place among them, words before each document and in all); ``spans``: those of the same texts, if they are known."""
         starts, ends, counts = spans or self.spans(data, offsets)
         if not len(starts):
-            return np.zeros(0, np.uint64), counts
+            return pa.array([], pa.binary()), np.zeros(0, np.int32), counts
         if self.lower is not None:
             data = self.lower[data]
         bounds = np.zeros(len(starts) + 1, np.int32)
         np.cumsum(ends - starts, out=bounds[1:])
         packed = np.ascontiguousarray(data[self.is_word[data]])
         found = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(packed)]).dictionary_encode()
-        distinct = np.fromiter(map(xxhash.xxh3_64_intdigest, found.dictionary.to_pylist()), np.uint64, len(found.dictionary))
-        return distinct[found.indices.to_numpy()], counts
+        return found.dictionary, found.indices.to_numpy(), counts
+
+    @staticmethod
+    def hashes(words: pa.Array) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_numpy(zero_copy_only=False)), np.uint64, len(words))
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of each word, words before each document and in all); ``spans``: those of the same texts, if they are known."""
+        words, place, counts = self.distinct(data, offsets, spans)
+        return self.hashes(words)[place], counts
 
 
 def word_hash(hasher: WordHasher, words: list[str]) -> np.ndarray:

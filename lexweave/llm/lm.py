@@ -29,7 +29,8 @@ The corpus is never gathered anywhere:
 Only the model, the list of frequent words and a few sums reach the driver.
 Partitions train apart, so the model, and with it ``score`` (not the counts and
 ``base_score``), depends in its last digits on how the texts fall into files and
-partitions; the same files and settings give the same scores.
+partitions, and on rounding; a context on the border of two states can fall to
+either.  The same files and settings give the same scores.
 
 Defined cases: a null or empty text is an end alone; without training texts all
 counts are 0 and the model is uniform over its classes; repeated rows get equal
@@ -65,6 +66,20 @@ SHARD_ENTRIES = 2_000_000
 PRIOR, PRIOR_NEAR, PRIOR_FAR = 4.0, 8.0, 32.0
 
 
+def _single(rows: np.ndarray, last: np.ndarray | float) -> np.ndarray:
+    """The rows and one more column in single precision."""
+    out = np.empty((len(rows), rows.shape[1] + 1), np.float32)
+    out[:, :-1], out[:, -1] = rows, last
+    return out
+
+
+def row_sums(number: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """(size, columns) sums in double precision of the rows of each number."""
+    wide = rows.shape[1]
+    cells = np.arange(size * wide).reshape(size, wide).take(number, 0)
+    return np.bincount(cells.ravel(), weights=rows.ravel(), minlength=size * wide).reshape(size, wide)
+
+
 @dataclass
 class LogBilinear:
     """Classes 0..k-1 are the shortlist, the next GROUPS the groups of other words, then comes the end; one more number stands before a text."""
@@ -106,34 +121,37 @@ class LogBilinear:
     ) -> None:
         """One pass of noise-contrastive estimation over weighted (far, near, word) triples, with Adagrad steps."""
         cumulative = np.cumsum(self.noise)
-        order = rng.permutation(len(word))
+        order, chance = rng.permutation(len(word)), np.log(noises * self.noise)
+        rows = np.column_stack([far, near, word, weight])  # side by side, as they are read in random order
         for a in range(0, len(order), batch):
-            i = order[a : a + batch]
-            f, n, w, c = far[i], near[i], word[i], weight[i] / weight[i].sum()
+            part = rows.take(order[a : a + batch], 0).T
+            f, n, w, c = *part[:3].astype(np.int64), (part[3] / part[3].sum()).astype(np.float32)
             sample = np.minimum(np.searchsorted(cumulative, rng.random(noises) * cumulative[-1]), len(cumulative) - 1)
-            v = self.prediction(f, n)
-            true = (v * self.targets[w]).sum(1) + self.bias[w] - np.log(noises * self.noise[w])
-            false = v.astype(np.float32) @ self.targets[sample].T.astype(np.float32)
-            false += (self.bias[sample] - np.log(noises * self.noise[sample])).astype(np.float32)
-            dt = c / (1 + np.exp(np.clip(true, -30, 30)))
-            df = -c[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))  # single precision up to here
-            dv = dt[:, None] * self.targets[w] + df @ self.targets[sample]
-            g = [np.zeros_like(p) for p in self.parameters()]
-            np.add.at(g[2], w, dt[:, None] * v)
-            np.add.at(g[2], sample, df.T @ v)
-            np.add.at(g[3], w, dt)
-            np.add.at(g[3], sample, df.sum(0))
-            np.add.at(g[0], n, dv * self.scale[0])
-            np.add.at(g[0], f, dv * self.scale[1])
-            g[1][0], g[1][1] = (dv * self.vectors[n]).sum(0), (dv * self.vectors[f]).sum(0)
-            for p, s, x in zip(self.parameters(), state, g, strict=True):
+            v = _single(self.vectors * self.scale[0], 1).take(n, 0)  # the last column multiplies the bias
+            v += _single(self.vectors * self.scale[1], 0).take(f, 0)
+            targets = _single(self.targets, self.bias - chance)
+            to, away = targets.take(w, 0), -targets[sample]
+            dt = c / (1 + np.exp(np.clip(np.einsum("ij,ij->i", v, to), -30, 30)))
+            df = v @ away.T
+            np.minimum(df, 30, out=df)
+            np.exp(df, out=df)
+            df += 1
+            np.reciprocal(df, out=df)
+            to *= dt[:, None]
+            to += (df @ away) * c[:, None]
+            at_near, at_far = row_sums(n, to, len(self.vectors))[:, :-1], row_sums(f, to, len(self.vectors))[:, :-1]
+            at_word = row_sums(w, v * dt[:, None], len(targets))
+            at_word -= row_sums(sample, df.T @ (v * c[:, None]), len(targets))
+            scale = np.stack([np.einsum("ij,ij->j", x, self.vectors) for x in (at_near, at_far)])
+            g = [at_near * self.scale[0] + at_far * self.scale[1], scale, at_word[:, :-1], at_word[:, -1]]
+            for p, s, x in zip(self.parameters(), state, g, strict=True):  # in double precision
                 s += x * x
                 p += rate * x / np.sqrt(s + 1e-8)
 
     def log_probabilities(self, far: np.ndarray, near: np.ndarray, word: np.ndarray, batch: int = 4096) -> np.ndarray:
         """Natural logarithms of the normalised probabilities; every distinct context is normalised once."""
         context, inverse = self.contexts(far, near)
-        return self.of_contexts(far, near, word, inverse, self.normalised(context, None, batch)[0])
+        return self.of_contexts(context, word, inverse, self.normalised(context, None, batch)[0])
 
     def contexts(self, far: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct contexts, and each token's place among them."""
@@ -144,27 +162,30 @@ class LogBilinear:
         present = np.bincount(numbers, minlength=wide * wide) > 0
         return np.flatnonzero(present), (np.cumsum(present) - 1)[numbers]
 
-    def normalised(self, context: np.ndarray, member: np.ndarray | None, batch: int = 4096) -> tuple[np.ndarray, np.ndarray | None]:
+    def normalised(self, context: np.ndarray, member: np.ndarray | None, batch: int = 512) -> tuple[np.ndarray, np.ndarray | None]:
         """Of distinct contexts: the normaliser's logarithm and, with ``member`` (classes, clusters), the clusters' probabilities."""
         wide = len(self.vectors)
         norm, shares = np.empty(len(context)), None if member is None else np.empty((len(context), member.shape[1]), np.float32)
-        targets = self.targets.T.astype(np.float32)
+        targets = _single(self.targets, self.bias).T
         for a in range(0, len(context), batch):
             c = context[a : a + batch]
-            s = self.prediction(c // wide, c % wide).astype(np.float32) @ targets + self.bias.astype(np.float32)
-            top = s.max(1, keepdims=True)
-            e = np.exp(s - top)
-            total = e.sum(1, dtype=np.float64)
+            e = _single(self.prediction(c // wide, c % wide), 1) @ targets
+            top = e.max(1, keepdims=True)
+            e -= top
+            np.exp(e, out=e)
+            mass = None if member is None else e @ member
+            total = e.sum(1, dtype=np.float64) if mass is None else mass.sum(1, dtype=np.float64)
             norm[a : a + batch] = top[:, 0] + np.log(total)
-            if shares is not None:
-                shares[a : a + batch] = (e @ member) / total[:, None]
+            if mass is not None:
+                shares[a : a + batch] = mass / total[:, None]
         return norm, shares
 
-    def of_contexts(self, far: np.ndarray, near: np.ndarray, word: np.ndarray, inverse: np.ndarray, norm: np.ndarray) -> np.ndarray:
-        out = np.empty(len(word))
-        for a in range(0, len(word), 1 << 18):
-            b = slice(a, a + (1 << 18))
-            out[b] = (self.prediction(far[b], near[b]) * self.targets[word[b]]).sum(1) + self.bias[word[b]] - norm[inverse[b]]
+    def of_contexts(self, context: np.ndarray, word: np.ndarray, inverse: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        wide, targets = len(self.vectors), _single(self.targets, self.bias)
+        v, out = _single(self.prediction(context // wide, context % wide), 1), np.empty(len(word))
+        for a in range(0, len(word), 1 << 14):
+            b = slice(a, a + (1 << 14))
+            out[b] = np.einsum("ij,ij->i", v.take(inverse[b], 0), targets.take(word[b], 0)) - norm[inverse[b]]
         return out
 
 
@@ -183,15 +204,19 @@ def stretched(data: pa.Buffer) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def grouped_hashes(hasher: WordHasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes whose last bits are the word's group."""
-    starts, ends, before = hasher.spans(data, offsets)
-    hashes, _ = hasher(data, offsets, (starts, ends, before))
-    if not len(starts):
-        return hashes, before
-    last = hasher.lower[data[ends - 1]].astype(np.uint64)
-    last |= np.where(ends - starts > 1, hasher.lower[data[np.maximum(ends - 2, 0)]].astype(np.uint64) << np.uint64(8), np.uint64(0))
-    return hashes - hashes % np.uint64(GROUPS) + mix64(last) % np.uint64(GROUPS), before
+def numbered_words(hasher: WordHasher, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct word hashes, sorted, whose last bits are the word's group; each word's place among them; words before each text)."""
+    words, place, before = hasher.distinct(data, offsets)
+    if not len(place):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), before
+    _, bounds, raw = words.buffers()
+    raw, bounds = np.frombuffer(raw, np.uint8), np.frombuffer(bounds, np.int32, len(words) + 1, words.offset * 4).astype(np.int64)
+    starts, ends = bounds[:-1], bounds[1:]
+    last = raw[ends - 1].astype(np.uint64)
+    last |= np.where(ends - starts > 1, raw[np.maximum(ends - 2, 0)].astype(np.uint64) << np.uint64(8), np.uint64(0))
+    hashes = hasher.hashes(words)
+    uniq, number = np.unique(hashes - hashes % np.uint64(GROUPS) + mix64(last) % np.uint64(GROUPS), return_inverse=True)
+    return uniq, number[place], before
 
 
 def blocks_of(docs: DataFrame, text: str, key: str, train: Column) -> DataFrame:
@@ -209,9 +234,8 @@ def blocks_of(docs: DataFrame, text: str, key: str, train: Column) -> DataFrame:
 
         part, k, hasher = TaskContext.get().partitionId(), 0, WordHasher(nonspace_table())
         for rows, data, offsets in gathered(batches, "text", BLOCK_BYTES):
-            hashes, before = grouped_hashes(hasher, data, offsets)
+            uniq, local, before = numbered_words(hasher, data, offsets)
             flags = rows.column("train")
-            uniq, local = np.unique(hashes, return_inverse=True)
             learn = np.repeat(flags.to_numpy(zero_copy_only=False), np.diff(before))
             own = np.bincount(local[learn], minlength=len(uniq))
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
@@ -422,11 +446,11 @@ class OwnWords:
         """(size, 3 * STATES) counts of the words of the groups over these tokens."""
         context, inverse = self.model.contexts(far, near)
         state, cluster = self.states(context)[inverse], self.cluster[word]
-        cells = [
-            (p * 3 * STATES + q * STATES + c)[self.rare(x)] for q,
-            (p, c, x) in enumerate(zip(places, (state, cluster, cluster), (word, near, far), strict=True))
-        ]
-        return np.bincount(np.concatenate(cells), minlength=size * 3 * STATES).reshape(size, 3 * STATES)
+        out = np.empty((size, 3 * STATES), np.uint32)
+        for q, (p, c, x) in enumerate(zip(places, (state, cluster, cluster), (word, near, far), strict=True)):
+            at = np.flatnonzero(self.rare(x))
+            out[:, q * STATES : (q + 1) * STATES] = np.bincount(p[at] * STATES + c[at], minlength=size * STATES).reshape(size, STATES)
+        return out
 
     @staticmethod
     def sums(counts: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -449,24 +473,37 @@ class OwnWords:
         """Natural logarithms; ``counts``: rows of the words that ``places`` number."""
         context, inverse = self.model.contexts(far, near)
         norm, mass = self.model.normalised(context, self.member)
-        state, cluster, k = self.states(context), self.cluster[word], self.model.k
-        out = self.model.of_contexts(far, near, word, inverse, norm)
-        trained = counts[:, :STATES].sum(1)
-        for a in range(0, len(word), 1 << 16):
-            b = slice(a, a + (1 << 16))
-            ratio = np.ones((len(word[b]), STATES), np.float32)
-            for q, (c, place, prior) in enumerate(((near[b], places[1][b], PRIOR_NEAR), (far[b], places[2][b], PRIOR_FAR))):
-                at = np.flatnonzero(self.rare(c))
-                after, row = self.after[q][c[at] - k], counts[place[at], (q + 1) * STATES : (q + 2) * STATES]
-                ratio[at] *= (row + prior * after) / ((row.sum(1, keepdims=True) + prior) * after)
-            known = (ratio * mass[inverse[b]]).sum(1, dtype=np.float64)
-            out[b] += np.log(ratio[np.arange(len(ratio)), cluster[b]]) - np.log(known)
+        state = self.states(context)
+        out = self.model.of_contexts(context, word, inverse, norm)
+        group = np.full(len(counts) + 1, -1)  # of the words; the last stands for -1, which is no word
+        for x, place in zip((word, near, far), places, strict=True):
+            group[place] = x - self.model.k
+        weights, heads = self.weights(counts, group[:-1])
+        flat, shares, sums = counts.ravel(), (PRIOR * self.shares).ravel(), self.places.ravel()
+        for a in range(0, len(word), 1 << 14):
+            b = slice(a, a + (1 << 14))
+            ratio = weights[0].take(places[1][b], 0)
+            ratio *= weights[1].take(places[2][b], 0)
+            known = np.einsum("ij,ij->i", ratio, mass.take(inverse[b], 0))
+            own = ratio.ravel()[np.arange(len(ratio)) * STATES + self.cluster[word[b]]] / known.astype(np.float64)
             at = np.flatnonzero(self.rare(word[b]))
-            g, z, w = word[b][at] - k, state[inverse[b][at]], places[0][b][at]
-            c = trained[w]
-            out[b][at] += np.log((c + 1) / (c + PRIOR) * (counts[w, z] + PRIOR * self.shares[g, z]) / self.places[g, z])
+            w, z = places[0][b][at], state[inverse[b][at]]
+            cell = (word[b][at] - self.model.k) * STATES + z
+            own[at] *= heads[w] * (flat[w * (3 * STATES) + z] + shares[cell]) / sums[cell]
+            out[b] += np.log(own)
         return out
 
+    def weights(self, counts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words, and -1 as the last: what they weigh the clusters by one and two places later; and their discounts as targets."""
+        out, at = np.ones((2, len(counts) + 1, STATES), np.float32), np.flatnonzero((group >= 0) & (group < GROUPS))
+        for a in range(0, len(at), 1 << 14):
+            b = at[a : a + (1 << 14)]
+            for q, prior in enumerate((PRIOR_NEAR, PRIOR_FAR)):
+                after, row = self.after[q].astype(np.float32).take(group[b], 0), counts[b, (q + 1) * STATES : (q + 2) * STATES]
+                out[q, b] = (row + prior * after) / ((row.sum(1, keepdims=True) + prior) * after)
+        trained = counts[:, :STATES].sum(1, dtype=np.float64)
+        return out, (trained + 1) / (trained + PRIOR)
+
 
 def packed(counts: np.ndarray) -> bytes:
     """Counts, nearly all small, as compressed bytes; those from 255 on follow apart."""
@@ -536,8 +573,14 @@ def count_own(blocks: DataFrame, own: OwnWords, frequent: np.ndarray, shards: in
 
 def own_of(batch: pa.RecordBatch, i: int) -> np.ndarray:
     """The block's words' own counts, put together from the hash ranges in their order."""
-    parts = batch.column("others")[i]
-    return np.concatenate([unpacked(p).astype(np.float32) for p in parts.as_py()]) if parts.is_valid else np.zeros((0, 3 * STATES), np.float32)
+    parts, out, at = batch.column("others")[i], np.empty((len(_blob(batch, "uniq", i, np.uint64)), 3 * STATES), np.float32), 0
+    for part in parts.values if parts.is_valid else ():
+        counts = unpacked(part.as_buffer())
+        out[at : at + len(counts)] = counts
+        at += len(counts)
+    if at != len(out):
+        raise ValueError(f"counts of {at} of {len(out)} words")
+    return out
 
 
 # ---------------------------------------------------------------- scoring --
@@ -584,18 +627,15 @@ def score_documents(docs: DataFrame, train: Column, text: str = "text", key: str
             for i in range(batch.num_rows):
                 far, near, word, owner = classes_of(batch, i, frequent)
                 docs_here = len(batch.column("keys")[i].values)
-                parts = batch.column("counts")[i]
-                c = np.concatenate([np.frombuffer(x, np.int64) for x in parts.as_py()]) if parts.is_valid else np.zeros(0, np.int64)
-                seen = np.full(len(word), ends, np.int64)  # of an end
-                inner = word != model.k + GROUPS
-                seen[inner] = c[stretched(batch.column("local")[i].as_buffer())]
-                base = np.log10((seen + 1) / (n + (v + 1)))
-                log = others.log_probabilities(far, near, word, places_of(batch, i), own_of(batch, i)) / np.log(10)
+                parts, places = batch.column("counts")[i], places_of(batch, i)
+                c = np.concatenate([np.frombuffer(x, np.int64) for x in [*(parts.as_py() if parts.is_valid else ()), np.int64(ends).tobytes()]])
+                base, known = np.log10((c + 1) / (n + (v + 1))), c > 0  # of the block's words, and the end as the last
+                log = others.log_probabilities(far, near, word, places, own_of(batch, i)) / np.log(10)
                 total = lambda x: np.bincount(owner, weights=x, minlength=docs_here)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("keys")[i].values, pa.array(np.bincount(owner, minlength=docs_here), pa.int64()),
-                        pa.array(total(seen > 0).astype(np.int64)), pa.array(np.full(docs_here, n), pa.int64()), pa.array(total(base)),
+                        pa.array(total(known[places[0]]).astype(np.int64)), pa.array(np.full(docs_here, n), pa.int64()), pa.array(total(base[places[0]])),
                         pa.array(total(log))
                     ],
                     schema.names
